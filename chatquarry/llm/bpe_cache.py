@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
 from functools import cache
 
 import numpy as np
 
-#: The byte-level pre-tokenizer's own expression (fixed values of the vocabulary format).
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Longer words aren't kept.
 LONG = 64
 
 
@@ -44,10 +42,10 @@ class Memo(dict):
 class WordMemoEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, equal to Tokenizer.encode(text, add_special_tokens=False).
 
-    The pre-tokenizer never joins what stands before a space with that space and a following non-space, so texts fall apart
-    there; stretches the memo lacks fall apart into pre-tokens, and the library encodes those it lacks, many at a time."""
+    The byte-level pre-tokenizer never joins what stands before a space with that space and a following non-space, so texts fall
+    apart there. Words that the memo lacks are encoded as one text; a word's first token is the only one that begins with a space."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
@@ -55,74 +53,51 @@ class WordMemoEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.findall, self.safe = regex.compile(PIECES).findall, regex.compile(r"(?= \S)")
-        self.special = list({str(t) if isinstance(t, str) else t.content for t in self.tokenizer.get_added_tokens_decoder().values()})
-        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
-        self.after, self.pieces = Memo(limit), Memo(limit // 3)
+        self.safe = regex.compile(r"(?= \S)")
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.begins[i] = token.startswith("\u0120")  # the alphabet's letter for a space
+        self.memo = Memo(limit)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: Iterable[str], known: dict[str, bytes]) -> None:
-        """Puts each pre-token's ids into known. Words of letters are encoded joined by line ends, which stay tokens of their own."""
-        words = list(words)
-        letters = [w for w in words if (w[1:] if w[0] == " " else w).isalpha()]
-        others = [w for w in words if not (w[1:] if w[0] == " " else w).isalpha()]
-        known.update(zip(others, self._ids(others), strict=True))
-        for i in range(0, len(letters), 4096):
-            group = letters[i : i + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(group)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.line), len(ids)).tolist()
-            if len(ends) != len(group):
-                known.update(zip(group, self._ids(group), strict=True))
-                continue
-            raw, at = ids.tobytes(), 0
-            for w, e in zip(group, ends, strict=True):
-                known[w] = raw[4 * at : 4 * e]
-                at = e + 1
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words, each with a space before it."""
+        plain = [w for w in words if not any([x in w for x in self.special])]
+        found = dict(zip(odd, self._ids([f" {w}" for w in odd]), strict=True)) if (odd := [w for w in words if any([x in w for x in self.special])]) else {}
+        for i in range(0, len(plain), 4096):
+            group = plain[i : i + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {' '.join(group)}"], add_special_tokens=False)[0].ids, "<u4")
+            starts = (np.flatnonzero(self.begins[ids]) * 4).tolist()
+            if len(starts) == len(group):
+                raw = ids.tobytes()
+                found.update(zip(group, [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)], strict=True)], strict=True))
+            else:
+                found.update(zip(group, self._ids([f" {w}" for w in group]), strict=True))
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         rows = [t.split(" ") for t in texts]
-        get, out, missing, slow = self.after.get, [None] * len(rows), set(), []
+        heads = self._ids([r[0] for r in rows])  # no space before a text's first word
+        get, out, missing, slow = self.memo.get, [None] * len(rows), set(), []
         for k, r in enumerate(rows):
-            r[0] = f"\0{r[0]}"  # a text's first word has no space before it
+            del r[0]
             parts = list(map(get, r))
             if None in parts:
                 slow.append((k, r, parts))
-                missing.update(w for w, p in zip(r, parts, strict=True) if p is None)
+                missing.update([w for w, p in zip(r, parts, strict=True) if p is None])
             else:
-                out[k] = b"".join(parts)
+                out[k] = heads[k] + b"".join(parts)
         if not slow:
             return out
-        found, cut, need = {}, {}, set()
-        for w in missing:
-            if (ids := self.after.old.get(w)) is not None:
-                found[w] = ids
-            elif w[:1] == "\0":
-                cut[w] = w[1:]
-            elif w and not w[0].isspace():
-                cut[w] = f" {w}"
-        bare = {}
-        for w, s in cut.items():
-            if any(x in s for x in self.special):
-                found[w] = self._ids([s])[0]
-            else:
-                bare[w] = p = self.findall(s)
-                need.update(p)
-        known = {}
-        pieces, old = self.pieces, self.pieces.old
-        for p in need:
-            if (ids := pieces.get(p)) is None:
-                ids = old.get(p)
-            if ids is not None:
-                known[p] = ids
-        self._learn([p for p in need if p not in known], known)
-        pieces.put_all({p: ids for p, ids in known.items() if len(p) <= LONG})
-        found.update((w, b"".join([known[p] for p in ps])) for w, ps in bare.items())
+        old = self.memo.old.get
+        found = {w: ids for w in missing if (ids := old(w)) is not None}
+        # a word that is empty or begins with white space isn't cut off from the one before it
+        found |= self._learn([w for w in missing if w not in found and w and not w[0].isspace()])
         for k, r, parts in slow:
-            for i, p in enumerate(parts):
-                if p is None:
-                    parts[i] = found.get(r[i])
-            out[k] = b"".join(self._ids(self.safe.split(texts[k]))) if None in parts else b"".join(parts)
-        self.after.put_all({w: ids for w, ids in found.items() if len(w) <= LONG})
+            parts = [found.get(w) if p is None else p for w, p in zip(r, parts, strict=True)]
+            out[k] = b"".join(self._ids(self.safe.split(texts[k]))) if None in parts else heads[k] + b"".join(parts)
+        self.memo.put_all({w: ids for w, ids in found.items() if len(w) <= LONG})
         return out

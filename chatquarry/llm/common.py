@@ -119,7 +119,7 @@ def _totalled(rows: DataFrame, value: str, out: str, keys: tuple[str, ...], orde
         sums = sums.withColumn("_base", F.coalesce(F.sum("_v").over(over), F.lit(0)))
     else:
         upper = sums.withColumnRenamed("_block", "_at").withColumn("_block", F.shiftright("_at", bits))
-        sums = _totalled(upper, "_v", "_base", keys, "_at", math.ceil(blocks / 2**bits), bits).drop("_block").withColumnRenamed("_at", "_block")
+        sums = _totalled(upper, "_v", "_before", keys, "_at", math.ceil(blocks / 2**bits), bits).select(*keys, F.col("_at").alias("_block"), F.col("_before").alias("_base"))
     sums = sums.drop("_v")
     within = rows.withColumn("_within", F.coalesce(F.sum(value).over(inner), F.lit(0)))
     return within.join(sums, [*keys, "_block"]).withColumn(out, (F.col("_within") + F.col("_base")).cast("long")).drop("_within", "_base")
