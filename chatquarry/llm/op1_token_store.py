@@ -190,32 +190,33 @@ def times(a, b):
     return out
 
 
-def shifts(most: int) -> np.ndarray:
-    """x**(32 n) modulo the polynomial for n = 0 .. most: what n more 32-bit ids multiply a crc by."""
-    one = np.array([0x80000000], np.uint32)
-    step = one
-    for _ in range(32):
-        step = times(step, np.array([0x40000000], np.uint32))
-    out, power = one, step
-    while len(out) <= most:
+def powers(step: int, count: int) -> np.ndarray:
+    """x**(32 step n) modulo the polynomial for n = 0 .. count - 1: what step n more 32-bit ids multiply a crc by."""
+    unit = np.array([0x80000000], np.uint32)
+    base = unit
+    for bit in bin(32 * step)[2:]:
+        base = times(base, base)
+        if bit == "1":
+            base = times(base, np.array([0x40000000], np.uint32))
+    out, power = unit, base
+    while len(out) < count:
         out = np.concatenate([out, times(out, power)])
         power = times(power, power)
-    return out[: most + 1]
-
-
-def crc_of_parts(sizes: list, crcs: list) -> np.ndarray:
-    """crc32 of each row's concatenated parts, from the parts' sizes (in ids) and crcs."""
-    n = np.array([len(x) for x in sizes])
-    order = np.argsort(-n, kind="stable")
-    out = np.zeros(len(n), np.uint32)
-    live = -np.sort(-n)
-    powers = shifts(max([1, *(max(x) for x in sizes if len(x))]))
-    for k in range(live[0] if len(live) else 0):
-        rows = order[: np.searchsorted(-live, -k)]
-        size = np.array([sizes[r][k] for r in rows])
-        crc = np.array([crcs[r][k] for r in rows], np.uint32)
-        out[rows] = times(powers[size], out[rows]) ^ crc
-    return out
+    return out[:count]
+
+
+def crc_of_parts(starts: np.ndarray, sizes: np.ndarray, crcs: np.ndarray) -> np.ndarray:
+    """crc32 of each row's concatenated parts; starts: each row's first part; sizes in ids. No row is without parts.
+
+    The crc is linear: it is the sum of the parts' crcs, each moved on by the number of ids that follow it in its row."""
+    if not len(starts):
+        return np.empty(0, np.uint32)
+    ends = np.cumsum(sizes)
+    last = np.append(starts[1:], len(sizes)) - 1
+    after = np.repeat(ends[last], last - starts + 1) - ends
+    low, high = powers(1, 4096), powers(4096, int(after.max() >> 12) + 1)
+    moved = times(high[after >> 12], times(low[after & 4095], crcs.astype(np.uint32)))
+    return np.bitwise_xor.reduceat(moved, starts)
 
 
 def read_digests(spark: SparkSession, store: str) -> DataFrame:
@@ -229,13 +230,17 @@ def read_digests(spark: SparkSession, store: str) -> DataFrame:
 
     def combined(batches):
         for batch in batches:
-            p = batch.column("p").to_pylist()
-            for root, parts in zip(batch.column("root").to_pylist(), p, strict=True):
-                if any(x["size"] is None for x in parts) or merkle_root(b"".join(x["hash"] for x in parts)) != root:
-                    raise ValueError("a recipe doesn't match its Merkle root or lacks a chunk")
-            sizes = [[x["size"] for x in parts] for parts in p]
-            crc = crc_of_parts(sizes, [[x["crc"] for x in parts] for parts in p])
-            yield pa.RecordBatch.from_arrays([batch.column("root"), pa.array([sum(x) for x in sizes], pa.int64()), pa.array(crc.astype(np.int64))], names=["root", "stored", "ids_crc32"])
+            p = batch.column("p")
+            starts = (p.offsets.to_numpy()[:-1] - p.offsets[0].as_py()).astype(np.int64)
+            parts = p.flatten()
+            if parts.field("size").null_count:
+                raise ValueError("a recipe lacks a chunk")
+            names, sizes = b"".join(parts.field("hash").to_pylist()), parts.field("size").to_numpy()
+            for root, a, b in zip(batch.column("root").to_pylist(), starts.tolist(), [*starts[1:].tolist(), len(sizes)], strict=True):
+                if merkle_root(names[16 * a : 16 * b]) != root:
+                    raise ValueError("a recipe doesn't match its Merkle root")
+            crc = crc_of_parts(starts, sizes, parts.field("crc").to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("root"), pa.array(np.add.reduceat(sizes, starts) if len(starts) else sizes), pa.array(crc.astype(np.int64))], names=["root", "stored", "ids_crc32"])
 
     digests = lists.mapInArrow(combined, "root binary, stored long, ids_crc32 long")
     checked = F.when(F.col("stored") == F.col("n_tokens"), F.col("n_tokens")).otherwise(F.raise_error(F.lit("a recipe and its chunks differ in size")).cast("long"))

@@ -159,11 +159,44 @@ def may_link(x: str, y: str, t: int) -> F.Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * t) & (apart(x, y) <= spare)
 
 
-def compared(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
-    """a, b, shared, linked for pairs (a, b, na, nb) of documents, from their whole sets."""
-    left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("x", "y")))
-    return both.select("a", "b", "na", "nb", "shared", (F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * t).alias("linked"))
+def compared(pairs: DataFrame, docs: DataFrame, k: int, t: int) -> DataFrame:
+    """a, b, na, nb, shared, linked for pairs (a, b, na, nb) of documents, from their whole sets.
+
+    Pairs meet at the member that has more of them; each of its partners' sets goes there, in parts of BLOCK pairs."""
+    spark = docs.sparkSession
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("w"))
+    ends = common.staged(ends)
+    bits = spark.sparkContext.broadcast(common.bitmap(ends.select("id"), "id", BITMAP_BITS))
+    sets = common.staged(docs.mapInArrow(full_sets(k, bits), "id long, set array<long>"))
+    wa, wb = ends.select(F.col("id").alias("a"), F.col("w").alias("wa")), ends.select(F.col("id").alias("b"), F.col("w").alias("wb"))
+    at_a = (F.col("wa") > F.col("wb")) | ((F.col("wa") == F.col("wb")) & (F.col("a") < F.col("b")))
+    hubs = pairs.join(wa, "a").join(wb, "b").withColumn("at_a", at_a)
+    hubs = hubs.withColumn("hub", F.when(F.col("at_a"), F.col("a")).otherwise(F.col("b"))).withColumn("id", F.when(F.col("at_a"), F.col("b")).otherwise(F.col("a"))).withColumn("w", F.greatest("wa", "wb"))
+    hubs = hubs.withColumn("salt", F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.col("w") / BLOCK))).cast("int"))
+    hubs = common.staged(hubs.select("hub", "salt", "id", "a", "b", "na", "nb"))
+    own = hubs.select("hub", "salt").distinct().withColumn("id", F.col("hub"))
+    asked = hubs.unionByName(own, allowMissingColumns=True).join(sets, "id")
+    run = asked.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("a").isNotNull()).mapInArrow(intersected, "a long, b long, na int, nb int, shared int").dropDuplicates(["a", "b"])
+    return run.select("a", "b", "na", "nb", "shared", (F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * t).alias("linked"))
+
+
+def intersected(batches) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by hub, the hub's own set first; each other set is intersected with it."""
+    hub, mine = None, None
+    for batch in batches:
+        sets, offsets = batch.column("set").flatten().to_numpy(), batch.column("set").offsets.to_numpy()
+        offsets = offsets - offsets[0]
+        keep, shared = [], []
+        for i, (h, a) in enumerate(zip(batch.column("hub").to_pylist(), batch.column("a").to_pylist(), strict=True)):
+            s = sets[offsets[i] : offsets[i + 1]]
+            if a is None:
+                hub, mine = h, s.copy()
+            elif h == hub:
+                keep.append(i)
+                shared.append(len(np.intersect1d(mine, s, assume_unique=True)))
+        if keep:
+            rows = batch.take(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in ("a", "b", "na", "nb")], pa.array(shared, pa.int32())], names=["a", "b", "na", "nb", "shared"])
 
 
 def links(docs: DataFrame, k: int = 3, t: int = 90, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -192,14 +225,13 @@ def links(docs: DataFrame, k: int = 3, t: int = 90, id_col: str = "doc_id", text
     found = common.staged(found.join(weight, "id"))
     pivots = found.groupBy("token").agg(F.max_by(F.struct("id", "size", "pos", "s1", "s2"), F.struct("weight", "id")).alias("p")).select("token", "p.*")
     x, y = found.alias("x"), pivots.alias("y")
-    stars = x.join(y, F.expr("x.token = y.token and x.id <> y.id")).filter(may_link("x", "y", t))
+    # where the shared element is the first that two linked sets share, those before it are in one of the sets only
+    spare = f"(x.size + y.size) * (1 - 2 * {t} / (100.0 + {t})) + 2"
+    stars = x.join(y, F.expr(f"x.token = y.token and x.id <> y.id and x.pos + y.pos <= {spare}")).filter(may_link("x", "y", t))
     stars = stars.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.when(F.expr("x.id < y.id"), F.col("x.size")).otherwise(F.col("y.size")).alias("na"), F.when(F.expr("x.id < y.id"), F.col("y.size")).otherwise(F.col("x.size")).alias("nb")).distinct()
     stars = common.staged(stars)
 
-    ids = spark.sparkContext.broadcast(common.bitmap(weight.select("id").distinct(), "id", BITMAP_BITS))
-    wanted = weight.select("id").distinct()
-    sets = common.staged(docs.mapInArrow(full_sets(k, ids), "id long, set array<long>").join(wanted, "id", "left_semi").dropDuplicates(["id"]))
-    first = common.staged(compared(stars, sets, t))
+    first = common.staged(compared(stars, docs, k, t))
 
     # what the pivots left open: pairs of one list in different components
     roots = common.components(first.filter("linked"))
@@ -223,7 +255,7 @@ def links(docs: DataFrame, k: int = 3, t: int = 90, id_col: str = "doc_id", text
     two = one.join(open_.alias("y"), F.expr(f"y.token = m.token and y.size_block = m.sc and y.salt = m.cs and x.root <> y.root and (not {same} or x.id < y.id) and {near} and x.pos + y.pos <= (x.size + y.size) * (1 - 2 * {t} / (100.0 + {t})) + 2") & may_link("x", "y", t))
     rest = two.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.when(F.expr("x.id < y.id"), F.col("x.size")).otherwise(F.col("y.size")).alias("na"), F.when(F.expr("x.id < y.id"), F.col("y.size")).otherwise(F.col("x.size")).alias("nb")).distinct()
     rest = rest.join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = common.staged(compared(rest, sets, t))
+    second = common.staged(compared(common.staged(rest), docs, k, t))
     found_links = first.unionByName(second).filter("linked").select("a", "b", "shared")
     return members.select("id", "n", "rep"), found_links
 
