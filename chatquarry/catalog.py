@@ -1,9 +1,319 @@
 """All queries of the library by name, and the SQL that says the same."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
+
+from .functions import text
+from .operators import graph, history, joins, sequences
+from .plans import retrieval
+from .shipping import ship
+from .sources.tables import event_messages, table, turns
+from .streaming import ingest
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(ship(spark), sf_dir)
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+EV = "(SELECT event_type AS chat, event_id AS doc_id, user_id AS sender, ts, value, props AS metadata FROM events)"
+TURNS = "(SELECT conv_id AS chat_id, turn AS doc_id, role AS sender, role = 'user' AS mine, text AS content FROM conversations)"
+PAIRS = f"""(WITH m AS (SELECT *, lag(doc_id) OVER (PARTITION BY chat ORDER BY ts, doc_id) AS reply_to FROM {EV})
+SELECT least(a.sender, b.sender) AS user_a, greatest(a.sender, b.sender) AS user_b, count(*) AS interactions
+FROM m a JOIN m b ON a.chat = b.chat AND a.reply_to = b.doc_id WHERE a.sender <> b.sender GROUP BY 1, 2)"""
+
+
+@query(f"SELECT * FROM {PAIRS}")
+def reply_pairs(spark, d):
+    return joins.reply_pairs(joins.with_reply_to(event_messages(spark, d)))
+
+
+@query(f"SELECT chat, doc_id, sender, ts FROM {EV} ORDER BY ts DESC, doc_id DESC LIMIT 50")
+def recent_messages(spark, d):
+    return history.page(event_messages(spark, d).select("chat", "doc_id", "sender", "ts"))
+
+
+@query(f"SELECT chat, doc_id, ts FROM {EV} ORDER BY ts DESC, doc_id DESC LIMIT 50 OFFSET 50")
+def recent_page2(spark, d):
+    return history.page(event_messages(spark, d).select("chat", "doc_id", "ts"), offset=50)
+
+
+@query(f"SELECT chat, doc_id, ts FROM {EV} WHERE chat = 'click' AND ts >= (SELECT max(ts) FROM events) - INTERVAL 3 DAY")
+def chat_history_since(spark, d):
+    m = event_messages(spark, d)
+    newest = m.agg(F.max("ts").alias("t"))
+    return m.filter("chat = 'click'").join(F.broadcast(newest), F.expr("ts >= t - INTERVAL 3 DAY")).select("chat", "doc_id", "ts")
+
+
+@query(f"SELECT chat, doc_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY chat ORDER BY ts DESC, doc_id DESC) AS rn FROM {EV}) WHERE rn <= 10")
+def last_of_each_chat(spark, d):
+    return history.last_of_each(event_messages(spark, d), "chat", 10).select("chat", "doc_id", "ts")
+
+
+@query(f"SELECT chat_id, doc_id, content FROM {TURNS} WHERE lower(coalesce(CASE WHEN mine THEN 'true' ELSE 'false' END, 'false')) IN ('0', 'false') AND sender <> 'system'")
+def messages_from_others(spark, d):
+    return turns(spark, d).filter(history.not_mine(F.col("mine")) & (F.col("sender") != "system")).select("chat_id", "doc_id", "content")
+
+
+@query(f"SELECT doc_id, chat, value FROM {EV} WHERE doc_id IN (SELECT event_id FROM events WHERE event_id % 97 = 3)")
+def lookup_by_ids(spark, d):
+    m = event_messages(spark, d)
+    return history.lookup(m, m.filter("doc_id % 97 = 3"), ["doc_id"]).select("doc_id", "chat", "value")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'license') ORDER BY doc_id DESC LIMIT 100")
+def lexical_search(spark, d):
+    return retrieval.lexical(table(spark, d, "documents"), "License", "text", "doc_id", "doc_id", 100).select("doc_id", "lang")
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), '100%') OR contains(lower(text), 'a_b') OR contains(lower(text), '%%%')")
+def lexical_search_escaped(spark, d):
+    t = table(spark, d, "documents")
+    return t.filter(history.contains_folded("text", "100%") | history.contains_folded("text", "a_b") | history.contains_folded("text", "%%%")).select("doc_id")
+
+
+@query(f"SELECT try_cast(json_extract_string(metadata, '$.k') AS BIGINT) AS k, count(*) AS n, count(DISTINCT sender) AS senders FROM {EV} GROUP BY 1")
+def json_prop_counts(spark, d):
+    return event_messages(spark, d).groupBy(history.numeric_id(history.json_text("metadata", "k")).alias("k")).agg(F.count("*").alias("n"), F.count_distinct("sender").alias("senders"))
+
+
+@query(f"SELECT count(*) AS total, count(*) FILTER (chat = 'click') AS click, count(*) FILTER (chat = 'view') AS view, count(*) FILTER (chat = 'purchase') AS purchase, count(*) FILTER (chat = 'signup') AS signup, count(*) FILTER (chat NOT IN ('click', 'view', 'purchase', 'signup')) AS other FROM {EV}")
+def type_counts(spark, d):
+    c = F.col("chat")
+    return event_messages(spark, d).agg(F.count("*").alias("total"), *[F.count_if(c == x).alias(x) for x in ("click", "view", "purchase", "signup")], F.count_if(~c.isin("click", "view", "purchase", "signup")).alias("other"))
+
+
+@query(f"SELECT chat_id, count(*) AS total, count(*) FILTER (mine) AS own FROM {TURNS} GROUP BY 1")
+def chat_message_stats(spark, d):
+    return turns(spark, d).groupBy("chat_id").agg(F.count("*").alias("total"), F.count_if("mine").alias("own"))
+
+
+@query(f"SELECT chat_id, round(count(*) FILTER (mine) / (SELECT count(*) FROM {TURNS} WHERE mine), 8) AS importance FROM {TURNS} GROUP BY 1 HAVING count(*) FILTER (mine) > 0")
+def chat_importance(spark, d):
+    m = turns(spark, d)
+    own = m.groupBy("chat_id").agg(F.count_if("mine").alias("own")).filter("own > 0")
+    return own.join(F.broadcast(m.agg(F.count_if("mine").alias("every"))), F.lit(True)).select("chat_id", F.round(F.col("own") / F.col("every"), 8).alias("importance"))
+
+
+@query("SELECT source, lang, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1, 2")
+def source_stats(spark, d):
+    return table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("SELECT n_nationkey, n_name, count(c_custkey) AS members, max(c_name) AS newest FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey WHERE lower(n_name) LIKE 'nation_1%' OR lower(n_name) LIKE 'a%' OR lower(n_name) LIKE 'u%' GROUP BY 1, 2")
+def name_search_prefix(spark, d):
+    n, c = table(spark, d, "nation"), table(spark, d, "customer")
+    low = F.lower("n_name")
+    hits = n.filter(low.like("nation_1%") | low.like("a%") | low.like("u%"))
+    return hits.join(c, c.c_nationkey == hits.n_nationkey, "left").groupBy("n_nationkey", "n_name").agg(F.count("c_custkey").alias("members"), F.max("c_name").alias("newest"))
+
+
+@query("SELECT n_name, c_custkey, coalesce(c_name, 'Unknown') AS display FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 5000")
+def members_display(spark, d):
+    c, n = table(spark, d, "customer"), table(spark, d, "nation")
+    return c.filter("c_acctbal > 5000").join(n, c.c_nationkey == n.n_nationkey).select("n_name", "c_custkey", F.coalesce("c_name", F.lit("Unknown")).alias("display"))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def not_indexed(spark, d):
+    return history.not_indexed(table(spark, d, "documents"), table(spark, d, "labels"), ["doc_id"]).select("doc_id", "lang")
+
+
+@query(f"WITH m AS (SELECT *, row_number() OVER (PARTITION BY chat ORDER BY ts, doc_id) AS rn FROM {EV}) SELECT t.doc_id AS target, m.chat, m.doc_id, m.rn - t.rn AS distance FROM m JOIN (SELECT * FROM m WHERE value > 99) t ON m.chat = t.chat AND m.rn BETWEEN t.rn - 2 AND t.rn + 2")
+def neighbors(spark, d):
+    m = event_messages(spark, d)
+    return joins.neighbours(m, m.filter("value > 99"), 2).withColumn("distance", F.col("distance").cast("long"))
+
+
+@query("SELECT doc_id, count(*) AS n FROM labels GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT conv_id, count(*) FROM conversations GROUP BY 1 HAVING count(*) > 1")
+def duplicate_keys(spark, d):
+    return history.duplicate_keys(table(spark, d, "labels"), ["doc_id"]).unionByName(history.duplicate_keys(table(spark, d, "conversations").withColumnRenamed("conv_id", "doc_id"), ["doc_id"]))
+
+
+def masked(column: str) -> str:
+    out = column
+    for pattern, mark in ((text.EMAIL, "[EMAIL]"), (text.CARD, "[CARD]"), (text.PHONE, "[PHONE]")):
+        out = f"regexp_replace({out}, '{pattern}', '{mark}', 'g')"
+    return rf"regexp_replace({out}, '{text.SECRET}', '\1\2[SECRET]', 'g')".replace(r"\n\t]+", "\\n\\t]+")
+
+
+@query(f"SELECT doc_id, md5({masked('text')}) AS masked FROM documents")
+def mask_pii(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(text.mask_pii("text")).alias("masked"))
+
+
+@query("SELECT doc_id, greatest(1, floor(length(text) * 2 / 5))::INT AS tokens, length(text)::INT AS chars FROM documents")
+def token_estimates(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.tokens_estimate("text").alias("tokens"), F.length("text").alias("chars"))
+
+
+@query(r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), 'https?://[^ \n\t]+', ' ', 'g'), '[ \t]+', ' ', 'g'), ' ')) AS normal FROM documents")
+def normalize_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(text.normalized("text")).alias("normal"))
+
+
+SCORE = r"(CASE WHEN regexp_matches(text, 'https?://') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(text, '[0-9]{1,2}:[0-9]{2}') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(text, '\[(PHOTO|VIDEO|AUDIO)\]') THEN 2 ELSE 0 END + CASE WHEN length(text) > 200 THEN 1 ELSE 0 END)"
+
+
+@query(f"SELECT doc_id, {SCORE}::INT AS score FROM documents WHERE {SCORE} > 0 ORDER BY score DESC, doc_id LIMIT 60")
+def high_signal(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.high_signal("text").alias("score")).filter("score > 0").orderBy(F.desc("score"), "doc_id").limit(60)
+
+
+@query(f"WITH m AS (SELECT chat_id, doc_id, {masked('content')} AS c FROM {TURNS}), w AS (SELECT *, string_agg(c, chr(10)) OVER (PARTITION BY chat_id ORDER BY doc_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS before FROM m) SELECT chat_id, doc_id, md5(CASE WHEN length(before) > 0 THEN before || chr(10) || c ELSE c END) AS node FROM w")
+def context_window_nodes(spark, d):
+    return sequences.context_windows(turns(spark, d), "chat_id", ["doc_id"]).select("chat_id", "doc_id", F.md5("node_text").alias("node"))
+
+
+@query(f"""WITH RECURSIVE m AS (SELECT chat, doc_id, floor(epoch(ts))::BIGINT AS ts, length(metadata) AS l, row_number() OVER (PARTITION BY chat ORDER BY floor(epoch(ts))::BIGINT, doc_id) AS rn FROM {EV}),
+r AS (SELECT chat, rn, doc_id, ts, 0 AS no, 1 AS n, l AS size, doc_id AS first, NULL::VARCHAR AS why FROM m WHERE rn = 1 UNION ALL
+SELECT chat, rn, doc_id, ts, no + (w IS NOT NULL)::INT, CASE WHEN w IS NULL THEN n + 1 ELSE 1 END, CASE WHEN w IS NULL THEN size + l + 1 ELSE l END, CASE WHEN w IS NULL THEN first ELSE doc_id END, w FROM (
+SELECT m.*, r.no, r.n, r.size, r.first, CASE WHEN m.ts - r.ts > 2400 AND r.n >= 8 THEN 'time_gap' WHEN (r.size + m.l + 1) * 2 // 5 > 120 AND r.n >= 8 THEN 'token_budget' WHEN r.n >= 40 THEN 'max_msgs' END AS w FROM r JOIN m ON m.chat = r.chat AND m.rn = r.rn + 1)),
+x AS (SELECT *, lead(why) OVER (PARTITION BY chat ORDER BY rn) AS next_why, lead(no) OVER (PARTITION BY chat ORDER BY rn) AS next_no FROM r)
+SELECT chat, no::INT AS segment_no, first AS start_doc, doc_id AS end_doc, n::INT AS n, CASE WHEN next_no IS NULL THEN 'final' ELSE next_why END AS strategy FROM x WHERE next_no IS NULL OR next_no <> no""")
+def segments(spark, d):
+    m = event_messages(spark, d).select("chat", "doc_id", F.floor(F.col("ts").cast("timestamp").cast("double")).alias("ts"), F.length("metadata").alias("length"))
+    return sequences.segments(m, gap_s=2400, budget=120)
+
+
+@query(f"WITH m AS (SELECT sender, doc_id, floor(epoch(ts))::BIGINT AS ts FROM {EV}), o AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY sender ORDER BY ts, doc_id) > 21600 THEN 1 ELSE 0 END AS o FROM m) SELECT sender, doc_id, sum(o) OVER (PARTITION BY sender ORDER BY ts, doc_id)::BIGINT AS session_no FROM o")
+def gap_sessions(spark, d):
+    m = event_messages(spark, d).select("sender", "doc_id", F.floor(F.col("ts").cast("timestamp").cast("double")).alias("ts"))
+    return sequences.silence_sessions(m, "sender", 21_600).select("sender", "doc_id", "session_no")
+
+
+@query(f"WITH t AS (SELECT chat_id, doc_id, greatest(1, floor(length(content) / 4))::INT AS tokens FROM {TURNS}), c AS (SELECT *, row_number() OVER w AS pos, sum(tokens) OVER w AS cum FROM t WINDOW w AS (PARTITION BY chat_id ORDER BY doc_id)), k AS (SELECT *, max(CASE WHEN cum > 60 AND pos > 4 THEN 1 ELSE 0 END) OVER (PARTITION BY chat_id ORDER BY doc_id) AS cut FROM c) SELECT chat_id, doc_id, cum::BIGINT AS cum FROM k WHERE cut = 0")
+def context_pack(spark, d):
+    t = turns(spark, d).select("chat_id", "doc_id", F.greatest(F.lit(1), F.floor(F.length("content") / 4)).cast("int").alias("tokens"))
+    return sequences.budget_prefix(t, "chat_id", ["doc_id"], "tokens", 60).select("chat_id", "doc_id", "cum")
+
+
+@query(f"WITH t AS (SELECT sender, chat_id, doc_id, greatest(1, floor(length(content) / 4))::BIGINT AS tokens, row_number() OVER (PARTITION BY sender ORDER BY chat_id, doc_id) AS pos, count(*) OVER (PARTITION BY sender) AS n FROM {TURNS}) SELECT sender, chat_id, doc_id FROM t WHERE pos <= greatest(1, floor(n * least(1.0::DOUBLE, 2000.0::DOUBLE / (SELECT sum(tokens) FROM t)::DOUBLE)))")
+def truncate_sections(spark, d):
+    t = turns(spark, d).select("sender", "chat_id", "doc_id", F.greatest(F.lit(1), F.floor(F.length("content") / 4)).alias("tokens"))
+    return sequences.proportional_truncation(t, "sender", ["chat_id", "doc_id"], "tokens", 2000).select("sender", "chat_id", "doc_id")
+
+
+@query("""WITH r AS (SELECT user_id AS g, (event_id * 13) % 1000 AS s, (event_id * 13) % 1000 + 5 AS e FROM events), c AS (SELECT * FROM r WHERE s < 900 AND e > 100),
+f AS (SELECT g, greatest(coalesce(max(e) OVER (PARTITION BY g ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 100), 100) AS gap_start, s AS gap_end FROM c
+UNION ALL SELECT r.g, greatest(coalesce(max(c.e), 100), 100), 900 FROM (SELECT DISTINCT g FROM r) r LEFT JOIN c ON c.g = r.g GROUP BY r.g) SELECT g, gap_start::BIGINT AS gap_start, gap_end::BIGINT AS gap_end FROM f WHERE gap_start < gap_end""")
+def download_gaps(spark, d):
+    r = event_messages(spark, d).select(F.col("sender").alias("g"), (F.col("doc_id") * 13 % 1000).alias("s"), (F.col("doc_id") * 13 % 1000 + 5).alias("e"))
+    return joins.gaps(r, "g", 100, 900).select("g", F.col("gap_start").cast("long").alias("gap_start"), F.col("gap_end").cast("long").alias("gap_end"))
+
+
+DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
+NORM = "sqrt(list_sum(list_transform({a}, lambda z: z::DOUBLE * z::DOUBLE)))"
+COS = f"{DOT.format(a='v.embedding', b='q.embedding')} / ({NORM.format(a='v.embedding')} * {NORM.format(a='q.embedding')})"
+
+
+@query(f"WITH s AS (SELECT q.vec_id AS q, v.vec_id, {COS} AS sim FROM embeddings v JOIN (SELECT * FROM embeddings WHERE vec_id < 5) q ON v.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, vec_id) AS rank FROM s) SELECT q, vec_id, round(sim, 4) AS sim, rank::INT AS rank FROM r WHERE rank <= 10")
+def vector_topk(spark, d):
+    v = table(spark, d, "embeddings")
+    return retrieval.nearest(v, v.filter("vec_id < 5").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv")), 10).select("q", "vec_id", F.round("sim", 4).alias("sim"), "rank")
+
+
+@query("WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) AS rank FROM documents WHERE contains(lower(text), 'license') ORDER BY doc_id DESC LIMIT 40), b AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id DESC) AS rank FROM documents WHERE contains(lower(text), 'the') ORDER BY n_chars DESC, doc_id DESC LIMIT 40), u AS (SELECT doc_id, 1.0::DOUBLE / (60 + rank) AS s, rank AS f FROM a UNION ALL SELECT doc_id, 1.0::DOUBLE / (60 + rank), 1000000 + rank FROM b) SELECT doc_id, round(sum(s), 8) AS score FROM u GROUP BY 1 ORDER BY sum(s) DESC, min(f) LIMIT 50")
+def rrf_fusion(spark, d):
+    t = table(spark, d, "documents")
+    lists = [retrieval.lexical(t, "license", "text", "doc_id", "doc_id", 40), retrieval.lexical(t, "the", "text", "n_chars", "doc_id", 40)]
+    return retrieval.fused(lists, "doc_id", 50).select("doc_id", F.round("score", 8).alias("score"))
+
+
+EDGES = f"(SELECT v.vec_id AS a, q.vec_id AS b, {COS} AS sim FROM embeddings v JOIN embeddings q ON v.vec_id < q.vec_id WHERE {COS} >= 0.25)"
+
+
+@query(f"SELECT a, b, round(sim, 4) AS sim FROM {EDGES}")
+def similarity_edges(spark, d):
+    v = table(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
+    return graph.similarity_edges(v, 0.25).select("a", "b", F.round("sim", 4).alias("sim"))
+
+
+@query(f"SELECT coalesce(e.a, p.user_a) AS a, coalesce(e.b, p.user_b) AS b, round(greatest(coalesce(sim, 0.0), coalesce(least(interactions / 10.0::DOUBLE, 1.0), 0.0)), 4)::DOUBLE AS weight, CASE WHEN sim IS NULL THEN 'interaction' WHEN interactions IS NULL THEN 'similarity' ELSE 'both' END AS edge_type, coalesce(interactions, 0)::BIGINT AS interactions FROM {EDGES} e FULL JOIN {PAIRS} p ON e.a = p.user_a AND e.b = p.user_b")
+def social_graph_edges(spark, d):
+    v = table(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
+    return graph.merged_edges(graph.similarity_edges(v, 0.25), reply_pairs(spark, d))
+
+
+@query(f"SELECT sender, count(*) AS n, sum(length(metadata))::BIGINT AS chars, min(ts) AS first_ts, max(ts) AS last_ts FROM {EV} GROUP BY 1")
+def user_profiles(spark, d):
+    return graph.profiles(event_messages(spark, d))
+
+
+@query(f"SELECT a, b FROM {EDGES} WHERE a IN (SELECT vec_id FROM embeddings WHERE label = 3) AND b IN (SELECT vec_id FROM embeddings WHERE label = 3)")
+def cluster_subgraph(spark, d):
+    v = table(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
+    return graph.sub_graph(v, graph.similarity_edges(v, 0.25), 3).select("a", "b")
+
+
+@query()
+def cluster_users(spark, d):
+    return graph.clusters(table(spark, d, "embeddings").withColumnRenamed("vec_id", "id"))
+
+
+@query("SELECT quality, toxic, count(*) AS n FROM labels GROUP BY 1, 2")
+def job_status(spark, d):
+    return table(spark, d, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
+
+
+@query("WITH w AS (SELECT lang, unnest(list_filter(string_split(lower(text), ' '), lambda x: x <> '')) AS topic FROM documents), c AS (SELECT lang, topic, count(*) AS n FROM w GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, topic) AS rn FROM c) SELECT lang, topic, n FROM r WHERE rn <= 20")
+def topic_top20(spark, d):
+    w = table(spark, d, "documents").select("lang", F.explode(F.split(F.lower("text"), " ")).alias("topic")).filter("topic <> ''")
+    c = w.groupBy("lang", "topic").agg(F.count("*").alias("n"))
+    return c.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "topic"))).filter("rn <= 20").drop("rn")
+
+
+@query(f"SELECT chat, sender, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY chat, sender, date_trunc('day', ts) ORDER BY ts, doc_id) AS rn FROM {EV}) WHERE rn = 1")
+def event_dedup(spark, d):
+    w = Window.partitionBy("chat", "sender", F.date_trunc("day", "ts")).orderBy("ts", "doc_id")
+    return event_messages(spark, d).withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("chat", "sender", "doc_id")
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, 'href=\"[^\"]*\"')) AS links, split_part(url, '/', -1) AS file FROM pages")
+def media_links(spark, d):
+    return table(spark, d, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit('href="[^"]*"'), F.lit(0))).cast("long").alias("links"), F.element_at(F.split("url", "/"), -1).alias("file"))
+
+
+@query("WITH n AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'm' || c_custkey END AS c_name, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT c_custkey + 1000000, 'new', 0.0 FROM customer WHERE c_custkey % 50 = 0) SELECT coalesce(n.c_custkey, c.c_custkey) AS c_custkey, coalesce(n.c_name, c.c_name) AS c_name, coalesce(n.c_acctbal, c.c_acctbal) AS c_acctbal FROM customer c FULL JOIN n ON n.c_custkey = c.c_custkey")
+def upsert_merge(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    changed = c.filter("c_custkey % 5 = 0").select("c_custkey", F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit("m"), "c_custkey")).alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
+    new = c.filter("c_custkey % 50 = 0").select((F.col("c_custkey") + 1000000).alias("c_custkey"), F.lit("new").alias("c_name"), F.lit(0.0).alias("c_acctbal"))
+    return joins.upsert(c, changed.unionByName(new), "c_custkey", ["c_name", "c_acctbal"])
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders UNION SELECT o_orderkey + 10000000, o_custkey FROM orders WHERE o_orderkey % 10 = 0")
+def insert_ignore(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    more = o.filter("o_orderkey % 10 = 0")
+    return joins.insert_ignore(o, more.unionByName(more.withColumn("o_orderkey", F.col("o_orderkey") + 10000000)), ["o_orderkey"])
+
+
+@query("SELECT event_id, user_id FROM events")
+def stream_dedup(spark, d):
+    return ingest.drained(ingest.deduplicated(ingest.stream(spark, f"{d}/[e]vents.parquet").unionByName(ingest.stream(spark, f"{d}/[e]vents.parquet")), ["event_id"])).select("event_id", "user_id")
+
+
+@query()
+def stream_window_counts(spark, d):
+    return ingest.drained(ingest.window_counts(ingest.stream(spark, f"{d}/[e]vents.parquet"), "1 hour"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
