@@ -21,7 +21,7 @@ from .bpe_cache import encoder, vocabulary_path
 
 GROUP = 2048
 #: Fillings tried for one sequence, and sequences completed in one group's search, before the incumbent stands.
-FILLINGS, STEPS = 64, 20_000
+FILLINGS, STEPS = 32, 2_000
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[list[int]]:
@@ -72,6 +72,10 @@ def fillings(counts: list[int], lengths: list[int], room: int) -> list[tuple[int
 def bin_completion(counts: np.ndarray, capacity: int) -> list[list[int]]:
     """Sequences (lists of lengths) that hold the multiset. Depth first: the largest piece left opens a sequence, its fillings
     are tried by waste, and a branch ends once its waste leaves no better result than the incumbent, at first best fit's."""
+    if counts[capacity]:  # a full piece is a sequence
+        rest = counts.copy()
+        rest[capacity] = 0
+        return [[capacity]] * int(counts[capacity]) + (bin_completion(rest, capacity) if rest.any() else [])
     total, incumbent = int((counts * np.arange(len(counts))).sum()), best_fit(counts, capacity)
     bound = -(-total // capacity)
     left, opened, wasted, steps = counts.tolist(), [], 0, 0

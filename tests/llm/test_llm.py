@@ -1,0 +1,242 @@
+"""The training-data operators against brute force, on tables with nulls, empty texts, ties, copies and clashing column names."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from chatquarry.llm import bpe_cache, common, op1_token_store, op2_sharding, op3_language, op4_jaccard, op5_language_model, op6_exact_dedup, op7_packing, op8_bpe, op9_fingerprint, op10_secrets
+
+WORDS = "the of river stone lantern quick amber vessel harbor moss token violet engine silent orchard copper".split()
+KEY = "k3J9" + "xQ7mZ2pL8vR4tB6nW1yD5"
+
+
+def text_of(seed: int, n: int) -> str:
+    r = np.random.RandomState(seed)
+    return " ".join(WORDS[i] for i in r.randint(0, len(WORDS), n))
+
+
+LONG = text_of(1, 300)
+TEXTS = [None, "", "   ", "One", "one", "two words", LONG, LONG.upper(), LONG + " tail end", LONG.replace("the", "a", 2), text_of(2, 3000), "ab" * 700, "password = " + KEY, "pass KEY " + KEY + " end", "naïve ÉCOLE 日本 🎉  x\n\n y", f"AKIA{'A1B2' * 4} {'0af9' * 10} secret=token=abcdefghij", "a<|endoftext|>b", *[text_of(i, 40) for i in range(3, 20)], None, LONG]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    common.prepared(spark)
+    rows = [(i * 3 + 1, t, ("en", "fr")[i % 2], "s", i, i) for i, t in enumerate(TEXTS)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, h long, hub long").repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.filter("doc_id < 0")
+
+
+def by_id(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+def ids(i):
+    return i * 3 + 1
+
+
+def library(name):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(bpe_cache.vocabulary_path(name))
+
+
+def test_token_store(spark, docs, none, tmp_path):
+    op1_token_store.write_store(docs, str(tmp_path / "s"))
+    got, streams, at, t = by_id(op1_token_store.read_digests(spark, str(tmp_path / "s"))), by_id(op1_token_store.read_ids(spark, str(tmp_path / "s"))), 0, library("byte_bpe_50k.json")
+    for i, x in enumerate(TEXTS):
+        want = np.array(t.encode(x or "", add_special_tokens=False).ids + [0], "<u4")
+        r = got[ids(i)]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(want), zlib.crc32(want.tobytes())), x
+        assert streams[ids(i)].ids == want.tolist()
+        at += len(want)
+    hashes = spark.read.parquet(str(tmp_path / "s/chunks")).select(F.explode(op1_token_store.split16("hashes")).alias("x")).select("x.hash")
+    assert hashes.count() == hashes.distinct().count()
+    op1_token_store.write_store(none, str(tmp_path / "n"))
+    assert op1_token_store.read_digests(spark, str(tmp_path / "n")).count() == 0
+
+
+def test_sharding(docs, none):
+    got = by_id(op2_sharding.assigned(docs))
+    for i, x in enumerate(TEXTS):
+        raw, r = (x or "").encode(), got[ids(i)]
+        assert (r.size, r.text_crc32, r.law) == (len(raw) + 1, zlib.crc32(raw), "key") and r.grown_shard in (r.shard, 8)
+    for s in {r.shard for r in got.values()}:
+        assert [r.slot for _, r in sorted(got.items()) if r.shard == s] == list(range(sum(r.shard == s for r in got.values())))
+    assert op2_sharding.assigned(none).count() == 0
+
+
+def test_sharding_moves_only_where_weights_change(spark):
+    tree = op2_sharding.tree_of(8)
+    heavy = [("region0", [("rack0", [(0, 1.0), (1, 3.0)]), tree[0][1][1]]), tree[1]]
+    rows = spark.range(20_000).select(op2_sharding.shard_of("id", tree).alias("a"), op2_sharding.shard_of("id", heavy).alias("b"))
+    counts = rows.groupBy("a").count().collect()
+    assert len(counts) == 8 and all(abs(r["count"] - 2500) < 300 for r in counts)
+    # nothing moves within or into region1, nor from region0 to region1
+    assert rows.filter("a <> b and b >= 4").count() == 0 and rows.filter("a <> b and b = 1").count() > 0
+
+
+def test_language(docs, none):
+    samples = {"en": b"the quick brown fox and the river of stone " * 40, "fr": "la rivière et les pierres de l'école sont à nous ".encode() * 40}
+    got = by_id(op3_language.classify(docs, samples))
+    assert all(got[ids(i)].lang_pred == "und" and got[ids(i)].rejected for i in (0, 1, 2))
+    assert got[ids(6)].lang_pred == "en" == got[ids(7)].lang_pred and 0 <= got[ids(6)].score <= 1
+    assert op3_language.accepted(docs, samples).columns == docs.columns
+    assert op3_language.classify(none, op3_language.dictionaries(none)).count() == 0
+
+
+def brute_components(texts, k, t):
+    words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), x or "")) for x in texts]
+    sets = [{tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set() for w in words]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [(len(s), find(i)) for i, s in enumerate(sets)]
+
+
+def mutated(seed, n, copies):
+    r, base, out = np.random.RandomState(seed), text_of(seed, n).split(), []
+    for _ in range(copies):
+        w = list(base)
+        for _ in range(r.randint(0, 6)):
+            w[r.randint(0, n)] = f"w{r.randint(0, 10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize(("k", "t"), [(3, 90), (5, 80)])
+def test_jaccard(spark, none, k, t):
+    texts = TEXTS + mutated(50, 90, 40) + mutated(51, 60, 40) + mutated(52, 200, 20)
+    df = spark.createDataFrame([(ids(i), x, i) for i, x in enumerate(texts)], "doc_id long, text string, token long").repartition(3)
+    got = by_id(op4_jaccard.grouped(df, k, t))
+    assert [(got[ids(i)].n_shingles, got[ids(i)].component_id) for i in range(len(texts))] == [(n, ids(c)) for n, c in brute_components(texts, k, t)]
+    assert op4_jaccard.grouped(none, k, t).count() == 0
+
+
+def test_language_model(docs, none):
+    got = by_id(op5_language_model.score_texts(docs))
+    words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), x or "")) for x in TEXTS]
+    train = [w for i, w in enumerate(words) if zlib.crc32(str(ids(i)).encode()) % 5 != 1]
+    c = Counter(x for w in train for x in [*w, None])
+    n, v = sum(c.values()), len(c)
+    for i, w in enumerate(words):
+        r = got[ids(i)]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w) + 1, sum(c[x] > 0 for x in [*w, None]), n)
+        assert r.base_score == pytest.approx(sum(np.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in [*w, None])) and r.score < 0
+    assert op5_language_model.score_texts(none).count() == 0
+
+
+def test_em_never_loses_held_out_likelihood():
+    r = np.random.RandomState(3)
+    table = np.zeros((2, op5_language_model.CLASSES, op5_language_model.CLASSES))
+    table[:, :50, :50] = r.poisson(0.7, (2, 50, 50))
+    weights, seen = op5_language_model.learned_weights(table[0], table[1])
+    assert all(b >= a - 1e-9 for a, b in zip(seen, seen[1:], strict=False)) and np.allclose(weights.sum(1), 1)
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_exact_dedup(docs, none, clash):
+    hash_of = (lambda c: F.unhex(F.substring(F.md5(c), 1, 1).cast("string"))) if clash else op6_exact_dedup.content_hash
+    got = by_id(op6_exact_dedup.groups(docs, hash_of=hash_of))
+    norm = [re.sub("[A-Z]", lambda m: m[0].lower(), x or "") for x in TEXTS]
+    for i, x in enumerate(norm):
+        same = [ids(j) for j, y in enumerate(norm) if y == x]
+        r = got[ids(i)]
+        assert (r.keep_id, r.group_size, r.kept, r.text_sha256) == (max(same), len(same), ids(i) == max(same), hashlib.sha256(x.encode()).hexdigest())
+    assert op6_exact_dedup.groups(none).count() == 0
+
+
+def test_packing(docs, none):
+    cut = op7_packing.pieces(docs)
+    rows = op7_packing.pack(cut).collect()
+    t = library("byte_bpe_50k.json")
+    for i, x in enumerate(TEXTS):
+        own = sorted((r for r in rows if r.doc_id == ids(i)), key=lambda r: r.piece)
+        want = np.array(t.encode(x or "", add_special_tokens=False).ids + [2], "<u4")
+        assert b"".join(r.ids for r in own) == want.tobytes() and [r.start for r in own] == [sum(q.length for q in own[:j]) for j in range(len(own))]
+        assert all(r.length == 1024 for r in own[1:]) and all(r.ids_crc32 == zlib.crc32(r.ids) for r in own)
+    for s in {r.sequence_id for r in rows}:
+        at = 0
+        for r in sorted((r for r in rows if r.sequence_id == s), key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 1024
+    assert op7_packing.pack(op7_packing.pieces(none)).count() == 0
+
+
+def test_bin_completion_is_never_worse_than_best_fit():
+    for seed in range(8):
+        counts = np.bincount(np.random.RandomState(seed).randint(200, 700, 60), minlength=1025)
+        fit, found = op7_packing.best_fit(counts, 1024), op7_packing.bin_completion(counts, 1024)
+        assert len(found) <= len(fit) and np.array_equal(np.bincount([x for s in found for x in s], minlength=1025), counts) and max(map(sum, found)) <= 1024
+
+
+def test_bpe(docs, none):
+    got, t = by_id(op8_bpe.encode_table(docs)), library("word_bpe_49k.json")
+    for i, x in enumerate(TEXTS):
+        want = t.encode(x or "", add_special_tokens=False).ids
+        assert got[ids(i)].ids == " ".join(map(str, want)) and got[ids(i)].decoded == t.decode(want, skip_special_tokens=False)
+    assert op8_bpe.encode_table(none).count() == 0
+
+
+def test_memo_equals_library():
+    coder, t = bpe_cache.WordMemoEncoder(bpe_cache.vocabulary_path("byte_bpe_50k.json"), limit=20), library("byte_bpe_50k.json")
+    odd = ["", " ", "  a", "a  b", "a \n b", "a\n b", "trail ", "x" * 300, "don't 'S a's", "日本 🎉 x", "a<|endoftext|> b <|endoftext|>", *[x or "" for x in TEXTS]]
+    for _ in range(2):
+        assert [np.frombuffer(b, "<u4").tolist() for b in coder.encode(odd)] == [t.encode(x, add_special_tokens=False).ids for x in odd]
+
+
+def test_fingerprints(docs, none):
+    got = by_id(op9_fingerprint.with_edited(docs, bits=2))
+    for i, x in enumerate(TEXTS):
+        own, after, r = x or "", TEXTS[i - 1] or "", got[ids(i)]
+        want = own[: len(own) - len(own) // 2] + after[: len(own) // 2]
+        assert (r.n_chars, r.edited_sha256) == (len(own), hashlib.sha256(want.encode()).hexdigest()) and 0 <= r.near_edited <= 1
+    assert got[ids(6)].fingerprint == got[ids(len(TEXTS) - 1)].fingerprint and got[ids(1)].near_next == 1.0
+    a, b = text_of(70, 4000) + " " + " ".join(f"u{i}" for i in range(4000)), " ".join(f"u{i}" for i in range(4000))
+    from chatquarry.llm.words import word_hashes
+
+    h, at = word_hashes([a, b])
+    small, large = op9_fingerprint.printed(h[at[1] :])[0], op9_fingerprint.printed(h[: at[1]])[0]
+    assert op9_fingerprint.contained(small, large) > 0.98
+    assert op9_fingerprint.with_edited(none).count() == 0
+
+
+def test_secrets(docs, none):
+    got = by_id(op10_secrets.scan(docs))
+    base = [("assign", op10_secrets.ASSIGN, 2, 8), ("access", op10_secrets.ACCESS, 0, 16), ("hex", op10_secrets.HEX, 0, 32)]
+    for i, x in enumerate(TEXTS):
+        spans = sorted((m.start(), k, m.end(), n) for k, (n, p, g, least) in enumerate(base) for m in re.finditer(p, x or "") if len(m.group(g)) >= least)
+        assert got[ids(i)].base_sha256 == hashlib.sha256(",".join(f"{n}:{s}:{e}" for s, _, e, n in spans).encode()).hexdigest(), x
+    assert got[ids(13)].spans == f"entropy:9:{9 + len(KEY)}"
+    clean = by_id(op10_secrets.redacted(docs))
+    assert clean[ids(13)].text == "pass KEY [SECRET] end" and clean[ids(6)].text == LONG and clean[ids(0)].text is None
+    assert op10_secrets.scan(none).count() == 0
+
+
+def test_window_entropy(spark):
+    def brute(s, w=op10_secrets.WINDOW):
+        return max(-sum(c / w * np.log2(c / w) for c in Counter(s[i : i + w]).values()) for i in range(len(s) - w + 1))
+
+    strings = [KEY, "a" * 30, "ab12" * 9, "0123456789abcdefghij" * 2]
+    df = spark.createDataFrame([(s,) for s in strings], "v string")
+    got = [r[0] for r in df.select(op10_secrets.best_entropy(F.col("v"), op10_secrets.CLASSES[0][2])).collect()]
+    assert got == pytest.approx([brute(s) for s in strings])
