@@ -27,7 +27,7 @@ from . import common
 from .words import shingles, word_hashes
 
 #: At most so many common shingles go last in the order; the order decides the cost, never the result.
-COMMON, BITMAP_BITS, BLOCK = 200_000, 24, 256
+COMMON, BITMAP_BITS, BLOCK, WIDE = 200_000, 24, 256, 4096
 #: Shingles gathered in a task before the common ones among them are counted.
 GATHERED = 4_000_000
 
@@ -159,11 +159,38 @@ def may_link(x: str, y: str, t: int) -> F.Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * t) & (apart(x, y) <= spare)
 
 
+def wide_signatures(k: int, bits):
+    """(id, sig): WIDE parity bits of the sets of documents whose id has its bit set."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            rows = batch.filter(pa.array(common.in_bitmap(bits.value, ids.astype(np.int64).view(np.uint64))))
+            if rows.num_rows:
+                sigs = [np.packbits((np.bincount((s & np.uint64(WIDE - 1)).astype(np.int64), minlength=WIDE) & 1).astype(np.uint8)).view("<i8") for s in sets_of(rows, k)]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(sigs, pa.list_(pa.int64()))], names=["id", "sig"])
+
+    return run
+
+
+def near_enough(pairs: DataFrame, docs: DataFrame, k: int, t: int) -> DataFrame:
+    """Pairs whose wide signatures differ in no more bits than linked sets may differ in elements: no link is lost, and few others
+    are left whose whole sets must move."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    bits = docs.sparkSession.sparkContext.broadcast(common.bitmap(ends, "id", BITMAP_BITS))
+    sigs = common.staged(docs.mapInArrow(wide_signatures(k, bits), "id long, sig array<long>"))
+    both = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b")
+    differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, c: n + c)
+    spare = (F.col("na") + F.col("nb")) - 2 * F.ceil((F.col("na") + F.col("nb")) * t / F.lit(100.0 + t) - 1e-9)
+    return both.filter(differ <= spare).select("a", "b", "na", "nb").distinct()
+
+
 def compared(pairs: DataFrame, docs: DataFrame, k: int, t: int) -> DataFrame:
     """a, b, na, nb, shared, linked for pairs (a, b, na, nb) of documents, from their whole sets.
 
     Pairs meet at the member that has more of them; each of its partners' sets goes there, in parts of BLOCK pairs."""
     spark = docs.sparkSession
+    pairs = common.staged(near_enough(pairs, docs, k, t))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("w"))
     ends = common.staged(ends)
     bits = spark.sparkContext.broadcast(common.bitmap(ends.select("id"), "id", BITMAP_BITS))
@@ -254,7 +281,7 @@ def links(docs: DataFrame, k: int = 3, t: int = 90, id_col: str = "doc_id", text
     near = "(x.far is null or y.far is null or abs(x.far - y.far) <= (x.size + y.size) * (1 - 2 * {t} / (100.0 + {t})) + 2)".format(t=t)
     two = one.join(open_.alias("y"), F.expr(f"y.token = m.token and y.size_block = m.sc and y.salt = m.cs and x.root <> y.root and (not {same} or x.id < y.id) and {near} and x.pos + y.pos <= (x.size + y.size) * (1 - 2 * {t} / (100.0 + {t})) + 2") & may_link("x", "y", t))
     rest = two.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.when(F.expr("x.id < y.id"), F.col("x.size")).otherwise(F.col("y.size")).alias("na"), F.when(F.expr("x.id < y.id"), F.col("y.size")).otherwise(F.col("x.size")).alias("nb")).distinct()
-    rest = rest.join(first.select("a", "b"), ["a", "b"], "left_anti")
+    rest = rest.join(stars.select("a", "b"), ["a", "b"], "left_anti")
     second = common.staged(compared(common.staged(rest), docs, k, t))
     found_links = first.unionByName(second).filter("linked").select("a", "b", "shared")
     return members.select("id", "n", "rep"), found_links
