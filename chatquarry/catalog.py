@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from .functions import text
-from .operators import graph, history, joins, sequences
+from .functions import media, text
+from .operators import choices, graph, history, joins, sequences
 from .plans import retrieval
 from .shipping import ship
 from .sources.tables import event_messages, table, turns
@@ -67,10 +67,9 @@ def messages_from_others(spark, d):
     return turns(spark, d).filter(history.not_mine(F.col("mine")) & (F.col("sender") != "system")).select("chat_id", "doc_id", "content")
 
 
-@query(f"SELECT doc_id, chat, value FROM {EV} WHERE doc_id IN (SELECT event_id FROM events WHERE event_id % 97 = 3)")
+@query("SELECT doc_id, lang, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def lookup_by_ids(spark, d):
-    m = event_messages(spark, d)
-    return history.lookup(m, m.filter("doc_id % 97 = 3"), ["doc_id"]).select("doc_id", "chat", "value")
+    return history.lookup(table(spark, d, "documents"), table(spark, d, "labels"), ["doc_id"]).select("doc_id", "lang", "source")
 
 
 @query("SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'license') ORDER BY doc_id DESC LIMIT 100")
@@ -286,18 +285,18 @@ def media_links(spark, d):
     return table(spark, d, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit('href="[^"]*"'), F.lit(0))).cast("long").alias("links"), F.element_at(F.split("url", "/"), -1).alias("file"))
 
 
-@query("WITH n AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'm' || c_custkey END AS c_name, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT c_custkey + 1000000, 'new', 0.0 FROM customer WHERE c_custkey % 50 = 0) SELECT coalesce(n.c_custkey, c.c_custkey) AS c_custkey, coalesce(n.c_name, c.c_name) AS c_name, coalesce(n.c_acctbal, c.c_acctbal) AS c_acctbal FROM customer c FULL JOIN n ON n.c_custkey = c.c_custkey")
+@query("WITH n AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'm' || c_custkey END AS c_name, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_acctbal < 0 UNION ALL SELECT c_custkey + 1000000, 'new', 0.0 FROM customer WHERE c_acctbal > 9000) SELECT coalesce(n.c_custkey, c.c_custkey) AS c_custkey, coalesce(n.c_name, c.c_name) AS c_name, coalesce(n.c_acctbal, c.c_acctbal) AS c_acctbal FROM customer c FULL JOIN n ON n.c_custkey = c.c_custkey")
 def upsert_merge(spark, d):
     c = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
-    changed = c.filter("c_custkey % 5 = 0").select("c_custkey", F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit("m"), "c_custkey")).alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
-    new = c.filter("c_custkey % 50 = 0").select((F.col("c_custkey") + 1000000).alias("c_custkey"), F.lit("new").alias("c_name"), F.lit(0.0).alias("c_acctbal"))
+    changed = c.filter("c_acctbal < 0").select("c_custkey", F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit("m"), "c_custkey")).alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
+    new = c.filter("c_acctbal > 9000").select((F.col("c_custkey") + 1000000).alias("c_custkey"), F.lit("new").alias("c_name"), F.lit(0.0).alias("c_acctbal"))
     return joins.upsert(c, changed.unionByName(new), "c_custkey", ["c_name", "c_acctbal"])
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders UNION SELECT o_orderkey + 10000000, o_custkey FROM orders WHERE o_orderkey % 10 = 0")
+@query("SELECT o_orderkey, o_custkey FROM orders UNION SELECT o_orderkey + 10000000, o_custkey FROM orders WHERE o_totalprice > 300000")
 def insert_ignore(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    more = o.filter("o_orderkey % 10 = 0")
+    more = o.filter("o_totalprice > 300000")
     return joins.insert_ignore(o, more.unionByName(more.withColumn("o_orderkey", F.col("o_orderkey") + 10000000)), ["o_orderkey"])
 
 
@@ -311,6 +310,127 @@ def stream_window_counts(spark, d):
     return ingest.drained(ingest.window_counts(ingest.stream(spark, f"{d}/[e]vents.parquet"), "1 hour"))
 
 
+UNIT = "CASE event_id % 6 WHEN 0 THEN ' B' WHEN 1 THEN 'KB' WHEN 2 THEN ' kib' WHEN 3 THEN ' MB' WHEN 4 THEN 'GiB' ELSE ' parsec' END"
+
+
+@query(f"SELECT event_id, CAST(trunc(value * CASE event_id % 6 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 1e3 WHEN 2 THEN 1024.0::DOUBLE WHEN 3 THEN 1e6 WHEN 4 THEN 1073741824.0::DOUBLE ELSE 0.0::DOUBLE END) AS BIGINT) AS size FROM events WHERE value >= 0.001")
+def parsed_sizes(spark, d):
+    return table(spark, d, "events").filter("value >= 0.001").select("event_id", media.size_bytes(F.concat(F.col("value").cast("decimal(20,6)").cast("string"), F.expr(UNIT))).alias("size"))
+
+
+@query("""WITH p AS (SELECT page_id, regexp_replace(url, '[?].*', '') AS path, strlen(html) AS n FROM pages)
+SELECT page_id, CASE WHEN split_part(path, '/', -1) <> '' THEN split_part(path, '/', -1) ELSE 'HTML file (' || CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN format('{:.1f}', floor(n / 1024 * 10 + 0.5) / 10) || ' KB' ELSE format('{:.1f}', floor(n / 1048576 * 10 + 0.5) / 10) || ' MB' END || ')' END AS title FROM p""")
+def page_titles(spark, d):
+    none = F.lit(None).cast("string")
+    t = media.title(F.col("page_id"), none, F.regexp_replace("url", "[?].*", ""), none, F.lit("text/html"), F.octet_length("html"), none)
+    return table(spark, d, "pages").select("page_id", t.alias("title"))
+
+
+@query("""WITH m AS (SELECT event_id, event_type AS a, CASE WHEN value < 50 THEN 'application/pdf' WHEN value < 100 THEN 'image/webp' ELSE 'text/plain' END AS mime FROM events)
+SELECT event_id, CASE WHEN a = 'click' THEN 'video' WHEN a = 'view' THEN 'audio' WHEN mime = 'application/pdf' THEN 'document' WHEN mime = 'image/webp' THEN 'image' ELSE 'file' END AS kind FROM m""")
+def media_kinds(spark, d):
+    attribute = F.when(F.col("event_type") == "click", "video").when(F.col("event_type") == "view", "audio").otherwise("other")
+    mime = F.when(F.col("value") < 50, "application/pdf").when(F.col("value") < 100, "image/webp").otherwise("text/plain")
+    return table(spark, d, "events").select("event_id", media.media_kind(F.array(attribute), mime).alias("kind"))
+
+
+@query("""WITH i AS (SELECT doc_id, trim(lower(source || ' ' || CASE lang WHEN 'en' THEN 'A Meme of a selfie' WHEN 'de' THEN 'documents' ELSE '' END)) AS r FROM documents)
+SELECT doc_id, CASE WHEN regexp_extract(r, '^[^ ]+') IN ('selfie', 'meme', 'generic', 'document') THEN regexp_extract(r, '^[^ ]+') WHEN contains(r, 'selfie') THEN 'selfie' WHEN contains(r, 'meme') THEN 'meme' WHEN contains(r, 'generic') THEN 'generic' WHEN contains(r, 'document') THEN 'document' ELSE 'generic' END AS image_type FROM i""")
+def image_types(spark, d):
+    said = F.concat("source", F.lit(" "), F.when(F.col("lang") == "en", "A Meme of a selfie").when(F.col("lang") == "de", "documents").otherwise(""))
+    return table(spark, d, "documents").select("doc_id", media.image_type(said).alias("image_type"))
+
+
+@query(f"SELECT chat_id, doc_id, regexp_replace('a ' || CASE WHEN mine THEN '[AUDIO TRANSCRIPT] ' ELSE '[PHOTO]' END || content || '[PHOTO]', CASE WHEN mine THEN '\\[AUDIO(?:\\s+TRANSCRIPT)?\\]\\s*' ELSE '\\[PHOTO\\]\\s*' END, CASE WHEN mine THEN '[AUDIO TRANSCRIPT] said $1' ELSE '[PHOTO] said $1' END || chr(10)) AS content FROM {TURNS}")
+def retagged_contents(spark, d):
+    tag = F.when(F.col("mine"), "[AUDIO TRANSCRIPT] ").otherwise("[PHOTO]")
+    content = F.concat(F.lit("a "), tag, "content", F.lit("[PHOTO]"))
+    return turns(spark, d).select("chat_id", "doc_id", media.retagged(content, F.when(F.col("mine"), "audio").otherwise("photo"), F.lit("said $1")).alias("content"))
+
+
+@query(f"SELECT chat_id, coalesce(arg_min(kind, doc_id) FILTER (kind IS NOT NULL), 'text') AS modality FROM (SELECT *, CASE WHEN length(content) % 7 = 0 THEN 'vision' WHEN length(content) % 5 = 0 THEN 'audio' END AS kind FROM {TURNS}) GROUP BY 1")
+def payload_modality(spark, d):
+    kind = F.when(F.length("content") % 7 == 0, "vision").when(F.length("content") % 5 == 0, "audio")
+    found = turns(spark, d).withColumn("kind", kind).groupBy("chat_id").agg(F.expr("min_by(kind, doc_id) FILTER (WHERE kind IS NOT NULL)").alias("first"))
+    return found.select("chat_id", F.coalesce("first", F.lit("text")).alias("modality"))
+
+
+@query(f"SELECT chat_id, string_agg('<|im_start|>' || sender || chr(10) || content || '<|im_end|>' || chr(10), '' ORDER BY doc_id) || '<|im_start|>assistant' || chr(10) AS prompt FROM {TURNS} GROUP BY 1")
+def chat_prompts(spark, d):
+    lines = F.array_sort(F.collect_list(F.struct("doc_id", media.chat_turn(F.col("sender"), F.col("content")).alias("line"))))
+    return turns(spark, d).groupBy("chat_id").agg(F.concat(F.array_join(F.transform(lines, lambda x: x.line), ""), F.lit("<|im_start|>assistant\n")).alias("prompt"))
+
+
+@query(f"SELECT chat_id, doc_id, CASE WHEN contains(lower(content), lower(name)) AND name <> '' THEN nullif(trim(replace(content, name, '')), '') ELSE content END AS search FROM (SELECT *, regexp_extract(content, '[A-Za-z]+') AS name FROM {TURNS})")
+def searches_without_names(spark, d):
+    return turns(spark, d).select("chat_id", "doc_id", media.without_name(F.col("content"), F.regexp_extract("content", "[A-Za-z]+", 0)).alias("search"))
+
+
+@query(f"WITH n AS (SELECT max(ts) AS now FROM {EV}), u AS (SELECT * FROM (VALUES ('minutes', INTERVAL 600 MINUTE), ('hours', INTERVAL 5 HOUR), ('days', INTERVAL 3 DAY), ('weeks', INTERVAL 14 DAY), ('months', INTERVAL 30 DAY)) AS t(unit, span)) SELECT unit, count(*) AS n FROM {EV} m, n, u WHERE m.ts >= n.now - u.span GROUP BY 1")
+def recent_by_unit(spark, d):
+    m = event_messages(spark, d)
+    now = m.agg(F.max("ts").alias("now"))
+    asked = {"minutes": 600, "hours": 5, "days": 3, "weeks": 2, "months": 1}
+    counts = [F.count_if(F.col("ts") >= media.since(F.col("now"), n, u)).alias(u) for u, n in asked.items()]
+    return m.select("ts").join(F.broadcast(now), F.lit(True)).agg(*counts).unpivot([], list(asked), "unit", "n")
+
+
+@query(f"SELECT sender, 4 + least(count(*) / 5, 30) AS size FROM {EV} GROUP BY 1")
+def node_sizes(spark, d):
+    return graph.profiles(event_messages(spark, d)).select("sender", media.node_size(F.col("n")).alias("size"))
+
+
+@query(f"WITH p AS (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY chat_id) AS c FROM {TURNS}) SELECT chat_id, doc_id FROM p WHERE c <= 3 OR i IN (0, c // 3, 2 * c // 3)")
+def even_samples(spark, d):
+    return choices.even_sample(turns(spark, d), "chat_id", "doc_id", 3).select("chat_id", "doc_id")
+
+
+@query("SELECT event_type, count(*) AS size, event_type = coalesce(CASE WHEN bool_or(event_type = 'view') OVER () THEN 'view' WHEN bool_or(event_type = 'click') OVER () THEN 'click' END, '') AS is_next FROM events GROUP BY event_type")
+def queue_sizes(spark, d):
+    return choices.next_by_priority(table(spark, d, "events"), "event_type", ["absent", "view", "click"])
+
+
+@query("SELECT doc_id, lang FROM documents ORDER BY coalesce(contains(lower(text), 'license'), false), doc_id DESC LIMIT 5")
+def last_with_word_first(spark, d):
+    return choices.last_with_word_first(table(spark, d, "documents"), "license", "text", "doc_id").select("doc_id", "lang")
+
+
+@query(f"SELECT doc_id, chat, ts FROM {EV} ORDER BY value < 50, CASE chat WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END, ts DESC, doc_id DESC LIMIT 50")
+def ordered_dialogs(spark, d):
+    rank = F.when(F.col("chat") == "click", 0).when(F.col("chat") == "view", 1).otherwise(2)
+    return event_messages(spark, d).orderBy(F.col("value") < 50, rank, F.desc("ts"), F.desc("doc_id")).limit(50).select("doc_id", "chat", "ts")
+
+
+@query("""WITH s AS (SELECT source AS chat, doc_id, lang AS topic, n_chars AS words, n_chars % 1000 / 1000 AS importance FROM documents),
+t AS (SELECT chat, topic, row_number() OVER (PARTITION BY chat ORDER BY count(*) DESC, min(doc_id)) AS rn FROM s WHERE topic IS NOT NULL GROUP BY 1, 2),
+tt AS (SELECT chat, string_agg(topic, ',' ORDER BY rn) AS topics, string_agg(topic, ',' ORDER BY rn) FILTER (rn <= 5) AS tags FROM t WHERE rn <= 8 GROUP BY 1),
+w AS (SELECT chat, string_agg(words::VARCHAR, ' ' ORDER BY doc_id) AS description FROM (SELECT *, row_number() OVER (PARTITION BY chat ORDER BY doc_id) AS rn FROM s) WHERE rn <= 3 GROUP BY 1)
+SELECT s.chat, topics, tags, description, count(*) AS events, max(importance) AS importance FROM s LEFT JOIN tt USING (chat) JOIN w USING (chat) GROUP BY ALL""")
+def chat_aggregates(spark, d):
+    s = table(spark, d, "documents").select(F.col("source").alias("chat"), F.col("doc_id").alias("seq"), F.col("lang").alias("topic"), F.col("n_chars").cast("string").alias("summary"), F.lit(1).alias("events"), (F.col("n_chars") % 1000 / 1000).alias("importance"))
+    return choices.chat_aggregates(s)
+
+
+STEPS = "SELECT conv_id, turn, length(text) % 60 AS s, length(text) % 97 AS e, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations"
+
+
+@query(f"""WITH RECURSIVE p AS ({STEPS}), r AS (SELECT conv_id, rn, 0::BIGINT AS s, e::BIGINT AS e FROM p WHERE rn = 1
+UNION ALL SELECT p.conv_id, p.rn, r.e, CASE WHEN p.s <> r.e AND p.e <= r.e THEN r.e + 10 ELSE p.e END FROM r JOIN p ON p.conv_id = r.conv_id AND p.rn = r.rn + 1)
+SELECT conv_id, rn AS segment_no, s AS start_s, e AS end_s FROM r""")
+def stitched_timelines(spark, d):
+    given = table(spark, d, "conversations").select("conv_id", "turn", (F.length("text") % 60).alias("s"), (F.length("text") % 97).alias("e"))
+    times = F.transform(F.array_sort(F.collect_list(F.struct("turn", "s", "e"))), lambda x: F.struct(x.s.alias("s"), x.e.alias("e")))
+    lines = given.groupBy("conv_id").agg(choices.stitched(times).alias("t")).select("conv_id", F.posexplode("t").alias("i", "x"))
+    return lines.select("conv_id", (F.col("i") + 1).cast("long").alias("segment_no"), F.col("x.s").alias("start_s"), F.col("x.e").alias("end_s"))
+
+
+@query()
+def surest_spans(spark, d):
+    c = table(spark, d, "conversations").select("conv_id", F.struct((F.length("text") % 50).alias("s"), (F.length("text") % 50 + 10 + F.col("turn")).alias("e"), (F.length("text") % 7).alias("confidence")).alias("x"))
+    kept = c.groupBy("conv_id").agg(choices.without_overlaps(F.collect_list("x")).alias("kept"))
+    return kept.select("conv_id", F.inline("kept"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
