@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from . import common
-from .words import shingles, word_hashes
+from .words import shingle_lists, word_hashes
 
 #: At most so many common shingles go last in the order; the order decides the cost, never the result.
 COMMON, BITMAP_BITS, BLOCK, WIDE = 200_000, 24, 256, 4096
@@ -34,8 +34,11 @@ GATHERED = 4_000_000
 
 def sets_of(batch, k: int) -> list[np.ndarray]:
     """Each text's sorted distinct shingles."""
-    words, at = word_hashes(common.texts_of(batch))
-    return [np.unique(shingles(words[a:b], k)) for a, b in zip(at[:-1], at[1:], strict=True)]
+    out = []
+    for s in shingle_lists(*word_hashes(common.texts_of(batch)), k):
+        s = np.sort(s)
+        out.append(s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s)
+    return out
 
 
 def digest(s: np.ndarray) -> bytes:
@@ -97,37 +100,38 @@ def prefix(s: np.ndarray, common_hashes: np.ndarray, common_rank: np.ndarray, t:
     return s[:take]
 
 
-def postings(k: int, t: int, order, bits):
-    """Prefix elements: without bits only their hashes, a set's digest once a task; with bits, full postings of those with their bit set."""
+def prefixes(k: int, t: int, order):
+    """A row for each distinct set of a task: its digest, size, signature and prefix."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         hashes, rank = order.value
         seen: set[bytes] = set()
         for batch in common.slices(batches):
-            rows, tokens = [], []
-            for doc, s in zip(batch.column("doc_id").to_pylist(), sets_of(batch, k), strict=True):
+            rows = []
+            for s in sets_of(batch, k):
                 if not len(s) or (d := digest(s)) in seen:
                     continue
-                if len(seen) > 1_000_000:
+                if len(seen) > 1_000_000:  # forgetting only costs a second copy of a row
                     seen.clear()
                 seen.add(d)
-                p = prefix(s, hashes, rank, t)
-                pos = np.arange(len(p))
-                if bits is not None:
-                    keep = common.in_bitmap(bits.value, p)
-                    p, pos = p[keep], pos[keep]
-                if len(p):
-                    tokens.append(p)
-                    rows.append((d, len(s), *signature(s), pos))
-            n = [len(x) for x in tokens]
-            flat = np.concatenate([*tokens, np.empty(0, np.uint64)]).view(np.int64)
-            if bits is None:
-                # the same set in another task must not make its elements look shared: half of the digest goes along
-                part = np.repeat(np.array([int.from_bytes(r[0][:8], "little", signed=True) for r in rows], np.int64), n)
-                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(part)], names=["token", "part"])
-            elif rows:
-                spread = lambda c, kind: pa.array(np.repeat(np.array([r[c] for r in rows]), n), kind)
-                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array([r[0] for r, m in zip(rows, n, strict=True) for _ in range(m)], pa.binary()), spread(1, pa.int32()), pa.array(np.concatenate([r[4] for r in rows]), pa.int32()), spread(2, pa.int64()), spread(3, pa.int64())], names=["token", "digest", "size", "pos", "s1", "s2"])
+                rows.append((d, len(s), *signature(s), prefix(s, hashes, rank, t).view(np.int64)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["digest", "size", "s1", "s2", "prefix"])
+
+    return run
+
+
+def postings(bits):
+    """A row for each prefix element that has its bit set, with its position."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("prefix").value_lengths().to_numpy()
+            tokens = batch.column("prefix").flatten().to_numpy()
+            pos = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n)
+            keep = common.in_bitmap(bits.value, tokens.view(np.uint64))
+            rows = batch.select(["digest", "size", "s1", "s2"]).take(pa.array(np.repeat(np.arange(len(n)), n)[keep]))
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), rows.column("digest"), rows.column("size"), pa.array(pos[keep].astype(np.int32)), rows.column("s1"), rows.column("s2")], names=["token", "digest", "size", "pos", "s1", "s2"])
 
     return run
 
@@ -241,10 +245,13 @@ def links(docs: DataFrame, k: int = 3, t: int = 90, id_col: str = "doc_id", text
     reps = named.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"))
     members = common.staged(named.join(reps, "digest", "left").select("id", "n", "rep", "digest"))
 
-    shared = docs.mapInArrow(postings(k, t, order, None), "token long, part long").groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("token")
+    sets = common.staged(docs.mapInArrow(prefixes(k, t, order), "digest binary, size int, s1 long, s2 long, prefix array<long>"))
+    # the same set in another task must not make its elements look shared
+    parts = sets.select(F.explode("prefix").alias("token"), F.xxhash64("digest").alias("part"))
+    shared = parts.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("token")
     bits = spark.sparkContext.broadcast(common.bitmap(shared, "token", BITMAP_BITS))
     reps = members.filter("id = rep").select("digest", "rep").distinct()
-    found = docs.mapInArrow(postings(k, t, order, bits), "token long, digest binary, size int, pos int, s1 long, s2 long").join(reps, "digest").select("token", F.col("rep").alias("id"), "size", "pos", "s1", "s2").distinct()
+    found = sets.mapInArrow(postings(bits), "token long, digest binary, size int, pos int, s1 long, s2 long").join(reps, "digest").select("token", F.col("rep").alias("id"), "size", "pos", "s1", "s2").distinct()
     found = common.staged(found)
 
     # each list's pivot: the set that many others share elements with

@@ -40,3 +40,9 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
         for i in range(take):
             out = mixed(out * U(0x9E3779B97F4A7C15) + words[i : n - take + 1 + i])
         return out
+
+
+def shingle_lists(words: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
+    """The shingles of each text of a batch (as `word_hashes` gives it): all windows of k words at once, then cut into texts."""
+    every = shingles(words, k) if len(words) >= k else words[:0]
+    return [every[a : b - k + 1] if b - a >= k else shingles(words[a:b], k) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
