@@ -152,6 +152,46 @@ def test_em_never_loses_held_out_likelihood():
     assert all(b >= a - 1e-9 for a, b in zip(seen, seen[1:], strict=False)) and np.allclose(weights.sum(1), 1)
 
 
+def test_language_model_holds_all_pairs(spark):
+    common.prepared(spark)
+    # 3000 words of equal counts, each with one follower: more than any fixed table of classes
+    texts = [" ".join(f"a{j} b{j}" for j in range(i % 30, 1500, 30)) for i in range(300)] + ["a1 b1 new words", "b7 a7"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    fold = [zlib.crc32(str(i).encode()) % 5 for i in range(len(texts))]
+    pairs = [list(zip([None, *w], [*w, None], strict=True)) for w in map(str.split, texts)]
+    first, late = (Counter(p for x, f in zip(pairs, fold, strict=True) if f in part for p in x) for part in ((0, 2, 3), (4,)))
+
+    def counts(table):
+        v, w = Counter(), Counter()
+        for (a, b), n in table.items():
+            v[a] += n
+            w[b] += n
+        return v, w, sum(w.values()), len(w)
+
+    def estimates(table, v, w, n, kinds, p):
+        return int(np.log2(v[p[0]] + 1)), np.array([table[p] / max(1, v[p[0]]), w[p[1]] / n, 1 / (kinds + 1)])
+
+    weights, known = np.full((64, 3), 1 / 3), counts(first)
+    seen = [(c, *estimates(first, *known, p)) for p, c in late.items()]
+    for _ in range(op5_language_model.ROUNDS):
+        share = np.zeros((64, 3))
+        for c, b, e in seen:
+            share[b] += c * weights[b] * e / (weights[b] @ e)
+        weights = np.where(share.sum(1, keepdims=True) > 0, share / np.maximum(share.sum(1, keepdims=True), 1e-300), weights)
+    weights[share.sum(1) == 0] = (0, 0.5, 0.5)
+    weights = np.maximum(weights, [0, 0, 1e-6])
+    weights /= weights.sum(1, keepdims=True)
+    every = first + late
+    known = counts(every)
+    want = [sum(np.log10(weights[b] @ e) for b, e in (estimates(every, *known, p) for p in x)) for x in pairs]
+    for limit in (op5_language_model.HOT_PAIRS, 5):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(op5_language_model, "HOT_PAIRS", limit)
+            m.setattr(op5_language_model, "HOT_WORDS", limit)
+            got = by_id(op5_language_model.score_texts(rows))
+        assert [got[i].score for i in range(len(texts))] == pytest.approx(want)
+
+
 @pytest.mark.parametrize("clash", [False, True])
 def test_exact_dedup(docs, none, clash):
     hash_of = (lambda c: F.unhex(F.substring(F.md5(c), 1, 1).cast("string"))) if clash else op6_exact_dedup.content_hash
