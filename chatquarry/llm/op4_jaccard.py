@@ -3,11 +3,11 @@
 Index: each set's prefix under a global order (shingles found common in the corpus last) goes into inverted lists, with the set's
 size, the shingle's position and a parity signature. Lists are cut into blocks by size; blocks whose sizes or positions exclude a
 link are skipped whole, and so are postings within them.
-Answers: equal sets are one class and share their answers. Every list first compares its sets to one pivot; sets found similar to
-it share its component, so pairs within a component need no answer of their own, and what a pair of others can share at most
-follows from both distances to the pivot. Only pairs that neither rule settles are compared.
+Answers: equal sets are one class and share their answers. Every list first compares its sets to one pivot. A set's further answers
+are derived from the pivot's: two sets whose distances to a pivot add up to no more than linked sets may differ in are linked without
+being compared, and two whose distances differ by more aren't. Only pairs that neither bound settles are compared.
 
-The links returned connect every component that all links connect; they aren't all links.
+All links between classes are returned.
 
 Defined cases: a null or blank text has an empty set, n_shingles 0, and is linked with nothing; a text of fewer than k words is
 one shingle; equal texts share a component (unless empty); repeated rows with an equal id stay rows; an empty table gives no
@@ -230,9 +230,38 @@ def intersected(batches) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in ("a", "b", "na", "nb")], pa.array(shared, pa.int32())], names=["a", "b", "na", "nb", "shared"])
 
 
+def may_differ(n: str, m: str, t: int) -> F.Column:
+    """The most elements that may be in one only of two linked sets of these sizes."""
+    both = F.col(n) + F.col(m)
+    return both - 2 * F.ceil(both * t / F.lit(100.0 + t) - 1e-9)
+
+
+def derived(spokes: DataFrame, t: int) -> DataFrame:
+    """a, b for pairs of sets near enough to one pivot to be linked with each other. spokes: pivot, id, size, far.
+
+    A pivot's sets are dealt in blocks; each two blocks meet in a cell of their own."""
+    spokes = spokes.filter(F.col("far") <= F.col("size") * ((1 + 100 / t) * (1 - 2 * t / (100 + t))) + 2)
+    salts = F.greatest(F.lit(1), F.ceil(F.col("w") / BLOCK)).cast("int")
+    rows = spokes.join(spokes.groupBy("pivot").agg(F.count("*").alias("w")).filter("w > 1"), "pivot").withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), salts - 1))).select("pivot", "id", "size", "far", "salt", F.least("salt", "other").alias("lo"), F.greatest("salt", "other").alias("hi"))
+    x, y = rows.filter("salt = lo").alias("x"), rows.filter("salt = hi").alias("y")
+    met = x.join(y, F.expr("x.pivot = y.pivot and x.lo = y.lo and x.hi = y.hi and (x.lo < x.hi or x.id < y.id)")).filter(F.col("x.far") + F.col("y.far") <= may_differ("x.size", "y.size", t))
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def link_counts(members: DataFrame, found: DataFrame) -> DataFrame:
+    """id, n_links for each document: the other documents linked with it, those with an equal set among them (0 for empty sets)."""
+    size = members.filter("rep is not null").groupBy("rep").agg(F.count("*").alias("size"))
+    both = found.select(F.col("a").alias("rep"), F.col("b").alias("to")).unionByName(found.select(F.col("b").alias("rep"), F.col("a").alias("to")))
+    linked = both.join(size.select(F.col("rep").alias("to"), F.col("size").alias("m")), "to").groupBy("rep").agg(F.sum("m").alias("linked"))
+    counts = size.join(linked, "rep", "left").select("rep", (F.coalesce("linked", F.lit(0)) + F.col("size") - 1).alias("n_links"))
+    return members.join(counts, "rep", "left").select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def links(docs: DataFrame, k: int = 3, t: int = 90, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(members, links). members: id, n, rep for each document (rep: the smallest id with an equal set; null for empty sets).
-    links: a, b, shared for pairs of representatives whose Jaccard similarity is at least t / 100, enough to connect all that link."""
+    links: a, b, shared for all pairs of representatives whose Jaccard similarity is at least t / 100; shared is null where the link was
+    derived, not measured."""
     docs = common.id_and_text(docs, id_col, text_col)
     spark = docs.sparkSession
     profiles = common.staged(docs.mapInArrow(profile(k), "kind int, id long, n long, digest binary"))
@@ -267,30 +296,37 @@ def links(docs: DataFrame, k: int = 3, t: int = 90, id_col: str = "doc_id", text
 
     first = common.staged(compared(stars, docs, k, t))
 
-    # what the pivots left open: pairs of one list in different components
-    roots = common.components(first.filter("linked"))
-    placed = found.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")).select("token", "id", "size", "pos", "s1", "s2", "root")
-    mixed = placed.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("q"), F.count("*").alias("w")).filter("r <> q").select("token", "w")
-    # the distance to the list's pivot, where it was measured, bounds the distance of two sets: both sides of a small one share its component
-    either = first.select(F.col("a").alias("id"), F.col("b").alias("pivot"), (F.col("na") + F.col("nb") - 2 * F.col("shared")).alias("far")).unionByName(first.select(F.col("b").alias("id"), F.col("a").alias("pivot"), (F.col("na") + F.col("nb") - 2 * F.col("shared")).alias("far")))
-    open_ = placed.join(mixed, "token").join(pivots.select("token", F.col("id").alias("pivot")), "token").filter("id <> pivot").join(either, ["id", "pivot"], "left")
+    # distances to pivots, from both sides of a measured pair
+    far = (F.col("na") + F.col("nb") - 2 * F.col("shared")).alias("far")
+    either = first.select(F.col("a").alias("id"), F.col("na").alias("size"), F.col("b").alias("pivot"), far).unionByName(first.select(F.col("b").alias("id"), F.col("nb").alias("size"), F.col("a").alias("pivot"), far))
+    owners = pivots.select(F.col("id").alias("pivot")).distinct()
+    near_pivot = common.staged(derived(either.join(owners, "pivot"), t))
+
+    # what the pivots left open
+    several = found.groupBy("token").agg(F.count("*").alias("w")).filter("w > 1")
+    open_ = found.join(several, "token").join(pivots.select("token", F.col("id").alias("pivot")), "token").filter("id <> pivot").join(either.drop("size"), ["id", "pivot"], "left")
     salts = F.greatest(F.lit(1), F.ceil(F.col("w") / BLOCK)).cast("int")
-    open_ = common.staged(open_.withColumn("size_block", F.floor(F.log(F.col("size").cast("double")) / F.lit(float(np.log(100 / t))))).withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int")).select("token", "id", "size", "pos", "s1", "s2", "root", "far", "size_block", "salt"))
-    blocks = open_.groupBy("token", "size_block", "salt").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.min("pos").alias("pos"), F.min("root").alias("r"), F.max("root").alias("q"))
+    open_ = common.staged(open_.withColumn("size_block", F.floor(F.log(F.col("size").cast("double")) / F.lit(float(np.log(100 / t))))).withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int")).select("token", "id", "size", "pos", "s1", "s2", "far", "size_block", "salt"))
+    blocks = open_.groupBy("token", "size_block", "salt").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.min("pos").alias("pos"), F.max(F.coalesce("far", F.lit(1 << 29))).alias("far"))
     b, c = blocks.alias("b"), blocks.alias("c")
     met = b.join(c, F.expr("b.token = c.token and (b.size_block < c.size_block and c.size_block - b.size_block <= 2 or b.size_block = c.size_block and b.salt <= c.salt)"))
-    met = met.filter(F.expr(f"b.most * 100 >= c.least * {t} and c.most * 100 >= b.least * {t} and (b.r <> b.q or c.r <> c.q or b.r <> c.r)"))
+    met = met.filter(F.expr(f"b.most * 100 >= c.least * {t} and c.most * 100 >= b.least * {t}"))
+    # blocks all of whose pairs are derived
+    met = met.filter(F.expr(f"b.far + c.far > (b.least + c.least) * (1 - 2 * {t} / (100.0 + {t})) - 2"))
     spare_most = F.expr(f"(b.most + c.most) * (1 - 2 * {t} / (100.0 + {t})) + 2")
     met = met.filter(F.expr("b.pos + c.pos") <= spare_most)
     met = met.select(F.col("b.token").alias("token"), F.col("b.size_block").alias("sb"), F.col("b.salt").alias("bs"), F.col("c.size_block").alias("sc"), F.col("c.salt").alias("cs"))
     one = open_.alias("x").join(met.alias("m"), F.expr("x.token = m.token and x.size_block = m.sb and x.salt = m.bs"))
     same = "(m.sb = m.sc and m.bs = m.cs)"
     near = "(x.far is null or y.far is null or abs(x.far - y.far) <= (x.size + y.size) * (1 - 2 * {t} / (100.0 + {t})) + 2)".format(t=t)
-    two = one.join(open_.alias("y"), F.expr(f"y.token = m.token and y.size_block = m.sc and y.salt = m.cs and x.root <> y.root and (not {same} or x.id < y.id) and {near} and x.pos + y.pos <= (x.size + y.size) * (1 - 2 * {t} / (100.0 + {t})) + 2") & may_link("x", "y", t))
+    settled = F.coalesce(F.col("x.far") + F.col("y.far") <= may_differ("x.size", "y.size", t), F.lit(False))
+    two = one.join(open_.alias("y"), F.expr(f"y.token = m.token and y.size_block = m.sc and y.salt = m.cs and (not {same} or x.id < y.id) and {near} and x.pos + y.pos <= (x.size + y.size) * (1 - 2 * {t} / (100.0 + {t})) + 2") & may_link("x", "y", t) & ~settled)
     rest = two.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.when(F.expr("x.id < y.id"), F.col("x.size")).otherwise(F.col("y.size")).alias("na"), F.when(F.expr("x.id < y.id"), F.col("y.size")).otherwise(F.col("x.size")).alias("nb")).distinct()
-    rest = rest.join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    rest = rest.join(stars.select("a", "b").unionByName(near_pivot.select("a", "b")), ["a", "b"], "left_anti")
     second = common.staged(compared(common.staged(rest), docs, k, t))
-    found_links = first.unionByName(second).filter("linked").select("a", "b", "shared")
+    # a derived pair may have been measured as some list's pivot pair
+    new = near_pivot.join(stars.select("a", "b"), ["a", "b"], "left_anti").withColumn("shared", F.lit(None).cast("int"))
+    found_links = common.staged(first.unionByName(second).filter("linked").select("a", "b", "shared").unionByName(new.select("a", "b", "shared")))
     return members.select("id", "n", "rep"), found_links
 
 

@@ -131,6 +131,24 @@ def test_jaccard(spark, none, k, t):
     assert op4_jaccard.grouped(none, k, t).count() == 0
 
 
+@pytest.mark.parametrize("block", [op4_jaccard.BLOCK, 3])
+def test_jaccard_returns_all_links(spark, monkeypatch, block):
+    common.prepared(spark)
+    monkeypatch.setattr(op4_jaccard, "BLOCK", block)
+    k, t = 3, 80
+    texts = [" ".join(f"w{j}" if j % 97 != i * 5 else f"x{i}" for j in range(160)) for i in range(14)] + [" ".join(f"w{j}" if j % 7 else f"y{i % 4}{j}" for j in range(160)) for i in range(6)]
+    texts += ["", None, texts[3]]
+    sets = [{tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in (str.split(x or "") for x in texts)]
+    rep = [min((j for j, y in enumerate(sets) if y == s), default=0) for s in sets]
+    want = {(i, j): len(sets[i] & sets[j]) for i in range(len(sets)) for j in range(i + 1, len(sets)) if rep[i] == i and rep[j] == j and sets[i] and 100 * len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j])}
+    members, found = op4_jaccard.links(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), k, t)
+    rows = found.collect()
+    assert sorted((r.a, r.b) for r in rows) == sorted(want) and len(want) > 80
+    assert all(r.shared in (None, want[r.a, r.b]) for r in rows)
+    counts = {r.id: r.n_links for r in op4_jaccard.link_counts(members, found).collect()}
+    assert counts == {i: sum(i != j and bool(s) and 100 * len(s & o) >= t * len(s | o) for j, o in enumerate(sets)) for i, s in enumerate(sets)}
+
+
 def test_language_model(docs, none):
     got = by_id(op5_language_model.score_texts(docs))
     words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), x or "")) for x in TEXTS]
