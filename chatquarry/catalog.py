@@ -224,6 +224,12 @@ def vector_topk(spark, d):
     return retrieval.nearest(v, v.filter("vec_id < 5").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv")), 10).select("q", "vec_id", F.round("sim", 4).alias("sim"), "rank")
 
 
+@query(f"WITH s AS (SELECT q.vec_id AS q, v.vec_id, {COS} AS sim FROM embeddings v JOIN (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q ON v.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, vec_id) AS rank FROM s) SELECT q, vec_id, round(sim, 4) AS sim, rank::INT AS rank FROM r WHERE rank <= 10")
+def vector_topk_every_20th(spark, d):
+    v = table(spark, d, "embeddings")
+    return retrieval.nearest(v, v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv")), 10).select("q", "vec_id", F.round("sim", 4).alias("sim"), "rank")
+
+
 @query("WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) AS rank FROM documents WHERE contains(lower(text), 'license') ORDER BY doc_id DESC LIMIT 40), b AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id DESC) AS rank FROM documents WHERE contains(lower(text), 'the') ORDER BY n_chars DESC, doc_id DESC LIMIT 40), u AS (SELECT doc_id, 1.0::DOUBLE / (60 + rank) AS s, rank AS f FROM a UNION ALL SELECT doc_id, 1.0::DOUBLE / (60 + rank), 1000000 + rank FROM b) SELECT doc_id, round(sum(s), 8) AS score FROM u GROUP BY 1 ORDER BY sum(s) DESC, min(f) LIMIT 50")
 def rrf_fusion(spark, d):
     t = table(spark, d, "documents")

@@ -8,6 +8,7 @@ import pytest
 from chatquarry import catalog
 from chatquarry.functions import text
 from chatquarry.operators import joins, sequences
+from chatquarry.plans import retrieval
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,3 +58,19 @@ def test_masking_and_scripts(spark):
 def test_gaps(spark):
     r = spark.createDataFrame([("g", 0, 5), ("g", 4, 8), ("g", 10, 12), ("h", 0, 100)], "g string, s int, e int")
     assert sorted(tuple(x) for x in joins.gaps(r, "g", 2, 20).collect()) == [("g", 8, 10), ("g", 12, 20)]
+
+
+def test_nearest_deals_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 4, raising=False)
+    monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 7, raising=False)
+    vecs = {i: [float(i % 7 + 1), float(i * i % 11), float(i * 5 % 13)] for i in range(60)}
+    v = spark.createDataFrame(list(vecs.items()), "vec_id long, embedding array<float>")
+    found = retrieval.nearest(v, v.filter("vec_id % 3 = 0").select(v.vec_id.alias("q"), v.embedding.alias("qv")), 3)
+    # no table is broadcast whole
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+    got = found.collect()
+    assert len(got) == 60 and {r.q for r in got} == set(range(0, 60, 3))
+    for q in range(0, 60, 3):
+        want = sorted((cos(vecs[q], x) for i, x in vecs.items() if i != q), reverse=True)[:3]
+        assert [r.sim for r in sorted((r for r in got if r.q == q), key=lambda r: r.rank)] == pytest.approx(want)
