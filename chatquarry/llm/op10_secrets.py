@@ -2,7 +2,8 @@
 
 Entropy spans: candidate strings are unbroken runs of one character class; a window of WINDOW characters slides over each, its Shannon
 entropy kept up to date from the counts of the one character that comes and the one that goes. A candidate whose best window
-reaches the class's threshold is a finding, unless an allow-list rule takes it for something harmless or a base span overlaps it.
+reaches the class's threshold is a finding, unless an allow-list rule takes it for something harmless. Base spans are cut out of a
+candidate first, then placeholders; each part left of WINDOW characters or more is a candidate of its own. Other rules hold for whole parts.
 Spans are kind:start:end in code points of the whole text, the end exclusive; kinds sort as assign, access, hex, entropy.
 
 Defined cases: a null text counts as empty and has no spans (the digest of an empty string); rows may repeat; an empty table gives no
@@ -27,14 +28,15 @@ CLASSES = (
     ("base64", r"[A-Za-z0-9+/_=-]{20,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.9),
     ("hexadecimal", r"(?<![A-Za-z0-9])[0-9A-Fa-f]{24,}(?![A-Za-z0-9])", "0123456789abcdefABCDEF", 3.0),
 )
-#: Harmless: UUIDs, dates and times, dotted or slashed names, plain words joined by - or _, placeholders.
+#: Harmless as a whole: UUIDs, dates and times, dotted or slashed names, plain words joined by - or _.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[0-9:_T+-]*$",
     r"^[A-Za-z]+([-_/+=][A-Za-z]+)*[-_/+=]*$",
     r"^[-_/+=A-Za-z]*[0-9]{0,4}$",
-    r"(?i)example|placeholder|xxxx|0123456789|abcdefghij",
 )
+#: Placeholders, which are cut out: what joins them to the rest of a run isn't part of either.
+PLACEHOLDER = r"(?i)[-_/+=]*(?:example|placeholder|x{4,}|0123456789|abcdefghij)[-_/+=]*"
 
 
 def found(text: str, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
@@ -90,19 +92,52 @@ def overlaps(s: Column, others: Column) -> Column:
     return F.exists(others, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"]))
 
 
-def class_spans(text: str, base: Column, pattern: str, alphabet: str, bits: float) -> Column:
-    """One class's candidates that mix letters with digits, pass the allow-list, meet no base span and reach the entropy."""
+def without(s: Column, others: Column) -> Column:
+    """The parts of a span that no span of the others (sorted by start) covers."""
+    met = F.filter(others, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"]))
+    part = lambda start, end: F.struct(start.alias("start"), s["kind"].alias("kind"), end.alias("end"), F.substr(s["value"], start - s["start"] + 1, F.greatest(end - start, F.lit(0))).alias("value"))
+    zero = F.struct(s["start"].alias("at"), none().alias("parts"))
+
+    def step(acc: Column, t: Column) -> Column:
+        return F.struct(F.greatest(acc["at"], t["end"]).alias("at"), F.when(t["start"] > acc["at"], F.concat(acc["parts"], F.array(part(acc["at"], t["start"])))).otherwise(acc["parts"]).alias("parts"))
+
+    cut = F.aggregate(met, zero, step, lambda acc: F.when(acc["at"] < s["end"], F.concat(acc["parts"], F.array(part(acc["at"], s["end"])))).otherwise(acc["parts"]))
+    return F.when(F.size(met) > 0, cut).otherwise(F.array(s))
+
+
+def without_placeholders(s: Column) -> Column:
+    """The parts of a span between placeholders."""
+    # matches and the stretches between them alternate, so their lengths add up to positions
+    whole = F.regexp_extract_all(s["value"], F.lit(PLACEHOLDER), F.lit(0))
+    steps = F.zip_with(F.split(s["value"], PLACEHOLDER, -1), whole, lambda g, m: F.struct(g.alias("g"), F.coalesce(F.length(m), F.lit(0)).alias("m")))
+    zero = F.struct(s["start"].alias("at"), none().alias("parts"))
+
+    def step(acc: Column, x: Column) -> Column:
+        end = acc["at"] + F.length(x["g"])
+        one = F.struct(acc["at"].alias("start"), s["kind"].alias("kind"), end.alias("end"), x["g"].alias("value"))
+        return F.struct((end + x["m"]).alias("at"), F.concat(acc["parts"], F.array(one)).alias("parts"))
+
+    return F.when(s["value"].rlike(PLACEHOLDER), F.aggregate(steps, zero, step, lambda acc: acc["parts"])).otherwise(F.array(s))
+
+
+def class_spans(text: str, others: Column, pattern: str, alphabet: str, bits: float) -> Column:
+    """One class's candidates, without what the others (sorted) cover and without placeholders, that have WINDOW characters, mix
+    letters with digits, pass the allow-list and reach the entropy."""
     allowed = "|".join(f"(?:{p})" for p in ALLOWED)
+    long_enough = lambda s: F.length(s["value"]) >= WINDOW
 
     def keep(s: Column) -> Column:
         v = s["value"]
-        return F.when(v.rlike("[0-9]") & v.rlike("[A-Za-z]") & ~v.rlike(allowed) & ~overlaps(s, base), best_entropy(v, alphabet) >= bits).otherwise(False)
+        return F.when(v.rlike("[0-9]") & v.rlike("[A-Za-z]") & ~v.rlike(allowed), best_entropy(v, alphabet) >= bits).otherwise(False)
 
-    return F.filter(found(text, pattern, 3), keep)
+    mixed = F.filter(found(text, pattern, 3), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
+    apart = F.filter(F.flatten(F.transform(mixed, lambda s: without(s, others))), long_enough)
+    return F.filter(F.filter(F.flatten(F.transform(apart, without_placeholders)), long_enough), keep)
 
 
 def entropy_spans(text: str, base: Column) -> Column:
-    one, two = (class_spans(text, base, *c[1:]) for c in CLASSES)
+    one = class_spans(text, base, *CLASSES[0][1:])
+    two = class_spans(text, base, *CLASSES[1][1:])
     return F.concat(one, F.filter(two, lambda s: ~overlaps(s, one)))
 
 
