@@ -94,6 +94,18 @@ def test_language(docs, none):
     assert op3_language.classify(none, op3_language.dictionaries(none)).count() == 0
 
 
+def test_margins_reject_other_languages(spark):
+    common.prepared(spark)
+    train = common.documents(spark, "/root/testdata/sf0.01").filter("lang is not null")
+    samples, margins = op3_language.learned(train.filter(~op3_language.held_out()))
+    others = ["Wczoraj wieczorem poszliśmy nad rzekę, żeby zobaczyć stary most i małe łodzie, które czekały przy brzegu na rybaków wracających do domu.", "Dün akşam eski köprüyü ve kıyıda balıkçıların eve dönmesini bekleyen küçük tekneleri görmek için nehir kenarına gittik.", "日本", "語"]
+    rows = spark.createDataFrame([(i, t, None) for i, t in enumerate(others)], "doc_id long, text string, lang string")
+    assert all(r.rejected for r in op3_language.classify(rows, samples, margin=margins).collect())
+    held = train.filter(op3_language.held_out())
+    kept = op3_language.accepted(held.withColumn("lang", F.lit(None).cast("string")), samples, margin=margins).select("doc_id", "lang").join(held.select("doc_id", F.col("lang").alias("label")), "doc_id").collect()
+    assert len(kept) > 0.85 * held.count() and sum(r.lang == r.label for r in kept) > 0.95 * len(kept)
+
+
 def brute_components(texts, k, t):
     words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), x or "")) for x in texts]
     sets = [{tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set() for w in words]
