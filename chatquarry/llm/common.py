@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import math
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from ..shipping import ship
 
 #: Rows in an Arrow batch sent to Python: texts of over 100 KB must not add up to gigabytes.
-ARROW_ROWS = 256
+ARROW_ROWS, ARROW_BYTES = 256, 1 << 24
 
 
 def prepared(spark: SparkSession) -> SparkSession:
     ship(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 
@@ -30,12 +30,14 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
+def free_prefix(df: DataFrame) -> str:
+    """A prefix that no column of the table has."""
+    return next(p for p in (f"_w{i}_" for i in range(len(df.columns) + 1)) if not any(c.lower().startswith(p) for c in df.columns))
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir); a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        base = spark.sparkContext.getCheckpointDir()
+    """A new path in the folder that all executors share: spark.checkpoint.dir, or where that is unset a folder in the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -56,6 +58,19 @@ def slices(batches: Iterable, rows: int = ARROW_ROWS) -> Iterator:
             yield batch.slice(i, rows)
 
 
+def blocks(batches: Iterable, size: int = 1 << 22) -> Iterator:
+    """Batches put together until they hold `size` bytes: enough rows for array work, whatever the length of the texts."""
+    held, n = [], 0
+    for batch in slices(batches):
+        held.append(batch)
+        n += batch.nbytes
+        if n >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if n:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def texts_of(batch) -> list[str]:
     """The texts of a batch; null counts as empty."""
     return [t or "" for t in batch.column("text").to_pylist()]
@@ -76,15 +91,21 @@ def bitmap(hashes: DataFrame, column: str, log2_bits: int):
     return out.view(np.uint64)
 
 
-def maybe_in(df: DataFrame, key: F.Column, keys: DataFrame, log2_bits: int = 22) -> DataFrame:
-    """Rows whose key (a long) is in keys.key, and a few others: a semi-join with a broadcast bitmap of at most 2**(log2_bits - 6)
-    rows, whatever the number of keys. Native; an exact join may follow."""
+def split_by(df: DataFrame, key: F.Column, keys: DataFrame, log2_bits: int = 22) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key, a long, is not in keys.key; the others and a few more), by a broadcast bitmap of at most 2**(log2_bits - 6) rows,
+    whatever the number of keys. Native; an exact join may follow for the second part."""
     low = lambda c: c.bitwiseAND(F.lit((1 << log2_bits) - 1))
     h = F.xxhash64("key")
     words = keys.select(F.shiftright(low(h), 6).alias("_w"), F.expr("shiftleft(1L, cast(xxhash64(key) & 63 as int))").alias("b")).groupBy("_w").agg(F.bit_or("b").alias("_b"))
-    hashed = df.withColumn("_h", low(F.xxhash64(key))).withColumn("_w", F.shiftright("_h", 6))
-    hit = hashed.join(F.broadcast(words), "_w").filter("shiftright(_b, cast(_h & 63 as int)) & 1 = 1")
-    return hit.select(*df.columns)
+    p = free_prefix(df)
+    marked = df.withColumn(f"{p}h", low(F.xxhash64(key))).join(F.broadcast(words.toDF(f"{p}w", f"{p}b")), F.shiftright(f"{p}h", 6) == F.col(f"{p}w"), "left")
+    hit = F.expr(f"coalesce(shiftright({p}b, cast({p}h & 63 as int)) & 1, 0) = 1")
+    return marked.filter(~hit).select(*df.columns), marked.filter(hit).select(*df.columns)
+
+
+def maybe_in(df: DataFrame, key: F.Column, keys: DataFrame, log2_bits: int = 22) -> DataFrame:
+    """Rows whose key (a long) is in keys.key, and a few others: a semi-join with a broadcast bitmap."""
+    return split_by(df, key, keys, log2_bits)[1]
 
 
 def in_bitmap(bits, hashes):
@@ -97,32 +118,51 @@ def in_bitmap(bits, hashes):
 # ---------------------------------------------------------------- ranks and running totals without a one-task window
 
 
-def running_total(df: DataFrame, value: str, out: str, keys: tuple[str, ...] = (), order: str = "doc_id", bits: int = 8) -> DataFrame:
-    """Adds `out`: the sum of `value` over the rows of the same `keys` that come earlier by `order` (a long).
-
-    Rows go to blocks of 2**bits neighbouring ids; sums of blocks are totalled the same way, level over level, until one
-    level covers all ids. So no task sees more than a block of rows (unless ids repeat), however large the table is.
-    Rows with an equal id are ordered by value. Null ids come first."""
-    lo, hi, n = df.select(F.min(order), F.max(order), F.count(order)).first()
-    span = ((hi - lo) if n else 0) + 1
-    shift = bits + max(0, math.floor(math.log2(span / n))) if n else bits
-    block = F.shiftright(F.col(order) - F.lit(lo or 0), shift)
-    rows = df.withColumn("_block", F.coalesce(block, F.lit(-1)))
-    return _totalled(rows, value, out, keys, order, math.ceil(span / 2**shift), bits).drop("_block")
-
-
-def _totalled(rows: DataFrame, value: str, out: str, keys: tuple[str, ...], order: str, blocks: int, bits: int) -> DataFrame:
-    inner = Window.partitionBy(*keys, "_block").orderBy(order, value).rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy(*keys, "_block").agg(F.sum(value).alias("_v"))
-    if blocks <= 2**bits:
-        over = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-        sums = sums.withColumn("_base", F.coalesce(F.sum("_v").over(over), F.lit(0)))
-    else:
-        upper = sums.withColumnRenamed("_block", "_at").withColumn("_block", F.shiftright("_at", bits))
-        sums = _totalled(upper, "_v", "_before", keys, "_at", math.ceil(blocks / 2**bits), bits).select(*keys, F.col("_at").alias("_block"), F.col("_before").alias("_base"))
-    sums = sums.drop("_v")
-    within = rows.withColumn("_within", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    return within.join(sums, [*keys, "_block"]).withColumn(out, (F.col("_within") + F.col("_base")).cast("long")).drop("_within", "_base")
+def running_total(df: DataFrame, value: str, out: str, keys: tuple[str, ...] = (), order: str = "doc_id") -> DataFrame:
+    """Adds `out`: the sum of `value` over the rows of the same `keys` that come earlier by `order`.
+
+    Rows are dealt by ranges of `order`, drawn from what the table holds, so neither wide-ranging nor crowded ids make a range large;
+    rows of an equal id are told apart by a hash of the row. Sums within a range add to the totals of the ranges before it.
+    Null ids come first; rows of an equal id follow each other in the order of that hash."""
+    tie = F.xxhash64(*[F.col(c) for c in df.columns])
+    rows = df.withColumn("_tie", tie).repartitionByRange(F.col(order).asc_nulls_first(), "_tie").sortWithinPartitions(F.col(order).asc_nulls_first(), "_tie")
+    rows = staged(rows.withColumn("_p", F.spark_partition_id()))
+    sums = rows.groupBy(*keys, "_p").agg(F.sum(value).alias("_v"))  # a row for each range and key
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_base", F.coalesce(F.sum("_v").over(before(Window.partitionBy(*keys).orderBy("_p"))), F.lit(0))).drop("_v")
+    within = before(Window.partitionBy(*keys, "_p").orderBy(F.col(order).asc_nulls_first(), "_tie"))
+    inner = rows.withColumn("_within", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    return inner.join(sums, [*keys, "_p"]).withColumn(out, (F.col("_within") + F.col("_base")).cast("long")).drop("_within", "_base", "_tie", "_p")
+
+
+def met(rows: DataFrame, groups: DataFrame, key: str, weight: str, heavy: int = 4096) -> DataFrame:
+    """Inner join of rows with their group (one row for each non-null key; `weight`: its number of rows).
+
+    The `heavy` largest groups are broadcast, and their rows stay where they are. The group after those holds at most a share of
+    1 / heavy of all rows, so no task of the join gets more than that from one key."""
+    top = staged(groups.orderBy(F.desc(weight), key).limit(heavy))
+    near = rows.join(F.broadcast(top), key)
+    rest = rows.join(F.broadcast(top.select(key)), key, "left_anti").join(groups.join(F.broadcast(top.select(key)), key, "left_anti"), key)
+    return near.select(*rest.columns).unionByName(rest)
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, group: str, largest: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without those of which their group keeps another: the row with the largest (smallest) id stays, ids before nulls,
+    of equal ids one by a hash of the text, of rows equal in id and text any one.
+
+    found: doc_id, key (xxhash64 of the text) and `group` for each document; rows whose group is null stay. Texts move only for the few
+    rows that a bitmap of bounded size takes for rows that go."""
+    place = F.struct(F.col("doc_id").isNotNull() if largest else F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"))
+    sums = found.filter(F.col(group).isNotNull()).groupBy(group).agg((F.max if largest else F.min)(place).alias("_stays"), F.count("*").alias("_n")).filter("_n > 1")
+    rows = staged(met(found.select("doc_id", "key", group), staged(sums), group, "_n").select("doc_id", "key", (place == F.col("_stays")).alias("stays")))
+    goes = rows.filter("not stays").select("doc_id", "key").distinct()
+    twice = rows.filter("stays").groupBy("doc_id", "key").count().filter("count > 1").select("doc_id", "key")
+    p = free_prefix(docs)
+    named = docs.withColumn(f"{p}id", F.col(id_col).cast("long")).withColumn(f"{p}key", F.xxhash64(F.col(text_col).cast("string")))
+    sure, maybe = split_by(named, F.xxhash64(f"{p}id", f"{p}key"), goes.unionByName(twice).select(F.xxhash64("doc_id", "key").alias("key")))
+    same = F.col(f"{p}id").eqNullSafe(F.col(f"{p}other")) & (F.col(f"{p}key") == F.col(f"{p}other_key"))
+    kept = maybe.join(goes.select(F.col("doc_id").alias(f"{p}other"), F.col("key").alias(f"{p}other_key")), same, "left_anti").dropDuplicates([f"{p}id", f"{p}key"])
+    return sure.select(*docs.columns).unionByName(kept.select(*docs.columns))
 
 
 # ---------------------------------------------------------------- connected components

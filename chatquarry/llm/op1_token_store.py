@@ -6,8 +6,8 @@ Layout of a store (all Parquet, zstd):
   recipes/  doc_id long ascending over the files, n_tokens long, start long, hashes binary (16 bytes each, in order), root binary
 A chunk's address is the BLAKE2b-128 of its ids as unsigned 32-bit integers; a document's root is the Merkle root over its chunk addresses.
 
-Defined cases: a null text counts as empty and still has its end id; rows that repeat a doc_id are documents of their own;
-an empty table gives an empty store; columns other than the id and the text are ignored."""
+Defined cases: a null text counts as empty and still has its end id; null ids come first; rows that repeat a doc_id are documents
+of their own, in the order of a hash; an empty table gives an empty store; columns other than the id and the text are ignored."""
 
 from __future__ import annotations
 
@@ -26,6 +26,8 @@ from .bpe_cache import encoder, vocabulary_path
 #: Cut where the low bits of the rolling hash are 0; window and least and most ids of a chunk.
 MASK, WINDOW, LEAST, MOST = np.uint64(0xFF), 16, 128, 2048
 PACK_IDS = 65_536
+#: Addresses that a task remembers.
+SEEN = 200_000
 
 
 def gear() -> np.ndarray:
@@ -39,7 +41,7 @@ def cut_points(ids: np.ndarray, starts: np.ndarray, table: np.ndarray) -> list[l
     The hash of a position covers the WINDOW ids up to it; no cut comes before LEAST ids, so no window crosses a document's start."""
     h = np.zeros(len(ids), np.uint64)
     g = table[ids & 0xFFFF]
-    for j in range(WINDOW):
+    for j in range(min(WINDOW, len(ids))):
         h[j:] += g[: len(g) - j] << np.uint64(j)
     marks = np.flatnonzero((h >> np.uint64(WINDOW)) & MASK == 0) + 1
     lo = np.searchsorted(marks, starts[:-1] + LEAST)
@@ -82,34 +84,32 @@ def chunker(path: str, end_id: int, wide: bool) -> Callable:
         coder, table, press = encoder(path), gear(), zstandard.ZstdCompressor(level=3)
         seen: set[bytes] = set()
         waiting: list[tuple[bytes, np.ndarray]] = []
-        count, pack, tail = 0, TaskContext.get().partitionId() << 24, np.array([end_id], "<u4").tobytes()
+        count, pack = 0, TaskContext.get().partitionId() << 24
 
         def packed():
             ids = np.concatenate([x for _, x in waiting])
             return (1, None, None, pack, b"".join(a for a, _ in waiting), np.array([len(x) for _, x in waiting], "<u4").tobytes(), press.compress((ids if wide else ids.astype("<u2")).tobytes()), None)
 
         schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("pack", pa.int64()), ("hashes", pa.binary()), ("sizes", pa.binary()), ("payload", pa.binary()), ("root", pa.binary())])
-        for batch in common.slices(batches):
+        for batch in common.blocks(batches):
             rows = []
-            coded = [x + tail for x in coder.encode(common.texts_of(batch))]
-            starts = np.zeros(len(coded) + 1, np.int64)
-            np.cumsum([len(x) // 4 for x in coded], out=starts[1:])
-            ids = np.frombuffer(b"".join(coded), "<u4")
+            ids, starts = coder.encode(batch.column("text"), end_id)
+            ids = ids.astype("<u4", copy=False)
+            raw = memoryview(ids).cast("B")
             for doc, start, ends in zip(batch.column("doc_id").to_pylist(), starts.tolist(), cut_points(ids, starts, table), strict=False):
                 addresses, at = [], 0
                 for end in ends:
-                    part = ids[start + at : start + end]
-                    addresses.append(a := hashlib.blake2b(part.tobytes(), digest_size=16).digest())
-                    at = end
+                    addresses.append(a := hashlib.blake2b(raw[4 * (start + at) : 4 * (start + end)], digest_size=16).digest())
                     if a not in seen:
-                        if len(seen) >= 1_000_000:  # forgetting only costs a second copy in the staged packs
+                        if len(seen) >= SEEN:  # forgetting only costs a second copy in the staged packs
                             seen.clear()
                         seen.add(a)
-                        waiting.append((a, part))
-                        count += len(part)
+                        waiting.append((a, ids[start + at : start + end]))
+                        count += end - at
                         if count >= PACK_IDS:
                             rows.append(packed())
                             waiting, count, pack = [], 0, pack + 1
+                    at = end
                 rows.append((0, doc, at, None, joined := b"".join(addresses), None, None, merkle_root(joined)))
             waiting = [(a, x.copy()) for a, x in waiting]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
@@ -156,8 +156,8 @@ def write_store(docs: DataFrame, store: str, vocabulary: str = "byte_bpe_50k.jso
     drops = index.join(owners, "hash").filter("pack <> owner").groupBy("pack").agg(F.collect_list("hash").alias("drop"))
     packs.join(drops, "pack", "left").select("pack", "hashes", "sizes", "payload", "drop").mapInArrow(keep_owned, "pack long, hashes binary, sizes binary, payload binary").write.option("compression", "none").parquet(f"{store}/chunks")
     recipes = stage.filter("kind = 0").select("doc_id", "n_tokens", "hashes", "root")
-    lengths = common.running_total(recipes.select("doc_id", "n_tokens", "root"), "n_tokens", "start")
-    recipes.join(lengths, ["doc_id", "n_tokens", "root"]).dropDuplicates(["doc_id", "start"]).select("doc_id", "n_tokens", "start", "hashes", "root").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "start").write.parquet(f"{store}/recipes")
+    lengths = common.running_total(recipes, "n_tokens", "start").select("doc_id", "n_tokens", "start", "hashes", "root")
+    lengths.repartitionByRange("start").sortWithinPartitions("start").write.parquet(f"{store}/recipes")
 
 
 # ---------------------------------------------------------------- reading back
@@ -224,7 +224,8 @@ def read_digests(spark: SparkSession, store: str) -> DataFrame:
     their Merkle roots and sizes; any mismatch raises."""
     chunks = spark.read.parquet(f"{store}/chunks").mapInArrow(verified_chunks, "hash binary, size long, crc long")
     recipes = spark.read.parquet(f"{store}/recipes")
-    distinct = recipes.groupBy("root", "hashes").agg(F.lit(1).alias("_")).select("root", "hashes")
+    named = recipes.groupBy("root", "hashes").agg(F.count("*").alias("copies"))
+    distinct = named.select("root", "hashes")
     parts = distinct.select("root", F.explode(split16("hashes")).alias("x")).select("root", "x.seq", "x.hash").join(chunks, "hash", "left")
     lists = parts.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("seq", "hash", "size", "crc"))).alias("p"))
 
@@ -244,7 +245,8 @@ def read_digests(spark: SparkSession, store: str) -> DataFrame:
 
     digests = lists.mapInArrow(combined, "root binary, stored long, ids_crc32 long")
     checked = F.when(F.col("stored") == F.col("n_tokens"), F.col("n_tokens")).otherwise(F.raise_error(F.lit("a recipe and its chunks differ in size")).cast("long"))
-    return recipes.select("doc_id", "start", "n_tokens", "root").join(digests, "root").select("doc_id", "start", checked.alias("n_tokens"), "ids_crc32", F.hex("root").alias("merkle_root"))
+    groups = digests.join(named.select("root", "copies"), "root")
+    return common.met(recipes.select("doc_id", "start", "n_tokens", "root"), common.staged(groups), "root", "copies").select("doc_id", "start", checked.alias("n_tokens"), "ids_crc32", F.hex("root").alias("merkle_root"))
 
 
 def read_ids(spark: SparkSession, store: str) -> DataFrame:

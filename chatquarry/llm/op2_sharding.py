@@ -8,7 +8,7 @@ that child; all others stay, so movement is confined to the subtrees whose weigh
 `grown` adds each further shard as a region of its own: no weight on any other path changes, so it takes rows only into itself.
 
 Defined cases: a null text has size 1 and the crc32 of no bytes; null ids hash alike and come first in their shard; rows that repeat an
-id share their shard and follow each other there; an empty table gives no rows; columns other than the id and the text are ignored."""
+id share their shard and follow each other there in the order of a hash; an empty table gives no rows; columns other than the id and the text are ignored."""
 
 from __future__ import annotations
 

@@ -1,8 +1,9 @@
 """Best-fit packing by bin completion: the ids of all documents go into as few sequences of at most `capacity` ids as the search finds.
 
 Documents longer than a sequence are cut into pieces of `capacity` ids, the first of which is the shorter rest. Pieces are dealt
-into groups of about GROUP pieces by a hash of their document, so any number of equal documents spreads over the groups; each
-group is packed by branch and bound on its multiset of lengths. A group wastes less than a sequence more than the whole would.
+into groups of about GROUP pieces, so any number of equal documents spreads over the groups; each group is packed by branch and bound on its multiset of lengths. A group wastes less than a sequence more than the whole would.
+
+Pieces are dealt by a hash of their whole row, so neither null ids nor rows that repeat an id gather in one group.
 
 Defined cases: a null text counts as empty and still has its end id; rows that repeat a doc_id are packed each; an empty table
 gives no rows; columns other than the id and the text are ignored."""
@@ -20,8 +21,8 @@ from . import common
 from .bpe_cache import encoder, vocabulary_path
 
 GROUP = 2048
-#: Fillings tried for one sequence, and sequences completed in one group's search, before the incumbent stands.
-FILLINGS, STEPS = 32, 2_000
+#: Fillings tried for one sequence, and sequences completed beyond a first descent without a better result before the incumbent stands.
+FILLINGS, STEPS = 8, 600
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[list[int]]:
@@ -43,69 +44,86 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[list[int]]:
 
 
 def fillings(counts: list[int], lengths: list[int], room: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of `room` with up to four of the lengths left (descending), least waste first.
+    """Undominated fillings of `room` with any number of the pieces left (lengths descending), least waste first.
 
-    One piece: only the largest that fits. More: only those that fill more than one piece could, else that piece dominates."""
+    Bit s of a reach says that pieces make the sum s. A filling that leaves more room than the largest single piece would is
+    dominated by that piece. Of fillings of an equal sum, the one with the largest pieces comes first: smaller ones fit elsewhere."""
     fit = [x for x in lengths if x <= room and counts[x]]
     if not fit:
         return [()]
-    out, tried = [(fit[0],)], 0
-    stack = [((), 0, room)]
-    while stack and tried < FILLINGS * 8:
-        chosen, start, left = stack.pop()
-        tried += 1
-        for i in range(start, len(fit)):
-            x = fit[i]
-            if x <= left and counts[x] > chosen.count(x):
-                more = (*chosen, x)
-                if room - (left - x) > fit[0]:
-                    out.append(more)
-                    if left == x:  # nothing wastes less
-                        return [more, *sorted(out, key=lambda f: (-sum(f), len(f)))[:3]]
-                if len(more) < 4:
-                    stack.append((more, i, left - x))
-                if len(stack) + len(out) > FILLINGS * 4:
-                    break
-    return sorted(set(out), key=lambda f: (-sum(f), len(f)))[:FILLINGS]
-
+    mask, reaches = (1 << (room + 1)) - 1, [1]
+    for x in fit:
+        reach, c, step = reaches[-1], min(counts[x], room // x), 1
+        while c > 0:
+            step = min(step, c)
+            reach |= (reach << (x * step)) & mask
+            c -= step
+            step *= 2
+        reaches.append(reach)
+        if reach >> room & 1:  # nothing wastes less, and smaller pieces stay for later
+            break
 
-def bin_completion(counts: np.ndarray, capacity: int) -> list[list[int]]:
-    """Sequences (lists of lengths) that hold the multiset. Depth first: the largest piece left opens a sequence, its fillings
-    are tried by waste, and a branch ends once its waste leaves no better result than the incumbent, at first best fit's."""
+    def filled(total: int, skip: int) -> tuple[int, ...] | None:
+        """Pieces of the sum, as few small ones as can be; skip: how many choices take more of a piece than they must."""
+        out: list[int] = []
+        for k in range(len(reaches) - 2, -1, -1):
+            x = fit[k]
+            for t in range(min(counts[x], total // x) + 1):
+                if reaches[k] >> (total - t * x) & 1:
+                    if skip and t < min(counts[x], total // x):
+                        skip -= 1
+                        continue
+                    out += [x] * t
+                    total -= t * x
+                    break
+            else:
+                return None
+            if not total:
+                return tuple(out)
+        return None
+
+    out, total = [], reaches[-1].bit_length() - 1
+    while total >= fit[0] and len(out) < FILLINGS:
+        if reaches[-1] >> total & 1:
+            out += [f for f in (filled(total, 0), filled(total, 1)) if f is not None]
+        total -= 1
+    return list(dict.fromkeys(out))
+
+
+def bin_completion(counts: np.ndarray, capacity: int, steps: int = STEPS) -> list[list[int]]:
+    """Sequences (lists of lengths) that hold the multiset. Depth first: the largest piece left opens a sequence, its fillings are
+    tried by waste, and a branch ends once its waste leaves no better result than the incumbent, at first best fit's. The search ends
+    at the bound, when all branches are done, or after `steps` sequences without a better result."""
     if counts[capacity]:  # a full piece is a sequence
         rest = counts.copy()
         rest[capacity] = 0
-        return [[capacity]] * int(counts[capacity]) + (bin_completion(rest, capacity) if rest.any() else [])
+        return [[capacity]] * int(counts[capacity]) + (bin_completion(rest, capacity, steps) if rest.any() else [])
     total, incumbent = int((counts * np.arange(len(counts))).sum()), best_fit(counts, capacity)
     bound = -(-total // capacity)
-    left, opened, wasted, steps = counts.tolist(), [], 0, 0
+    left, wasted, used = counts.tolist(), 0, 0
     lengths = [x for x in range(capacity, 0, -1) if left[x]]
     trail: list[tuple[list[int], list[tuple[int, ...]]]] = []
     remaining = int(counts.sum())
-
-    def undo(content: list[int]) -> None:  # nothing for an empty one
-        nonlocal wasted, remaining
-        for x in content:
-            left[x] += 1
-        remaining += len(content)
-        wasted -= capacity - sum(content) if content else 0
-
-    while len(incumbent) > bound and steps < STEPS:
-        steps += 1
+    while len(incumbent) > bound and used < steps + len(incumbent):
+        used += 1
         allowed = (len(incumbent) - 1) * capacity - total
+        if not remaining and wasted <= allowed:
+            incumbent, used = [list(x) for x, _ in trail], 0
+            continue
         if remaining and wasted <= allowed:
             largest = next(x for x in lengths if left[x])
             left[largest] -= 1
-            options = [(largest, *f) for f in fillings(left, [x for x in lengths if x <= capacity - largest], capacity - largest)]
+            options = [(largest, *f) for f in fillings(left, [x for x in lengths if left[x]], capacity - largest)]
             left[largest] += 1
             trail.append(([], options[::-1]))
-        elif not remaining and wasted <= allowed:
-            incumbent = [list(x) for x, _ in trail]
-            continue
         while trail:
             content, options = trail[-1]
-            undo(content)
-            content.clear()
+            if content:  # takes back what was tried here
+                for x in content:
+                    left[x] += 1
+                remaining += len(content)
+                wasted -= capacity - sum(content)
+                content.clear()
             if options:
                 content.extend(options.pop())
                 for x in content:
@@ -121,20 +139,25 @@ def bin_completion(counts: np.ndarray, capacity: int) -> list[list[int]]:
 
 def cutter(path: str, end_id: int, capacity: int, ids_out: bool):
     def run(batches) -> Iterator[pa.RecordBatch]:
-        coder, tail = encoder(path), np.array([end_id], "<u4").tobytes()
-        for batch in common.slices(batches):
-            rows = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(common.texts_of(batch)), strict=True):
-                ids += tail
-                n, at, k = len(ids) // 4, 0, 0
-                while at < n:
-                    end = at + ((n - at) % capacity or capacity)
-                    part = ids[4 * at : 4 * end]
-                    rows.append((doc, k, at, end - at, zlib.crc32(part), part))
-                    at, k = end, k + 1
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
-            yield pa.RecordBatch.from_arrays(columns[: 5 + ids_out], names=names[: 5 + ids_out])
+        coder = encoder(path)
+        for batch in common.blocks(batches):
+            ids, at = coder.encode(batch.column("text"), end_id)
+            raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+            n = np.diff(at)
+            count = -(-n // capacity)
+            row = np.repeat(np.arange(len(n)), count)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            # the first piece is the shorter rest
+            rest = n - (count - 1) * capacity
+            start = np.where(piece > 0, rest[row] + (piece - 1) * capacity, 0)
+            length = np.where(piece > 0, capacity, rest[row])
+            bounds = zip((4 * (at[row] + start)).tolist(), (4 * (at[row] + start + length)).tolist(), strict=True)
+            parts = [raw[a:b] for a, b in bounds]
+            columns = [batch.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array([zlib.crc32(x) for x in parts], pa.int64())]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            if ids_out:
+                columns, names = [*columns, pa.array([bytes(x) for x in parts], pa.binary())], [*names, "ids"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
@@ -164,7 +187,8 @@ def pack(table: DataFrame, capacity: int = 1024, group: int = GROUP) -> DataFram
             rows = rows.select(names).append_column("sequence_id", pa.array([(key << 32) + n for n, _ in where], pa.int64())).append_column("offset", pa.array([o for _, o in where], pa.int64()))
             yield from rows.combine_chunks().to_batches()
 
-    dealt = table.withColumn("g", F.pmod(F.xxhash64("doc_id", F.shiftright("piece", 6)), F.lit(groups)))
+    # a row's place in its file tells rows apart that are alike in all columns; the staged files don't change
+    dealt = table.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields)
     return dealt.repartition("g").sortWithinPartitions("g", "doc_id", "piece").mapInArrow(solve, f"{kinds}, sequence_id long, offset long")
 

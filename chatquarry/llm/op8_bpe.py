@@ -19,14 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common
-from .bpe_cache import LONG, Memo, vocabulary_path
-
-
-def byte_letters() -> dict[int, str]:
-    """Printable letters for all bytes: printable Latin-1 stands for itself, the others follow from U+0100 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(others)}
+from .bpe_cache import LONG, Memo, byte_letters, vocabulary_path
 
 
 class WordBpe:

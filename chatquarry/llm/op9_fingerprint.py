@@ -1,69 +1,88 @@
 """Threshold-scaled sketches: of a text's word shingles, every one whose hash lies below a fixed fraction of the range is kept.
 
-Sketches of equal scale merge by union and estimate Jaccard similarity and containment without bias, however unequal the texts are.
-A fingerprint is `scale:shingle count:text digest:hashes`; the digest tells equal word sequences from texts whose sketches are alike.
+Sketches merge by union and estimate Jaccard similarity and containment without bias, however unequal the texts are. A text of at
+most SMALL shingles keeps them all (scale 1), so that short near copies are found too; two sketches compare and merge at the coarser
+of their scales. A fingerprint is `scale:shingle count:text digest:hashes`; the digest tells equal word sequences from texts whose
+sketches are alike.
 
 Likeness: 1 for an equal digest; otherwise the Jaccard estimate of the sketches, 0 where both are empty.
 
 Defined cases: a null text counts as empty; a text of fewer than k words is one shingle, and a blank one none; the first document
-follows the last; rows that repeat an id follow each other in text order; an empty table gives no rows; columns other than the id
-and the text are ignored."""
+follows the last; null ids come last, and rows that repeat an id follow each other in the order of a hash of the text; an empty table
+gives no rows; columns other than the id and the text are ignored."""
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from . import common
 from .words import shingles, word_hashes
 
-SCALE, K = 8, 5
+SCALE, SMALL, K = 8, 256, 5
+#: A sketch with the digest of its word sequence: (digest, scale, hashes).
+Sketch = tuple[bytes, int, np.ndarray]
 
 
-def sketch(words: np.ndarray, scale: int = SCALE, k: int = K) -> tuple[int, np.ndarray]:
-    """Number of distinct shingles, and the kept hashes (upper 48 bits), sorted."""
+def below(kept: np.ndarray, scale: int) -> np.ndarray:
+    """The hashes (upper 48 bits, sorted) that a sketch of this scale keeps."""
+    return kept[: np.searchsorted(kept, np.uint64(2**48 // scale))]
+
+
+def sketch(words: np.ndarray, scale: int = SCALE, k: int = K, small: int = SMALL) -> tuple[int, int, np.ndarray]:
+    """Number of distinct shingles, the scale, and the kept hashes (upper 48 bits), sorted."""
     s = np.unique(shingles(words, k))
-    return len(s), s[: np.searchsorted(s, np.uint64(2**64 // scale))] >> np.uint64(16)
+    scale = scale if len(s) > small else 1
+    return len(s), scale, below(s >> np.uint64(16), scale)
 
 
-def printed(words: np.ndarray, scale: int = SCALE, k: int = K) -> tuple[str, bytes, np.ndarray]:
-    """The fingerprint, its digest and its hashes."""
-    n, kept = sketch(words, scale, k)
+def printed(words: np.ndarray, scale: int = SCALE, k: int = K) -> tuple[str, Sketch]:
+    """The fingerprint and its sketch."""
+    n, scale, kept = sketch(words, scale, k)
     d = hashlib.blake2b(words.tobytes(), digest_size=9).digest()
     body = np.ascontiguousarray(kept.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
-    return f"{scale}:{n}:{base64.b64encode(d).decode()}:{base64.b64encode(body).decode()}", d, kept
+    return f"{scale}:{n}:{base64.b64encode(d).decode()}:{base64.b64encode(body).decode()}", (d, scale, kept)
 
 
-def parsed(fingerprint: str) -> tuple[int, int, bytes, np.ndarray]:
+def parsed(fingerprint: str) -> tuple[int, Sketch]:
+    """The shingle count and the sketch."""
     scale, n, d, body = fingerprint.split(":")
     raw = np.frombuffer(base64.b64decode(body), np.uint8).reshape(-1, 6)
-    return int(scale), int(n), base64.b64decode(d), np.pad(raw, ((0, 0), (2, 0))).copy().view(">u8").ravel().astype(np.uint64)
+    return int(n), (base64.b64decode(d), int(scale), np.pad(raw, ((0, 0), (2, 0))).copy().view(">u8").ravel().astype(np.uint64))
+
+
+def common_scale(a: Sketch, b: Sketch) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of both at the coarser of their scales."""
+    scale = max(a[1], b[1])
+    return below(a[2], scale), below(b[2], scale)
 
 
-def likeness(a: tuple[bytes, np.ndarray], b: tuple[bytes, np.ndarray]) -> float:
+def likeness(a: Sketch, b: Sketch) -> float:
     if a[0] == b[0]:
         return 1.0
-    both = len(np.intersect1d(a[1], b[1], assume_unique=True))
-    return both / (len(a[1]) + len(b[1]) - both) if both else 0.0
+    x, y = common_scale(a, b)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if both else 0.0
 
 
 def contained(a: str, b: str) -> float:
     """Estimated share of a's shingles that b has too; 1 for an equal digest, 0 where a's sketch is empty."""
-    _, _, d, x = parsed(a)
-    _, _, e, y = parsed(b)
-    return 1.0 if d == e else len(np.intersect1d(x, y, assume_unique=True)) / len(x) if len(x) else 0.0
+    p, q = parsed(a)[1], parsed(b)[1]
+    x, y = common_scale(p, q)
+    return 1.0 if p[0] == q[0] else len(np.intersect1d(x, y, assume_unique=True)) / len(x) if len(x) else 0.0
 
 
-def merged(a: str, b: str) -> np.ndarray:
-    """The sketch of both texts' shingles together."""
-    return np.union1d(parsed(a)[3], parsed(b)[3])
+def merged(a: str, b: str) -> tuple[int, np.ndarray]:
+    """The scale and the hashes of the sketch of both texts' shingles together."""
+    p, q = parsed(a)[1], parsed(b)[1]
+    return max(p[1], q[1]), np.union1d(*common_scale(p, q))
 
 
 def fingerprints(docs: DataFrame, scale: int = SCALE, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -72,7 +91,7 @@ def fingerprints(docs: DataFrame, scale: int = SCALE, k: int = K, id_col: str =
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             words, at = word_hashes(common.texts_of(batch))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([printed(words[a:b], scale, k)[0] for a, b in zip(at[:-1], at[1:], strict=True)])], names=["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([printed(words[a:b], scale, k)[0] for a, b in zip(at[:-1], at[1:], strict=True)], pa.string())], names=["doc_id", "fingerprint"])
 
     return common.id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fingerprint string")
 
@@ -83,64 +102,77 @@ def edited(own: str, following: str) -> str:
     return own[: len(own) - half] + following[:half]
 
 
-def compare(scale: int, k: int):
-    """Rows come sorted by block, a block's own rows first, in descending order; its last row is the copy that follows them."""
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
+def prints_of(texts: list[str], scale: int, k: int) -> list[tuple[str, Sketch]]:
+    words, at = word_hashes(texts)
+    return [printed(words[a:b], scale, k) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def results(todo: list, scale: int, k: int) -> list[pa.Array]:
+    """The columns of RESULT for pairs of (doc_id, text, print) and what follows it."""
+    changed = [edited(x[1], y[1]) for x, y in todo]
+    prints = prints_of(changed, scale, k)
+    return [
+        pa.array([x[0] for x, _ in todo], pa.int64()),
+        pa.array([len(x[1]) for x, _ in todo], pa.int64()),
+        pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed], pa.string()),
+        pa.array([x[2][0] for x, _ in todo], pa.string()),
+        pa.array([p[0] for p in prints], pa.string()),
+        pa.array([likeness(x[2][1], p[1]) for (x, _), p in zip(todo, prints, strict=True)], pa.float64()),
+        pa.array([likeness(x[2][1], y[2][1]) for x, y in todo], pa.float64()),
+    ]
+
+
+def compare_in_order(scale: int, k: int):
+    """Compares each row with the one after it; a task's first and last row come out with their texts, edge 1 and 2."""
+    names = [f.split()[0] for f in RESULT.split(", ")]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        held = None  # the last row: block, doc_id, text, printed
+        part, first, held = TaskContext.get().partitionId(), None, None
         for batch in common.slices(batches):
             texts = common.texts_of(batch)
-            words, at = word_hashes(texts)
-            prints = [printed(words[a:b], scale, k) for a, b in zip(at[:-1], at[1:], strict=True)]
-            rows = list(zip(batch.column("block").to_pylist(), batch.column("own").to_pylist(), batch.column("doc_id").to_pylist(), texts, prints, strict=True))
             todo = []
-            for row in rows:
-                if held is not None and held[0] == row[0] and held[1]:
+            for row in zip(batch.column("doc_id").to_pylist(), texts, prints_of(texts, scale, k), strict=True):
+                first = first or row
+                if held is not None:
                     todo.append((held, row))
                 held = row
-            if not todo:
-                continue
-            changed = [edited(x[3], y[3]) for x, y in todo]
-            words, at = word_hashes(changed)
-            prints = [printed(words[a:b], scale, k) for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([x[2] for x, _ in todo], pa.int64()),
-                    pa.array([len(x[3]) for x, _ in todo], pa.int64()),
-                    pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed]),
-                    pa.array([x[4][0] for x, _ in todo]),
-                    pa.array([p[0] for p in prints]),
-                    pa.array([likeness(x[4][1:], p[1:]) for (x, _), p in zip(todo, prints, strict=True)]),
-                    pa.array([likeness(x[4][1:], y[4][1:]) for x, y in todo]),
-                ],
-                names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-            )
+            if todo:
+                n = len(todo)
+                yield pa.RecordBatch.from_arrays([*results(todo, scale, k), pa.array([part] * n, pa.int32()), pa.array([0] * n, pa.int32()), pa.nulls(n, pa.string())], names=[*names, "part", "edge", "text"])
+        if held is not None:
+            ends = [pa.array([first[0], held[0]], pa.int64()), *[pa.nulls(2, t) for t in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())]]
+            yield pa.RecordBatch.from_arrays([*ends, pa.array([part] * 2, pa.int32()), pa.array([1, 2], pa.int32()), pa.array([first[1], held[1]], pa.string())], names=[*names, "part", "edge", "text"])
+
+    return run
+
+
+def compare_pairs(scale: int, k: int):
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            own, after = ([t or "" for t in batch.column(c).to_pylist()] for c in ("text", "next"))
+            todo = [((i, x, p), (None, y, q)) for i, x, p, y, q in zip(batch.column("doc_id").to_pylist(), own, prints_of(own, scale, k), after, prints_of(after, scale, k), strict=True)]
+            yield pa.RecordBatch.from_arrays(results(todo, scale, k), names=[f.split()[0] for f in RESULT.split(", ")])
 
     return run
 
 
-def with_edited(docs: DataFrame, scale: int = SCALE, k: int = K, id_col: str = "doc_id", text_col: str = "text", bits: int = 8) -> DataFrame:
+def with_edited(docs: DataFrame, scale: int = SCALE, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Compares each text with its edited text and with the next one in descending order of ids (null ids come last).
 
-    Ids fall into blocks of neighbours; a block and the first row of the block that follows make one sorted run, so a text
-    moves once, and first rows twice."""
-    docs = common.id_and_text(docs, id_col, text_col)
-    lo, hi, n = docs.select(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    shift = bits + max(0, math.floor(math.log2((hi - lo + 1) / n))) if n else bits
-    placed = docs.withColumn("block", F.coalesce(F.shiftright(F.col("doc_id") - F.lit(lo or 0), shift), F.lit(-1)))
-    heads = placed.groupBy("block").agg(F.max("doc_id").alias("doc_id"), F.lit(1).alias("one"))
-    ranked = common.staged(common.running_total(heads, "one", "rank", order="block", bits=bits).select("block", "doc_id", "rank"))
-    count = ranked.count()
-    # the head of a block follows the block above it; the first block's head follows the lowest block
-    above = ranked.select(F.col("block").alias("receiver"), F.pmod(F.col("rank") - 1, F.lit(max(1, count))).alias("rank"))
-    receivers = ranked.join(above, "rank").select("doc_id", "block", "receiver")
-    receivers = common.staged(receivers.withColumnRenamed("doc_id", "head"))
-    likely = common.maybe_in(placed, F.coalesce("doc_id", F.lit(0)), receivers.select(F.coalesce("head", F.lit(0)).alias("key")))
-    copies = likely.join(receivers, "block").filter(F.col("doc_id").eqNullSafe(F.col("head"))).select(F.col("receiver").alias("block"), "doc_id", "text")
-    copies = copies.withColumn("nth", F.row_number().over(Window.partitionBy("block", "doc_id").orderBy(F.desc_nulls_last("text")))).filter("nth = 1").drop("nth")
-    runs = placed.select("block", F.lit(True).alias("own"), "doc_id", "text").unionByName(copies.select("block", F.lit(False).alias("own"), "doc_id", "text"))
-    sorted_runs = runs.repartition("block").sortWithinPartitions("block", F.desc("own"), F.desc_nulls_last("doc_id"), F.desc_nulls_last("text"))
-    return sorted_runs.mapInArrow(compare(scale, k), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    Texts are dealt by ranges of ids, drawn from what the table holds, and move once; a range's last text meets the first one of the
+    next range afterwards."""
+    docs = common.id_and_text(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
+    order = (F.desc_nulls_last("doc_id"), F.asc("tie"))
+    every = common.staged(docs.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(compare_in_order(scale, k), f"{RESULT}, part int, edge int, text string"))
+    edges = every.filter("edge > 0")
+    firsts, lasts = edges.filter("edge = 1").select(F.col("part").alias("to"), F.col("text").alias("next")), edges.filter("edge = 2").select("part", "doc_id", "text")
+    after = Window.orderBy("part")  # a row for each range
+    parts = lasts.select("part").withColumn("to", F.coalesce(F.lead("part").over(after), F.first("part").over(after)))
+    seams = lasts.join(parts, "part").join(firsts, "to").select("doc_id", "text", "next").mapInArrow(compare_pairs(scale, k), RESULT)
+    return every.filter("edge = 0").drop("part", "edge", "text").unionByName(seams)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
