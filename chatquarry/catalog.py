@@ -142,10 +142,11 @@ def duplicate_keys(spark, d):
 
 
 def masked(column: str) -> str:
-    out = column
-    for pattern, mark in ((text.EMAIL, "[EMAIL]"), (text.CARD, "[CARD]"), (text.PHONE, "[PHONE]")):
-        out = f"regexp_replace({out}, '{pattern}', '{mark}', 'g')"
-    return rf"regexp_replace({out}, '{text.SECRET}', '\1\2[SECRET]', 'g')".replace(r"\n\t]+", "\\n\\t]+")
+    """The masks of the library's rules (see tests for what they must do), in their order."""
+    out = f"coalesce({column}, '')"
+    for pattern, mark in text.MASKS:
+        out = f"regexp_replace({out}, '{pattern}', '{mark.replace('$1', chr(92) + '1')}', 'g')"
+    return out
 
 
 @query(f"SELECT doc_id, md5({masked('text')}) AS masked FROM documents")
@@ -158,12 +159,12 @@ def token_estimates(spark, d):
     return table(spark, d, "documents").select("doc_id", text.tokens_estimate("text").alias("tokens"), F.length("text").alias("chars"))
 
 
-@query(r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), 'https?://[^ \n\t]+', ' ', 'g'), '[ \t]+', ' ', 'g'), ' ')) AS normal FROM documents")
+@query(r"SELECT doc_id, md5(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[^\P{C}\n\t ]', '', 'g'), '^\s+|\s+$', '', 'g'), '[ \t]+', ' ', 'g'), '(?i)https?://\S+|www\.\S+', ' ', 'g'), '^\s+|\s+$', '', 'g'))) AS normal FROM documents")
 def normalize_text(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(text.normalized("text")).alias("normal"))
 
 
-SCORE = r"(CASE WHEN regexp_matches(text, 'https?://') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(text, '[0-9]{1,2}:[0-9]{2}') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(text, '\[(PHOTO|VIDEO|AUDIO)\]') THEN 2 ELSE 0 END + CASE WHEN length(text) > 200 THEN 1 ELSE 0 END)"
+SCORE = "(" + " + ".join(f"CASE WHEN {' OR '.join(f"contains(lower(text), '{w}')" for w in words)} THEN {points} ELSE 0 END" for points, words in text.SIGNALS) + " + CASE WHEN length(text) > 200 THEN 1 ELSE 0 END)"
 
 
 @query(f"SELECT doc_id, {SCORE}::INT AS score FROM documents WHERE {SCORE} > 0 ORDER BY score DESC, doc_id LIMIT 60")
@@ -311,9 +312,11 @@ def stream_dedup(spark, d):
     return ingest.drained(ingest.deduplicated(ingest.stream(spark, f"{d}/[e]vents.parquet").unionByName(ingest.stream(spark, f"{d}/[e]vents.parquet")), ["event_id"])).select("event_id", "user_id")
 
 
-@query()
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
 def stream_window_counts(spark, d):
-    return ingest.drained(ingest.window_counts(ingest.stream(spark, f"{d}/[e]vents.parquet"), "1 hour"))
+    """The windows that the watermark has closed."""
+    return ingest.drained(ingest.window_counts(ingest.stream(spark, f"{d}/[e]vents.parquet"), "1 hour")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
 
 
 UNIT = "CASE event_id % 6 WHEN 0 THEN ' B' WHEN 1 THEN 'KB' WHEN 2 THEN ' kib' WHEN 3 THEN ' MB' WHEN 4 THEN 'GiB' ELSE ' parsec' END"
@@ -437,6 +440,9 @@ def surest_spans(spark, d):
     return kept.select("conv_id", F.inline("kept"))
 
 
+from . import chat_catalog  # noqa: E402, F401  (adds its queries)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -11,7 +11,7 @@ UNITS = {
 }
 #: MIME types whose text can be extracted (fixed values).
 OFFICE = ["application/pdf", "application/msword", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"]
-#: Kinds of images, in the order in which a description is searched for them (fixed values).
+#: Kinds of images (fixed values); a description that names several takes the first by this order, which is ours.
 IMAGES = ["selfie", "meme", "generic", "document"]
 #: Seconds of a unit of time; a month has 30 days (fixed values).
 SECONDS = {"minutes": 60, "hours": 3600, "days": 86_400, "weeks": 604_800, "months": 2_592_000}
@@ -19,7 +19,7 @@ SECONDS = {"minutes": 60, "hours": 3600, "days": 86_400, "weeks": 604_800, "mont
 
 def size_bytes(column: Column) -> Column:
     """Bytes of a size such as `1.5 GiB`; 0 where it can't be read."""
-    pattern = r"^\s*([0-9]*\.?[0-9]+)\s*([A-Za-z]*)\s*$"
+    pattern = r"^\s*([0-9]+(?:[.][0-9]+)?|[.][0-9]+)\s*([A-Za-z]*)\s*$"  # a number, with or without a fraction or its whole part, and a unit
     unit = F.upper(F.regexp_extract(column, pattern, 2))
     table = F.create_map(*[F.lit(x) for u, n in UNITS.items() for x in (u, float(n))])
     value = F.regexp_extract(column, pattern, 1).try_cast("double") * table[F.when(unit == "", "B").otherwise(unit)]

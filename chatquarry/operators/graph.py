@@ -5,24 +5,64 @@ from __future__ import annotations
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
-from ..plans.retrieval import dot, norm
 
+#: Nodes that meet in one cell.
+BLOCK = 1024
 
-def similarity_edges(nodes: DataFrame, threshold: float, blocks: int = 16) -> DataFrame:
+
+def similarity_edges(nodes: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """Pairs (a < b) of nodes (id, embedding) with a cosine of at least the threshold.
 
-    Every pair of blocks is a group of its own, so an all-pairs comparison spreads evenly and nothing is broadcast."""
-    n = nodes.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("_n", norm(F.col("embedding")))
-    sides = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = n.select(F.col("id").alias("a"), F.col("embedding").alias("x"), F.col("_n").alias("nx"), F.col("_b").alias("p"), F.explode(sides).alias("q"))
-    right = n.select(F.col("id").alias("b"), F.col("embedding").alias("y"), F.col("_n").alias("ny"), F.explode(sides).alias("p"), F.col("_b").alias("q"))
-    pairs = left.join(right, ["p", "q"]).filter("a < b")
-    return pairs.select("a", "b", (dot(F.col("x"), F.col("y")) / (F.col("nx") * F.col("ny"))).alias("sim")).filter(F.col("sim") >= threshold)
+    Nodes are dealt into blocks of about `block`; each two blocks, one of them at most once with itself, meet in a cell of their own,
+    which multiplies two matrices. Nothing is broadcast, and a task holds two blocks, whatever the number of nodes. Nodes without a
+    vector, or with one of length 0, have no edges."""
+    import numpy as np
+    import pyarrow as pa
+
+    blocks = max(1, -(-nodes.count() // block))
+    n = nodes.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    cells = n.withColumn("o", other).select("id", "v", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), (F.col("b") == F.least("b", "o")).alias("first"))
+
+    def pairs(batches):
+        held, at = [], None
+
+        def met():
+            ids, first = np.array([h[0] for h in held]), np.array([h[1] for h in held])
+            v = np.array([h[2] for h in held], np.float64)
+            v = v / np.linalg.norm(v, axis=1, keepdims=True)
+            x = np.flatnonzero(first)
+            y = x if at[0] == at[1] else np.flatnonzero(~first)
+            sim = v[x] @ v[y].T
+            i, j = np.nonzero(sim >= threshold)
+            a, b, s = ids[x[i]], ids[y[j]], sim[i, j]
+            keep = a < b if at[0] == at[1] else a != b
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep]), pa.array(s[keep])], names=["a", "b", "sim"])
+
+        for batch in batches:
+            v = batch.column("v")
+            flat, offsets = v.flatten().to_numpy(zero_copy_only=False), v.offsets.to_numpy() - v.offsets[0].as_py()
+            for k, (i, f, p, q) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "first", "p", "q")), strict=True)):
+                if held and (p, q) != at:
+                    yield met()
+                    held = []
+                at = (p, q)
+                own = flat[offsets[k] : offsets[k + 1]]
+                if len(own) and own.any():
+                    held.append((i, f, own))
+        if held:
+            yield met()
+
+    return cells.filter("size(v) > 0").repartition("p", "q").sortWithinPartitions("p", "q").mapInArrow(pairs, "a long, b long, sim double")
 
 
-def merged_edges(similar: DataFrame, replies: DataFrame) -> DataFrame:
-    """Both kinds of edges in one table: weight is the greater of the similarity and a tenth of the interactions, at most 1."""
+def merged_edges(similar: DataFrame, replies: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Both kinds of edges in one table: weight is the greater of the similarity and a tenth of the interactions, at most 1.
+    With nodes (id), edges need both ends among them."""
+    if nodes is not None:
+        replies = replies.join(nodes.select(F.col("id").alias("user_a")), "user_a", "left_semi").join(nodes.select(F.col("id").alias("user_b")), "user_b", "left_semi")
     r = replies.select(F.col("user_a").alias("a"), F.col("user_b").alias("b"), "interactions")
     both = similar.join(r, ["a", "b"], "full_outer")
     strength = F.least(F.col("interactions") / 10.0, F.lit(1.0))
@@ -41,7 +81,27 @@ def sub_graph(nodes: DataFrame, edges: DataFrame, cluster: int) -> DataFrame:
     return edges.join(own.withColumnRenamed("id", "a"), "a", "left_semi").join(own.withColumnRenamed("id", "b"), "b", "left_semi")
 
 
+def user_texts(messages: DataFrame, most: int = 8000) -> DataFrame:
+    """Of each numeric sender the first name by time, the number of messages and their texts in order, cut at `most` characters.
+
+    messages: sender (long), name, ts, doc_id, content. A sender's texts are cut to what can count before they are joined."""
+    by = Window.partitionBy("sender").orderBy("ts", "doc_id")
+    rows = messages.filter("sender is not null").withColumn("_before", F.coalesce(F.sum(F.length("content") + 1).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    part = F.when(F.col("_before") < most, F.struct("ts", "doc_id", "content"))
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["content"]), "\n")
+    return rows.groupBy("sender").agg(F.min_by("name", F.struct("ts", "doc_id")).alias("name"), F.count("*").alias("n"), F.substring(texts, 1, most).alias("texts"))
+
+
+def cluster_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: the clusters' ids, and the numbers of nodes and edges."""
+    n = nodes.agg(F.array_sort(F.collect_set("cluster")).alias("clusters"), F.count("*").alias("nodes"))
+    return n.join(edges.agg(F.count("*").alias("edges")))
+
+
 def clusters(nodes: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
-    """K-means labels of nodes (id, embedding)."""
+    """K-means labels of nodes (id, embedding): as many clusters as nodes where there are fewer than k; all 0 for under two nodes."""
+    n = nodes.limit(k).count()
+    if n < 2:
+        return nodes.select("id", F.lit(0).alias("cluster"))
     vectors = nodes.select("id", array_to_vector("embedding").alias("features"))
-    return KMeans(k=k, seed=seed).fit(vectors).transform(vectors).select("id", F.col("prediction").alias("cluster"))
+    return KMeans(k=min(k, n), seed=seed).fit(vectors).transform(vectors).select("id", F.col("prediction").alias("cluster"))

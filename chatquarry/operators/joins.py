@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from .order import numbered
+
 
 def reply_pairs(messages: DataFrame) -> DataFrame:
     """How often two senders answer each other. messages: chat, doc_id, reply_to, sender."""
@@ -16,18 +18,38 @@ def reply_pairs(messages: DataFrame) -> DataFrame:
 
 def with_reply_to(messages: DataFrame, chat: str = "chat") -> DataFrame:
     """Takes each message for an answer to the one before it in its chat."""
-    return messages.withColumn("reply_to", F.lag("doc_id").over(Window.partitionBy(chat).orderBy("ts", "doc_id")))
+    rows = numbered(messages, chat, "ts", "doc_id")
+    before = rows.select(F.col(chat).alias("_chat"), (F.col("rn") + 1).alias("_rn"), F.col("doc_id").alias("reply_to"))
+    return rows.join(before, F.col(chat).eqNullSafe(F.col("_chat")) & (F.col("rn") == F.col("_rn")), "left").drop("_chat", "_rn", "rn")
 
 
 def neighbours(messages: DataFrame, targets: DataFrame, n: int) -> DataFrame:
     """The targets (column doc_id) with the n messages before and after each in its chat: one numbering, one join."""
-    numbered = messages.withColumn("rn", F.row_number().over(Window.partitionBy("chat").orderBy("ts", "doc_id")))
-    hits = numbered.join(targets.select("doc_id"), "doc_id", "left_semi").select("chat", F.explode(F.sequence(F.col("rn") - n, F.col("rn") + n)).alias("rn"), F.col("doc_id").alias("target"), F.col("rn").alias("at"))
-    return hits.join(numbered, ["chat", "rn"]).select("target", "chat", "doc_id", (F.col("rn") - F.col("at")).alias("distance"))
+    rows = numbered(messages, "chat", "ts", "doc_id")
+    hits = rows.join(targets.select("doc_id"), "doc_id", "left_semi").select("chat", F.explode(F.sequence(F.col("rn") - n, F.col("rn") + n)).alias("rn"), F.col("doc_id").alias("target"), F.col("rn").alias("at"))
+    return hits.join(rows, ["chat", "rn"]).select("target", "chat", "doc_id", (F.col("rn") - F.col("at")).alias("distance"))
+
+
+def bundle(messages: DataFrame, hits: DataFrame, window: int, top: int) -> DataFrame:
+    """Hits (doc_id, rank) and the neighbours of the first `top`: each message once, as a hit if it is one, with `primary`."""
+    near = neighbours(messages, hits.filter(F.col("rank") <= top), window).select("doc_id", F.lit(False).alias("primary"))
+    both = hits.select("doc_id", F.lit(True).alias("primary")).unionByName(near)
+    return messages.join(both.groupBy("doc_id").agg(F.max("primary").alias("primary")), "doc_id")
+
+
+def update(base: DataFrame, changes: DataFrame, key: str, columns: list[str], order: str) -> DataFrame:
+    """Rows of the base with what their last change supplies (not null); changes of keys that the base lacks are dropped."""
+    given = F.max_by(F.struct(*columns), F.col(order)).alias("_new")
+    last = changes.groupBy(F.col(key).alias("_key")).agg(given)
+    both = base.join(last, F.col(key) == F.col("_key"), "left")
+    return both.select(*[F.coalesce(f"_new.{c}", c).alias(c) if c in columns else F.col(c) for c in base.columns])
 
 
-def upsert(base: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Rows of both; columns that a change supplies (not null) replace the old ones."""
+def upsert(base: DataFrame, changes: DataFrame, key: str, columns: list[str], order: str | None = None) -> DataFrame:
+    """Rows of both; columns that a change supplies (not null) replace the old ones. Of several changes of a key each column takes
+    the last one by `order`, if that is given; otherwise keys must not repeat."""
+    if order is not None:
+        changes = changes.groupBy(key).agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns])
     new = changes.select(F.col(key), *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_given"))
     both = base.select(key, *columns).join(new, key, "full_outer")
     return both.select(key, *[F.coalesce(f"_new_{c}", c).alias(c) for c in columns])

@@ -2,29 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..operators import history, sequences
 
 
-@dataclass(frozen=True)
-class Plan:
-    mode: str
-    limit: int
-    window: int
-
-
-def plan_of(query: str, limit: int = 20) -> Plan:
-    """Short queries search both ways and widely; longer ones by vectors."""
-    words = query.lower().split()
-    if any(w in ("task", "homework", "assignment") for w in words):
-        return Plan("hybrid", max(limit, 120), 1)
-    return Plan("hybrid", max(limit, 80), 1) if len(words) <= 3 else Plan("vector", limit, 1)
-
-
 def lexical(rows: DataFrame, needle: str, column: str, by: str, tie: str, limit: int) -> DataFrame:
     """The newest rows that contain the needle, with their rank."""
     hits = history.page(rows.filter(history.contains_folded(column, needle)), by, tie, limit)

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from chatquarry import catalog
-from chatquarry.functions import text
+from chatquarry.functions import names, text
 from chatquarry.operators import joins, sequences
 from chatquarry.plans import retrieval
 
@@ -50,9 +50,9 @@ def test_segments(spark):
 def test_masking_and_scripts(spark):
     df = spark.createDataFrame([("mail a.b@c.org, card 1234 5678 9012 3456, token: abc",), ("привіт світ",), ("12345",), ("",), (None,)], "t string")
     got = [tuple(r) for r in df.select(text.mask_pii("t"), text.script_hint("t"), text.tokens_estimate("t")).collect()]
-    assert got[0][0] == "mail [EMAIL], card [CARD], token: [SECRET]"
+    assert got[0][0] == "mail <EMAIL_MASKED>, card <CC_MASKED>, token: <SECRET_MASKED>"
     assert [g[1] for g in got[1:4]] == ["uk", "unknown", "unknown"] and got[3][2] == 1
-    assert df.filter("t like 'при%'").select(text.to_latin(df.t)).first()[0] == "privit svit"
+    assert df.filter("t like 'при%'").select(names.to_latin(df.t)).first()[0] == "privit svit"
 
 
 def test_gaps(spark):
