@@ -1,17 +1,20 @@
 """Exact Jaccard self-join on word shingles by set-relation skipping, and the groups its links form.
 
-Index: each set's prefix under a global order (shingles found common in the corpus last) goes into inverted lists, with the set's
-size, the shingle's position and a parity signature. Lists are cut into blocks by size; blocks whose sizes or positions exclude a
-link are skipped whole, and so are postings within them.
+Index: each set's prefix under a global order goes into inverted lists, with the set's size, the shingle's position and a parity
+signature. Shingles of rare words come first in the order, shingles found common in the corpus last, so that few lists hold sets
+that don't resemble each other. Lists are cut into blocks by size and position; two blocks whose sizes, least positions or distances
+exclude a link are skipped whole, and so are postings within them.
 Answers: equal sets are one class and share their answers. Every list first compares its sets to one pivot. A set's further answers
 are derived from the pivot's: two sets whose distances to a pivot add up to no more than linked sets may differ in are linked without
 being compared, and two whose distances differ by more aren't. Only pairs that neither bound settles are compared.
 
-All links between classes are returned.
+`links` returns all links between classes. `grouped` asks only what links lead to: there a pivot's answers are one component, so
+pairs within it need no comparison, and a group of copies costs in proportion to its size.
 
 Defined cases: a null or blank text has an empty set, n_shingles 0, and is linked with nothing; a text of fewer than k words is
-one shingle; equal texts share a component (unless empty); repeated rows with an equal id stay rows; an empty table gives no
-rows; columns other than the id and the text are ignored. Shingles are 64-bit hashes; a class is named by a 128-bit digest."""
+one shingle; equal texts share a component (unless empty); null ids stay rows of their own, are the smallest id of nothing but a
+component that has no other, and rows that repeat an id with other texts stay apart; an empty table gives no rows; columns other than
+the id and the text are ignored. Shingles are 64-bit hashes; a class is named by a 128-bit digest."""
 
 from __future__ import annotations
 
@@ -21,21 +24,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.window import Window
 
 from . import common
 from .words import shingle_lists, word_hashes
 
-#: At most so many common shingles go last in the order; the order decides the cost, never the result.
-COMMON, BITMAP_BITS, BLOCK, WIDE = 200_000, 24, 256, 4096
-#: Shingles gathered in a task before the common ones among them are counted.
-GATHERED = 4_000_000
+#: At most so many common shingles go last in the order, and so many common words count in it; the order decides the cost, never the result.
+COMMON, COMMON_WORDS, BITMAP_BITS, BLOCK, WIDE = 200_000, 1 << 17, 26, 256, 4096
+#: Shingles, and words, gathered in a task before the common ones among them are counted.
+GATHERED = 2_000_000
+#: Digests that a task remembers.
+SEEN = 200_000
 
 
-def sets_of(batch, k: int) -> list[np.ndarray]:
+def unique_sets(words: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
     """Each text's sorted distinct shingles."""
     out = []
-    for s in shingle_lists(*word_hashes(common.texts_of(batch)), k):
+    for s in shingle_lists(words, at, k):
         s = np.sort(s)
         out.append(s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s)
     return out
@@ -57,64 +61,80 @@ def least_shared(n, m, t: int) -> int:
 
 
 def profile(k: int):
-    """kind 0: a document's set size and digest; kind 1: shingles that several of this task's distinct sets hold."""
+    """kind 0: a document's set size, digest and text key; kind 1: shingles that several of this task's distinct sets hold; kind 2:
+    words that come often in this task."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        held, n, seen = [], 0, set()
+        held: dict[int, list[np.ndarray]] = {1: [], 2: []}
+        seen: set[bytes] = set()
 
-        def counted():
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            h, c = h[c > 2], c[c > 2]
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int32)), pa.array(h.view(np.int64)), pa.array(c.astype(np.int64)), pa.nulls(len(h), pa.binary())], names=["kind", "id", "n", "digest"])
+        def counted(kind: int, least: int):
+            h, c = np.unique(np.concatenate(held[kind]), return_counts=True)
+            held[kind] = []
+            h, c = h[c > least], c[c > least]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), pa.array(h.view(np.int64)), pa.array(c.astype(np.int64)), pa.nulls(len(h), pa.binary()), pa.nulls(len(h), pa.int64())], names=["kind", "id", "n", "digest", "key"])
 
         for batch in common.slices(batches):
-            sets = sets_of(batch, k)
+            words, at = word_hashes(common.texts_of(batch))
+            sets = unique_sets(words, at, k)
             names = [digest(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary())], names=["kind", "id", "n", "digest"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), batch.column("key")], names=["kind", "id", "n", "digest", "key"])
+            held[2].append(words)
             for s, d in zip(sets, names, strict=True):
                 if d is not None and d not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
                     seen.add(d)
-                    held.append(s)
-                    n += len(s)
-            if n > GATHERED:
-                yield counted()
-                held, n, seen = [], 0, set()
-        if held:
-            yield counted()
+                    held[1].append(s)
+            for kind, least in ((1, 2), (2, 7)):
+                if sum(map(len, held[kind])) > GATHERED:
+                    yield counted(kind, least)
+        for kind, least in ((1, 2), (2, 7)):
+            if held[kind]:
+                yield counted(kind, least)
 
     return run
 
 
-def prefix(s: np.ndarray, common_hashes: np.ndarray, common_rank: np.ndarray, t: int) -> np.ndarray:
+def prefix(s: np.ndarray, weight: np.ndarray, common_hashes: np.ndarray, common_rank: np.ndarray, t: int) -> np.ndarray:
     """The set's first elements under the order: any set linked with it holds one of them among its own first elements."""
     n = len(s)
     take = n - -(-t * n // 100) + 1
     if len(common_hashes):
         at = np.minimum(np.searchsorted(common_hashes, s), len(common_hashes) - 1)
-        hit = common_hashes[at] == s
-        rare = s[~hit]
-        if len(rare) >= take:
-            return rare[:take]
-        late = s[hit][np.argsort(common_rank[at[hit]], kind="stable")]
-        return np.concatenate([rare, late])[:take]
-    return s[:take]
+        weight = np.where(common_hashes[at] == s, common_rank[at] + 10_000, weight)
+    return s[np.lexsort((s, weight))[:take]]
+
+
+def levels(words: np.ndarray, common_words: np.ndarray, common_level: np.ndarray) -> np.ndarray:
+    """The binary order of magnitude of each word's count, 0 for words that aren't common."""
+    if not len(common_words):
+        return np.zeros(len(words), np.int64)
+    at = np.minimum(np.searchsorted(common_words, words), len(common_words) - 1)
+    return np.where(common_words[at] == words, common_level[at], 0)
 
 
 def prefixes(k: int, t: int, order):
     """A row for each distinct set of a task: its digest, size, signature and prefix."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        hashes, rank = order.value
+        hashes, rank, common_words, common_level = order.value
         seen: set[bytes] = set()
         for batch in common.slices(batches):
             rows = []
-            for s in sets_of(batch, k):
-                if not len(s) or (d := digest(s)) in seen:
+            words, at = word_hashes(common.texts_of(batch))
+            sums = np.concatenate([[0], np.cumsum(levels(words, common_words, common_level))])
+            for s, a, b in zip(shingle_lists(words, at, k), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if not len(s):
                     continue
-                if len(seen) > 1_000_000:  # forgetting only costs a second copy of a row
+                s, first = np.unique(s, return_index=True)
+                if (d := digest(s)) in seen:
+                    continue
+                if len(seen) >= SEEN:  # forgetting only costs a second copy of a row
                     seen.clear()
                 seen.add(d)
-                rows.append((d, len(s), *signature(s), prefix(s, hashes, rank, t).view(np.int64)))
+                weight = sums[np.minimum(a + first + k, b)] - sums[a + first]
+                rows.append((d, len(s), *signature(s), prefix(s, weight, hashes, rank, t).view(np.int64)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["digest", "size", "s1", "s2", "prefix"])
 
@@ -136,17 +156,39 @@ def postings(bits):
     return run
 
 
-def full_sets(k: int, bits):
-    """(id, set) of documents whose id has its bit set."""
+def fetched(docs: DataFrame, classes: DataFrame, names: DataFrame, k: int, column: str, of_set) -> DataFrame:
+    """(id, `column`): what `of_set` makes of the set of each class in names.id. Only documents that stand for such a class are cut
+    into shingles, found through bitmaps of bounded size."""
+    spark = docs.sparkSession
+    wanted = common.staged(classes.join(names.select(F.col("id").alias("digest")), "digest", "left_semi").select(F.xxhash64(F.col("rep")).alias("h"), first_half("digest").alias("d")))
+    rep_bits, bits = (spark.sparkContext.broadcast(common.bitmap(wanted, c, BITMAP_BITS)) for c in ("h", "d"))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in common.slices(batches):
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            rows = batch.filter(pa.array(common.in_bitmap(bits.value, ids.astype(np.int64).view(np.uint64))))
-            if rows.num_rows:
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([s.view(np.int64) for s in sets_of(rows, k)], pa.list_(pa.int64()))], names=["id", "set"])
+            batch = batch.filter(pa.array(common.in_bitmap(rep_bits.value, batch.column("h").to_numpy().view(np.uint64))))
+            if not batch.num_rows:
+                continue
+            sets = [s for s in unique_sets(*word_hashes(common.texts_of(batch)), k) if len(s)]
+            named = [digest(s) for s in sets]
+            hit = common.in_bitmap(bits.value, np.array([int.from_bytes(d[:8], "big") for d in named], np.uint64)).tolist() if sets else []
+            rows = []
+            for s, d, h in zip(sets, named, hit, strict=True):
+                if h and d not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(d)
+                    rows.append((d, of_set(s)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["id", column])
+
+    rows = docs.select("text", F.xxhash64(F.col("doc_id")).alias("h")).mapInArrow(run, f"id binary, {column} array<long>")
+    return common.staged(rows).dropDuplicates(["id"])
 
-    return run
+
+def first_half(digest: str) -> F.Column:
+    """The first 8 bytes of a digest as a long."""
+    return F.conv(F.hex(F.substring(digest, 1, 8)), 16, -10).cast("long")
 
 
 def apart(x: str, y: str) -> F.Column:
@@ -163,42 +205,30 @@ def may_link(x: str, y: str, t: int) -> F.Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * t) & (apart(x, y) <= spare)
 
 
-def wide_signatures(k: int, bits):
-    """(id, sig): WIDE parity bits of the sets of documents whose id has its bit set."""
-
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            rows = batch.filter(pa.array(common.in_bitmap(bits.value, ids.astype(np.int64).view(np.uint64))))
-            if rows.num_rows:
-                sigs = [np.packbits((np.bincount((s & np.uint64(WIDE - 1)).astype(np.int64), minlength=WIDE) & 1).astype(np.uint8)).view("<i8") for s in sets_of(rows, k)]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(sigs, pa.list_(pa.int64()))], names=["id", "sig"])
-
-    return run
+def wide_signature(s: np.ndarray) -> np.ndarray:
+    """WIDE parity bits of a set."""
+    return np.packbits((np.bincount((s & np.uint64(WIDE - 1)).astype(np.int64), minlength=WIDE) & 1).astype(np.uint8)).view("<i8")
 
 
-def near_enough(pairs: DataFrame, docs: DataFrame, k: int, t: int) -> DataFrame:
+def near_enough(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, t: int) -> DataFrame:
     """Pairs whose wide signatures differ in no more bits than linked sets may differ in elements: no link is lost, and few others
     are left whose whole sets must move."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    bits = docs.sparkSession.sparkContext.broadcast(common.bitmap(ends, "id", BITMAP_BITS))
-    sigs = common.staged(docs.mapInArrow(wide_signatures(k, bits), "id long, sig array<long>"))
+    sigs = fetched(docs, classes, ends, k, "sig", wide_signature)
     both = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b")
     differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, c: n + c)
     spare = (F.col("na") + F.col("nb")) - 2 * F.ceil((F.col("na") + F.col("nb")) * t / F.lit(100.0 + t) - 1e-9)
     return both.filter(differ <= spare).select("a", "b", "na", "nb").distinct()
 
 
-def compared(pairs: DataFrame, docs: DataFrame, k: int, t: int) -> DataFrame:
-    """a, b, na, nb, shared, linked for pairs (a, b, na, nb) of documents, from their whole sets.
+def compared(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, t: int) -> DataFrame:
+    """a, b, na, nb, shared, linked for pairs (a, b, na, nb) of classes, from their whole sets.
 
     Pairs meet at the member that has more of them; each of its partners' sets goes there, in parts of BLOCK pairs."""
-    spark = docs.sparkSession
-    pairs = common.staged(near_enough(pairs, docs, k, t))
+    pairs = common.staged(near_enough(pairs, docs, classes, k, t))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("w"))
     ends = common.staged(ends)
-    bits = spark.sparkContext.broadcast(common.bitmap(ends.select("id"), "id", BITMAP_BITS))
-    sets = common.staged(docs.mapInArrow(full_sets(k, bits), "id long, set array<long>"))
+    sets = fetched(docs, classes, ends.select("id"), k, "set", lambda s: s.view(np.int64))
     wa, wb = ends.select(F.col("id").alias("a"), F.col("w").alias("wa")), ends.select(F.col("id").alias("b"), F.col("w").alias("wb"))
     at_a = (F.col("wa") > F.col("wb")) | ((F.col("wa") == F.col("wb")) & (F.col("a") < F.col("b")))
     hubs = pairs.join(wa, "a").join(wb, "b").withColumn("at_a", at_a)
@@ -207,7 +237,7 @@ def compared(pairs: DataFrame, docs: DataFrame, k: int, t: int) -> DataFrame:
     hubs = common.staged(hubs.select("hub", "salt", "id", "a", "b", "na", "nb"))
     own = hubs.select("hub", "salt").distinct().withColumn("id", F.col("hub"))
     asked = hubs.unionByName(own, allowMissingColumns=True).join(sets, "id")
-    run = asked.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("a").isNotNull()).mapInArrow(intersected, "a long, b long, na int, nb int, shared int").dropDuplicates(["a", "b"])
+    run = asked.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("a").isNotNull()).mapInArrow(intersected, "a binary, b binary, na int, nb int, shared int").dropDuplicates(["a", "b"])
     return run.select("a", "b", "na", "nb", "shared", (F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * t).alias("linked"))
 
 
@@ -251,90 +281,111 @@ def derived(spokes: DataFrame, t: int) -> DataFrame:
 
 def link_counts(members: DataFrame, found: DataFrame) -> DataFrame:
     """id, n_links for each document: the other documents linked with it, those with an equal set among them (0 for empty sets)."""
-    size = members.filter("rep is not null").groupBy("rep").agg(F.count("*").alias("size"))
-    both = found.select(F.col("a").alias("rep"), F.col("b").alias("to")).unionByName(found.select(F.col("b").alias("rep"), F.col("a").alias("to")))
-    linked = both.join(size.select(F.col("rep").alias("to"), F.col("size").alias("m")), "to").groupBy("rep").agg(F.sum("m").alias("linked"))
-    counts = size.join(linked, "rep", "left").select("rep", (F.coalesce("linked", F.lit(0)) + F.col("size") - 1).alias("n_links"))
-    return members.join(counts, "rep", "left").select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    size = members.filter("digest is not null").groupBy("digest").agg(F.count("*").alias("size"))
+    both = found.select(F.col("a").alias("digest"), F.col("b").alias("to")).unionByName(found.select(F.col("b").alias("digest"), F.col("a").alias("to")))
+    linked = both.join(size.select(F.col("digest").alias("to"), F.col("size").alias("m")), "to").groupBy("digest").agg(F.sum("m").alias("linked"))
+    counts = size.join(linked, "digest", "left").select("digest", "size", (F.coalesce("linked", F.lit(0)) + F.col("size") - 1).alias("n_links"))
+    named = common.met(members.select("id", "digest"), common.staged(counts), "digest", "size").select("id", "n_links")
+    return named.unionByName(members.filter("digest is null").select("id", F.lit(0).cast("long").alias("n_links")))
+
 
+def found_pairs(x: str, y: str) -> list[F.Column]:
+    """a, b, na, nb of two postings, the smaller name first."""
+    less = F.expr(f"{x}.id < {y}.id")
+    return [F.least(f"{x}.id", f"{y}.id").alias("a"), F.greatest(f"{x}.id", f"{y}.id").alias("b"), F.when(less, F.col(f"{x}.size")).otherwise(F.col(f"{y}.size")).alias("na"), F.when(less, F.col(f"{y}.size")).otherwise(F.col(f"{x}.size")).alias("nb")]
 
-def links(docs: DataFrame, k: int = 3, t: int = 90, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(members, links). members: id, n, rep for each document (rep: the smallest id with an equal set; null for empty sets).
-    links: a, b, shared for all pairs of representatives whose Jaccard similarity is at least t / 100; shared is null where the link was
-    derived, not measured."""
+
+def links(docs: DataFrame, k: int = 3, t: int = 90, id_col: str = "doc_id", text_col: str = "text", within: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, classes, links). members: id, n, digest, key for each document (digest: its class, null for empty sets; key: xxhash64
+    of the text). classes: digest, rep (the smallest id), size. links: a, b, shared for all pairs of classes whose Jaccard similarity
+    is at least t / 100; shared is null where the link was derived, not measured. within=False leaves out links between classes
+    that other links join already."""
     docs = common.id_and_text(docs, id_col, text_col)
     spark = docs.sparkSession
-    profiles = common.staged(docs.mapInArrow(profile(k), "kind int, id long, n long, digest binary"))
-    common_ones = profiles.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(COMMON).toArrow()
-    hashes = common_ones.column("id").to_numpy().view(np.uint64)
-    by_hash = np.argsort(hashes)
-    order = spark.sparkContext.broadcast((hashes[by_hash], (len(hashes) - by_hash).astype(np.int64)))  # the most common comes last
+    profiles = common.staged(docs.withColumn("key", F.xxhash64("text")).mapInArrow(profile(k), "kind int, id long, n long, digest binary, key long"))
+    often = [profiles.filter(F.col("kind") == kind).groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(most).toArrow() for kind, most in ((1, COMMON), (2, COMMON_WORDS))]
+    hashes, words = (x.column("id").to_numpy().view(np.uint64) for x in often)
+    by_hash, by_word = np.argsort(hashes), np.argsort(words)
+    level = np.floor(np.log2(often[1].column("n").to_numpy().astype(np.float64))).astype(np.int64)
+    order = spark.sparkContext.broadcast((hashes[by_hash], (len(hashes) - by_hash).astype(np.int64), words[by_word], level[by_word]))  # the most common comes last
 
-    named = profiles.filter("kind = 0").select("id", "n", "digest")
-    reps = named.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"))
-    members = common.staged(named.join(reps, "digest", "left").select("id", "n", "rep", "digest"))
+    members = profiles.filter("kind = 0").select("id", "n", "digest", "key")
+    classes = common.staged(members.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("size")))
 
     sets = common.staged(docs.mapInArrow(prefixes(k, t, order), "digest binary, size int, s1 long, s2 long, prefix array<long>"))
     # the same set in another task must not make its elements look shared
     parts = sets.select(F.explode("prefix").alias("token"), F.xxhash64("digest").alias("part"))
     shared = parts.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("token")
     bits = spark.sparkContext.broadcast(common.bitmap(shared, "token", BITMAP_BITS))
-    reps = members.filter("id = rep").select("digest", "rep").distinct()
-    found = sets.mapInArrow(postings(bits), "token long, digest binary, size int, pos int, s1 long, s2 long").join(reps, "digest").select("token", F.col("rep").alias("id"), "size", "pos", "s1", "s2").distinct()
+    found = sets.mapInArrow(postings(bits), "token long, digest binary, size int, pos int, s1 long, s2 long").select("token", F.col("digest").alias("id"), "size", "pos", "s1", "s2").distinct()
     found = common.staged(found)
 
     # each list's pivot: the set that many others share elements with
     weight = found.join(found.groupBy("token").agg(F.count("*").alias("w")).filter("w > 1"), "token").groupBy("id").agg(F.sum("w").alias("weight"))
     found = common.staged(found.join(weight, "id"))
-    pivots = found.groupBy("token").agg(F.max_by(F.struct("id", "size", "pos", "s1", "s2"), F.struct("weight", "id")).alias("p")).select("token", "p.*")
+    pivots = common.staged(found.groupBy("token").agg(F.max_by(F.struct("id", "size", "pos", "s1", "s2"), F.struct("weight", "id")).alias("p"), F.count("*").alias("w")).filter("w > 1").select("token", "w", "p.*"))
     x, y = found.alias("x"), pivots.alias("y")
     # where the shared element is the first that two linked sets share, those before it are in one of the sets only
     spare = f"(x.size + y.size) * (1 - 2 * {t} / (100.0 + {t})) + 2"
     stars = x.join(y, F.expr(f"x.token = y.token and x.id <> y.id and x.pos + y.pos <= {spare}")).filter(may_link("x", "y", t))
-    stars = stars.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.when(F.expr("x.id < y.id"), F.col("x.size")).otherwise(F.col("y.size")).alias("na"), F.when(F.expr("x.id < y.id"), F.col("y.size")).otherwise(F.col("x.size")).alias("nb")).distinct()
-    stars = common.staged(stars)
+    stars = common.staged(stars.select(*found_pairs("x", "y")).distinct())
 
-    first = common.staged(compared(stars, docs, k, t))
+    first = common.staged(compared(stars, docs, classes, k, t))
 
     # distances to pivots, from both sides of a measured pair
     far = (F.col("na") + F.col("nb") - 2 * F.col("shared")).alias("far")
     either = first.select(F.col("a").alias("id"), F.col("na").alias("size"), F.col("b").alias("pivot"), far).unionByName(first.select(F.col("b").alias("id"), F.col("nb").alias("size"), F.col("a").alias("pivot"), far))
-    owners = pivots.select(F.col("id").alias("pivot")).distinct()
-    near_pivot = common.staged(derived(either.join(owners, "pivot"), t))
-
-    # what the pivots left open
-    several = found.groupBy("token").agg(F.count("*").alias("w")).filter("w > 1")
-    open_ = found.join(several, "token").join(pivots.select("token", F.col("id").alias("pivot")), "token").filter("id <> pivot").join(either.drop("size"), ["id", "pivot"], "left")
+    open_ = found.join(pivots.select("token", "w", F.col("id").alias("pivot")), "token").filter("id <> pivot").join(either.drop("size"), ["id", "pivot"], "left")
+    if within:
+        near_pivot = common.staged(derived(either.join(pivots.select(F.col("id").alias("pivot")).distinct(), "pivot"), t))
+        open_ = open_.withColumn("root", F.col("id"))
+    else:
+        roots = common.components(first.filter("linked"))
+        open_ = open_.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+    # what the pivots left open, in blocks of neighbouring sizes and positions
     salts = F.greatest(F.lit(1), F.ceil(F.col("w") / BLOCK)).cast("int")
-    open_ = common.staged(open_.withColumn("size_block", F.floor(F.log(F.col("size").cast("double")) / F.lit(float(np.log(100 / t))))).withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int")).select("token", "id", "size", "pos", "s1", "s2", "far", "size_block", "salt"))
-    blocks = open_.groupBy("token", "size_block", "salt").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.min("pos").alias("pos"), F.max(F.coalesce("far", F.lit(1 << 29))).alias("far"))
+    open_ = common.staged(open_.select("token", "id", "size", "pos", "s1", "s2", "far", "root", F.floor(F.log(F.col("size").cast("double")) / F.lit(float(np.log(100 / t)))).alias("size_block"), F.floor(F.log2((F.col("pos") + 1).cast("double"))).alias("pos_block"), F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt")))
+    blocks = open_.groupBy("token", "size_block", "pos_block", "salt").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.min("pos").alias("pos"), F.max(F.coalesce("far", F.lit(1 << 29))).alias("far"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
     b, c = blocks.alias("b"), blocks.alias("c")
-    met = b.join(c, F.expr("b.token = c.token and (b.size_block < c.size_block and c.size_block - b.size_block <= 2 or b.size_block = c.size_block and b.salt <= c.salt)"))
+    met = b.join(c, F.expr("b.token = c.token and (b.size_block < c.size_block and c.size_block - b.size_block <= 2 or b.size_block = c.size_block and (b.pos_block < c.pos_block or b.pos_block = c.pos_block and b.salt <= c.salt))"))
     met = met.filter(F.expr(f"b.most * 100 >= c.least * {t} and c.most * 100 >= b.least * {t}"))
-    # blocks all of whose pairs are derived
-    met = met.filter(F.expr(f"b.far + c.far > (b.least + c.least) * (1 - 2 * {t} / (100.0 + {t})) - 2"))
-    spare_most = F.expr(f"(b.most + c.most) * (1 - 2 * {t} / (100.0 + {t})) + 2")
-    met = met.filter(F.expr("b.pos + c.pos") <= spare_most)
-    met = met.select(F.col("b.token").alias("token"), F.col("b.size_block").alias("sb"), F.col("b.salt").alias("bs"), F.col("c.size_block").alias("sc"), F.col("c.salt").alias("cs"))
-    one = open_.alias("x").join(met.alias("m"), F.expr("x.token = m.token and x.size_block = m.sb and x.salt = m.bs"))
-    same = "(m.sb = m.sc and m.bs = m.cs)"
-    near = "(x.far is null or y.far is null or abs(x.far - y.far) <= (x.size + y.size) * (1 - 2 * {t} / (100.0 + {t})) + 2)".format(t=t)
-    settled = F.coalesce(F.col("x.far") + F.col("y.far") <= may_differ("x.size", "y.size", t), F.lit(False))
-    two = one.join(open_.alias("y"), F.expr(f"y.token = m.token and y.size_block = m.sc and y.salt = m.cs and (not {same} or x.id < y.id) and {near} and x.pos + y.pos <= (x.size + y.size) * (1 - 2 * {t} / (100.0 + {t})) + 2") & may_link("x", "y", t) & ~settled)
-    rest = two.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.when(F.expr("x.id < y.id"), F.col("x.size")).otherwise(F.col("y.size")).alias("na"), F.when(F.expr("x.id < y.id"), F.col("y.size")).otherwise(F.col("x.size")).alias("nb")).distinct()
-    rest = rest.join(stars.select("a", "b").unionByName(near_pivot.select("a", "b")), ["a", "b"], "left_anti")
-    second = common.staged(compared(common.staged(rest), docs, k, t))
-    # a derived pair may have been measured as some list's pivot pair
-    new = near_pivot.join(stars.select("a", "b"), ["a", "b"], "left_anti").withColumn("shared", F.lit(None).cast("int"))
-    found_links = common.staged(first.unionByName(second).filter("linked").select("a", "b", "shared").unionByName(new.select("a", "b", "shared")))
-    return members.select("id", "n", "rep"), found_links
+    met = met.filter(F.expr("b.pos + c.pos") <= F.expr(f"(b.most + c.most) * (1 - 2 * {t} / (100.0 + {t})) + 2"))
+    same = "(m.sb = m.sc and m.bp = m.cp and m.bs = m.cs)"
+    if within:  # blocks all of whose pairs are derived
+        met = met.filter(F.expr(f"b.far + c.far > (b.least + c.least) * (1 - 2 * {t} / (100.0 + {t})) - 2"))
+        settled = F.coalesce(F.col("x.far") + F.col("y.far") <= may_differ("x.size", "y.size", t), F.lit(False))
+    else:  # blocks all of whose sets are joined
+        met = met.filter("not (b.low = b.high and c.low = c.high and b.low = c.low)")
+        settled = F.col("x.root") == F.col("y.root")
+    met = met.filter("not (b.size_block = c.size_block and b.pos_block = c.pos_block and b.salt = c.salt and b.n = 1)")
+    met = met.select(F.col("b.token").alias("token"), F.col("b.size_block").alias("sb"), F.col("b.pos_block").alias("bp"), F.col("b.salt").alias("bs"), F.col("c.size_block").alias("sc"), F.col("c.pos_block").alias("cp"), F.col("c.salt").alias("cs"))
+    one = open_.alias("x").join(met.alias("m"), F.expr("x.token = m.token and x.size_block = m.sb and x.pos_block = m.bp and x.salt = m.bs"))
+    near = f"(x.far is null or y.far is null or abs(x.far - y.far) <= (x.size + y.size) * (1 - 2 * {t} / (100.0 + {t})) + 2)"
+    two = one.join(open_.alias("y"), F.expr(f"y.token = m.token and y.size_block = m.sc and y.pos_block = m.cp and y.salt = m.cs and (not {same} or x.id < y.id) and {near} and x.pos + y.pos <= {spare}") & may_link("x", "y", t) & ~settled)
+    rest = two.select(*found_pairs("x", "y")).distinct()
+    rest = rest.join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    if within:
+        rest = rest.join(near_pivot, ["a", "b"], "left_anti")
+    second = compared(common.staged(rest), docs, classes, k, t)
+    measured = first.unionByName(second).filter("linked").select("a", "b", "shared")
+    if within:  # a derived pair may have been measured as some list's pivot pair
+        new = near_pivot.join(stars.select("a", "b"), ["a", "b"], "left_anti").withColumn("shared", F.lit(None).cast("int"))
+        measured = measured.unionByName(new.select("a", "b", "shared"))
+    return members, classes, common.staged(measured)
 
 
 def grouped(docs: DataFrame, k: int = 3, t: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id that links lead to), class_id (the smallest id with an equal set)."""
-    members, found = links(docs, k, t, id_col, text_col)
-    roots = common.components(found).withColumnRenamed("node", "rep")
-    return members.join(roots, "rep", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "id").alias("component_id"), F.coalesce("rep", "id").alias("class_id"))
+    """doc_id, n_shingles, component_id (the smallest id that links lead to), class_id (the smallest id with an equal set), component
+    (a name for the component that is there for null ids too, null for empty sets), key (xxhash64 of the text)."""
+    members, classes, found = links(docs, k, t, id_col, text_col, within=False)
+    roots = common.components(found).select(F.col("node").alias("digest"), F.col("root").alias("component"))
+    every = classes.join(roots, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    least = every.groupBy("component").agg(F.min("rep").alias("component_id"))
+    every = common.staged(every.join(least, "component"))
+    named = common.met(members, every, "digest", "size").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("rep").alias("class_id"), "component", "key")
+    empty = members.filter("digest is null").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.col("id").alias("class_id"), F.lit(None).cast("binary").alias("component"), "key")
+    return named.unionByName(empty)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
