@@ -23,6 +23,8 @@ HEX_LONG = r"[0-9a-f]{32,}"
 ACCESS_LONG = r"AKIA[A-Z0-9]{12,}"
 
 WINDOW = 20
+#: Matches whose spans are gathered at a time.
+CHUNK = 256
 #: Candidates by class: (name, pattern, alphabet, bits). Base64 and identifiers must mix letters with digits.
 CLASSES = (
     ("base64", r"[A-Za-z0-9+/_=-]{20,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.9),
@@ -39,23 +41,44 @@ ALLOWED = (
 PLACEHOLDER = r"(?i)[-_/+=]*(?:example|placeholder|x{4,}|0123456789|abcdefghij)[-_/+=]*"
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value worked out once, however often `use` names it, inside inner functions too."""
+    return F.transform(F.array(value), use)[0]
+
+
+def in_chunks(steps: Column, empty: Column, start: Column, advance, parts) -> Column:
+    """The parts that `parts(chunk, at)` gives for chunks of CHUNK steps in turn, `at` being `start`, moved on by `advance(at, chunk)` for
+    each chunk before; so appending to a list costs no more in a text of many matches."""
+    cut = lambda st: F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(st) - 1, F.lit(0)) / CHUNK).cast("int")), lambda i: F.slice(st, i * CHUNK + 1, CHUNK))
+    zero = F.struct(start.alias("at"), F.array(empty).alias("parts"))
+    step = lambda acc, chunk: F.struct(advance(acc["at"], chunk).alias("at"), F.concat(acc["parts"], F.array(parts(chunk, acc["at"]))).alias("parts"))
+    return bound(steps, lambda st: F.aggregate(cut(st), zero, step, lambda acc: F.flatten(acc["parts"])))
+
+
+def lengths(length):
+    """Moves on by the lengths of a chunk's steps."""
+    return lambda at, chunk: F.aggregate(chunk, at, lambda n, s: n + length(s))
+
+
 def found(text: str, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
     """Spans of a pattern's matches, as an array of struct(start, kind, end, value); matches whose group is shorter than least go.
 
     Matches and the stretches between them alternate, so their lengths add up to positions."""
     p = F.lit(pattern)
     whole, part, gaps = F.regexp_extract_all(text, p, F.lit(0)), F.regexp_extract_all(text, p, F.lit(group)), F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>").alias("spans"))
     steps = F.zip_with(F.zip_with(gaps, whole, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m"))), part, lambda s, v: F.struct(s["gap"].alias("gap"), s["m"].alias("m"), v.alias("v")))
     steps = F.filter(steps, lambda s: s["m"].isNotNull())
 
-    def step(acc: Column, s: Column) -> Column:
-        start = acc["at"] + s["gap"]
-        end = start + F.length(s["m"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), s["m"].alias("value"))
-        return F.struct(end.alias("at"), F.when(F.length(s["v"]) >= least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+    def spans(chunk: Column, at: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            start = acc["at"] + s["gap"]
+            end = start + F.length(s["m"])
+            span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), s["m"].alias("value"))
+            return F.struct(end.alias("at"), F.when(F.length(s["v"]) >= least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    return F.aggregate(steps, zero, step, lambda acc: acc["spans"])
+        return F.aggregate(chunk, F.struct(at.alias("at"), none().alias("spans")), step, lambda acc: acc["spans"])
+
+    return in_chunks(steps, none(), F.lit(0), lengths(lambda s: s["gap"] + F.length(s["m"])), spans)
 
 
 NONE = "array<struct<start:int,kind:int,end:int,value:string>>"
@@ -68,23 +91,24 @@ def none() -> Column:
 def best_entropy(value: Column, alphabet: str, window: int = WINDOW) -> Column:
     """Largest Shannon entropy (bits a character) of a window of the string, from incremental counts.
 
-    H = log2 w - (sum of c log2 c) / w; a character that comes or goes changes one term of the sum."""
+    H = log2 w - (sum of c log2 c) / w; a character that comes or goes changes one term of the sum. The string is split into codes once;
+    each step gets the code that comes and the one that went in a window ago (0: none), so the time is linear in the length."""
     term = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(0.0)
-    place = lambda i: F.instr(F.lit(alphabet), F.substr(value, i, F.lit(1)))
-    zero = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("n"), F.lit(0.0).alias("s"), F.lit(float("inf")).alias("best"))
+    places = F.create_map(*[F.lit(x) for i, c in enumerate(alphabet) for x in (c, i + 1)])
+    codes = F.transform(F.filter(F.split(value, "", -1), lambda c: c != ""), lambda c: F.coalesce(places[c], F.lit(len(alphabet) + 1)))
+    steps = bound(codes, lambda x: F.zip_with(x, F.slice(F.concat(F.array_repeat(F.lit(0), window), x), 1, F.size(x)), lambda j, gone: F.struct(j.alias("j"), gone.alias("gone"))))
+    zero = F.struct(F.array_repeat(F.lit(0), len(alphabet) + 1).alias("n"), F.lit(0.0).alias("s"), F.lit(0).alias("i"), F.lit(float("inf")).alias("best"))
 
-    def step(acc: Column, i: Column) -> Column:
-        # x: acc with the character i in; y: with the one a window before out
-        j = place(i)
+    def step(acc: Column, x: Column) -> Column:
+        j, gone = x["j"], x["gone"]
         c = F.element_at(acc["n"], j)
-        gone = F.when(i > window, place(F.greatest(i - window, F.lit(1)))).otherwise(0)
         n = F.transform(acc["n"], lambda v, k: v + F.when(k + 1 == j, 1).otherwise(0) - F.when(k + 1 == gone, 1).otherwise(0))
-        plus = term(c + 1) - term(c)
         d = F.when(gone > 0, F.element_at(acc["n"], F.greatest(gone, F.lit(1))) + F.when(gone == j, 1).otherwise(0)).otherwise(1)
-        s = acc["s"] + plus + F.when(gone > 0, term(d - 1) - term(d)).otherwise(0.0)
-        return F.struct(n.alias("n"), s.alias("s"), F.when(i >= window, F.least(acc["best"], s)).otherwise(acc["best"]).alias("best"))
+        s = acc["s"] + term(c + 1) - term(c) + F.when(gone > 0, term(d - 1) - term(d)).otherwise(0.0)
+        i = acc["i"] + 1
+        return bound(s, lambda v: F.struct(n.alias("n"), v.alias("s"), i.alias("i"), F.when(i >= window, F.least(acc["best"], v)).otherwise(acc["best"]).alias("best")))
 
-    lowest = F.aggregate(F.sequence(F.lit(1), F.length(value)), zero, step, lambda acc: acc["best"])
+    lowest = F.aggregate(steps, zero, step, lambda acc: acc["best"])
     return F.log2(F.lit(float(window))) - lowest / window
 
 
@@ -110,14 +134,16 @@ def without_placeholders(s: Column) -> Column:
     # matches and the stretches between them alternate, so their lengths add up to positions
     whole = F.regexp_extract_all(s["value"], F.lit(PLACEHOLDER), F.lit(0))
     steps = F.zip_with(F.split(s["value"], PLACEHOLDER, -1), whole, lambda g, m: F.struct(g.alias("g"), F.coalesce(F.length(m), F.lit(0)).alias("m")))
-    zero = F.struct(s["start"].alias("at"), none().alias("parts"))
 
-    def step(acc: Column, x: Column) -> Column:
-        end = acc["at"] + F.length(x["g"])
-        one = F.struct(acc["at"].alias("start"), s["kind"].alias("kind"), end.alias("end"), x["g"].alias("value"))
-        return F.struct((end + x["m"]).alias("at"), F.concat(acc["parts"], F.array(one)).alias("parts"))
+    def parts(chunk: Column, at: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            end = acc["at"] + F.length(x["g"])
+            one = F.struct(acc["at"].alias("start"), s["kind"].alias("kind"), end.alias("end"), x["g"].alias("value"))
+            return F.struct((end + x["m"]).alias("at"), F.concat(acc["parts"], F.array(one)).alias("parts"))
+
+        return F.aggregate(chunk, F.struct(at.alias("at"), none().alias("parts")), step, lambda acc: acc["parts"])
 
-    return F.when(s["value"].rlike(PLACEHOLDER), F.aggregate(steps, zero, step, lambda acc: acc["parts"])).otherwise(F.array(s))
+    return F.when(s["value"].rlike(PLACEHOLDER), in_chunks(steps, none(), s["start"], lengths(lambda x: F.length(x["g"]) + x["m"]), parts)).otherwise(F.array(s))
 
 
 def class_spans(text: str, others: Column, pattern: str, alphabet: str, bits: float) -> Column:
@@ -170,16 +196,21 @@ def joined(spans: Column) -> Column:
 
 def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The table with the spans found in a text replaced by a mark; overlapping spans by one. Null texts stay null."""
-    rows = scanned(docs, text_col, "_secret_")
-    text = F.col(text_col)
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    own = common.free_prefix(docs)
+    rows = scanned(docs, text_col, own)
+    text, spans = F.col(text_col), F.col(f"{own}all")
+    texts = F.array().cast("array<string>")
+
+    def pieces(chunk: Column, at: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            before = F.concat(F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit(mark))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(before))).otherwise(acc["out"]).alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        before = F.when(s["start"] >= acc["at"], F.concat(F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], before).alias("out"))
+        return F.aggregate(chunk, F.struct(at.alias("at"), texts.alias("out")), step, lambda acc: acc["out"])
 
-    clean = F.aggregate("_secret_all", zero, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
-    return rows.withColumn(text_col, F.when(F.size("_secret_all") > 0, clean).otherwise(text)).select(*docs.columns)
+    head = F.array_join(in_chunks(spans, texts, F.lit(0), lambda at, chunk: F.aggregate(chunk, at, lambda n, s: F.greatest(n, s["end"])), pieces), "")
+    tail = F.substr(text, F.array_max(F.transform(spans, lambda s: s["end"])) + 1, F.length(text))
+    return rows.withColumn(text_col, F.when(F.size(spans) > 0, F.concat(head, tail)).otherwise(text)).select(*docs.columns)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
