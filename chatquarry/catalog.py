@@ -433,7 +433,11 @@ def stitched_timelines(spark, d):
     return lines.select("conv_id", (F.col("i") + 1).cast("long").alias("segment_no"), F.col("x.s").alias("start_s"), F.col("x.e").alias("end_s"))
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT conv_id, {'s': s, 'e': e, 'confidence': confidence} AS x, row_number() OVER (PARTITION BY conv_id ORDER BY confidence DESC, s, e) AS rn, count(*) OVER (PARTITION BY conv_id) AS last FROM
+ (SELECT conv_id, length(text) % 50 AS s, length(text) % 50 + 10 + turn AS e, length(text) % 7 AS confidence FROM conversations)),
+r AS (SELECT conv_id, rn, last, [x] AS kept FROM p WHERE rn = 1 UNION ALL
+ SELECT p.conv_id, p.rn, p.last, CASE WHEN len(list_filter(r.kept, lambda k: k.s < p.x.e AND p.x.s < k.e)) = 0 THEN list_append(r.kept, p.x) ELSE r.kept END FROM r JOIN p ON p.conv_id = r.conv_id AND p.rn = r.rn + 1)
+SELECT conv_id, unnest(kept).s AS s, unnest(kept).e AS e, unnest(kept).confidence AS confidence FROM r WHERE rn = last""")
 def surest_spans(spark, d):
     c = table(spark, d, "conversations").select("conv_id", F.struct((F.length("text") % 50).alias("s"), (F.length("text") % 50 + 10 + F.col("turn")).alias("e"), (F.length("text") % 7).alias("confidence")).alias("x"))
     kept = c.groupBy("conv_id").agg(choices.without_overlaps(F.collect_list("x")).alias("kept"))

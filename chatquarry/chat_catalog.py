@@ -457,3 +457,49 @@ SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) A
 def stream_sessions(spark, d):
     found = ingest.drained(ingest.session_counts(ingest.stream(spark, f"{d}/[e]vents.parquet"), "6 hours"))
     return found.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
+
+
+@query(f"SELECT chat_id, doc_id, ts FROM (SELECT * FROM (SELECT chat_id, doc_id, ts FROM {RAW} WHERE chat_id = 3 ORDER BY ts DESC, doc_id DESC LIMIT 10 OFFSET 2) ORDER BY ts, doc_id)")
+def page_oldest_first(spark, d):
+    newest = history.page(raw(spark, d).filter("chat_id = 3").select("chat_id", "doc_id", "ts"), limit=10, offset=2)
+    return newest.orderBy("ts", "doc_id")
+
+
+@query(f"SELECT chat_id, doc_id, role FROM (SELECT chat_id, doc_id, CASE sender_id WHEN 'assistant' THEN 'assistant' WHEN 'me' THEN 'system' ELSE 'user' END AS role, row_number() OVER (PARTITION BY chat_id ORDER BY ts DESC, doc_id DESC) AS rn FROM {META}) WHERE rn <= 4")
+def last_turns_with_roles(spark, d):
+    who = F.col("meta.sender_id")
+    rows = raw(spark, d).select("chat_id", "doc_id", "ts", F.when(who == "assistant", "assistant").when(who == "me", "system").otherwise("user").alias("role"))
+    return history.last_of_each(rows, "chat_id", 4).select("chat_id", "doc_id", "role")
+
+
+@query("SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1")
+def first_of_equal_texts(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.groupBy(F.md5("text")).agg(F.min_by(F.struct("doc_id", "lang", "source"), "doc_id").alias("x")).select("x.*")
+
+
+@query(f"SELECT chat_id, doc_id FROM {META} m WHERE (chat_id, doc_id) IN (SELECT conv_id, turn FROM conversations WHERE length(text) % 11 = 0) ORDER BY ts")
+def lookup_by_two_keys(spark, d):
+    wanted = table(spark, d, "conversations").filter("length(text) % 11 = 0").select(F.col("conv_id").alias("chat_id"), F.col("turn").alias("doc_id"))
+    return history.lookup(raw(spark, d), wanted, ["chat_id", "doc_id"]).orderBy("ts").select("chat_id", "doc_id")
+
+
+@query(f"SELECT source_id, coalesce(doc_id, -1) AS doc_id, CASE WHEN n > 1 THEN 'duplicate' ELSE 'null key' END AS fault FROM (SELECT source_id, CASE WHEN doc_id % 10 = 9 THEN NULL ELSE doc_id // 2 END AS doc_id, count(*) AS n FROM {RAW} GROUP BY 1, 2) WHERE n > 1 OR doc_id IS NULL")
+def key_faults(spark, d):
+    rows = raw(spark, d).select("source_id", F.when(F.col("doc_id") % 10 != 9, F.floor(F.col("doc_id") / 2)).alias("doc_id"))
+    counted = rows.groupBy("source_id", "doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null or source_id is null")
+    return counted.select("source_id", F.coalesce("doc_id", F.lit(-1)).cast("long").alias("doc_id"), F.when(F.col("n") > 1, "duplicate").otherwise("null key").alias("fault"))
+
+
+@query(f"""WITH r AS (SELECT sender_id::BIGINT AS sender, coalesce(nullif(sender_name, ''), 'Unknown') AS name, ts, doc_id FROM {META} WHERE regexp_matches(sender_id, '^-?[0-9]+$'))
+SELECT sender AS id, first(name ORDER BY ts, doc_id) AS label, coalesce(any_value(e.label), 0)::INT AS cluster, count(*) AS message_count FROM r LEFT JOIN (SELECT vec_id, label FROM embeddings WHERE vec_id % 2 = 0) e ON vec_id = sender GROUP BY sender""")
+def social_graph_nodes(spark, d):
+    rows = raw(spark, d).select(m.sender(F.col("meta")).alias("sender"), m.sender_name(F.col("meta")).alias("name"), "ts", "doc_id", "content")
+    clustered = table(spark, d, "embeddings").filter("vec_id % 2 = 0").select(F.col("vec_id").alias("id"), F.col("label").alias("cluster"))
+    return graph.assembled_nodes(graph.user_texts(rows), clustered).withColumn("cluster", F.col("cluster").cast("int"))
+
+
+@query(f"SELECT source_id, doc_id FROM {META} WHERE lower(mine) IN ('0', 'false') AND (via IS NULL OR via <> 'session_ui') AND contains(lower(content), 'the') ORDER BY ts DESC, doc_id DESC, source_id LIMIT 50")
+def words_from_others(spark, d):
+    rows = tools.others(raw(spark, d)).filter(history.contains_folded("content", "THE"))
+    return rows.orderBy(F.desc("ts"), F.desc("doc_id"), "source_id").limit(50).select("source_id", "doc_id")

@@ -75,6 +75,12 @@ def profiles(messages: DataFrame) -> DataFrame:
     return messages.groupBy("sender").agg(F.count("*").alias("n"), F.sum(F.length("metadata")).alias("chars"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
+def assembled_nodes(users: DataFrame, clustered: DataFrame) -> DataFrame:
+    """The nodes of a social graph: users (sender, name, n) with their cluster, 0 where they have none."""
+    rows = users.join(clustered.select(F.col("id").alias("sender"), "cluster"), "sender", "left")
+    return rows.select(F.col("sender").alias("id"), F.coalesce("name", F.lit("Unknown")).alias("label"), F.coalesce("cluster", F.lit(0)).alias("cluster"), F.col("n").alias("message_count"))
+
+
 def sub_graph(nodes: DataFrame, edges: DataFrame, cluster: int) -> DataFrame:
     """Edges whose ends are both in the cluster."""
     own = nodes.filter(F.col("label") == cluster).select("id")

@@ -73,6 +73,7 @@ def budget_prefix(items: DataFrame, group: str, order: list[str], tokens: str, b
 def proportional_truncation(rows: DataFrame, section: str, order: list[str], tokens: str, budget: int) -> DataFrame:
     """Shortens every section by the same ratio, so that all fit the budget; at least a row of each stays."""
     sums = rows.groupBy(section).agg(F.count("*").alias("_n"), F.sum(tokens).alias("_t"))
-    ratio = sums.withColumn("_r", F.least(F.lit(1.0), F.lit(float(budget)) / F.sum("_t").over(Window.partitionBy())))
+    total = sums.agg(F.sum("_t").alias("_all"))  # one row
+    ratio = sums.join(F.broadcast(total)).withColumn("_r", F.least(F.lit(1.0), F.lit(float(budget)) / F.col("_all"))).drop("_all")
     numbered = rows.withColumn("pos", F.row_number().over(Window.partitionBy(section).orderBy(*order)))
     return numbered.join(ratio, section).filter(F.col("pos") <= F.greatest(F.lit(1), F.floor(F.col("_n") * F.col("_r")))).drop("_n", "_t", "_r")

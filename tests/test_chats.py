@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chatquarry.functions import messages as m, names, text
 from chatquarry.operators import enrichment, graph, joins, mentions, order, people
-from chatquarry.plans import tools
+from chatquarry.plans import registry, tools
 from chatquarry.sources import connector, sinks
 from chatquarry.streaming import ingest
 
@@ -175,3 +175,24 @@ def test_stream_upsert(spark, tmp_path):
 def test_connector(spark):
     rows = connector.read_messages(spark, "chatquarry.sources.connector.CountingConnector", [("a", 0, 180), ("b", 60, 61), ("unknown", 0, 600), ("a", 300, 300)], dialogs="a,b").collect()
     assert sorted((r.source_id, r.ts) for r in rows) == [("a", 0), ("a", 60), ("a", 120), ("b", 60)]
+
+
+def test_tools_check_their_arguments(spark):
+    rows = spark.createDataFrame([("c", i, i, "x") for i in range(60)], "chat string, doc_id long, ts long, content string")
+    assert registry.call("last_messages", rows).count() == 50 and registry.call("last_messages", rows, since=55, limit=3).count() == 3
+    for name, given in (("nothing", {}), ("last_messages", {"limit": 0}), ("last_messages", {"limit": "5"}), ("last_messages", {"needle": "x"}), ("unread", {"limit": True})):
+        with pytest.raises(ValueError):
+            registry.call(name, rows, **given)
+
+
+def test_mentions_in_sql(spark):
+    registry.register(spark)
+    got = spark.sql("SELECT t.id, m.raw, m.start FROM VALUES (1, 'find @ann and @bob'), (2, CAST(NULL AS STRING)) t(id, text), LATERAL mentions(t.text) m ORDER BY m.start").collect()
+    assert [tuple(r) for r in got] == [(1, "ann", 5), (1, "bob", 14)]
+
+
+def test_replaced_groups(spark, tmp_path):
+    path = str(tmp_path / "g")
+    sinks.replace_groups(spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "chat int, v string"), path, "chat")
+    sinks.replace_groups(spark.createDataFrame([(1, "z")], "chat int, v string"), path, "chat")
+    assert sorted((r.chat, r.v) for r in spark.read.parquet(path).collect()) == [(1, "z"), (2, "c")]
