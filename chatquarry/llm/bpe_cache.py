@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import json
 import os
-from functools import cache
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import common
+
 #: Longer words aren't kept.
 LONG = 64
 
@@ -21,10 +21,9 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@cache
 def encoder(path: str) -> WordMemoEncoder:
-    """One for each Python worker: the memo serves all tasks that the worker runs."""
-    return WordMemoEncoder(path)
+    """One for each Python worker: the memo serves all tasks of this kind that the worker runs."""
+    return common.held(("encoder", path), lambda: WordMemoEncoder(path))
 
 
 class Memo(dict):
@@ -165,7 +164,7 @@ class WordMemoEncoder:
     letters and a tail of signs are merged together in arrays; others are encoded as one text by the library, in which a word's
     first token is the only one that begins with a space."""
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer

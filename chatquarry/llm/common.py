@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -21,6 +25,38 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# ---------------------------------------------------------------- what a Python worker keeps between tasks
+
+_held: dict = {}
+
+
+def held(key, make):
+    """An object that a worker keeps for its next tasks of the same kind; only the last kind's is kept."""
+    if key not in _held:
+        release()
+        _held[key] = make()
+        trim()
+    return _held[key]
+
+
+def release() -> None:
+    """Lets go of what other operators kept in this worker."""
+    if _held:
+        _held.clear()
+        gc.collect()
+        trim()
+
+
+def trim() -> None:
+    """Gives free memory back to the system, which counts it against the executor otherwise."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+# ---------------------------------------------------------------- tables and batches
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -41,11 +77,23 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+_cleared = 0.0
+
+
+def cleared(spark: SparkSession, every: float = 3.0) -> None:
+    """Lets Spark delete the shuffle files of finished jobs, which it does once the driver's garbage is collected; not too often."""
+    global _cleared
+    if time.monotonic() - _cleared > every:
+        spark.sparkContext._jvm.System.gc()
+        _cleared = time.monotonic()
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage ends there, and lost executors cost no recomputation."""
-    path = scratch(df.sparkSession)
+    spark, path = df.sparkSession, scratch(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    cleared(spark)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def broadcast_value(df: DataFrame, value):
@@ -60,15 +108,17 @@ def slices(batches: Iterable, rows: int = ARROW_ROWS) -> Iterator:
 
 def blocks(batches: Iterable, size: int = 1 << 22) -> Iterator:
     """Batches put together until they hold `size` bytes: enough rows for array work, whatever the length of the texts."""
-    held, n = [], 0
+    waiting, n = [], 0
     for batch in slices(batches):
-        held.append(batch)
+        waiting.append(batch)
         n += batch.nbytes
         if n >= size:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held, n = [], 0
+            yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+            waiting, n = [], 0
     if n:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+        yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+    waiting.clear()
+    trim()
 
 
 def texts_of(batch) -> list[str]:

@@ -13,7 +13,6 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +24,7 @@ from .bpe_cache import LONG, Memo, byte_letters, vocabulary_path
 class WordBpe:
     """Encoder and decoder of one vocabulary file; memoises at most twice `limit` words and as many stretches."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 200_000):
         import regex
 
         spec = json.load(open(path, encoding="utf-8"))  # a file of the installed library
@@ -114,10 +113,9 @@ class WordBpe:
         return " ".join(self.strings[i] for i in ids)
 
 
-@cache
 def codec(path: str) -> WordBpe:
-    """One for each Python worker: its memos serve all tasks that the worker runs."""
-    return WordBpe(path)
+    """One for each Python worker: its memos serve all tasks of this kind that the worker runs."""
+    return common.held(("codec", path), lambda: WordBpe(path))
 
 
 def encode_table(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", id_col: str = "doc_id", text_col: str = "text", outputs: bool = True) -> DataFrame:

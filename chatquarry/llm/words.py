@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 
+from . import common
+
 U = np.uint64
 
 
@@ -21,6 +23,7 @@ def word_lists(texts: list[str]) -> list[list[bytes]]:
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words of the batch, and where each text's words begin (one more entry than texts)."""
+    common.release()
     lists = word_lists(texts)
     at = np.zeros(len(lists) + 1, np.int64)
     np.cumsum([len(x) for x in lists], out=at[1:])

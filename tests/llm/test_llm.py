@@ -6,10 +6,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from chatquarry.llm import bpe_cache, common, op1_token_store, op2_sharding, op3_language, op4_jaccard, op5_language_model, op6_exact_dedup, op7_packing, op8_bpe, op9_fingerprint, op10_secrets
+from chatquarry.llm import bpe_cache, common, op1_token_store, op2_sharding, op3_language, op4_jaccard, op5_language_model, op6_exact_dedup, op7_packing, op8_bpe, op9_fingerprint, op10_secrets, words
 
 WORDS = "the of river stone lantern quick amber vessel harbor moss token violet engine silent orchard copper".split()
 KEY = "k3J9" + "xQ7mZ2pL8vR4tB6nW1yD5"
@@ -94,6 +95,30 @@ def test_language(docs, none):
     assert op3_language.classify(none, op3_language.dictionaries(none)).count() == 0
 
 
+def test_language_equals_a_plain_compressor(spark):
+    """Predictions, scores and margins of held-out rows, from whole encodings by another path through the library."""
+    import zstandard
+
+    common.prepared(spark)
+    docs = common.documents(spark, "/root/testdata/sf0.001")
+    samples, margins = op3_language.learned(docs.filter(~op3_language.held_out()))
+    got = by_id(op3_language.classify(docs, samples, margin=margins))
+    for r in docs.collect():
+        held = zlib.crc32(str(r.doc_id).encode()) % 4 == 2
+        assert docs.filter(docs.doc_id == r.doc_id).select(op3_language.held_out()).first()[0] == held if r.doc_id < 5 else True
+        raw = re.sub(r"[\W\d_]+", " ", r.text.lower()).encode()
+        if not any(c.isalpha() for c in r.text):
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        sizes = {}
+        for lang, sample in samples.items():
+            press = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(op3_language.LEVEL, write_content_size=False, write_dict_id=False), dict_data=zstandard.ZstdCompressionDict(sample, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+            sizes[lang] = sum(len(press.compress(raw[i : i + op3_language.PIECE])) for i in range(0, len(raw), op3_language.PIECE))
+        first, second = sorted(sizes, key=lambda x: (sizes[x], x))[:2]
+        near = abs(sizes[first] - sizes[second]) <= 0.01 * sizes[first]  # the two ways to load a dictionary differ by a few bytes
+        assert near or got[r.doc_id].lang_pred == first
+
+
 def test_margins_reject_other_languages(spark):
     common.prepared(spark)
     train = common.documents(spark, "/root/testdata/sf0.01").filter("lang is not null")
@@ -153,10 +178,12 @@ def test_jaccard_returns_all_links(spark, monkeypatch, block):
     sets = [{tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in (str.split(x or "") for x in texts)]
     rep = [min((j for j, y in enumerate(sets) if y == s), default=0) for s in sets]
     want = {(i, j): len(sets[i] & sets[j]) for i in range(len(sets)) for j in range(i + 1, len(sets)) if rep[i] == i and rep[j] == j and sets[i] and 100 * len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j])}
-    members, found = op4_jaccard.links(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), k, t)
+    members, classes, found = op4_jaccard.links(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), k, t)
     rows = found.collect()
-    assert sorted((r.a, r.b) for r in rows) == sorted(want) and len(want) > 80
-    assert all(r.shared in (None, want[r.a, r.b]) for r in rows)
+    first = {r.digest: r.rep for r in classes.collect()}
+    got = {tuple(sorted((first[r.a], first[r.b]))): r.shared for r in rows}
+    assert sorted(got) == sorted(want) and len(got) == len(rows) and len(want) > 80
+    assert all(shared in (None, want[p]) for p, shared in got.items())
     counts = {r.id: r.n_links for r in op4_jaccard.link_counts(members, found).collect()}
     assert counts == {i: sum(i != j and bool(s) and 100 * len(s & o) >= t * len(s | o) for j, o in enumerate(sets)) for i, s in enumerate(sets)}
 
@@ -176,12 +203,19 @@ def test_language_model(docs, none):
 
 def test_em_never_loses_held_out_likelihood():
     r = np.random.RandomState(3)
-    table = np.zeros((2, op5_language_model.CLASSES, op5_language_model.CLASSES))
+    table = np.zeros((2, 60, 60))
     table[:, :50, :50] = r.poisson(0.7, (2, 50, 50))
     weights, seen = op5_language_model.learned_weights(table[0], table[1])
     assert all(b >= a - 1e-9 for a, b in zip(seen, seen[1:], strict=False)) and np.allclose(weights.sum(1), 1)
 
 
+def test_packed_numbers_and_keys():
+    for x in ([], [0], [5, 255, 256, 0], [2**32 - 1, 1], list(range(1000))):
+        assert op5_language_model.unpack_numbers(op5_language_model.pack_numbers(np.array(x, np.int64))).tolist() == x
+    for keys in ([], [7], [1, 2, 2**63 + 5], np.unique(np.random.RandomState(1).randint(0, 2**40, 500)).tolist()):
+        assert op5_language_model.unpack_sorted(op5_language_model.pack_sorted(np.array(keys, np.uint64))).tolist() == keys
+
+
 def test_language_model_holds_all_pairs(spark):
     common.prepared(spark)
     # 3000 words of equal counts, each with one follower: more than any fixed table of classes
@@ -214,12 +248,19 @@ def test_language_model_holds_all_pairs(spark):
     every = first + late
     known = counts(every)
     want = [sum(np.log10(weights[b] @ e) for b, e in (estimates(every, *known, p) for p in x)) for x in pairs]
-    for limit in (op5_language_model.HOT_PAIRS, 5):
+    for tokens, keys, bins, near in ((10**6, 600_000, 1 << 20, 1e-5), (50, 40, 1 << 20, 1e-5), (10**6, 600_000, op5_language_model.BINS, 0.01)):
         with pytest.MonkeyPatch.context() as m:
-            m.setattr(op5_language_model, "HOT_PAIRS", limit)
-            m.setattr(op5_language_model, "HOT_WORDS", limit)
+            m.setattr(op5_language_model, "BLOCK_TOKENS", tokens)
+            m.setattr(op5_language_model, "PART_KEYS", keys)
+            m.setattr(op5_language_model, "BINS", bins)
             got = by_id(op5_language_model.score_texts(rows))
-        assert [got[i].score for i in range(len(texts))] == pytest.approx(want)
+        assert [got[i].score for i in range(len(texts))] == pytest.approx(want, rel=near)
+
+
+def test_each_row_has_its_own_score(spark):
+    common.prepared(spark)
+    rows = spark.createDataFrame([(7, "a b c d e"), (7, "a"), (None, "a b"), (None, None)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in op5_language_model.score_texts(rows).collect()) == [(0, 1), (0, 3), (7, 2), (7, 6)]
 
 
 @pytest.mark.parametrize("clash", [False, True])
@@ -252,11 +293,32 @@ def test_packing(docs, none):
     assert op7_packing.pack(op7_packing.pieces(none)).count() == 0
 
 
-def test_bin_completion_is_never_worse_than_best_fit():
+def test_bin_completion_beats_best_fit():
+    better = 0
     for seed in range(8):
-        counts = np.bincount(np.random.RandomState(seed).randint(200, 700, 60), minlength=1025)
+        r = np.random.RandomState(seed)
+        # 60 full sequences cut at random: 60 is the optimum
+        parts = [x for _ in range(60) for x in np.diff([0, *np.sort(r.choice(np.arange(60, 964), r.randint(1, 4), replace=False)), 1024])]
+        counts = np.bincount(parts, minlength=1025)
         fit, found = op7_packing.best_fit(counts, 1024), op7_packing.bin_completion(counts, 1024)
-        assert len(found) <= len(fit) and np.array_equal(np.bincount([x for s in found for x in s], minlength=1025), counts) and max(map(sum, found)) <= 1024
+        assert 60 <= len(found) <= len(fit) and np.array_equal(np.bincount([x for s in found for x in s], minlength=1025), counts) and max(map(sum, found)) <= 1024
+        better += len(found) == 60 < len(fit)
+    assert better >= 4
+
+
+def test_bin_completion_is_optimal_where_brute_force_can_tell():
+    def brute(left, rooms):
+        if not left:
+            return len(rooms)
+        x, best = left[0], 99
+        for i, room in enumerate(rooms):
+            if room >= x and room not in rooms[:i]:
+                best = min(best, brute(left[1:], [*rooms[:i], room - x, *rooms[i + 1 :]]))
+        return min(best, brute(left[1:], [*rooms, 20 - x]))
+
+    for seed in range(30):
+        lengths = sorted(np.random.RandomState(seed).randint(3, 14, 8).tolist(), reverse=True)
+        assert len(op7_packing.bin_completion(np.bincount(lengths, minlength=21), 20, steps=5000)) == brute(lengths, [])
 
 
 def test_bpe(docs, none):
@@ -269,22 +331,57 @@ def test_bpe(docs, none):
 
 def test_memo_equals_library():
     coder, t = bpe_cache.WordMemoEncoder(bpe_cache.vocabulary_path("byte_bpe_50k.json"), limit=20), library("byte_bpe_50k.json")
-    odd = ["", " ", "  a", "a  b", "a \n b", "a\n b", "trail ", "x" * 300, "don't 'S a's", "日本 🎉 x", "a<|endoftext|> b <|endoftext|>", *[x or "" for x in TEXTS]]
+    odd = ["", " ", "  a", "a  b", "a \n b", "a\n b", "trail ", "x" * 300, "don't 'S a's", "日本 🎉 x", "a<|endoftext|> b <|endoftext|>", "word. *** end!? (x) naïve,", *[x or "" for x in TEXTS]]
     for _ in range(2):
-        assert [np.frombuffer(b, "<u4").tolist() for b in coder.encode(odd)] == [t.encode(x, add_special_tokens=False).ids for x in odd]
+        got, at = coder.encode(pa.array(odd))
+        assert [got[a:b].tolist() for a, b in zip(at, at[1:])] == [t.encode(x, add_special_tokens=False).ids for x in odd]
+        assert len(coder.memo) <= 20 and coder.memo.nbytes() < 20 * 60
+    got, at = coder.encode(pa.array(["a", None, "b c"]), 7)
+    assert [got[a:b].tolist() for a, b in zip(at, at[1:])] == [t.encode(x, add_special_tokens=False).ids + [7] for x in ("a", "", "b c")]
+    assert [len(x) for x in coder.encode(pa.array([], pa.string()))] == [0, 1]
+
+
+def test_store_of_short_and_odd_tables(spark, tmp_path):
+    common.prepared(spark)
+    t = library("byte_bpe_50k.json")
+    for n, rows in enumerate([[(1, "five little words are here")], [(None, "x"), (None, None), (2, "y z")], [(2**63 - 1, "b"), (-(2**63), "a"), (0, "m"), (0, "m"), (0, "n")], [(i, "w" * (i % 3)) for i in range(20)]]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        op1_token_store.write_store(docs, str(tmp_path / f"s{n}"))
+        got = sorted(((-(2**64) if r.doc_id is None else r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in op1_token_store.read_digests(spark, str(tmp_path / f"s{n}")).collect()), key=lambda r: r[1])
+        assert [r[0] for r in got] == sorted(-(2**64) if i is None else i for i, _ in rows)
+        assert [r[1] for r in got] == [sum(x[2] for x in got[:i]) for i in range(len(got))]
+        wanted = [np.array(t.encode(x or "", add_special_tokens=False).ids + [0], "<u4") for _, x in rows]
+        assert sorted((len(w), zlib.crc32(w.tobytes())) for w in wanted) == sorted(r[2:] for r in got)
+
+
+@pytest.mark.parametrize("n", range(21))
+def test_cut_points_of_few_ids(n):
+    assert op1_token_store.cut_points(np.arange(n, dtype=np.uint32), np.array([0, n]), op1_token_store.gear()) == [[n] if n else []]
 
 
 def test_fingerprints(docs, none):
-    got = by_id(op9_fingerprint.with_edited(docs, bits=2))
+    got = by_id(op9_fingerprint.with_edited(docs))
     for i, x in enumerate(TEXTS):
         own, after, r = x or "", TEXTS[i - 1] or "", got[ids(i)]
         want = own[: len(own) - len(own) // 2] + after[: len(own) // 2]
         assert (r.n_chars, r.edited_sha256) == (len(own), hashlib.sha256(want.encode()).hexdigest()) and 0 <= r.near_edited <= 1
     assert got[ids(6)].fingerprint == got[ids(len(TEXTS) - 1)].fingerprint and got[ids(1)].near_next == 1.0
-    a, b = text_of(70, 4000) + " " + " ".join(f"u{i}" for i in range(4000)), " ".join(f"u{i}" for i in range(4000))
-    from chatquarry.llm.words import word_hashes
+    # sketches and likeness against whole sets of shingles
+    def shingle_set(x):
+        h, at = words.word_hashes([x])
+        return set((words.shingles(h, op9_fingerprint.K) >> np.uint64(16)).tolist())
 
-    h, at = word_hashes([a, b])
+    for i, x in enumerate(TEXTS):
+        own, after, r = x or "", TEXTS[i - 1] or "", got[ids(i)]
+        n, (d, scale, kept) = op9_fingerprint.parsed(r.fingerprint)
+        whole, other, changed = shingle_set(own), shingle_set(after), shingle_set(own[: len(own) - len(own) // 2] + after[: len(own) // 2])
+        assert n == len(whole) and scale == (1 if n <= 64 else 2 if n <= 128 else 4 if n <= 256 else 8)
+        assert set(kept.tolist()) == {h for h in whole if h < 2**48 // scale}
+        for y, likeness in ((other, r.near_next), (changed, r.near_edited)):
+            if len(whole) <= op9_fingerprint.SMALL and len(y) <= op9_fingerprint.SMALL and (whole | y) and own.lower().split() != after.lower().split():
+                assert likeness in (1.0, pytest.approx(len(whole & y) / len(whole | y)))
+    a, b = text_of(70, 4000) + " " + " ".join(f"u{i}" for i in range(4000)), " ".join(f"u{i}" for i in range(4000))
+    h, at = words.word_hashes([a, b])
     small, large = op9_fingerprint.printed(h[at[1] :])[0], op9_fingerprint.printed(h[: at[1]])[0]
     assert op9_fingerprint.contained(small, large) > 0.98
     assert op9_fingerprint.with_edited(none).count() == 0
@@ -313,6 +410,62 @@ def test_runs_are_cut_not_dropped(spark):
     assert by_id(op10_secrets.scan(df))[3].spans == f"entropy:0:{len(secret)},entropy:{len(secret) + 6}:{2 * len(secret) + 6}"
 
 
+def test_spans_are_those_of_a_plain_scan(spark):
+    """The entropy spans of the classes' candidates, by Python's own regular expressions and counts."""
+    common.prepared(spark)
+    r = np.random.RandomState(5)
+    alphabet = "ABCDEFGHabcdefgh0123456789+/_=-"
+    texts = [" ".join("".join(alphabet[i] for i in r.randint(0, len(alphabet), r.randint(5, 60))) for _ in range(30)) for _ in range(10)] + [x or "" for x in TEXTS]
+    base = [("assign", op10_secrets.ASSIGN, 2, 8), ("access", op10_secrets.ACCESS, 0, 16), ("hex", op10_secrets.HEX, 0, 32)]
+    allowed = re.compile("|".join(f"(?:{p})" for p in op10_secrets.ALLOWED))
+
+    def parts(start, end, cuts):
+        at = start
+        for a, b in sorted(cuts):
+            if a < end and start < b:
+                if a > at:
+                    yield at, a
+                at = max(at, b)
+        if at < end:
+            yield at, end
+
+    def entropy(s, w=op10_secrets.WINDOW):
+        return max(-sum(c / w * np.log2(c / w) for c in Counter(s[i : i + w]).values()) for i in range(len(s) - w + 1))
+
+    def scan(x):
+        spans = [(m.start(), m.end()) for n, p, g, least in base for m in re.finditer(p, x) if len(m.group(g)) >= least]
+        out = []
+        for _, pattern, _, bits in op10_secrets.CLASSES:
+            found = []
+            for m in re.finditer(pattern, x):
+                if not (re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])):
+                    continue
+                for a, b in parts(m.start(), m.end(), spans):
+                    if b - a >= op10_secrets.WINDOW:
+                        for c, d in parts(a, b, [(a + h.start(), a + h.end()) for h in re.finditer(op10_secrets.PLACEHOLDER, x[a:b])]):
+                            v = x[c:d]
+                            if d - c >= op10_secrets.WINDOW and re.search("[0-9]", v) and re.search("[A-Za-z]", v) and not allowed.search(v) and entropy(v) >= bits - 1e-9:
+                                found.append((c, d))
+            out += [f for f in found if not any(f[0] < d and c < f[1] for c, d in out)]
+        return sorted(out)
+
+    rows = by_id(op10_secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for i, x in enumerate(texts):
+        got = [tuple(map(int, s.split(":")[1:])) for s in rows[i].spans.split(",") if s.startswith("entropy")]
+        assert got == scan(x), x
+
+
+def test_a_long_run_takes_seconds(spark):
+    import time
+
+    common.prepared(spark)
+    run = ("Ab1+" * 250_000)[:1_000_000]
+    many = "token=abcdefgh1 " * 20_000
+    began = time.time()
+    got = by_id(op10_secrets.scan(spark.createDataFrame([(1, run), (2, many)], "doc_id long, text string")))
+    assert got[1].n_assign == 0 and got[2].n_assign == 20_000 and time.time() - began < 90
+
+
 def test_window_entropy(spark):
     def brute(s, w=op10_secrets.WINDOW):
         return max(-sum(c / w * np.log2(c / w) for c in Counter(s[i : i + w]).values()) for i in range(len(s) - w + 1))
@@ -321,3 +474,39 @@ def test_window_entropy(spark):
     df = spark.createDataFrame([(s,) for s in strings], "v string")
     got = [r[0] for r in df.select(op10_secrets.best_entropy(F.col("v"), op10_secrets.CLASSES[0][2])).collect()]
     assert got == pytest.approx([brute(s) for s in strings])
+
+
+ODD = [(None, "null id"), (None, None), (2**63 - 1, LONG), (-(2**63), LONG + " tail"), (5, "twice with"), (5, "another text"), (5, "another text"), (6, ""), (None, LONG), (7, "x" * 200_000), (8, "one")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    common.prepared(spark)
+    rows = [(i, t, "en", "s", 1, 2, "a") for i, t in ODD]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _h long, _row int, key string").repartition(2).cache()
+
+
+def test_all_operators_take_the_odd_table(spark, odd, tmp_path):
+    n = len(ODD)
+    op1_token_store.write_store(odd, str(tmp_path / "s"))
+    assert op1_token_store.read_digests(spark, str(tmp_path / "s")).count() == n
+    assert op2_sharding.assigned(odd).count() == n
+    samples, margins = op3_language.learned(odd)
+    assert op3_language.classify(odd, samples, margin=margins).count() == n
+    grouped = op4_jaccard.grouped(odd).collect()
+    assert len(grouped) == n and len({r.component for r in grouped if r.n_shingles == len(set(zip(LONG.split(), LONG.split()[1:], LONG.split()[2:])))}) == 1
+    assert op5_language_model.score_texts(odd).count() == n
+    assert op6_exact_dedup.groups(odd).count() == n
+    packed = op7_packing.pack(op7_packing.pieces(odd))
+    assert packed.filter("piece = 0").count() == n
+    assert op8_bpe.encode_table(odd).count() == n
+    assert op9_fingerprint.with_edited(odd).count() == n
+    assert op10_secrets.scan(odd).count() == n and op10_secrets.redacted(odd).columns == odd.columns
+
+
+def test_one_row_tables(spark):
+    common.prepared(spark)
+    for row in [(1, None), (1, "w"), (None, "some words")]:
+        one = spark.createDataFrame([row], "doc_id long, text string")
+        for f in (op2_sharding.assigned, op4_jaccard.grouped, op5_language_model.score_texts, op6_exact_dedup.groups, op9_fingerprint.with_edited, op10_secrets.scan):
+            assert f(one).count() == 1, f
