@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -77,22 +76,10 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-_cleared = 0.0
-
-
-def cleared(spark: SparkSession, every: float = 3.0) -> None:
-    """Lets Spark delete the shuffle files of finished jobs, which it does once the driver's garbage is collected; not too often."""
-    global _cleared
-    if time.monotonic() - _cleared > every:
-        spark.sparkContext._jvm.System.gc()
-        _cleared = time.monotonic()
-
-
 def staged(df: DataFrame) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage ends there, and lost executors cost no recomputation."""
     spark, path = df.sparkSession, scratch(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    cleared(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
