@@ -199,10 +199,12 @@ def apart(x: str, y: str) -> F.Column:
 def may_link(x: str, y: str, t: int) -> F.Column:
     """Whether size, position in the list's order and signature leave two postings of one list a chance to be linked.
 
-    n + m - 2 least_shared elements may be in one of the sets only; all before the shared element are, if it's the first shared."""
+    n + m - 2 least_shared elements may be in one of the sets only; all before the shared element are, if it's the first shared, and
+    what is left from there on in either set must do for least_shared."""
     n, m = F.col(f"{x}.size"), F.col(f"{y}.size")
-    spare = n + m - 2 * F.ceil((n + m) * t / F.lit(100.0 + t) - 1e-9)
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * t) & (apart(x, y) <= spare)
+    shared = F.ceil((n + m) * t / F.lit(100.0 + t) - 1e-9)
+    left = (n - F.col(f"{x}.pos") >= shared) & (m - F.col(f"{y}.pos") >= shared)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * t) & left & (apart(x, y) <= n + m - 2 * shared)
 
 
 def wide_signature(s: np.ndarray) -> np.ndarray:
@@ -351,6 +353,8 @@ def links(docs: DataFrame, k: int = 3, t: int = 90, id_col: str = "doc_id", text
     met = b.join(c, F.expr("b.token = c.token and (b.size_block < c.size_block and c.size_block - b.size_block <= 2 or b.size_block = c.size_block and (b.pos_block < c.pos_block or b.pos_block = c.pos_block and b.salt <= c.salt))"))
     met = met.filter(F.expr(f"b.most * 100 >= c.least * {t} and c.most * 100 >= b.least * {t}"))
     met = met.filter(F.expr("b.pos + c.pos") <= F.expr(f"(b.most + c.most) * (1 - 2 * {t} / (100.0 + {t})) + 2"))
+    least = f"(b.least + c.least) * {t} / (100.0 + {t}) - 1"
+    met = met.filter(F.expr(f"b.most - b.pos >= {least} and c.most - c.pos >= {least}"))
     same = "(m.sb = m.sc and m.bp = m.cp and m.bs = m.cs)"
     if within:  # blocks all of whose pairs are derived
         met = met.filter(F.expr(f"b.far + c.far > (b.least + c.least) * (1 - 2 * {t} / (100.0 + {t})) - 2"))
