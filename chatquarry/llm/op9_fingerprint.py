@@ -1,8 +1,8 @@
 """Threshold-scaled sketches: of a text's word shingles, every one whose hash lies below a fixed fraction of the range is kept.
 
-Sketches merge by union and estimate Jaccard similarity and containment without bias, however unequal the texts are. A text of at
-most SMALL shingles keeps them all (scale 1), so that short near copies are found too; two sketches compare and merge at the coarser
-of their scales. A fingerprint is `scale:shingle count:text digest:hashes`; the digest tells equal word sequences from texts whose
+Sketches merge by union and estimate Jaccard similarity and containment without bias, however unequal the texts are. The fraction is
+an eighth (SCALE) for texts of more than 4 SMALL shingles, a quarter from 2 SMALL on, half from SMALL on; shorter texts keep all, so
+that short near copies are found too. Two sketches compare and merge at the coarser of their scales. A fingerprint is `scale:shingle count:text digest:hashes`; the digest tells equal word sequences from texts whose
 sketches are alike.
 
 Likeness: 1 for an equal digest; otherwise the Jaccard estimate of the sketches, 0 where both are empty.
@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 from . import common
 from .words import shingles, word_hashes
 
-SCALE, SMALL, K = 8, 256, 5
+SCALE, SMALL, K = 8, 64, 5
 #: A sketch with the digest of its word sequence: (digest, scale, hashes).
 Sketch = tuple[bytes, int, np.ndarray]
 
@@ -39,7 +39,8 @@ def below(kept: np.ndarray, scale: int) -> np.ndarray:
 def sketch(words: np.ndarray, scale: int = SCALE, k: int = K, small: int = SMALL) -> tuple[int, int, np.ndarray]:
     """Number of distinct shingles, the scale, and the kept hashes (upper 48 bits), sorted."""
     s = np.unique(shingles(words, k))
-    scale = scale if len(s) > small else 1
+    while scale > 1 and len(s) <= small * scale // 2:
+        scale //= 2
     return len(s), scale, below(s >> np.uint64(16), scale)
 
 
@@ -125,14 +126,27 @@ def results(todo: list, scale: int, k: int) -> list[pa.Array]:
     ]
 
 
+def pressed(batches) -> Iterator[pa.RecordBatch]:
+    """Texts as zstd, in which they move."""
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=3).compress
+    for batch in common.slices(batches):
+        texts = batch.column("text").cast(pa.binary()).to_pylist()
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array([press(t or b"") for t in texts], pa.binary())], names=["doc_id", "tie", "text"])
+
+
 def compare_in_order(scale: int, k: int):
     """Compares each row with the one after it; a task's first and last row come out with their texts, edge 1 and 2."""
     names = [f.split()[0] for f in RESULT.split(", ")]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        expand = zstandard.ZstdDecompressor().decompress
         part, first, held = TaskContext.get().partitionId(), None, None
         for batch in common.slices(batches):
-            texts = common.texts_of(batch)
+            texts = [expand(t).decode() for t in batch.column("text").to_pylist()]
             todo = []
             for row in zip(batch.column("doc_id").to_pylist(), texts, prints_of(texts, scale, k), strict=True):
                 first = first or row
@@ -162,10 +176,11 @@ def compare_pairs(scale: int, k: int):
 def with_edited(docs: DataFrame, scale: int = SCALE, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Compares each text with its edited text and with the next one in descending order of ids (null ids come last).
 
-    Texts are dealt by ranges of ids, drawn from what the table holds, and move once; a range's last text meets the first one of the
+    Texts are dealt by ranges of ids, drawn from what the table holds, and move once, compressed; a range's last text meets the first one of the
     next range afterwards."""
     docs = common.id_and_text(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
     order = (F.desc_nulls_last("doc_id"), F.asc("tie"))
+    docs = docs.mapInArrow(pressed, "doc_id long, tie long, text binary")
     every = common.staged(docs.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(compare_in_order(scale, k), f"{RESULT}, part int, edge int, text string"))
     edges = every.filter("edge > 0")
     firsts, lasts = edges.filter("edge = 1").select(F.col("part").alias("to"), F.col("text").alias("next")), edges.filter("edge = 2").select("part", "doc_id", "text")
