@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import op1_token_store, op2_sharding, op3_language, op4_jaccard, op5_language_model, op6_exact_dedup, op7_packing, op8_bpe, op9_fingerprint, op10_secrets
+from . import op1_token_store, op2_sharding, op3_language, op4_jaccard, op5_language_model, op6_exact_dedup, op7_packing, op8_bpe, op9_fingerprint, op10_secrets, op11_fim, op12_decontamination, op13_alignment
 
 
 def queries() -> dict:
@@ -15,8 +15,16 @@ def queries() -> dict:
         "op8_bpe": op8_bpe.query,
         "op9_scaled_sketch": op9_fingerprint.query,
         "op10_secret_scan": op10_secrets.query,
+        "op11_distinct_text_fim": op11_fim.query,
+        "op12_benchmark_decontamination": op12_decontamination.query,
+        "op13_group_dictionary_alignment": op13_alignment.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ngram_jaccard": op4_jaccard.ORACLE, "op6_exact_dedup": op6_exact_dedup.ORACLE}
+    return {
+        "op4_ngram_jaccard": op4_jaccard.ORACLE,
+        "op6_exact_dedup": op6_exact_dedup.ORACLE,
+        "op11_distinct_text_fim": op11_fim.ORACLE,
+        "op12_benchmark_decontamination": op12_decontamination.ORACLE,
+    }
