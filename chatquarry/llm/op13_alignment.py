@@ -198,9 +198,10 @@ def interned(aligner: Aligner, batch: pa.RecordBatch, block: int) -> Iterator[pa
         if len(rows) == common.ARROW_ROWS or i == n - 1:
             yield filled(dict(zip(DOC, zip(*rows, strict=True), strict=True)), len(rows))
             rows = []
-    for i in range(0, width, 1 << 16):
-        to = min(width, i + (1 << 16))
-        yield filled({"block": np.full(to - i, block), "number": np.arange(i, to), "group": names_of[i:to], "occurrences": occurrences[i:to], "documents": documents[i:to]}, to - i)
+    present = np.flatnonzero(occurrences)  # units of texts that were encoded whole may be in no text
+    for i in range(0, len(present), 1 << 16):
+        own = present[i : i + (1 << 16)]
+        yield filled({"block": np.full(len(own), block), "number": own, "group": [names_of[k] for k in own.tolist()], "occurrences": occurrences[own], "documents": documents[own]}, len(own))
 
 
 def filled(columns: dict, n: int) -> pa.RecordBatch:
@@ -267,7 +268,7 @@ class Alignment:
 def answered(found: pa.Table, docs: pa.Table) -> pa.Table:
     """A block's documents with the sums over their groups."""
     number = found.column("number").to_numpy()
-    answers = np.zeros((3, len(number)), np.int64)
+    answers = np.zeros((3, number.max(initial=-1) + 1), np.int64)
     for k, c in enumerate(("links", "best", "total")):
         answers[k, number] = found.column(c).to_numpy()
     sums = np.zeros((3, docs.num_rows), np.int64)
