@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from .functions import media, text
-from .operators import choices, graph, history, joins, sequences
+from .operators import choices, graph, history, joins, order, sequences
 from .plans import retrieval
 from .shipping import ship
 from .sources.tables import event_messages, table, turns
@@ -428,9 +428,8 @@ UNION ALL SELECT p.conv_id, p.rn, r.e, CASE WHEN p.s <> r.e AND p.e <= r.e THEN
 SELECT conv_id, rn AS segment_no, s AS start_s, e AS end_s FROM r""")
 def stitched_timelines(spark, d):
     given = table(spark, d, "conversations").select("conv_id", "turn", (F.length("text") % 60).alias("s"), (F.length("text") % 97).alias("e"))
-    times = F.transform(F.array_sort(F.collect_list(F.struct("turn", "s", "e"))), lambda x: F.struct(x.s.alias("s"), x.e.alias("e")))
-    lines = given.groupBy("conv_id").agg(choices.stitched(times).alias("t")).select("conv_id", F.posexplode("t").alias("i", "x"))
-    return lines.select("conv_id", (F.col("i") + 1).cast("long").alias("segment_no"), F.col("x.s").alias("start_s"), F.col("x.e").alias("end_s"))
+    lines = sequences.stitched(order.numbered(given, "conv_id", "turn", name="segment_no"), "conv_id", ["segment_no"])
+    return lines.select("conv_id", F.col("segment_no").cast("long").alias("segment_no"), "start_s", "end_s")
 
 
 @query("""WITH RECURSIVE p AS (SELECT conv_id, {'s': s, 'e': e, 'confidence': confidence} AS x, row_number() OVER (PARTITION BY conv_id ORDER BY confidence DESC, s, e) AS rn, count(*) OVER (PARTITION BY conv_id) AS last FROM
@@ -439,9 +438,8 @@ r AS (SELECT conv_id, rn, last, [x] AS kept FROM p WHERE rn = 1 UNION ALL
  SELECT p.conv_id, p.rn, p.last, CASE WHEN len(list_filter(r.kept, lambda k: k.s < p.x.e AND p.x.s < k.e)) = 0 THEN list_append(r.kept, p.x) ELSE r.kept END FROM r JOIN p ON p.conv_id = r.conv_id AND p.rn = r.rn + 1)
 SELECT conv_id, unnest(kept).s AS s, unnest(kept).e AS e, unnest(kept).confidence AS confidence FROM r WHERE rn = last""")
 def surest_spans(spark, d):
-    c = table(spark, d, "conversations").select("conv_id", F.struct((F.length("text") % 50).alias("s"), (F.length("text") % 50 + 10 + F.col("turn")).alias("e"), (F.length("text") % 7).alias("confidence")).alias("x"))
-    kept = c.groupBy("conv_id").agg(choices.without_overlaps(F.collect_list("x")).alias("kept"))
-    return kept.select("conv_id", F.inline("kept"))
+    c = table(spark, d, "conversations").select("conv_id", (F.length("text") % 50).alias("s"), (F.length("text") % 50 + 10 + F.col("turn")).alias("e"), (F.length("text") % 7).alias("confidence"))
+    return choices.without_overlaps(c, "conv_id")
 
 
 from . import chat_catalog  # noqa: E402, F401  (adds its queries)

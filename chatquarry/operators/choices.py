@@ -1,37 +1,59 @@
-"""Choosing rows: even samples, spans that don't overlap, priorities, stitched times, aggregates of chats."""
+"""Choosing rows: even samples, spans that don't overlap, priorities, aggregates of chats."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from .blocks import by_block
+from .order import Ordered, plain
+
 
 def even_sample(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
-    """At most n rows of each group at even strides: those at floor(j * count / n), j from 0."""
-    w = Window.partitionBy(group)
-    placed = rows.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_c", F.count("*").over(w))
+    """At most n rows of each group at even strides: those at floor(j * count / n), j from 0. The order tells rows apart."""
+    placed = Ordered(rows, group, order).prefix(number="_i", totals={"_c": F.lit(1)}).withColumn("_i", F.col("_i") - 1)
     j = f"((_i * {n} + _c - 1) div _c)"
-    return placed.filter(F.expr(f"_c <= {n} or {j} * _c < (_i + 1) * {n}")).drop("_i", "_c")
-
-
-def without_overlaps(spans: Column) -> Column:
-    """Of one text's spans (array of structs s, e, confidence) the surest of each overlap, in order; of equal ones the earlier."""
-    ranked = F.array_sort(spans, lambda a, b: F.when(a.confidence != b.confidence, F.signum(b.confidence - a.confidence)).otherwise(F.signum((a.s - b.s) * 2 + F.signum(a.e - b.e))).cast("int"))
-    kept = F.aggregate(ranked, F.filter(spans, lambda _: F.lit(False)), lambda acc, x: F.when(F.exists(acc, lambda k: (k.s < x.e) & (x.s < k.e)), acc).otherwise(F.concat(acc, F.array(x))))
-    return F.array_sort(kept)
-
-
-def stitched(times: Column) -> Column:
-    """One timeline's segments (array of structs s, e in seconds, in order) without gaps: the first starts at 0, each other where the
-    one before ends; one moved past its own end gets 10 seconds."""
-    empty = F.filter(F.transform(times, lambda t: F.struct(t.s.cast("long").alias("s"), t.e.cast("long").alias("e"))), lambda _: F.lit(False))
-
-    def step(acc, t):
-        start = F.coalesce(F.try_element_at(acc, F.lit(-1)).e, F.lit(0)).cast("long")
-        moved = (F.size(acc) > 0) & (t.s != start) & (t.e <= start)
-        return F.concat(acc, F.array(F.struct(start.alias("s"), F.when(moved, start + 10).otherwise(t.e).cast("long").alias("e"))))
-
-    return F.aggregate(times, empty, step)
+    return plain(placed.filter(F.expr(f"_c <= {n} or {j} * _c < (_i + 1) * {n}")).drop("_i", "_c"))
+
+
+def surest(s: np.ndarray, e: np.ndarray, confidence: np.ndarray) -> list[int]:
+    """The spans that stay of some that overlap: the surest first, of equal ones the earlier. Those that stay lie apart, so the only one a
+    further span can meet is the first that ends after its start."""
+    kept: list[tuple[int, int, int]] = []
+    ends: list[int] = []
+    for i in np.lexsort((e, s, -confidence)).tolist():
+        a, b = int(s[i]), int(e[i])
+        at = bisect_right(ends, a)
+        if at == len(kept) or kept[at][0] >= b:
+            at = bisect_right(kept, (a, b, i))
+            kept.insert(at, (a, b, i))
+            ends.insert(at, b)
+    return [i for _, _, i in kept]
+
+
+def without_overlaps(spans: DataFrame, group: str, s: str = "s", e: str = "e", confidence: str = "confidence") -> DataFrame:
+    """Of each group's spans the surest of each overlap; of equal ones the earlier, then the shorter. All columns stay.
+
+    A sweep by starts cuts a group where no span before reaches: what is chosen on one side doesn't depend on the other. Only such a
+    stretch of spans, each of which overlaps an earlier one, is held by a task; its choice takes time n log n."""
+    ordered = Ordered(spans, group, s, e, confidence)
+    reached = ordered.prefix(maxima={"_reach": F.col(e)})
+    apart = F.coalesce((F.col(s) >= F.col("_reach")).cast("int"), F.lit(1))
+    rows = plain(ordered.prefix(sums={"_part": apart}, rows=reached).withColumn("_part", F.col("_part") + apart).drop("_reach"))
+
+    names = spans.columns
+
+    def choose(batches) -> Iterator[pa.RecordBatch]:
+        for _, table in by_block(batches, (group, "_part")):
+            keep = surest(*(table.column(c).to_numpy() for c in (s, e, confidence)))
+            yield from table.take(pa.array(keep, pa.int64())).select(names).combine_chunks().to_batches()
+
+    return rows.repartition(group, "_part").sortWithinPartitions(F.asc_nulls_first(group), "_part", s, e).mapInArrow(choose, spans.schema)
 
 
 def next_by_priority(queued: DataFrame, kind: str, priority: list[str]) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
+
+from .order import Ordered, plain
 
 
 #: Nodes that meet in one cell.
@@ -91,9 +92,8 @@ def user_texts(messages: DataFrame, most: int = 8000) -> DataFrame:
     """Of each numeric sender the first name by time, the number of messages and their texts in order, cut at `most` characters.
 
     messages: sender (long), name, ts, doc_id, content. A sender's texts are cut to what can count before they are joined."""
-    by = Window.partitionBy("sender").orderBy("ts", "doc_id")
-    rows = messages.filter("sender is not null").withColumn("_before", F.coalesce(F.sum(F.length("content") + 1).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    part = F.when(F.col("_before") < most, F.struct("ts", "doc_id", "content"))
+    rows = plain(Ordered(messages.filter("sender is not null"), "sender", "ts", "doc_id").prefix(sums={"_before": F.length("content") + 1}))
+    part = F.when(F.col("_before") <= most, F.struct("ts", "doc_id", "content"))
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["content"]), "\n")
     return rows.groupBy("sender").agg(F.min_by("name", F.struct("ts", "doc_id")).alias("name"), F.count("*").alias("n"), F.substring(texts, 1, most).alias("texts"))
 

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
-
-from .order import numbered
+from .order import Ordered, numbered, plain
 
 
 def reply_pairs(messages: DataFrame) -> DataFrame:
@@ -18,9 +16,8 @@ def reply_pairs(messages: DataFrame) -> DataFrame:
 
 def with_reply_to(messages: DataFrame, chat: str = "chat") -> DataFrame:
     """Takes each message for an answer to the one before it in its chat."""
-    rows = numbered(messages, chat, "ts", "doc_id")
-    before = rows.select(F.col(chat).alias("_chat"), (F.col("rn") + 1).alias("_rn"), F.col("doc_id").alias("reply_to"))
-    return rows.join(before, F.col(chat).eqNullSafe(F.col("_chat")) & (F.col("rn") == F.col("_rn")), "left").drop("_chat", "_rn", "rn")
+    before = Ordered(messages, chat, "ts", "doc_id").prefix(maxima={"_before": F.struct("ts", "doc_id")})
+    return plain(before.withColumn("reply_to", F.col("_before")["doc_id"]).drop("_before"))
 
 
 def neighbours(messages: DataFrame, targets: DataFrame, n: int) -> DataFrame:
@@ -62,9 +59,9 @@ def insert_ignore(base: DataFrame, rows: DataFrame, keys: list[str]) -> DataFram
 
 def gaps(ranges: DataFrame, group: str, start: int, end: int) -> DataFrame:
     """Parts of [start, end) that no range (columns s, e) covers, per group; touching ranges don't overlap."""
-    w = Window.partitionBy(group).orderBy("s", "e")
-    cut = ranges.filter((F.col("s") < end) & (F.col("e") > start) & (F.col("s") < F.col("e")))
-    front = F.greatest(F.coalesce(F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(start)), F.lit(start))
-    inner = cut.select(group, front.alias("gap_start"), F.col("s").alias("gap_end"))
-    tail = ranges.select(group).distinct().join(cut.groupBy(group).agg(F.max("e").alias("m")), group, "left").select(group, F.greatest(F.coalesce("m", F.lit(start)), F.lit(start)).alias("gap_start"), F.lit(end).alias("gap_end"))
+    cut = ranges.select(group, "s", "e").filter((F.col("s") < end) & (F.col("e") > start) & (F.col("s") < F.col("e")))
+    front = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(start)), F.lit(start))
+    inner = Ordered(cut, group, "s", "e").prefix(maxima={"_reached": F.col("e")}).select(group, front("_reached").alias("gap_start"), F.col("s").alias("gap_end"))
+    covered = F.when((F.col("s") < end) & (F.col("e") > start) & (F.col("s") < F.col("e")), F.col("e"))
+    tail = ranges.groupBy(group).agg(F.max(covered).alias("_reached")).select(group, front("_reached").alias("gap_start"), F.lit(end).alias("gap_end"))
     return inner.unionByName(tail).filter("gap_start < gap_end")

@@ -1,79 +1,42 @@
-"""Ordered computations per chat: context windows, segments, prefixes under a budget, stitched timelines."""
+"""Ordered computations per chat: context windows, sessions, prefixes under a budget. No chat is gathered in one task."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text
+from .blocks import segments, stitched  # noqa: F401  (ordered computations of their own kind)
+from .order import Ordered, plain
 
 
 def context_windows(messages: DataFrame, chat: str, order: list[str], k: int = 3) -> DataFrame:
     """Each message with its k predecessors' masked texts before it, one a line."""
-    w = Window.partitionBy(chat).orderBy(*order).rowsBetween(-k, -1)
-    before = F.array_join(F.collect_list(text.mask_pii("content")).over(w), "\n")
-    return messages.withColumn("context", before).withColumn("node_text", F.concat_ws("\n", F.when(F.length("context") > 0, F.col("context")), text.mask_pii("content")))
-
-
-def segments(messages: DataFrame, chat: str = "chat", gap_s: int = 64_800, budget: int = 2200, most: int = 40, least: int = 8) -> DataFrame:
-    """Cuts each chat: after a long silence, when the token budget is used (both from `least` messages on), or at `most` messages.
-
-    A cut depends on the current segment's length, so each chat is walked once; rows stream sorted, no chat is held whole.
-    messages: chat, doc_id, ts (seconds), length (characters). Returns chat, segment_no, start_doc, end_doc, n, strategy."""
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out: list[tuple] = []
-        key = first = last = before = None
-        no = n = size = 0
-        for batch in batches:
-            for c, doc, ts, length in zip(batch[chat], batch["doc_id"], batch["ts"], batch["length"], strict=True):
-                if c != key:
-                    if n:
-                        out.append((key, no, first, last, n, "final"))
-                    key, no, n, size, first = c, 0, 0, 0, doc
-                else:
-                    grown = size + length + (n > 0)
-                    why = "time_gap" if ts - before > gap_s and n >= least else "token_budget" if grown * 2 // 5 > budget and n >= least else "max_msgs" if n >= most else None
-                    if why:
-                        out.append((key, no, first, last, n, why))
-                        no, n, size, first = no + 1, 0, 0, doc
-                size += length + (n > 0)
-                n, last, before = n + 1, doc, ts
-            if len(out) > 10_000:
-                yield pd.DataFrame(out, columns=names)
-                out = []
-        if n:
-            out.append((key, no, first, last, n, "final"))
-        yield pd.DataFrame(out, columns=names)
-
-    names = [chat, "segment_no", "start_doc", "end_doc", "n", "strategy"]
-    rows = messages.select(chat, "doc_id", "ts", "length").repartition(chat).sortWithinPartitions(chat, "ts", "doc_id")
-    kind = messages.schema[chat].dataType.simpleString()
-    return rows.mapInPandas(walk, f"{chat} {kind}, segment_no int, start_doc long, end_doc long, n int, strategy string")
+    rows = messages.withColumn("_masked", text.mask_pii("content"))
+    before = Ordered(rows, chat, *order).preceding("_before", F.col("_masked"), k)
+    out = before.withColumn("context", F.array_join("_before", "\n"))
+    return plain(out.withColumn("node_text", F.concat_ws("\n", F.when(F.length("context") > 0, F.col("context")), F.col("_masked"))).drop("_masked", "_before"))
 
 
 def silence_sessions(messages: DataFrame, chat: str, gap_s: int) -> DataFrame:
     """Session numbers by silence alone: a running count of long gaps. ts in seconds."""
-    w = Window.partitionBy(chat).orderBy("ts", "doc_id")
-    opened = F.when(F.col("ts") - F.lag("ts").over(w) > gap_s, 1).otherwise(0)
-    return messages.withColumn("_o", opened).withColumn("session_no", F.sum("_o").over(w)).drop("_o")
+    ordered = Ordered(messages, chat, "ts", "doc_id")
+    last = ordered.prefix(maxima={"_last": F.col("ts")})
+    opened = F.when(F.col("ts") - F.col("_last") > gap_s, 1).otherwise(0)
+    counted = ordered.prefix(sums={"_opened": opened}, rows=last)
+    return plain(counted.withColumn("session_no", (F.col("_opened") + opened).cast("long")).drop("_last", "_opened"))
 
 
 def budget_prefix(items: DataFrame, group: str, order: list[str], tokens: str, budget: int, kept_anyway: int = 4) -> DataFrame:
-    """Items up to the first that goes beyond the budget and isn't among the first `kept_anyway`."""
-    w = Window.partitionBy(group).orderBy(*order)
-    numbered = items.withColumn("pos", F.row_number().over(w)).withColumn("cum", F.sum(tokens).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    cut = F.max(F.when((F.col("cum") > budget) & (F.col("pos") > kept_anyway), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return numbered.withColumn("_cut", cut).filter("_cut = 0").drop("_cut")
+    """Items up to the first that goes beyond the budget and isn't among the first `kept_anyway`, with their position and the tokens so
+    far. Negative tokens count as none, so whatever follows an item beyond the budget is beyond it as well."""
+    own = F.greatest(F.col(tokens), F.lit(0))
+    counted = Ordered(items, group, *order).prefix(number="pos", sums={"cum": own}).withColumn("cum", F.col("cum") + own)
+    return plain(counted.filter((F.col("cum") <= budget) | (F.col("pos") <= kept_anyway)))
 
 
 def proportional_truncation(rows: DataFrame, section: str, order: list[str], tokens: str, budget: int) -> DataFrame:
     """Shortens every section by the same ratio, so that all fit the budget; at least a row of each stays."""
-    sums = rows.groupBy(section).agg(F.count("*").alias("_n"), F.sum(tokens).alias("_t"))
-    total = sums.agg(F.sum("_t").alias("_all"))  # one row
-    ratio = sums.join(F.broadcast(total)).withColumn("_r", F.least(F.lit(1.0), F.lit(float(budget)) / F.col("_all"))).drop("_all")
-    numbered = rows.withColumn("pos", F.row_number().over(Window.partitionBy(section).orderBy(*order)))
-    return numbered.join(ratio, section).filter(F.col("pos") <= F.greatest(F.lit(1), F.floor(F.col("_n") * F.col("_r")))).drop("_n", "_t", "_r")
+    total = rows.agg(F.sum(tokens).alias("_all"))  # one row
+    counted = Ordered(rows, section, *order).prefix(number="pos", totals={"_n": F.lit(1)})
+    ratio = F.least(F.lit(1.0), F.lit(float(budget)) / F.col("_all"))
+    return plain(counted.join(F.broadcast(total)).filter(F.col("pos") <= F.greatest(F.lit(1), F.floor(F.col("_n") * ratio))).drop("_n", "_all"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..staging import scratch
+
 
 def stream(spark: SparkSession, path: str) -> DataFrame:
     """Messages as they come; their times as instants."""
@@ -50,8 +50,7 @@ def drained(df: DataFrame, mode: str = "append") -> DataFrame:
 
     Windows come out once the watermark has passed their end: those of the stream's last stretch are still open."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-    base = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    base = scratch(spark)
     writer = df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/state").option("path", f"{base}/rows")
     writer.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{base}/rows")

@@ -3,6 +3,7 @@
 import random
 from datetime import datetime
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from chatquarry.functions import media
@@ -10,16 +11,31 @@ from chatquarry.operators import choices
 from chatquarry.sources import sinks
 
 
+def greedy(spans):
+    kept = []
+    for x in sorted(spans, key=lambda x: (-x[2], x[0], x[1])):
+        if not any(k[0] < x[1] and x[0] < k[1] for k in kept):
+            kept.append(x)
+    return sorted(kept)
+
+
 def test_overlaps_equal_the_greedy_choice(spark):
     draw = random.Random(3)
-    texts = [[(s := draw.randrange(40), s + draw.randrange(1, 12), draw.randrange(4) / 4) for _ in range(draw.randrange(9))] for _ in range(50)]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, spans array<struct<s:int,e:int,confidence:double>>")
-    for row in df.select("id", choices.without_overlaps(F.col("spans")).alias("kept")).collect():
-        kept = []
-        for x in sorted(texts[row.id], key=lambda x: (-x[2], x[0], x[1])):
-            if not any(k[0] < x[1] and x[0] < k[1] for k in kept):
-                kept.append(x)
-        assert [tuple(k) for k in row.kept] == sorted(kept)
+    texts = [[(s := draw.randrange(40), s + draw.randrange(12), draw.randrange(4) / 4) for _ in range(draw.randrange(9))] for _ in range(50)]
+    texts.append([(s := draw.randrange(3000), s + draw.randrange(12), draw.randrange(50) / 4) for _ in range(2000)])
+    df = spark.createDataFrame([(i, *x) for i, t in enumerate(texts) for x in t], "id int, s int, e int, confidence double").repartition(7)
+    got = {}
+    for r in choices.without_overlaps(df, "id").collect():
+        got.setdefault(r.id, []).append((r.s, r.e, r.confidence))
+    for i, t in enumerate(texts):
+        assert sorted(got.get(i, [])) == greedy(t)
+
+
+def test_many_spans_that_overlap_in_one_stretch():
+    """A hundred thousand spans, each of which overlaps the next ones: n log n, not n by n."""
+    s = np.arange(100_000)
+    kept = choices.surest(s, s + 3, np.zeros(len(s)))
+    assert kept == list(range(0, 100_000, 3))
 
 
 def test_even_sample(spark):
