@@ -2,13 +2,14 @@
 
 Only letters count: texts are lower-cased, and what lies between words becomes one space. Long texts are encoded in pieces, each with
 the dictionary afresh, so that a text can't become its own dictionary.
-The dictionaries are a bounded sample of labelled rows (SAMPLE_ROWS rows a language, whole texts); predictions read whole texts.
+The dictionaries are a bounded sample of labelled rows: SAMPLE_ROWS distinct texts a language, whole ones, of SAMPLE_BYTES together.
+Texts are drawn among distinct ones, so copies, however many, count once. Predictions read whole texts.
 
 Score: the posterior of the best language under code lengths of SHARPNESS bytes a unit, from 1 / languages to 1, 0 for `und`.
 Rejected: texts that are null or have no letter (`und`), and texts whose second-best encoding is too little longer. How much is
 learned for each band of lengths, from up to MARGIN_ROWS labelled rows a language that the dictionaries don't hold and from beginnings
 of them: a SHARE of the median of what their own language gains on the best other one, MARGIN at least, so that ties are rejected at
-any length. What gains less than that share of what is usual for its length is in no learned language, or in several.
+any length; a band of too few rows takes a neighbour's. What gains less than that share of what is usual for its length is in no learned language, or in several.
 
 Defined cases: a null text, an empty one and one without letters give `und`, score 0, rejected; equal texts get equal results; ties
 go to the language first by name; without labelled rows all are `und`; an empty table gives no rows; columns other than the id,
@@ -26,24 +27,46 @@ from . import common
 
 SAMPLE_ROWS, LEVEL, PIECE, SHARPNESS, MARGIN = 24, 9, 2048, 8.0, 0.001
 MARGIN_ROWS, SHARE, BAND_ROWS = 128, 0.25, 20
+#: Bytes of a language's sample, of its rows for the margins, and labels: what the driver collects is bounded by their product.
+SAMPLE_BYTES, MARGIN_BYTES, LANGUAGES = 1 << 18, 1 << 20, 200
 #: All that isn't part of a word.
 BETWEEN = re.compile(r"[\W\d_]+")
 
 
-def sampled(labelled: DataFrame, lang_col: str, id_col: str, text_col: str, rows: int) -> dict[str, list[str]]:
-    """Each language's rows with the smallest hashes, in their order."""
+def sampled(labelled: DataFrame, lang_col: str, id_col: str, text_col: str, rows: int, more: int = 0) -> dict[str, tuple[list[str], list[str]]]:
+    """Each language's distinct texts with the smallest hashes, in their order: `rows` of at most SAMPLE_BYTES in all, and of those after
+    them `more` of at most MARGIN_BYTES. Texts that don't fit are passed over; where none fits the shortest is cut to what does."""
     table = labelled.select(labelled[lang_col].cast("string").alias("lang"), labelled[id_col].cast("long").alias("doc_id"), labelled[text_col].cast("string").alias("text")).filter("lang is not null and text is not null")
-    # twice the rows wanted by their hashes' share, then the smallest of those
-    counts = {r["lang"]: r["n"] for r in table.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    key = F.xxhash64(F.xxhash64("text"), F.lit(3))
+    texts = common.staged(table.select("lang", key.alias("key"), F.pmod(key, F.lit(1 << 32)).alias("h"), F.octet_length("text").alias("bytes")).distinct())
+    counts = {r["lang"]: r["n"] for r in texts.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()}
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} labels")
     if not counts:
         return {}
-    hashed = table.withColumn("h", F.pmod(F.xxhash64(F.xxhash64("text"), F.lit(3)), F.lit(1 << 32)))
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, 2 * rows / n) * (1 << 32)))])
-    found = hashed.filter(F.col("h") < share[F.col("lang")]).select("lang", "h", "text").distinct().collect()
-    out = {}
+    # twice the texts wanted by their hashes' share, then the smallest of those
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, 2 * (rows + more) / n) * (1 << 32)))])
+    drawn = texts.filter(F.col("h") < share[F.col("lang")]).collect()
+    chosen: dict[str, tuple[list[int], list[int]]] = {}
     for lang in sorted(counts):
-        own = sorted({(r["h"], r["text"]) for r in found if r["lang"] == lang})[:rows]
-        out[lang] = [t for _, t in own]
+        own = sorted((r["h"], r["key"], r["bytes"]) for r in drawn if r["lang"] == lang)
+        first = fitting(own, rows, SAMPLE_BYTES) or sorted(own, key=lambda x: (x[2], x))[:1]
+        chosen[lang] = [x[1] for x in first], [x[1] for x in fitting([x for x in own if x not in first], more, MARGIN_BYTES)]
+    wanted = labelled.sparkSession.createDataFrame([(lang, k) for lang, lists in chosen.items() for x in lists for k in x], "lang string, key long")
+    # a bounded list: at most LANGUAGES x (rows + more) keys
+    found = table.withColumn("key", key).join(F.broadcast(wanted), ["lang", "key"], "left_semi").dropDuplicates(["lang", "key"])
+    by_key = {(r["lang"], r["key"]): r["text"] for r in found.select("lang", "key", F.substring("text", 1, MARGIN_BYTES).alias("text")).collect()}
+    cut = lambda t: t.encode("utf-8", "surrogatepass")[:SAMPLE_BYTES].decode("utf-8", "ignore")
+    return {lang: ([cut(by_key[lang, k]) for k in a], [by_key[lang, k] for k in b]) for lang, (a, b) in chosen.items()}
+
+
+def fitting(texts: list[tuple[int, int, int]], rows: int, limit: int) -> list[tuple[int, int, int]]:
+    """The first `rows` of texts (hash, key, bytes) that fit the limit together, passing over those that don't."""
+    out, total = [], 0
+    for x in texts:
+        if len(out) < rows and total + x[2] <= limit:
+            out.append(x)
+            total += x[2]
     return out
 
 
@@ -53,17 +76,17 @@ def pressed(texts: list[str]) -> bytes:
 
 def dictionaries(labelled: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> dict[str, bytes]:
     """A sample of each language's rows, those with the smallest hashes."""
-    return {lang: pressed(texts) for lang, texts in sampled(labelled, lang_col, id_col, text_col, rows).items()}
+    return {lang: pressed(texts) for lang, (texts, _) in sampled(labelled, lang_col, id_col, text_col, rows).items()}
 
 
 def learned(labelled: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> tuple[dict[str, bytes], list[float]]:
     """The dictionaries, and the least margin by length band, from the rows next by hash."""
-    found = sampled(labelled, lang_col, id_col, text_col, rows + MARGIN_ROWS)
-    samples = {lang: pressed(texts[:rows]) for lang, texts in found.items()}
+    found = sampled(labelled, lang_col, id_col, text_col, rows, MARGIN_ROWS)
+    samples = {lang: pressed(texts) for lang, (texts, _) in found.items()}
     names, sizes = sorted(samples), sizer(samples)
     gains: list[list[float]] = []
-    for lang, texts in found.items():
-        for text in texts[rows:] if len(names) > 1 else []:
+    for lang, (_, texts) in found.items():
+        for text in texts if len(names) > 1 else []:
             raw = folded(text).encode("utf-8", "surrogatepass")
             if not any(map(str.isalpha, text)):
                 continue
@@ -72,10 +95,11 @@ def learned(labelled: DataFrame, lang_col: str = "lang", id_col: str = "doc_id",
                 mine = own.pop(lang)
                 gains.extend([] for _ in range(band + 1 - len(gains)))
                 gains[band].append((min(own.values()) - mine) / mine)
+    enough = [SHARE * sorted(band)[len(band) // 2] if len(band) >= BAND_ROWS else None for band in gains]
     margins: list[float] = []
-    for band in gains:
-        # a band of few rows takes the next shorter one's
-        margins.append(max(MARGIN, SHARE * sorted(band)[len(band) // 2]) if len(band) >= BAND_ROWS else margins[-1] if margins else MARGIN)
+    for i in range(len(enough)):  # a band of few rows takes the nearest shorter one's that has enough, or the nearest longer one's
+        near = [m for m in (*enough[i::-1], *enough[i + 1 :]) if m is not None]
+        margins.append(max(MARGIN, near[0] if near else MARGIN))
     return samples, margins or [MARGIN]
 
 

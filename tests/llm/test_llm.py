@@ -119,6 +119,30 @@ def test_language_equals_a_plain_compressor(spark):
         assert near or got[r.doc_id].lang_pred == first
 
 
+def test_a_language_of_copies_is_learned(spark):
+    """20,000 copies of one English text and 400 French ones: both languages have a dictionary, and the stage keeps all rows."""
+    import corpus_pipeline
+
+    english = "The harbor master wrote down every vessel that came in with the morning tide, and the names of those who waited for it."
+    french = [f"La maison numéro {i} se trouve près de la vieille église où les habitants du village viennent chaque dimanche {i * 7}." for i in range(400)]
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(english).alias("text"), F.lit("en").alias("lang"))
+    docs = rows.unionByName(spark.createDataFrame([(100_000 + i, t, "fr") for i, t in enumerate(french)], "doc_id long, text string, lang string"))
+    samples, _ = op3_language.learned(docs)
+    assert samples["en"].startswith(b"the harbor master") and len(samples["fr"]) > 1000
+    kept = corpus_pipeline.language_id(spark, docs, "").groupBy("lang").count().collect()
+    assert {r.lang: r["count"] for r in kept} == {"en": 20_000, "fr": 400}
+
+
+def test_samples_are_bounded_in_bytes_and_labels(spark, monkeypatch):
+    long = ["mot après mot " * 30_000, "ein Wort nach dem anderen " * 20_000]
+    docs = spark.createDataFrame([(0, long[0], "fr"), (1, long[1], "de"), (2, "kurzer Text", "de")], "doc_id long, text string, lang string")
+    found = op3_language.sampled(docs, "lang", "doc_id", "text", 5, 5)
+    assert found["de"] == (["kurzer Text"], [long[1]]) and found["fr"][0] == [long[0].encode()[: op3_language.SAMPLE_BYTES].decode("utf-8", "ignore")]
+    monkeypatch.setattr(op3_language, "LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        op3_language.sampled(docs, "lang", "doc_id", "text", 5)
+
+
 def test_margins_reject_other_languages(spark):
     common.prepared(spark)
     train = common.documents(spark, "/root/testdata/sf0.01").filter("lang is not null")
