@@ -19,6 +19,7 @@ are plain text."""
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -42,6 +43,7 @@ class Aligner:
     """Both tokenizers, the bytes of their tokens, and the groups of units as text: `a1,a2|b1;a3|b2,b3`."""
 
     def __init__(self, path_a: str, path_b: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -53,8 +55,10 @@ class Aligner:
         byte_of = {c: b for b, c in byte_letters().items()}
         added = {i: t.content.encode() for i, t in self.a.get_added_tokens_decoder().items()}
         self.a_bytes = [added[i] if i in added else bytes(byte_of[c] for c in self.a.id_to_token(i)) for i in range(self.a.get_vocab_size())]
+        self.names = [str(i) for i in range(max(self.a.get_vocab_size(), self.b.get_piece_size()))]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_size, self.b_size = (np.array([len(x) for x in y], np.int64) for y in (self.a_bytes, self.b_bytes))
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("the second vocabulary has entries that go on beyond a space; units can't be cut there")
         self.memo = Memo(REMEMBERED)
@@ -78,9 +82,30 @@ class Aligner:
         return ";".join(out)
 
     def learn(self, units: list[str]) -> list[str | None]:
+        """The groups of each unit, for all units at once in arrays."""
         a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
         b = self.b.encode([u[1:] for u in units], num_threads=1)
-        return [f"{x[0]}|{y[0]}" if len(x) == len(y) == 1 and self.a_bytes[x[0]] == self.b_bytes[y[0]] == u.encode() else self.groups(x, y, u.encode()) for u, x, y in zip(units, a, b, strict=True)]
+        raw = [u.encode() for u in units]
+        flat_a, flat_b = list(chain.from_iterable(a)), list(chain.from_iterable(b))
+        ends_a, ends_b = np.cumsum(self.a_size[flat_a]), np.cumsum(self.b_size[flat_b])
+        ends = np.cumsum([len(r) for r in raw])
+        whole = b"".join(raw)
+        same = b"".join([self.a_bytes[i] for i in flat_a]) == whole == b"".join([self.b_bytes[i] for i in flat_b])
+        if not (same and np.array_equal(ends, ends_a[np.cumsum([len(x) for x in a]) - 1]) and np.array_equal(ends, ends_b[np.cumsum([len(x) for x in b]) - 1])):
+            fit = [b"".join([self.a_bytes[i] for i in x]) == r == b"".join([self.b_bytes[i] for i in y]) for x, y, r in zip(a, b, raw, strict=True)]
+            if all(fit):
+                return [self.groups(x, y, r) for x, y, r in zip(a, b, raw, strict=True)]
+            found = iter(self.learn([u for u, f in zip(units, fit, strict=True) if f]) if any(fit) else ())
+            return [next(found) if f else None for f in fit]
+        shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        to_a, to_b = (np.searchsorted(shared_in, shared) + 1 for shared_in in (ends_a, ends_b))
+        names_a, names_b = [self.names[i] for i in flat_a], [self.names[i] for i in flat_b]
+        groups, i, j = [], 0, 0
+        for n, m in zip(to_a.tolist(), to_b.tolist(), strict=True):
+            groups.append(f"{names_a[i] if n == i + 1 else ','.join(names_a[i:n])}|{names_b[j] if m == j + 1 else ','.join(names_b[j:m])}")
+            i, j = n, m
+        to = (np.searchsorted(shared, ends) + 1).tolist()
+        return [groups[x] if y == x + 1 else ";".join(groups[x:y]) for x, y in zip([0, *to], to, strict=False)]
 
     def whole(self, text: str) -> str | None:
         return self.groups(self.a.encode(f" {text}", add_special_tokens=False).ids, self.b.encode(text), f" {text}".encode()) if text else None
@@ -110,20 +135,26 @@ class Block:
         self.codes.append(self.known(distinct.tolist())[codes])
 
     def known(self, distinct: list[str]) -> np.ndarray:
-        memo, fresh = self.aligner.memo, []
-        for u in distinct:
-            if u not in self.unit:
-                frag = memo.get(u) or memo.old.get(u)
-                self.unit[u] = len(self.frags)
-                self.frags.append(frag)
+        """The units' numbers in the block. Units of several slices are remembered for the blocks to come."""
+        memo, unit, frags, fresh, again = self.aligner.memo, self.unit, self.frags, [], {}
+        codes, old = np.empty(len(distinct), np.int32), memo.old
+        for i, u in enumerate(distinct):
+            code = unit.get(u)
+            if code is None:
+                unit[u] = code = len(frags)
+                frag = memo.get(u) or old.get(u)
+                frags.append(frag)
                 if frag is None:
                     fresh.append(u)
+            elif len(u) <= LONG:
+                again[u] = frags[code]
+            codes[i] = code
         for i in range(0, len(fresh), 4096):
             part = fresh[i : i + 4096]
             for u, frag in zip(part, self.aligner.learn(part), strict=True):
-                self.frags[self.unit[u]] = frag
-        memo.put_all({u: f for u in fresh if len(u) <= LONG and (f := self.frags[self.unit[u]]) is not None})
-        return np.array([self.unit[u] for u in distinct], np.int32)
+                frags[unit[u]] = frag
+        memo.put_all({u: f for u, f in again.items() if f is not None and u not in memo})
+        return codes
 
     def numbers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The numbers of all units' groups, one unit after the other, where each unit's begin, and how many it has."""
