@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -13,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from ..shipping import ship
+from ..staging import scratch, staged  # noqa: F401  (the operators' too)
 
 #: Rows in an Arrow batch sent to Python: texts of over 100 KB must not add up to gigabytes.
 ARROW_ROWS, ARROW_BYTES = 256, 1 << 24
@@ -70,19 +70,6 @@ def free_prefix(df: DataFrame) -> str:
     return next(p for p in (f"_w{i}_" for i in range(len(df.columns) + 1)) if not any(c.lower().startswith(p) for c in df.columns))
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share: spark.checkpoint.dir, or where that is unset a folder in the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: lineage ends there, and lost executors cost no recomputation."""
-    spark, path = df.sparkSession, scratch(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def broadcast_value(df: DataFrame, value):
     return df.sparkSession.sparkContext.broadcast(value)
 

@@ -534,3 +534,11 @@ def test_one_row_tables(spark):
         one = spark.createDataFrame([row], "doc_id long, text string")
         for f in (op2_sharding.assigned, op4_jaccard.grouped, op5_language_model.score_texts, op6_exact_dedup.groups, op9_fingerprint.with_edited, op10_secrets.scan):
             assert f(one).count() == 1, f
+
+
+def test_the_language_model_leaves_no_tables(spark, docs):
+    before = {t.name for t in spark.catalog.listTables()}
+    made = op5_language_model.score_texts(docs)
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert "SelectedBucketsCount" in made._jdf.queryExecution().executedPlan().toString()
+    assert made.count() == docs.count()
