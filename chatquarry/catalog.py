@@ -12,7 +12,7 @@ from .operators import choices, graph, history, joins, order, sequences
 from .plans import retrieval
 from .shipping import ship
 from .sources.tables import event_messages, table, turns
-from .streaming import ingest
+from .streaming import ingest, segments as stream_cuts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -177,12 +177,17 @@ def context_window_nodes(spark, d):
     return sequences.context_windows(turns(spark, d), "chat_id", ["doc_id"]).select("chat_id", "doc_id", F.md5("node_text").alias("node"))
 
 
-@query(f"""WITH RECURSIVE m AS (SELECT chat, doc_id, floor(epoch(ts))::BIGINT AS ts, length(metadata) AS l, row_number() OVER (PARTITION BY chat ORDER BY floor(epoch(ts))::BIGINT, doc_id) AS rn FROM {EV}),
+def segments_sql(messages: str, gap: int, budget: int, most: int, least: int) -> str:
+    """The walk over messages (chat, doc_id, ts, l, rn) as a recursion."""
+    return f"""WITH RECURSIVE m AS ({messages}),
 r AS (SELECT chat, rn, doc_id, ts, 0 AS no, 1 AS n, l AS size, doc_id AS first, NULL::VARCHAR AS why FROM m WHERE rn = 1 UNION ALL
 SELECT chat, rn, doc_id, ts, no + (w IS NOT NULL)::INT, CASE WHEN w IS NULL THEN n + 1 ELSE 1 END, CASE WHEN w IS NULL THEN size + l + 1 ELSE l END, CASE WHEN w IS NULL THEN first ELSE doc_id END, w FROM (
-SELECT m.*, r.no, r.n, r.size, r.first, CASE WHEN m.ts - r.ts > 2400 AND r.n >= 8 THEN 'time_gap' WHEN (r.size + m.l + 1) * 2 // 5 > 120 AND r.n >= 8 THEN 'token_budget' WHEN r.n >= 40 THEN 'max_msgs' END AS w FROM r JOIN m ON m.chat = r.chat AND m.rn = r.rn + 1)),
+SELECT m.*, r.no, r.n, r.size, r.first, CASE WHEN m.ts - r.ts > {gap} AND r.n >= {least} THEN 'time_gap' WHEN (r.size + m.l + 1) * 2 // 5 > {budget} AND r.n >= {least} THEN 'token_budget' WHEN r.n >= {most} THEN 'max_msgs' END AS w FROM r JOIN m ON m.chat = r.chat AND m.rn = r.rn + 1)),
 x AS (SELECT *, lead(why) OVER (PARTITION BY chat ORDER BY rn) AS next_why, lead(no) OVER (PARTITION BY chat ORDER BY rn) AS next_no FROM r)
-SELECT chat, no::INT AS segment_no, first AS start_doc, doc_id AS end_doc, n::INT AS n, CASE WHEN next_no IS NULL THEN 'final' ELSE next_why END AS strategy FROM x WHERE next_no IS NULL OR next_no <> no""")
+SELECT chat, no::INT AS segment_no, first AS start_doc, doc_id AS end_doc, n::INT AS n, CASE WHEN next_no IS NULL THEN 'final' ELSE next_why END AS strategy, ts AS last_ts FROM x WHERE next_no IS NULL OR next_no <> no"""
+
+
+@query("SELECT * EXCLUDE (last_ts) FROM (" + segments_sql(f"SELECT chat, doc_id, floor(epoch(ts))::BIGINT AS ts, length(metadata) AS l, row_number() OVER (PARTITION BY chat ORDER BY floor(epoch(ts))::BIGINT, doc_id) AS rn FROM {EV}", 2400, 120, 40, 8) + ")")
 def segments(spark, d):
     m = event_messages(spark, d).select("chat", "doc_id", F.floor(F.col("ts").cast("timestamp").cast("double")).alias("ts"), F.length("metadata").alias("length"))
     return sequences.segments(m, gap_s=2400, budget=120)
@@ -318,6 +323,19 @@ def stream_window_counts(spark, d):
     return ingest.drained(ingest.window_counts(ingest.stream(spark, f"{d}/[e]vents.parquet"), "1 hour")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+#: Conversations as messages of 25 chats: one starts each hour, a turn a minute. The watermark is a day behind.
+STREAMED = "SELECT 'c' || (conv_id % 25) AS chat, conv_id * 1000 + turn AS doc_id, 1000000000 + conv_id * 3600 + turn * 60 AS ts, length(text) AS l FROM conversations"
+
+
+@query(f"""SELECT chat, segment_no, start_doc, end_doc, n, CASE WHEN strategy = 'final' THEN 'time_gap' ELSE strategy END AS strategy
+FROM ({segments_sql(f"SELECT *, row_number() OVER (PARTITION BY chat ORDER BY ts, doc_id) AS rn FROM ({STREAMED}) WHERE ts < (SELECT max(ts) FROM ({STREAMED})) - 86400", 64800, 60, 6, 3)})
+WHERE strategy <> 'final' OR (n >= 3 AND last_ts + 64800 < (SELECT max(ts) FROM ({STREAMED})) - 86400)""")
+def stream_segments(spark, d):
+    """The segments that the stream has cut."""
+    c = spark.readStream.schema(table(spark, d, "conversations").schema).parquet(f"{d}/[c]onversations.parquet")
+    m = c.select(F.concat(F.lit("c"), F.col("conv_id") % 25).alias("chat"), (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.timestamp_seconds(F.lit(1_000_000_000) + F.col("conv_id") * 3600 + F.col("turn") * 60).alias("at"), F.length("text").alias("length"))
+    return ingest.drained(stream_cuts.closed_segments(m, "1 day", gap_s=64_800, budget=60, most=6, least=3))
+
 
 UNIT = "CASE event_id % 6 WHEN 0 THEN ' B' WHEN 1 THEN 'KB' WHEN 2 THEN ' kib' WHEN 3 THEN ' MB' WHEN 4 THEN 'GiB' ELSE ' parsec' END"
 
