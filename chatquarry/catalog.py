@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from .functions import media, text
+from .functions import media, messages, text
 from .operators import choices, graph, history, joins, order, sequences
 from .plans import retrieval
 from .shipping import ship
@@ -119,10 +119,10 @@ def name_search_prefix(spark, d):
     return hits.join(c, c.c_nationkey == hits.n_nationkey, "left").groupBy("n_nationkey", "n_name").agg(F.count("c_custkey").alias("members"), F.max("c_name").alias("newest"))
 
 
-@query("SELECT n_name, c_custkey, coalesce(c_name, 'Unknown') AS display FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 5000")
+@query("SELECT n_name, c_custkey, coalesce(c_name, 'Unknown') AS display FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def members_display(spark, d):
     c, n = table(spark, d, "customer"), table(spark, d, "nation")
-    return c.filter("c_acctbal > 5000").join(n, c.c_nationkey == n.n_nationkey).select("n_name", "c_custkey", F.coalesce("c_name", F.lit("Unknown")).alias("display"))
+    return c.join(n, c.c_nationkey == n.n_nationkey).select("n_name", "c_custkey", F.coalesce("c_name", F.lit("Unknown")).alias("display"))
 
 
 @query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
@@ -141,11 +141,24 @@ def duplicate_keys(spark, d):
     return history.duplicate_keys(table(spark, d, "labels"), ["doc_id"]).unionByName(history.duplicate_keys(table(spark, d, "conversations").withColumnRenamed("conv_id", "doc_id"), ["doc_id"]))
 
 
+#: White space of Unicode in DuckDB's patterns.
+SPACE = r"[\s\v\x{1c}-\x{1f}\x{85}\p{Z}]"
+
+
+def stripped(x: str) -> str:
+    return f"regexp_replace({x}, '^{SPACE}+|{SPACE}+$', '', 'g')"
+
+
 def masked(column: str) -> str:
-    """The masks of the library's rules (see tests for what they must do), in their order."""
+    """What masking must do, in its order."""
     out = f"coalesce({column}, '')"
-    for pattern, mark in text.MASKS:
-        out = f"regexp_replace({out}, '{pattern}', '{mark.replace('$1', chr(92) + '1')}', 'g')"
+    for pattern, mark in (
+        (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", "<EMAIL_MASKED>"),
+        (r"\b(?:\+?[0-9]{1,3}[-. ]?)?\(?[0-9]{3}\)?[-. ]?[0-9]{3}[-. ]?[0-9]{4}\b|\b[0-9]{3}[-. ][0-9]{4}\b", "<PHONE_MASKED>"),
+        (r"\b(?:[0-9][ -]*?){13,16}\b", "<CC_MASKED>"),
+        (rf"(?i)\b(password|passwd|pwd|secret|api_key|token){SPACE}*([:=]|\bis\b){SPACE}*([^{SPACE[1:-1]}]+)", r"\1: <SECRET_MASKED>"),
+    ):
+        out = f"regexp_replace({out}, '{pattern}', '{mark}', 'g')"
     return out
 
 
@@ -159,12 +172,23 @@ def token_estimates(spark, d):
     return table(spark, d, "documents").select("doc_id", text.tokens_estimate("text").alias("tokens"), F.length("text").alias("chars"))
 
 
-@query(r"SELECT doc_id, md5(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[^\P{C}\n\t ]', '', 'g'), '^\s+|\s+$', '', 'g'), '[ \t]+', ' ', 'g'), '(?i)https?://\S+|www\.\S+', ' ', 'g'), '^\s+|\s+$', '', 'g'))) AS normal FROM documents")
+#: A text without control characters, blanks collapsed; and without links.
+CLEAN = f"regexp_replace({stripped(r"regexp_replace(coalesce(text, ''), '[^\P{C}\n\t ]', '', 'g')")}, '[ \t]+', ' ', 'g')"
+PLAIN = stripped(f"regexp_replace({CLEAN}, '(?i)https?://[^{SPACE[1:-1]}]+|www\\.[^{SPACE[1:-1]}]+', ' ', 'g')")
+
+
+@query(f"SELECT doc_id, md5(lower({PLAIN})) AS normal FROM documents")
 def normalize_text(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(text.normalized("text")).alias("normal"))
 
 
-SCORE = "(" + " + ".join(f"CASE WHEN {' OR '.join(f"contains(lower(text), '{w}')" for w in words)} THEN {points} ELSE 0 END" for points, words in text.SIGNALS) + " + CASE WHEN length(text) > 200 THEN 1 ELSE 0 END)"
+def said(points: int, *words: str) -> str:
+    return f"CASE WHEN {' OR '.join(f"contains(lower(text), '{w}')" for w in words)} THEN {points} ELSE 0 END"
+
+
+SCORE = f"""({said(3, "http://", "https://")} + {said(3, "zoom", "meet.google", "teams.microsoft")}
+ + {said(2, "вт ", "ср ", "чт ", "пт ", "сб ", "нд ", "понед", "tuesday", "wednesday", "thursday", ":30", ":00", "14:00", "19:00")}
+ + {said(2, "[photo]", "[audio transcript]", "[document]", "[voice]")} + CASE WHEN length(text) > 200 THEN 1 ELSE 0 END)"""
 
 
 @query(f"SELECT doc_id, {SCORE}::INT AS score FROM documents WHERE {SCORE} > 0 ORDER BY score DESC, doc_id LIMIT 60")
@@ -340,9 +364,9 @@ def stream_segments(spark, d):
 UNIT = "CASE event_id % 6 WHEN 0 THEN ' B' WHEN 1 THEN 'KB' WHEN 2 THEN ' kib' WHEN 3 THEN ' MB' WHEN 4 THEN 'GiB' ELSE ' parsec' END"
 
 
-@query(f"SELECT event_id, CAST(trunc(value * CASE event_id % 6 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 1e3 WHEN 2 THEN 1024.0::DOUBLE WHEN 3 THEN 1e6 WHEN 4 THEN 1073741824.0::DOUBLE ELSE 0.0::DOUBLE END) AS BIGINT) AS size FROM events WHERE value >= 0.001")
+@query(f"SELECT event_id, CAST(trunc(CAST(CAST(value AS DECIMAL(20, 6)) AS DOUBLE) * CASE event_id % 6 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 1e3 WHEN 2 THEN 1024.0::DOUBLE WHEN 3 THEN 1e6 WHEN 4 THEN 1073741824.0::DOUBLE ELSE 0.0::DOUBLE END) AS BIGINT) AS size FROM events")
 def parsed_sizes(spark, d):
-    return table(spark, d, "events").filter("value >= 0.001").select("event_id", media.size_bytes(F.concat(F.col("value").cast("decimal(20,6)").cast("string"), F.expr(UNIT))).alias("size"))
+    return table(spark, d, "events").select("event_id", media.size_bytes(F.concat(F.col("value").cast("decimal(20,6)").cast("string"), F.expr(UNIT))).alias("size"))
 
 
 @query("""WITH p AS (SELECT page_id, regexp_replace(url, '[?].*', '') AS path, strlen(html) AS n FROM pages)
@@ -377,9 +401,11 @@ def retagged_contents(spark, d):
 
 @query(f"SELECT chat_id, coalesce(arg_min(kind, doc_id) FILTER (kind IS NOT NULL), 'text') AS modality FROM (SELECT *, CASE WHEN length(content) % 7 = 0 THEN 'vision' WHEN length(content) % 5 = 0 THEN 'audio' END AS kind FROM {TURNS}) GROUP BY 1")
 def payload_modality(spark, d):
-    kind = F.when(F.length("content") % 7 == 0, "vision").when(F.length("content") % 5 == 0, "audio")
-    found = turns(spark, d).withColumn("kind", kind).groupBy("chat_id").agg(F.expr("min_by(kind, doc_id) FILTER (WHERE kind IS NOT NULL)").alias("first"))
-    return found.select("chat_id", F.coalesce("first", F.lit("text")).alias("modality"))
+    """A conversation as one request: what its first part that isn't text is."""
+    kind = F.when(F.length("content") % 7 == 0, "input_image").when(F.length("content") % 5 == 0, "input_audio").otherwise("text")
+    turn = F.struct("doc_id", F.struct(F.col("sender").alias("role"), F.array(F.struct(kind.alias("type"))).alias("parts")).alias("x"))
+    payload = F.transform(F.array_sort(F.collect_list(turn)), lambda t: t["x"])
+    return turns(spark, d).groupBy("chat_id").agg(messages.payload_kind(payload).alias("modality"))
 
 
 @query(f"SELECT chat_id, string_agg('<|im_start|>' || sender || chr(10) || content || '<|im_end|>' || chr(10), '' ORDER BY doc_id) || '<|im_start|>assistant' || chr(10) AS prompt FROM {TURNS} GROUP BY 1")

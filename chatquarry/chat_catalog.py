@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .catalog import query
+from .catalog import CLEAN, PLAIN, SPACE, query, stripped
 from .functions import messages as m, names, text
-from .operators import enrichment, graph, history, joins, mentions, people
+from .operators import enrichment, graph, history, joins, mentions, order, people
 from .plans import questions, tools
 from .sources.tables import derived, derived_sql, table
 from .streaming import ingest
@@ -44,10 +44,9 @@ def name_search(spark, d):
     return found.withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("SELECT * FROM (VALUES ('lev', 'lev,лев,лєв'), ('Алиса', 'alis,алис,аліс'), ('Аліса', 'alis,алис,аліс'), ('Ян', 'yan,ян'), ('щука', 'schu,щука'), ('Zhanna', 'zhan,жанн'), ('  ', ''), (NULL, '')) t(asked, prefixes)")
+@query(f"SELECT user_id, CASE WHEN name IS NULL THEN '' WHEN name = 'Аліса' THEN 'alis,алис,аліс' WHEN name IN ('Лев', 'Lev') THEN 'lev,лев,лєв' ELSE 'cust,cуст' END AS prefixes FROM {CONTACTS}")
 def name_prefixes(spark, d):
-    asked = spark.createDataFrame([("lev",), ("Алиса",), ("Аліса",), ("Ян",), ("щука",), ("Zhanna",), ("  ",), (None,)], "asked string")
-    return asked.select("asked", F.array_join(F.array_sort(names.prefixes(F.col("asked"))), ",").alias("prefixes"))
+    return derived(spark, d, "contacts").select("user_id", F.array_join(F.array_sort(names.prefixes(F.col("name"))), ",").alias("prefixes"))
 
 
 @query(f"SELECT chat_id, user_id, coalesce(name, username, 'Unknown') AS display_name, username, row_number() OVER (PARTITION BY chat_id ORDER BY name ASC NULLS LAST, user_id) AS position FROM {MEMBERS} JOIN {CONTACTS} USING (user_id)")
@@ -64,9 +63,9 @@ def resolved_people(spark, d):
     return people.resolved(given, derived(spark, d, "chats"), derived(spark, d, "members"), derived(spark, d, "contacts"))
 
 
-@query("SELECT * FROM (VALUES ('Олег', 'Olyeh'), ('Хрущ', 'Khrushch'), ('Їжак', 'Yizhak'), ('Bob', NULL)) t(name, spelling)")
+@query(f"SELECT user_id, CASE name WHEN 'Лев' THEN 'Lyev' WHEN 'Аліса' THEN 'Alisa' END AS spelling FROM {CONTACTS}")
 def lookup_spellings(spark, d):
-    return spark.createDataFrame([("Олег",), ("Хрущ",), ("Їжак",), ("Bob",)], "name string").select("name", names.lookup_spelling(F.col("name")).alias("spelling"))
+    return derived(spark, d, "contacts").select("user_id", names.lookup_spelling(F.col("name")).alias("spelling"))
 
 
 # ---------------------------------------------------------------- messages and predicates
@@ -110,9 +109,12 @@ def memes(spark, d):
     return rows.select("source_id", "doc_id", "reason", m.deep_link(F.col("chat_id"), F.col("doc_id")).alias("link"))
 
 
-@query("SELECT * FROM (VALUES ('-1001234', 'https://t.me/c/1234/7'), ('-55', 'https://t.me/c/55/7'), ('42', 'tg://openmessage?user_id=42&message_id=7'), (NULL, NULL)) t(chat, link)")
+LINKED = "CASE doc_id % 3 WHEN 0 THEN '-100' || CAST(chat_id AS STRING) WHEN 1 THEN '-5' || CAST(chat_id AS STRING) ELSE CAST(chat_id AS STRING) END"
+
+
+@query(f"SELECT source_id, doc_id, CASE doc_id % 3 WHEN 0 THEN 'https://t.me/c/' || chat_id || '/' || doc_id WHEN 1 THEN 'https://t.me/c/5' || chat_id || '/' || doc_id ELSE 'tg://openmessage?user_id=' || chat_id || '&message_id=' || doc_id END AS link FROM {RAW}")
 def deep_links(spark, d):
-    return spark.createDataFrame([("-1001234",), ("-55",), ("42",), (None,)], "chat string").select("chat", m.deep_link(F.col("chat"), F.lit(7)).alias("link"))
+    return raw(spark, d).select("source_id", "doc_id", m.deep_link(F.expr(LINKED), F.col("doc_id")).alias("link"))
 
 
 @query(f"SELECT source_id, doc_id, '/media/' || split_part(path, '/', -1) AS file FROM {META} WHERE coalesce(path, '') <> ''")
@@ -120,7 +122,7 @@ def media_files(spark, d):
     return raw(spark, d).select("source_id", "doc_id", m.media_file(F.col("meta.media")).alias("file")).filter("file is not null")
 
 
-@query(rf"""SELECT source_id, doc_id, md5(CASE WHEN mine = 'true' THEN '[Me]' ELSE '[' || coalesce(nullif(sender_name, ''), 'Unknown') || ']' END || ': ' || regexp_replace(coalesce(content, ''), '^\s+|\s+$', '', 'g')
+@query(rf"""SELECT source_id, doc_id, md5(CASE WHEN mine = 'true' THEN '[Me]' ELSE '[' || coalesce(nullif(sender_name, ''), 'Unknown') || ']' END || ': ' || {stripped("coalesce(content, '')")}
  || CASE WHEN coalesce(path, '') <> '' THEN ' | Media type: ' || coalesce(media_type, 'media') || ' | Download: /media/' || split_part(path, '/', -1) || CASE WHEN coalesce(said, '') <> '' THEN ' | Description: ' || said[:200] || CASE WHEN length(said) > 200 THEN '...' ELSE '' END ELSE '' END ELSE '' END) AS line FROM {META}""")
 def history_lines(spark, d):
     return raw(spark, d).select("source_id", "doc_id", F.md5(m.history_line(F.col("meta"), F.col("content"))).alias("line"))
@@ -130,7 +132,7 @@ PREFIX = "CASE WHEN NOT has_media THEN '' WHEN upper(media_type) IN ('AUDIO', 'V
 
 
 @query(rf"""SELECT source_id, doc_id, md5('[' || ts || '] ' || CASE WHEN mine = 'true' THEN 'Me' ELSE coalesce(nullif(sender_name, ''), 'Unknown') END || ' (in ' || source_id || ')' || CASE WHEN doc_id % 3 = 0 THEN ' (Forwarded from f)' ELSE '' END || ': ' || {PREFIX} || coalesce(content, '')) AS stored,
- md5('[' || ts || '] ' || coalesce(nullif(sender_name, ''), 'Unknown') || ': ' || CASE WHEN regexp_replace(coalesce(content, ''), '^\s+|\s+$', '', 'g') = '' THEN '[EMPTY MESSAGE]' ELSE regexp_replace(content, '^\s+|\s+$', '', 'g') END) AS model FROM {META}""")
+ md5('[' || ts || '] ' || coalesce(nullif(sender_name, ''), 'Unknown') || ': ' || CASE WHEN {stripped("coalesce(content, '')")} = '' THEN '[EMPTY MESSAGE]' ELSE {stripped('content')} END) AS model FROM {META}""")
 def message_documents(spark, d):
     meta, ts = F.col("meta"), F.col("ts").cast("string")
     mine = F.coalesce("meta.is_from_me", F.lit("false")) == "true"
@@ -187,9 +189,9 @@ def chat_by_id(spark, d):
     return derived(spark, d, "chats").filter("chat_id = 7")
 
 
-@query(f"SELECT source_id, s, e FROM (SELECT source_id, ts - ts % 300 AS s, ts - ts % 300 + 600 AS e FROM {RAW}) WHERE source_id = 'chat_3' GROUP BY ALL ORDER BY s, e")
+@query(f"SELECT source_id, s, e FROM (SELECT source_id, ts - ts % 300 AS s, ts - ts % 300 + 600 AS e FROM {RAW}) GROUP BY ALL ORDER BY source_id, s, e")
 def download_ranges(spark, d):
-    return raw(spark, d).filter("source_id = 'chat_3'").select("source_id", (F.col("ts") - F.col("ts") % 300).alias("s"), (F.col("ts") - F.col("ts") % 300 + 600).alias("e")).distinct().orderBy("s", "e")
+    return raw(spark, d).select("source_id", (F.col("ts") - F.col("ts") % 300).alias("s"), (F.col("ts") - F.col("ts") % 300 + 600).alias("e")).distinct().orderBy("source_id", "s", "e")
 
 
 # ---------------------------------------------------------------- enrichment, events, jobs
@@ -213,7 +215,10 @@ def said_any(words: tuple[str, ...]) -> str:
     return "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + ")"
 
 
-@query(" UNION ALL ".join(f"SELECT doc_id, '{kind}' AS event_type FROM documents WHERE {said_any(words)} AND doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)" for kind, words in m.EVENT_WORDS))
+EVENTS = {"debt": ("owe", "debt", "borrow", "lent"), "interview": ("interview", "call", "meeting", "hiring"), "top_up_reminder": ("pay", "bill", "top up", "internet", "subscription")}
+
+
+@query(" UNION ALL ".join(f"SELECT doc_id, '{kind}' AS event_type FROM documents WHERE {said_any(words)} AND doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)" for kind, words in EVENTS.items()))
 def event_candidates(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
     return enrichment.event_candidates(docs, table(spark, d, "labels"), ["doc_id"]).select("doc_id", "event_type")
@@ -293,14 +298,20 @@ def analysis_frequencies(spark, d):
 
 # ---------------------------------------------------------------- questions and tools
 
-QUESTIONS = [("Что задала?", "assignment", "hybrid", 120, "hybrid"), ("Она кинула ссылку?", "link", "hybrid", 120, "hybrid"), ("Какой файл она прислала?", "file", "hybrid", 120, "hybrid"), ("О чем говорили?", "meeting", "hybrid", 120, "hybrid"), ("Что она думает про отпуск?", "generic", "vector", 20, "hybrid"), ("tell me about the summer plans", "generic", "vector", 20, "vector"), ("two words", "generic", "hybrid", 80, "hybrid"), ("show the most recent news about everything", "generic", "vector", 20, "select_tail"), ("the  first messages of that very long chat", "generic", "vector", 20, "select_head"), ("", "generic", "hybrid", 80, "hybrid")]
+#: The kinds of questions in English.
+KIND = r"CASE WHEN regexp_matches(q, '\bhomework\b|\bassign(?:ed)?\b') THEN 'assignment' WHEN regexp_matches(q, '\blink\b|\bhttps?://\S+|\bwww\.') THEN 'link' WHEN regexp_matches(q, '\bpdf\b|\bdocx?\b') THEN 'file' ELSE 'generic' END"
+ASKED_FOR = {w: f"contains(lower(text), '{w}')" for w in ("last", "recent", "first", "beginning", "?", "homework", "task", "assignment", "exercise", "please", "write", "read", "send", "check")}
+NEWEST, OLDEST, TASK = (" OR ".join(list(ASKED_FOR.values())[a:b]) for a, b in ((0, 2), (2, 4), (4, None)))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{q}', '{k}', '{mode}', {n}, '{modes}')" for q, k, mode, n, modes in QUESTIONS) + ") t(question, kind, mode, max_rows, modes)")
+@query(rf"""WITH a AS (SELECT conv_id, turn, text, trim(regexp_replace(lower(text), '{SPACE}+', ' ', 'g')) AS q FROM conversations), b AS (SELECT *, {KIND} AS kind, len(list_filter(string_split(q, ' '), lambda w: w <> '')) <= 3 AS short, {NEWEST} AS newest, {OLDEST} AS oldest FROM a), c AS (SELECT *, {TASK} OR short AS wide FROM b)
+SELECT conv_id, turn, kind, CASE WHEN kind <> 'generic' OR short THEN 'hybrid' ELSE 'vector' END AS mode, CASE WHEN kind <> 'generic' THEN 120 WHEN short THEN 80 ELSE 20 END AS max_rows,
+ array_to_string(list_filter([CASE WHEN newest THEN 'select_tail' END, CASE WHEN oldest THEN 'select_head' END, CASE WHEN wide THEN 'hybrid' END, CASE WHEN NOT wide AND NOT newest AND NOT oldest THEN 'vector' END], lambda x: x IS NOT NULL), ',') AS modes,
+ md5(CASE kind WHEN 'assignment' THEN 'задание домашка упражнение прочитай напиши решите выполни параграф задача ' WHEN 'link' THEN 'ссылка http https link www ' WHEN 'file' THEN 'файл документ pdf doc прикрепила отправила ' ELSE '' END || q) AS expanded FROM c""")
 def question_plans(spark, d):
-    q = F.col("question")
+    q = F.col("text")
     p = questions.policy(q, F.lit(20))
-    return spark.createDataFrame([(x[0],) for x in QUESTIONS], "question string").select("question", questions.kind(q).alias("kind"), p["mode"].alias("mode"), p["limit"].alias("max_rows"), F.array_join(questions.modes(q), ",").alias("modes"))
+    return table(spark, d, "conversations").select("conv_id", "turn", questions.kind(q).alias("kind"), p["mode"].alias("mode"), p["limit"].alias("max_rows"), F.array_join(questions.modes(q), ",").alias("modes"), F.md5(questions.expanded(q)).alias("expanded"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '\\bhomework\\b|\\bassign(?:ed)?\\b') THEN 'assignment' WHEN regexp_matches(lower(text), '\\blink\\b|\\bhttps?://\\S+|\\bwww\\.') THEN 'link' WHEN regexp_matches(lower(text), '\\bpdf\\b|\\bdocx?\\b') THEN 'file' ELSE 'generic' END AS kind FROM conversations")
@@ -351,29 +362,28 @@ def person_search(spark, d):
 @query("""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rank, (length(text) // 3 + 10)::INT AS tokens, text FROM documents), s AS (SELECT *, sum(tokens) OVER (ORDER BY rank) AS so_far FROM r), c AS (SELECT min(rank) AS cut FROM s WHERE so_far > 4000 AND rank > 4)
 SELECT doc_id, rank, md5(text) AS text, tokens FROM s, c WHERE cut IS NULL OR rank < cut""")
 def packed_context(spark, d):
-    docs = table(spark, d, "documents").orderBy("doc_id").limit(40)  # a result's few rows
-    rows = tools.ranked(docs, F.col("doc_id")).select("doc_id", "rank", "text")
-    return tools.packed(rows.unionByName(rows.withColumn("rank", F.col("rank") + 100))).withColumn("text", F.md5("text")).withColumn("rank", F.col("rank").cast("long"))
+    docs = table(spark, d, "documents").select("doc_id", "text", F.lit(0).alias("all"))
+    rows = order.numbered(docs, "all", "doc_id", name="rank").select("doc_id", "rank", "text")
+    again = rows.withColumn("rank", F.col("rank") + 1_000_000_000_000)  # each a second time, behind all others
+    return tools.packed(rows.unionByName(again)).withColumn("text", F.md5("text")).withColumn("rank", F.col("rank").cast("long"))
 
 
 # ---------------------------------------------------------------- texts
 
-NORMAL = r"regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[^\P{C}\n\t ]', '', 'g'), '^\s+|\s+$', '', 'g'), '[ \t]+', ' ', 'g')"
-PLAIN = rf"regexp_replace(regexp_replace({NORMAL}, '(?i)https?://\S+|www\.\S+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
-
-
-@query(rf"SELECT doc_id, md5({PLAIN}) AS normalized, len(list_filter(string_split_regex(lower({PLAIN}), '\s+'), lambda x: x <> '')) AS tokens, array_to_string(regexp_extract_all({NORMAL}, '@([\p{{L}}\p{{N}}_]+)', 1), ',') AS usernames, array_to_string(regexp_extract_all({NORMAL}, '(?i)https?://\S+|www\.\S+'), ',') AS urls, md5(array_to_string(regexp_extract_all({NORMAL}, '\b[0-9]+\b'), ',')) AS numbers, CASE WHEN regexp_matches({PLAIN}, '[A-Za-z]') THEN 'en' ELSE 'unknown' END AS language FROM documents")
+@query(rf"""WITH c AS (SELECT doc_id, {CLEAN} AS clean, {PLAIN} AS plain FROM documents)
+SELECT doc_id, md5(plain) AS normalized, len(list_filter(string_split_regex(lower(plain), '[\s\v\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]+'), lambda x: x <> '')) AS tokens, array_to_string(regexp_extract_all(clean, '@([\p{{L}}\p{{N}}_]+)', 1), ',') AS usernames,
+ array_to_string(regexp_extract_all(clean, '(?i)https?://[^\s\v\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]+|www\.[^\s\v\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]+'), ',') AS urls, md5(array_to_string(regexp_extract_all(regexp_replace(clean, '\p{{L}}', 'x', 'g'), '\b[0-9]+\b'), ',')) AS numbers, CASE WHEN regexp_matches(plain, '[A-Za-z]') THEN 'en' ELSE 'unknown' END AS language FROM c""")
 def normal_parts(spark, d):
     rows = table(spark, d, "documents").select("doc_id", text.normal_parts("text").alias("p"))
     return rows.select("doc_id", F.md5("p.normalized").alias("normalized"), F.size("p.tokens").cast("long").alias("tokens"), F.array_join("p.usernames", ",").alias("usernames"), F.array_join("p.urls", ",").alias("urls"), F.md5(F.array_join("p.numbers", ",")).alias("numbers"), "p.language")
 
 
-LANGUAGES = [("hello world", "en"), ("привет мир", "ru"), ("привіт світ", "uk"), ("12345", "unknown"), ("", "unknown"), ("aпривет мир привет", "mixed"), ("прив x", "mixed"), ("їжа", "uk")]
+HINTED = "CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN 'привет ' || CAST(doc_id AS STRING) WHEN 2 THEN CAST(doc_id AS STRING) || ' привіт' ELSE text || ' привет' END"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{x}')" for t, x in LANGUAGES) + ") t(text, language)")
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN 'ru' WHEN 2 THEN 'uk' WHEN 0 THEN CASE WHEN regexp_matches(text, '[A-Za-z]') THEN 'en' ELSE 'unknown' END ELSE CASE WHEN regexp_matches(text, '[A-Za-z]') THEN 'mixed' ELSE 'ru' END END AS language FROM documents")
 def language_hints(spark, d):
-    return spark.createDataFrame([(t,) for t, _ in LANGUAGES], "text string").select("text", text.script_hint("text").alias("language"))
+    return table(spark, d, "documents").selectExpr("doc_id", f"{HINTED} AS hinted").select("doc_id", text.script_hint("hinted").alias("language"))
 
 
 @query("SELECT conv_id, sum(greatest(1, floor(length(text) * 2 / 5)) + 8)::INT + 3 AS chat, sum(length(text) // 3 + 10)::BIGINT AS pack, sum(length(text) // 3)::BIGINT AS lines, sum(length(text) // 4)::BIGINT AS windows FROM conversations GROUP BY 1")
@@ -382,17 +392,19 @@ def token_rules(spark, d):
     return rows
 
 
-@query(r"SELECT page_id, md5('<user_data>' || chr(10) || regexp_replace(regexp_replace(html, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '^\s+|\s+$', '', 'g') || chr(10) || '</user_data>') AS wrapped FROM pages")
+@query(rf"SELECT page_id, md5('<user_data>' || chr(10) || {stripped(r"regexp_replace(html, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g')")} || chr(10) || '</user_data>') AS wrapped FROM pages")
 def wrapped_pages(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(text.wrapped("html")).alias("wrapped"))
 
 
-ANSWERS = [('```json\n{"description": "a cat", "n": 1}\n```', "a cat"), ('{"description": "bare"}', "bare"), ('Sure: {"description": "within"} done', "within"), ("no object", "no object"), ('broken {"description": ', 'broken {"description": '), ('{"other": 1}', '{"other": 1}')]
+ANSWER = """CASE turn % 6 WHEN 0 THEN '```json\n{"description": "a ' || role || '", "n": 1}\n```' WHEN 1 THEN '{"description": "bare"}' WHEN 2 THEN text || ' {"description": "within ' || CAST(conv_id AS STRING) || '"} done'
+ WHEN 3 THEN text WHEN 4 THEN 'broken {"description": ' ELSE '{"other": 1}' END"""
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{x}')" for a, x in ANSWERS) + ") t(answer, description)")
+@query("""SELECT conv_id, turn, md5(CASE turn % 6 WHEN 0 THEN 'a ' || role WHEN 1 THEN 'bare' WHEN 2 THEN 'within ' || conv_id WHEN 3 THEN text WHEN 4 THEN 'broken {"description": ' ELSE '{"other": 1}' END) AS description FROM conversations""")
 def model_answers(spark, d):
-    return spark.createDataFrame([(a,) for a, _ in ANSWERS], "answer string").select("answer", text.described("answer").alias("description"))
+    rows = table(spark, d, "conversations").selectExpr("conv_id", "turn", f"{ANSWER} AS answer")
+    return rows.select("conv_id", "turn", F.md5(text.described("answer")).alias("description"))
 
 
 @query("SELECT event_id, CASE WHEN s >= 3600 THEN lpad((s // 3600)::VARCHAR, 2, '0') || ':' ELSE '' END || lpad((s % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS clock, s AS seconds FROM (SELECT event_id, event_id * 37 % 20000 AS s FROM events)")
@@ -416,20 +428,27 @@ def time_expressions(spark, d):
     return rows.select("text", *[F.coalesce(F.col(f"x.{c}").cast("string"), F.lit("")).alias(c) for c in ("amount", "unit", "since")])
 
 
-@query()
+SPOKEN = """text || CASE turn % 5 WHEN 0 THEN ' find @user_' || CAST(conv_id AS STRING) || '!' WHEN 1 THEN ' link from Bob and files by Nat.' WHEN 2 THEN ' що задала Аліса' WHEN 3 THEN '' ELSE ' бачив Лева' END"""
+
+
+@query(rf"""WITH t AS (SELECT conv_id, turn, {SPOKEN} AS t FROM conversations), f AS (SELECT conv_id, turn, list_transform(regexp_extract_all(t, '@([\p{{L}}\p{{N}}_]+)', 1), lambda x: '95 ' || x) || list_transform(regexp_extract_all(t, '(?i)(?:що|что|чого|кого|кому|якщо|если|яку|яке|який|которую|которое|который)\s+[\p{{L}}\p{{N}}_]+\s+([А-ЯІЇЄҐA-Z][а-яіїєґёa-z]+)', 1), lambda x: '90 ' || x)
+ || list_transform(regexp_extract_all(t, '(?i)(?:від|если|для|with|from)\s+([А-ЯІЇЄҐA-Z][а-яіїєґёa-z]+)', 1), lambda x: '85 ' || x) || list_transform(regexp_extract_all(t, '(?i)(?:from|by|sent by)\s+([A-Z][a-z]+)', 1), lambda x: '85 ' || x) || CASE WHEN turn % 5 = 4 THEN ['70 Лева'] ELSE [] END AS found FROM t)
+SELECT conv_id, turn, len(found)::BIGINT AS mentions, md5(array_to_string(list_sort(found), '|')) AS names FROM f WHERE len(found) > 0""")
 def text_mentions(spark, d):
-    rows = spark.createDataFrame([(1, "find @john_doe"), (2, "що задала Аліса"), (3, "link from Bob and files by Nat"), (4, "поговори с Игорем и Лев"), (5, None)], "text_id long, text string")
-    return mentions.mentions(rows, "text_id", "text")
+    rows = table(spark, d, "conversations").selectExpr("conv_id * 1000 + turn AS text_id", f"{SPOKEN} AS text")
+    named = F.concat((F.col("confidence") * 100).cast("decimal(4,0)").cast("string"), F.lit(" "), "raw")
+    found = mentions.mentions(rows, "text_id", "text").groupBy("text_id").agg(F.count("*").alias("mentions"), F.md5(F.array_join(F.array_sort(F.collect_list(named)), "|")).alias("names"))
+    return found.select(F.floor(F.col("text_id") / 1000).cast("long").alias("conv_id"), (F.col("text_id") % 1000).alias("turn"), "mentions", "names")
 
 
-PAYLOADS = [("text", [("user", None)]), ("vision", [("user", ["text"]), ("user", ["text", "image_url"])]), ("audio", [("user", ["input_audio", "input_image"])]), ("vision", [("user", ["input_image", "input_audio"])]), ("text", []), ("text", None)]
+PARTS = "CASE WHEN length(text) % 7 = 0 THEN 'image_url' WHEN length(text) % 5 = 0 THEN 'input_audio' ELSE 'text' END"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{k}')" for i, (k, _) in enumerate(PAYLOADS)) + ") t(payload, kind)")
+@query(f"SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'text' ELSE CASE {PARTS} WHEN 'image_url' THEN 'vision' WHEN 'input_audio' THEN 'audio' ELSE 'text' END END AS kind FROM conversations")
 def payload_kinds(spark, d):
-    rows = [(i, None if p is None else [(r, None if parts is None else [(t,) for t in parts]) for r, parts in p]) for i, (_, p) in enumerate(PAYLOADS)]
-    given = spark.createDataFrame(rows, "payload int, messages array<struct<role: string, parts: array<struct<type: string>>>>")
-    return given.select("payload", m.payload_kind(F.coalesce("messages", F.array().cast("array<struct<role: string, parts: array<struct<type: string>>>>"))).alias("kind"))
+    """A request of one message each; every third has plain text without parts."""
+    message = F.struct("role", F.when(F.col("turn") % 3 != 0, F.array(F.struct(F.lit("text").alias("type")), F.struct(F.expr(PARTS).alias("type")))).alias("parts"))
+    return table(spark, d, "conversations").select("conv_id", "turn", m.payload_kind(F.array(message)).alias("kind"))
 
 
 # ---------------------------------------------------------------- changes and streams

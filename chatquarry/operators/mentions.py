@@ -8,14 +8,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-UPPER, LOWER = "А-ЯІЇЄҐ", "а-яіїєґё"
 #: What comes before a name, the group that is the mention, and how sure it is. Case counts only in the last one.
 RULES = (
     ("username", re.compile(r"@([\w\d_]+)"), 0.95),
-    ("person", re.compile(rf"(?:що|что|чого|кого|кому|якщо|если|яку|яке|який|которую|которое|который)\s+\w+\s+([{UPPER}A-Z][{LOWER}a-z]+)", re.I), 0.9),
-    ("person", re.compile(rf"(?:від|если|з\b|с\b|у\b|від|у\s|для|with|from)\s+([{UPPER}A-Z][{LOWER}a-z]+)", re.I), 0.85),
-    ("person", re.compile(r"(?:from|by|sent by)\s+([A-Z][a-z]+)", re.I), 0.85),
-    ("person", re.compile(rf"(?<!\w)([{UPPER}][{LOWER}]{{2,}})(?!\w)"), 0.7),
+    ("person", re.compile(r"(?:що|что|чого|кого|кому|якщо|если|яку|яке|який|которую|которое|который)\s+\w+\s+([А-ЯІЇЄҐA-Z][а-яіїєґёa-z]+)", re.IGNORECASE | re.UNICODE), 0.9),
+    ("person", re.compile(r"(?:від|если|з\b|с\b|у\b|від|у\s|для|with|from)\s+([А-ЯІЇЄҐA-Z][а-яіїєґёa-z]+)", re.IGNORECASE | re.UNICODE), 0.85),
+    ("person", re.compile(r"(?:from|by|sent by)\s+([A-Z][a-z]+)", re.IGNORECASE), 0.85),
+    ("person", re.compile(r"(?<!\w)([А-ЯІЇЄҐ][а-яіїєґё]{2,})(?!\w)", re.UNICODE), 0.7),
 )
 AROUND = 20
 SCHEMA = "text_id long, kind string, raw string, start int, end int, confidence double, context string"

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions import messages as m
-from ..operators import history, joins, people
+from ..operators import history, joins, people, sequences
 from . import retrieval
 
 
@@ -50,11 +50,8 @@ def search(messages: DataFrame, needle: str, vector: list[float] | None, mode: s
 def packed(rows: DataFrame, budget: int = 4000, least: int = 3) -> DataFrame:
     """Rows (doc_id, rank, text) once each, in order, until one after the `least` first would exceed the budget of tokens."""
     first = rows.groupBy("doc_id").agg(F.min_by(F.struct("rank", "text"), "rank").alias("x")).select("doc_id", "x.*")
-    tokens = (F.floor(F.length("text") / 3) + 10).cast("int")
-    w = Window.orderBy("rank")  # a result's few rows
-    counted = first.withColumn("tokens", tokens).withColumn("so_far", F.sum("tokens").over(w)).withColumn("n", F.row_number().over(w))
-    over = F.min(F.when((F.col("so_far") > budget) & (F.col("n") > least + 1), F.col("n"))).over(Window.partitionBy())
-    return counted.withColumn("cut", over).filter("cut is null or n < cut").select("doc_id", "rank", "text", "tokens")
+    counted = first.withColumns({"tokens": (F.floor(F.length("text") / 3) + 10).cast("int"), "_all": F.lit(0)})
+    return sequences.budget_prefix(counted, "_all", ["rank"], "tokens", budget, least + 1).select("doc_id", "rank", "text", "tokens")
 
 
 def from_person(messages: DataFrame, chats: DataFrame, members: DataFrame, contacts: DataFrame, name: str, needle: str, vector: list[float] | None, mode: str, limit: int, window: int = 1, top: int = 8) -> DataFrame:
