@@ -9,9 +9,10 @@ from pyspark.sql.window import Window
 
 from .functions import media, messages, text
 from .operators import choices, graph, history, joins, order, sequences
-from .plans import retrieval
+from .plans import retrieval, vectors
 from .shipping import ship
 from .sources.tables import event_messages, table, turns
+from .staging import scratch
 from .streaming import ingest, segments as stream_cuts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -248,16 +249,32 @@ NORM = "sqrt(list_sum(list_transform({a}, lambda z: z::DOUBLE * z::DOUBLE)))"
 COS = f"{DOT.format(a='v.embedding', b='q.embedding')} / ({NORM.format(a='v.embedding')} * {NORM.format(a='q.embedding')})"
 
 
-@query(f"WITH s AS (SELECT q.vec_id AS q, v.vec_id, {COS} AS sim FROM embeddings v JOIN (SELECT * FROM embeddings WHERE vec_id < 5) q ON v.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, vec_id) AS rank FROM s) SELECT q, vec_id, round(sim, 4) AS sim, rank::INT AS rank FROM r WHERE rank <= 10")
+EVERY_20TH = f"(WITH s AS (SELECT q.vec_id AS q, v.vec_id, {COS} AS sim FROM embeddings v JOIN (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q ON v.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, vec_id) AS rank FROM s) SELECT q, vec_id, round(sim, 4) AS sim, rank::INT AS rank FROM r WHERE rank <= 10)"
+
+
+def every_20th(vectors: DataFrame) -> DataFrame:
+    return vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
+
+
+@query(f"SELECT * FROM {EVERY_20TH}")
 def vector_topk(spark, d):
+    """By the index, which reads what its bounds don't exclude."""
+    v = table(spark, d, "embeddings")
+    return vectors.Index.build(v, scratch(spark), lists=32).exact(every_20th(v), 10).select("q", "vec_id", F.round("sim", 4).alias("sim"), "rank")
+
+
+@query()
+def vector_topk_probed(spark, d):
+    """By the index, from as many of each query's nearest lists as hold 19 of 20 neighbours by a trial."""
     v = table(spark, d, "embeddings")
-    return retrieval.nearest(v, v.filter("vec_id < 5").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv")), 10).select("q", "vec_id", F.round("sim", 4).alias("sim"), "rank")
+    index = vectors.Index.build(v, scratch(spark), lists=32)
+    return index.search(every_20th(v), 10, index.probes_for(10, 0.95)).select("q", "vec_id", F.round("sim", 4).alias("sim"), "rank")
 
 
-@query(f"WITH s AS (SELECT q.vec_id AS q, v.vec_id, {COS} AS sim FROM embeddings v JOIN (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q ON v.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, vec_id) AS rank FROM s) SELECT q, vec_id, round(sim, 4) AS sim, rank::INT AS rank FROM r WHERE rank <= 10")
+@query(f"SELECT * FROM {EVERY_20TH}")
 def vector_topk_every_20th(spark, d):
     v = table(spark, d, "embeddings")
-    return retrieval.nearest(v, v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv")), 10).select("q", "vec_id", F.round("sim", 4).alias("sim"), "rank")
+    return retrieval.nearest(v, every_20th(v), 10).select("q", "vec_id", F.round("sim", 4).alias("sim"), "rank")
 
 
 @query("WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) AS rank FROM documents WHERE contains(lower(text), 'license') ORDER BY doc_id DESC LIMIT 40), b AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id DESC) AS rank FROM documents WHERE contains(lower(text), 'the') ORDER BY n_chars DESC, doc_id DESC LIMIT 40), u AS (SELECT doc_id, 1.0::DOUBLE / (60 + rank) AS s, rank AS f FROM a UNION ALL SELECT doc_id, 1.0::DOUBLE / (60 + rank), 1000000 + rank FROM b) SELECT doc_id, round(sum(s), 8) AS score FROM u GROUP BY 1 ORDER BY sum(s) DESC, min(f) LIMIT 50")

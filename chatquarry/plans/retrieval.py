@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..operators import history, sequences
+from .vectors import nearest  # noqa: F401  (a way to search like the others)
 
 
 def lexical(rows: DataFrame, needle: str, column: str, by: str, tie: str, limit: int) -> DataFrame:
@@ -22,28 +23,6 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
-#: Queries and vectors that meet in one cell.
-QUERY_BLOCK, VECTOR_BLOCK = 256, 4096
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k most similar vectors (cosine) of each query (q, qv).
-
-    Queries and vectors are dealt into blocks of bounded size by their ids' hashes; each two blocks meet in a cell, which keeps k rows a
-    query. The cells' rows are merged."""
-    blocks = lambda n, size: max(1, -(-n // size))
-    nq, nv = blocks(queries.count(), QUERY_BLOCK), blocks(vectors.count(), VECTOR_BLOCK)
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    asked = queries.select("q", "qv", norm(F.col("qv")).alias("_qn"), dealt("q", nq).alias("_qb"), every(nv).alias("_vb"))
-    given = vectors.select("vec_id", "embedding", norm(F.col("embedding")).alias("_n"), dealt("vec_id", nv).alias("_vb"), every(nq).alias("_qb"))
-    scored = given.join(asked.hint("merge"), ["_qb", "_vb"]).filter(F.col("vec_id") != F.col("q"))
-    scored = scored.select("q", "vec_id", "_vb", (dot(F.col("embedding"), F.col("qv")) / (F.col("_n") * F.col("_qn"))).alias("sim"))
-    best = lambda *by: F.row_number().over(Window.partitionBy("q", *by).orderBy(F.desc("sim"), "vec_id"))
-    kept = scored.withColumn("_r", best("_vb")).filter(F.col("_r") <= k).drop("_r", "_vb")
-    return kept.withColumn("rank", best()).filter(F.col("rank") <= k)
-
-
 def fused(lists: list[DataFrame], key: str, limit: int, k: int = 60) -> DataFrame:
     """Reciprocal-rank fusion of ranked lists (key, rank from 1): sum of 1 / (k + rank)."""
     every = None

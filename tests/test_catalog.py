@@ -8,7 +8,7 @@ import pytest
 from chatquarry import catalog
 from chatquarry.functions import names, text
 from chatquarry.operators import joins, sequences
-from chatquarry.plans import retrieval
+from chatquarry.plans import retrieval, vectors
 
 SF = "/root/testdata/sf0.001"
 
@@ -61,8 +61,8 @@ def test_gaps(spark):
 
 
 def test_nearest_deals_blocks(spark, monkeypatch):
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 4, raising=False)
-    monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 7, raising=False)
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(vectors, "VECTOR_BLOCK", 7)
     vecs = {i: [float(i % 7 + 1), float(i * i % 11), float(i * 5 % 13)] for i in range(60)}
     v = spark.createDataFrame(list(vecs.items()), "vec_id long, embedding array<float>")
     found = retrieval.nearest(v, v.filter("vec_id % 3 = 0").select(v.vec_id.alias("q"), v.embedding.alias("qv")), 3)
