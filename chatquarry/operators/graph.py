@@ -2,61 +2,96 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.arrays import matrix, unit, usable
+from ..staging import staged
+from .blocks import by_block
 from .order import Ordered, plain
 
 
-#: Nodes that meet in one cell.
-BLOCK = 1024
+#: Nodes of a block, and rows that pivots are chosen from.
+BLOCK, SAMPLE = 1024, 4096
+PIVOTS = 16
+
+
+def pivots_of(nodes: DataFrame, count: int) -> np.ndarray:
+    """Unit vectors far from each other among a sample of about SAMPLE nodes, drawn by their ids' hashes."""
+    n = nodes.count()
+    drawn = nodes.filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) < int(min(1.0, 2 * SAMPLE / max(1, n)) * (1 << 30)))
+    v = unit(matrix(drawn.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(SAMPLE).select("v").toArrow().column("v")))
+    chosen = [0][: len(v)]
+    while chosen and len(chosen) < min(count, len(v)):
+        chosen.append(int((v @ v[chosen].T).max(1).argmin()))
+    return v[chosen]
+
+
+def blocks_by_angle(nodes: DataFrame, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+    """id, v, block, angles (to each pivot): nodes (id, embedding) with a vector, dealt into blocks of at most `block` that lie at nearly
+    the same angle from the same, their nearest, pivot."""
+    rows = nodes.filter(usable("embedding")).select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    held = nodes.sparkSession.sparkContext.broadcast(pivots_of(rows, pivots))  # a few vectors
+
+    def place(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            angle = np.arccos(np.clip(unit(matrix(batch.column("v"))) @ held.value.T, -1, 1)) if batch.num_rows else np.zeros((0, 1))
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(angle.ravel()), angle.shape[1]).cast(pa.list_(pa.float64()))
+            own = angle.argmin(1)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(own.astype(np.int64)), pa.array(angle[np.arange(len(own)), own]), flat], names=["id", "v", "own", "angle", "angles"])
+
+    placed = Ordered(rows.mapInArrow(place, "id long, v array<double>, own long, angle double, angles array<double>"), "own", "angle", "id").prefix(number="n")
+    return staged(placed.select("id", "v", (F.col("own") * (1 << 40) + F.floor((F.col("n") - 1) / block)).alias("block"), "angles"))
+
+
+def block_pairs(blocks: DataFrame, threshold: float, pivots: int = PIVOTS) -> DataFrame:
+    """p, q (p <= q): the pairs of blocks that may hold two nodes with a cosine of the threshold.
+
+    Two nodes whose angles to a pivot differ by more than the threshold's own angle are further apart than that. Blocks first meet by
+    stretches of their angle to the first pivot, then are held against each other by all."""
+    theta = math.acos(max(-1.0, min(1.0, threshold))) + 1e-9
+    spans = [f(F.get("angles", F.lit(i))).alias(f"{n}{i}") for i in range(pivots) for n, f in (("lo", F.min), ("hi", F.max))]
+    each = staged(blocks.groupBy("block").agg(*spans))
+    stretch = lambda c: F.floor(F.col(c) / theta)
+    a = each.withColumn("s", F.explode(F.sequence(stretch("lo0") - 1, stretch("hi0") + 1)))
+    b = each.select(*[F.col(c).alias(f"b_{c}") for c in each.columns], F.explode(F.sequence(stretch("lo0"), stretch("hi0"))).alias("s"))
+    near = F.lit(True)
+    for i in range(pivots):  # pivots that there aren't are null
+        near = near & F.coalesce((F.col(f"lo{i}") - F.col(f"b_hi{i}") <= theta) & (F.col(f"b_lo{i}") - F.col(f"hi{i}") <= theta), F.lit(True))
+    return a.join(b, "s").filter((F.col("block") <= F.col("b_block")) & near).select(F.col("block").alias("p"), F.col("b_block").alias("q")).distinct()
 
 
 def similarity_edges(nodes: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """Pairs (a < b) of nodes (id, embedding) with a cosine of at least the threshold.
-
-    Nodes are dealt into blocks of about `block`; each two blocks, one of them at most once with itself, meet in a cell of their own,
-    which multiplies two matrices. Nothing is broadcast, and a task holds two blocks, whatever the number of nodes. Nodes without a
-    vector, or with one of length 0, have no edges."""
-    import numpy as np
-    import pyarrow as pa
-
-    blocks = max(1, -(-nodes.count() // block))
-    n = nodes.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    cells = n.withColumn("o", other).select("id", "v", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), (F.col("b") == F.least("b", "o")).alias("first"))
-
-    def pairs(batches):
-        held, at = [], None
-
-        def met():
-            ids, first = np.array([h[0] for h in held]), np.array([h[1] for h in held])
-            v = np.array([h[2] for h in held], np.float64)
-            v = v / np.linalg.norm(v, axis=1, keepdims=True)
+    """Pairs (a < b) of nodes (id, embedding) with a cosine of at least the threshold, and it.
+
+    Nodes that lie at like angles from pivots make blocks; two blocks whose angles to some pivot exclude a link aren't multiplied. The
+    others meet in a cell of their own: a task holds two blocks, whatever the number of nodes. Nodes without a vector, or with one of
+    length 0, have no edges."""
+    rows = blocks_by_angle(nodes, block)
+    pairs = staged(block_pairs(rows, threshold))
+    own = rows.select("id", "v", "block")
+    firsts = own.join(pairs.select(F.col("p").alias("block"), "p", "q"), "block").withColumn("first", F.lit(True))
+    seconds = own.join(pairs.filter("p < q").select(F.col("q").alias("block"), "p", "q"), "block").withColumn("first", F.lit(False))
+
+    def multiplied(batches) -> Iterator[pa.RecordBatch]:
+        for at, table in by_block(batches, ("p", "q")):
+            ids, first, v = table.column("id").to_numpy(), table.column("first").to_numpy(zero_copy_only=False).astype(bool), unit(matrix(table.column("v")))
             x = np.flatnonzero(first)
-            y = x if at[0] == at[1] else np.flatnonzero(~first)
+            y = x if at["p"] == at["q"] else np.flatnonzero(~first)
             sim = v[x] @ v[y].T
             i, j = np.nonzero(sim >= threshold)
             a, b, s = ids[x[i]], ids[y[j]], sim[i, j]
-            keep = a < b if at[0] == at[1] else a != b
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep]), pa.array(s[keep])], names=["a", "b", "sim"])
+            keep = a < b if at["p"] == at["q"] else a != b
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep]), pa.array(s[keep])], names=["a", "b", "sim"])
 
-        for batch in batches:
-            v = batch.column("v")
-            flat, offsets = v.flatten().to_numpy(zero_copy_only=False), v.offsets.to_numpy() - v.offsets[0].as_py()
-            for k, (i, f, p, q) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "first", "p", "q")), strict=True)):
-                if held and (p, q) != at:
-                    yield met()
-                    held = []
-                at = (p, q)
-                own = flat[offsets[k] : offsets[k + 1]]
-                if len(own) and own.any():
-                    held.append((i, f, own))
-        if held:
-            yield met()
-
-    return cells.filter("size(v) > 0").repartition("p", "q").sortWithinPartitions("p", "q").mapInArrow(pairs, "a long, b long, sim double")
+    cells = firsts.unionByName(seconds).select("id", "v", "p", "q", "first")
+    return cells.repartition("p", "q").sortWithinPartitions("p", "q").mapInArrow(multiplied, "a long, b long, sim double")
 
 
 def merged_edges(similar: DataFrame, replies: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

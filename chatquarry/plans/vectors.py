@@ -15,6 +15,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
+from ..functions.arrays import matrix, unit, usable
 from ..operators.blocks import by_block
 from ..staging import staged
 
@@ -25,22 +26,6 @@ SAMPLE, LISTS, DECIMALS = 50_000, 4096, 12
 FOUND = "q long, vec_id long, sim double"
 
 
-def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Equally long vectors as the rows of a matrix."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
-
-
-def unit(v: np.ndarray) -> np.ndarray:
-    return v / np.linalg.norm(v, axis=1, keepdims=True)
-
-
-def usable(column: str) -> F.Column:
-    """Whether a vector is there and has a length other than 0."""
-    return F.coalesce(F.exists(column, lambda x: x != 0), F.lit(False))
-
-
 def best(ids: np.ndarray, sim: np.ndarray, k: int) -> np.ndarray:
     """Places of the k most similar, by similarity, then id."""
     ranked = np.round(sim, DECIMALS)

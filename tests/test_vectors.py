@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from chatquarry.operators import graph
 from chatquarry.plans import vectors
 
 
@@ -78,3 +79,27 @@ def test_an_index_of_nothing_or_one(spark, tmp_path):
     assert index.exact(asked_of(frame(spark, [20], [[1.0, 2.0]])), 3).count() == 0
     one = vectors.Index.build(frame(spark, [7], [[1.0, 2.0]]), str(tmp_path / "o"))
     assert lists_of(one.exact(asked_of(frame(spark, [20], [[1.0, 2.0]])), 3)) == {20: [7]}
+
+
+def test_edges_skip_blocks_that_bounds_exclude(spark, clustered):
+    ids, v, df, _ = clustered
+    nodes = df.withColumnRenamed("vec_id", "id")
+    rows = graph.blocks_by_angle(nodes, 100)
+    blocks = rows.select("block").distinct().count()
+    assert rows.count() == 3000 and rows.groupBy("block").count().filter("count > 100").count() == 0
+    pairs = graph.block_pairs(rows, 0.9).count()
+    print(f"{blocks} blocks, {pairs} of {blocks * (blocks + 1) // 2} pairs multiplied")
+    assert pairs < blocks * (blocks + 1) / 2 / 3
+    got = {(r.a, r.b): r.sim for r in graph.similarity_edges(nodes, 0.9, 100).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    sim = u @ u.T
+    i, j = np.nonzero(np.triu(sim >= 0.9 + 1e-9, 1))
+    sure = set(zip(i.tolist(), j.tolist(), strict=True))
+    assert sure <= set(got) and all(sim[a, b] >= 0.9 - 1e-9 for a, b in got)
+    assert all(abs(sim[a, b] - s) < 1e-9 for (a, b), s in list(got.items())[:1000])
+
+
+def test_edges_of_nothing_or_one(spark):
+    one = frame(spark, [7], [[1.0, 2.0]]).withColumnRenamed("vec_id", "id")
+    assert graph.similarity_edges(one, 0.1).count() == 0
+    assert graph.similarity_edges(one.filter("id > 7"), 0.1).count() == 0
