@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from .functions import media, messages, text
 from .operators import choices, graph, history, joins, order, sequences
-from .plans import retrieval, vectors
+from .plans import retrieval, substrings, vectors
 from .shipping import ship
+from .sources import deltas
 from .sources.tables import event_messages, table, turns
 from .staging import scratch
 from .streaming import ingest, segments as stream_cuts
@@ -353,6 +355,35 @@ def insert_ignore(spark, d):
     return joins.insert_ignore(o, more.unionByName(more.withColumn("o_orderkey", F.col("o_orderkey") + 10000000)), ["o_orderkey"])
 
 
+NEEDLES = ("License", "100%", "th", "zzqx", "ation the")
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS needle, doc_id FROM documents WHERE contains(lower(text), lower('{n}'))" for n in NEEDLES))
+def trigram_search(spark, d):
+    """Each needle's rows, by the index."""
+    index = substrings.TrigramIndex.build(table(spark, d, "documents").select("doc_id", "text"), scratch(spark), "doc_id", "text")
+    found = [index.search(n).select(F.lit(n).alias("needle"), "doc_id") for n in NEEDLES]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("""WITH c AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus, 0 AS k, 0 AS v FROM orders UNION ALL SELECT o_orderkey, NULL, o_totalprice + 1, NULL, 1, 1 FROM orders WHERE o_orderkey % 3 = 0
+UNION ALL SELECT o_orderkey, o_custkey + 7, NULL, 'X', 2, 2 FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT o_orderkey + 100000000, 1, 1.0, 'N', 2, 2 FROM orders WHERE o_orderkey % 7 = 0
+UNION ALL SELECT o_orderkey, -1, -1.0, 'late', 1, 3 FROM orders WHERE o_orderkey % 15 = 0)
+SELECT o_orderkey, arg_max(o_custkey, k * 10 + v) AS o_custkey, arg_max(o_totalprice, k * 10 + v) AS o_totalprice, arg_max(o_orderstatus, k * 10 + v) AS o_orderstatus FROM c GROUP BY 1""")
+def upsert_deltas(spark, d):
+    """Orders and three batches of changes, the last one late; compacted after the second."""
+    o = table(spark, d, "orders").selectExpr("o_orderkey", "o_custkey", "cast(o_totalprice as double) as o_totalprice", "o_orderstatus", "0 as at")
+    t = deltas.DeltaTable(spark, scratch(spark), "o_orderkey long, o_custkey long, o_totalprice double, o_orderstatus string, at int", ("o_orderkey",), "at", buckets=16)
+    none = "cast(null as {}) as {}".format
+    t.upsert(o)
+    t.upsert(o.filter("o_orderkey % 3 = 0").selectExpr("o_orderkey", none("long", "o_custkey"), "o_totalprice + 1 as o_totalprice", none("string", "o_orderstatus"), "1 as at"))
+    changed = o.filter("o_orderkey % 5 = 0").selectExpr("o_orderkey", "o_custkey + 7 as o_custkey", none("double", "o_totalprice"), "'X' as o_orderstatus", "2 as at")
+    t.upsert(changed.unionByName(o.filter("o_orderkey % 7 = 0").selectExpr("o_orderkey + 100000000 as o_orderkey", "1L as o_custkey", "1.0d as o_totalprice", "'N' as o_orderstatus", "2 as at")))
+    t.compact(0.3)
+    t.upsert(o.filter("o_orderkey % 15 = 0").selectExpr("o_orderkey", "-1L as o_custkey", "-1.0d as o_totalprice", "'late' as o_orderstatus", "1 as at"))
+    return t.read().drop("at")
+
+
 @query("SELECT event_id, user_id FROM events")
 def stream_dedup(spark, d):
     return ingest.drained(ingest.deduplicated(ingest.stream(spark, f"{d}/[e]vents.parquet").unionByName(ingest.stream(spark, f"{d}/[e]vents.parquet")), ["event_id"])).select("event_id", "user_id")
