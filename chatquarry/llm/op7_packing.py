@@ -21,6 +21,8 @@ from . import common
 from .bpe_cache import encoder, vocabulary_path
 
 GROUP = 2048
+#: Bytes of text encoded at a time.
+BLOCK = 1 << 20
 #: Fillings tried for one sequence, and sequences completed beyond a first descent without a better result before the incumbent stands.
 FILLINGS, STEPS = 8, 600
 
@@ -140,7 +142,7 @@ def bin_completion(counts: np.ndarray, capacity: int, steps: int = STEPS) -> lis
 def cutter(path: str, end_id: int, capacity: int, ids_out: bool):
     def run(batches) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
-        for batch in common.blocks(batches):
+        for batch in common.blocks(batches, BLOCK):
             ids, at = coder.encode(batch.column("text"), end_id)
             raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
             n = np.diff(at)
