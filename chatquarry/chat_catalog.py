@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .catalog import CLEAN, PLAIN, SPACE, query, stripped
-from .functions import messages as m, names, text
+from .functions import dates, messages as m, names, text
 from .operators import enrichment, graph, history, joins, mentions, order, people
-from .plans import questions, tools
+from .plans import questions, registry, tools
 from .sources.tables import derived, derived_sql, table
 from .streaming import ingest
 
@@ -68,6 +68,26 @@ def lookup_spellings(spark, d):
     return derived(spark, d, "contacts").select("user_id", names.lookup_spelling(F.col("name")).alias("spelling"))
 
 
+FULL = "lower(c_mktsegment) || ' n' || CAST(c_custkey AS STRING)"
+TYPED = "'n' || CAST(c_custkey AS STRING) || ' ' || replace(lower(c_mktsegment), 'i', 'y')"
+GRAMS = "list_distinct(list_transform(range(1, length(' ' || {0} || ' ') - 1), lambda i: (' ' || {0} || ' ')[i : i + 2]))"
+RATIO = "(CASE WHEN greatest(length({0}), length({1})) = 0 THEN 100.0 ELSE (1 - levenshtein({0}, {1}) / greatest(length({0}), length({1}))) * 100 END)"
+WORDS = "array_to_string(list_sort(string_split({0}, ' ')), ' ')"
+
+
+@query(f"""WITH a AS (SELECT {TYPED} AS a FROM customer WHERE c_custkey % 50 = 0), b AS (SELECT c_custkey AS id, {FULL} AS b FROM customer),
+p AS (SELECT a, id, b, {WORDS.format("a")} AS sa, {WORDS.format("b")} AS sb, array_to_string(list_sort(list_intersect(string_split(a, ' '), string_split(b, ' '))), ' ') AS c, list_sort(list_filter(string_split(a, ' '), lambda x: NOT list_contains(string_split(b, ' '), x))) AS ra, list_sort(list_filter(string_split(b, ' '), lambda x: NOT list_contains(string_split(a, ' '), x))) AS rb
+ FROM a, b WHERE len(list_intersect({GRAMS.format("a")}, {GRAMS.format("b")})) >= ceil(len({GRAMS.format("a")}) / 2)),
+w AS (SELECT *, trim(c || ' ' || array_to_string(ra, ' ')) AS ca, trim(c || ' ' || array_to_string(rb, ' ')) AS cb, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS s, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS t FROM p),
+r AS (SELECT a AS asked, id, round(greatest({RATIO.format("a", "b")}, 0.95 * {RATIO.format("sa", "sb")}, CASE WHEN c <> '' THEN 0.95 * greatest({RATIO.format("c", "ca")}, {RATIO.format("c", "cb")}, {RATIO.format("ca", "cb")}) ELSE 0 END,
+ 0.9 * (1 - list_min(list_transform(range(1, length(t) - length(s) + 2), lambda i: levenshtein(s, t[i : i + length(s) - 1]))) / length(s)) * 100), 4) AS score FROM w)
+SELECT asked, id, score, row_number() OVER (PARTITION BY asked ORDER BY score DESC, id) AS rank FROM r WHERE score >= 75 QUALIFY rank <= 3""")
+def fuzzy_names(spark, d):
+    c = table(spark, d, "customer")
+    asked = c.filter("c_custkey % 50 = 0").selectExpr(f"{TYPED} AS asked")
+    return people.likest(asked, c.selectExpr("c_custkey AS id", f"{FULL} AS name"), 75.0, 3).withColumn("rank", F.col("rank").cast("long"))
+
+
 # ---------------------------------------------------------------- messages and predicates
 
 
@@ -224,6 +244,24 @@ def event_candidates(spark, d):
     return enrichment.event_candidates(docs, table(spark, d, "labels"), ["doc_id"]).select("doc_id", "event_type")
 
 
+TELLING = "text || CASE doc_id % 4 WHEN 0 THEN '. I owe Bob 12.50 since 2024-02-01! Bye.' WHEN 1 THEN chr(10) || 'In 3 weeks, on 2024-04-02, the hiring begins. Pay later 7' ELSE '' END"
+
+
+def told(kind: str, words: tuple[str, ...]) -> str:
+    w, amount = "|".join(words), r"\d+(?:[.,]\d+)?"
+    return f"""SELECT doc_id, '{kind}' AS event_type, trim(s)[:120] AS title, regexp_extract(lower(s), '({w})', 1) AS keyword, CASE WHEN regexp_extract(s, '\\b(\\d{{4}}-\\d{{2}}-\\d{{2}})\\b') <> '' THEN try_cast(regexp_extract(s, '\\b(\\d{{4}}-\\d{{2}}-\\d{{2}})\\b') AS DATE) END AS start_time,
+ coalesce(nullif(regexp_extract(lower(s), '(?s)(?:{w}).*?({amount})', 1), ''), nullif(regexp_extract(regexp_extract(lower(s), '(?s)^(.*?)(?:{w})', 1), '(?s)({amount})[^\\d]*$', 1), '')) AS amount
+ FROM (SELECT doc_id, list_filter(regexp_extract_all({TELLING}, '[^.!?\\n]+[.!?]*'), lambda x: regexp_matches(lower(x), '{w}'))[1] AS s FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)) WHERE s IS NOT NULL"""
+
+
+@query(f"SELECT doc_id AS evidence_msg_id, event_type, title, coalesce(start_time::VARCHAR, '') AS start_time, keyword, coalesce(amount, '') AS amount FROM ({' UNION ALL '.join(told(k, w) for k, w in EVENTS.items())})")
+def event_rows(spark, d):
+    docs = table(spark, d, "documents").selectExpr("doc_id", f"{TELLING} AS content")
+    rows = enrichment.event_rows(docs, table(spark, d, "labels"), ["doc_id"], F.lit("2024-03-31").cast("date"))
+    of = lambda k: F.get_json_object("payload", f"$.{k}")
+    return rows.select("evidence_msg_id", "event_type", "title", F.coalesce(F.col("start_time").cast("string"), F.lit("")).alias("start_time"), of("keyword").alias("keyword"), F.coalesce(of("amount"), F.lit("")).alias("amount"))
+
+
 @query("SELECT title, start_time::VARCHAR AS start_time, doc_id FROM (SELECT lower(trim(source)) AS title, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 7 END AS start_time, doc_id, row_number() OVER (PARTITION BY lower(trim(source)), CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 7 END ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1")
 def event_titles_dedup(spark, d):
     events = table(spark, d, "documents").select(F.concat(F.lit(" "), F.upper("source")).alias("title"), F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") % 7).alias("start_time"), "doc_id")
@@ -359,6 +397,24 @@ def person_search(spark, d):
     return tools.from_person(searched(spark, d), chats, none, derived(spark, d, "contacts"), "zoryana", "The", vector(spark, d, 3), "hybrid", 20).select("chat", "doc_id", "ts", "primary")
 
 
+ASKING = SEARCH.replace("<in>", " AND chat = 13").replace("rank <= 20", "rank <= 80")
+
+
+@query(ASKING + """, o AS (SELECT *, row_number() OVER (PARTITION BY chat ORDER BY ts, doc_id) AS rn FROM a WHERE chat = 13), near AS (SELECT DISTINCT n.doc_id FROM o t JOIN hits USING (doc_id) JOIN o n ON n.rn BETWEEN t.rn - 1 AND t.rn + 1 WHERE hits.rank <= 8)
+SELECT chat, doc_id, ts, doc_id IN (SELECT doc_id FROM hits) AS primary FROM o WHERE doc_id IN (SELECT doc_id FROM hits) OR doc_id IN (SELECT doc_id FROM near)""")
+def person_question(spark, d):
+    """A short question, so its policy is to search both ways, widely, by the registered tool."""
+    chats = derived(spark, d, "chats").withColumn("title", F.when(F.col("chat_id") == 13, "Zoryana").otherwise("other"))
+    found = registry.call("search_from_person", searched(spark, d), chats=chats, members=derived(spark, d, "members").limit(0), contacts=derived(spark, d, "contacts"), name="zoryana", question="The?", vector=vector(spark, d, 3))
+    return found.select("chat", "doc_id", "ts", "primary")
+
+
+@query(f"WITH a AS (SELECT * FROM {FROM_OTHERS} WHERE lower(mine) IN ('0', 'false') AND (via IS NULL OR via <> 'session_ui') AND (contains(lower(content), 'tion') OR contains(lower(content), 'zoom') OR contains(lower(content), 'inen')) ORDER BY ts DESC, doc_id DESC LIMIT 80) SELECT doc_id, row_number() OVER (ORDER BY ts DESC, doc_id DESC) AS rank FROM a")
+def history_question(spark, d):
+    """Three words, any of which counts; without a vector."""
+    return registry.call("search_history", searched(spark, d), question="Tion,  zoom inen?").withColumn("rank", F.col("rank").cast("long"))
+
+
 @query("""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rank, (length(text) // 3 + 10)::INT AS tokens, text FROM documents), s AS (SELECT *, sum(tokens) OVER (ORDER BY rank) AS so_far FROM r), c AS (SELECT min(rank) AS cut FROM s WHERE so_far > 4000 AND rank > 4)
 SELECT doc_id, rank, md5(text) AS text, tokens FROM s, c WHERE cut IS NULL OR rank < cut""")
 def packed_context(spark, d):
@@ -419,13 +475,20 @@ def list_fields(spark, d):
     return table(spark, d, "events").withColumn("x", given).select("event_id", F.array_join(text.json_or_csv("x"), "|").alias("items"))
 
 
-TIMES = [("было 2 дня назад", 2, "days", 999827200), ("3 недели назад", 3, "weeks", 998185600), ("за 5 minutes", 5, "minutes", 999999700), ("привет", None, None, None), ("10 годин тому", 10, "hours", 999964000), ("7 apples", None, None, None)]
+DATED = """text || CASE turn % 10 WHEN 0 THEN ' on 2024-02-30 and 2024-03-05' WHEN 1 THEN ' 5.1.2024 or 31/12/2023' WHEN 2 THEN ' 7 March' WHEN 3 THEN ' May 3, 2023' WHEN 4 THEN ' yesterday' WHEN 5 THEN ' last week' WHEN 6 THEN ' 3 days ago'
+ WHEN 7 THEN ' 12 січня 2023 і позавчора' WHEN 8 THEN ' 5 апреля, прошлой неделе' ELSE ' 2 недели назад' END"""
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{n or ''}', '{u or ''}', '{s or ''}')" for t, n, u, s in TIMES) + ") t(text, amount, unit, since)")
+@query(f"""WITH t AS (SELECT conv_id, turn, {DATED} AS t FROM conversations),
+e AS (SELECT conv_id, turn, CASE turn % 10 WHEN 0 THEN '2024-03-05..2024-03-06' WHEN 1 THEN '2024-01-05..2024-01-06,2023-12-31..2024-01-01' WHEN 2 THEN '2024-03-07..2024-03-08' WHEN 3 THEN '2023-05-03..2023-05-04' WHEN 4 THEN '2024-03-30..2024-03-31' WHEN 5 THEN '2024-03-18..2024-03-25' WHEN 6 THEN '2024-03-28..2024-04-01'
+ WHEN 7 THEN '2023-01-12..2023-01-13,2024-03-29..2024-03-30' WHEN 8 THEN '2023-04-05..2023-04-06,2024-03-18..2024-03-25' ELSE '2024-03-17..2024-04-01' END AS found FROM conversations)
+SELECT e.*, CASE turn % 10 WHEN 6 THEN 3 WHEN 9 THEN 2 END::BIGINT AS amount, CASE turn % 10 WHEN 6 THEN 'days' WHEN 9 THEN 'weeks' END AS unit FROM e""")
 def time_expressions(spark, d):
-    rows = spark.createDataFrame([(t[0],) for t in TIMES], "text string").withColumn("x", m.time_expression("text", F.lit(1_000_000_000).cast("long")))
-    return rows.select("text", *[F.coalesce(F.col(f"x.{c}").cast("string"), F.lit("")).alias(c) for c in ("amount", "unit", "since")])
+    """The dates of texts as of 31 March 2024, and their first number with a unit of time."""
+    today = F.lit("2024-03-31").cast("date")
+    rows = table(spark, d, "conversations").selectExpr("conv_id", "turn", f"{DATED} AS text").withColumn("x", m.time_expression("text", F.unix_seconds(today.cast("timestamp"))))
+    told = F.transform(dates.dates(F.col("text"), today), lambda x: F.concat(x["start"].cast("string"), F.lit(".."), x["end"].cast("string")))
+    return rows.select("conv_id", "turn", F.array_join(told, ",").alias("found"), "x.amount", "x.unit")
 
 
 SPOKEN = """text || CASE turn % 5 WHEN 0 THEN ' find @user_' || CAST(conv_id AS STRING) || '!' WHEN 1 THEN ' link from Bob and files by Nat.' WHEN 2 THEN ' що задала Аліса' WHEN 3 THEN '' ELSE ' бачив Лева' END"""

@@ -71,13 +71,36 @@ def prefixes(query: Column) -> Column:
     return F.when(F.coalesce(q, F.lit("")) != "", cut).otherwise(F.array().cast("array<string>"))
 
 
-def starts_with_any(column: Column, found: Column) -> Column:
-    """Whether a name begins with one of the prefixes, whatever its case."""
-    low = F.lower(F.coalesce(column, F.lit("")))
-    return F.exists(found, lambda p: low.startswith(p))
-
-
 def likeness(a: Column, b: Column) -> Column:
     """0 to 100: the share of letters that stay when one name is edited into the other, whatever the case."""
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest > 0, (1 - F.levenshtein(F.lower(a), F.lower(b)) / longest) * 100).otherwise(F.lit(100.0))
+
+
+def word_list(c: Column) -> Column:
+    return F.array_sort(F.filter(F.split(F.lower(c), r"(?U)\s+"), lambda w: w != ""))
+
+
+def partial_likeness(a: Column, b: Column) -> Column:
+    """The likeness of the shorter text and that stretch of the other, as long, that is likest to it."""
+    short, long = (F.lower(F.when((F.length(a) <= F.length(b)) == x, a).otherwise(b)) for x in (True, False))
+    starts = F.sequence(F.lit(1), F.length(long) - F.length(short) + 1)
+    best = F.array_min(F.transform(starts, lambda i: F.levenshtein(short, F.substr(long, i, F.length(short)))))
+    return F.when(F.length(short) > 0, (1 - best / F.length(short)) * 100).otherwise(F.lit(0.0))
+
+
+def weighted_likeness(a: Column, b: Column) -> Column:
+    """0 to 100: the greatest of the likeness as written, 0.95 of that of the sorted words, 0.95 of that of the common words with and
+    without the others (if there are any), and 0.9 of that of the best stretch."""
+    x, y = word_list(a), word_list(b)
+    joined = lambda w: F.array_join(w, " ")
+    common = F.array_sort(F.array_intersect(x, y))
+    more = lambda p, q: F.trim(F.concat_ws(" ", joined(common), joined(F.array_sort(F.array_except(p, q)))))
+    sets = F.greatest(likeness(joined(common), more(x, y)), likeness(joined(common), more(y, x)), likeness(more(x, y), more(y, x)))
+    return F.greatest(likeness(a, b), 0.95 * likeness(joined(x), joined(y)), F.when(F.size(common) > 0, 0.95 * sets).otherwise(F.lit(0.0)), 0.9 * partial_likeness(a, b))
+
+
+def trigrams(c: Column) -> Column:
+    """The distinct stretches of three characters of a name with a blank at both ends."""
+    padded = F.concat(F.lit(" "), F.lower(c), F.lit(" "))
+    return F.array_distinct(F.when(F.length(c) > 0, F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substr(padded, i, F.lit(3)))).otherwise(F.array().cast("array<string>")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from ..functions import media as media_functions, messages as message_functions
+from ..functions import dates as date_functions, media as media_functions, messages as message_functions
 
 RESULT = "description string, is_meme boolean, tags array<string>, transcript string, cleaned_transcript string, text string, page_count int"
 
@@ -41,6 +41,15 @@ def event_candidates(documents: DataFrame, processed: DataFrame, keys: list[str]
     return fresh.withColumn("event_type", F.explode(message_functions.event_types("content")))
 
 
+def event_rows(documents: DataFrame, processed: DataFrame, keys: list[str], today: Column) -> DataFrame:
+    """The events that documents not yet processed tell of: keys, event_type, title, start_time, end_time, payload (JSON of amount, keyword
+    and title) and evidence_msg_id. documents: keys, doc_id, content."""
+    fresh = documents.join(processed.select(*keys), keys, "left_anti")
+    told = fresh.withColumn("e", F.explode(date_functions.events(F.col("content"), message_functions.EVENT_WORDS, today)))
+    payload = F.to_json(F.struct("e.amount", "e.keyword", "e.title"))
+    return told.select(*keys, "e.event_type", "e.title", "e.start_time", F.col("e.start_time").alias("end_time"), payload.alias("payload"), *([] if "doc_id" in keys else ["doc_id"]), F.col("doc_id").alias("evidence_msg_id"))
+
+
 def first_events(events: DataFrame, order: list[str]) -> DataFrame:
     """Of events with an equal title (but for case and blanks) and start, null starts equal too, the first by the order."""
     w = Window.partitionBy(F.lower(F.trim("title")), "start_time").orderBy(*order)

@@ -62,6 +62,25 @@ def resolved(mentions: DataFrame, chats: DataFrame, members: DataFrame, contacts
     return found.withColumn("primary_person", F.row_number().over(surest) == 1)
 
 
+def likest(asked: DataFrame, named: DataFrame, least: float = 75.0, n: int = 1) -> DataFrame:
+    """asked, id, score, rank: the n likest names (id, name) of each name asked for (asked) by weighted likeness, from `least` on, among those
+    that share at least half of its trigrams.
+
+    Names that do so share one of its rarest: of g trigrams the g - ceil(g / 2) + 1 rarest are looked up, so common ones match nobody."""
+    grams = named.select("id", "name", names.trigrams(F.col("name")).alias("own"))
+    posted = grams.select("id", F.explode("own").alias("gram"))
+    counts = posted.groupBy("gram").agg(F.count("*").alias("n"))
+    wanted = asked.select("asked").distinct().withColumn("theirs", names.trigrams(F.col("asked")))
+    need = F.ceil(F.size("theirs") / 2)
+    each = wanted.select("asked", (F.size("theirs") - need + 1).alias("most"), F.explode("theirs").alias("gram")).join(counts, "gram", "left")
+    place = F.row_number().over(Window.partitionBy("asked").orderBy(F.coalesce("n", F.lit(0)), "gram"))
+    rare = each.withColumn("place", place).filter(F.col("place") <= F.col("most")).select("asked", "gram")
+    pairs = rare.join(posted, "gram").select("asked", "id").distinct().join(wanted, "asked").join(grams, "id")
+    scored = pairs.filter(F.size(F.array_intersect("own", "theirs")) >= need).select("asked", "id", F.round(names.weighted_likeness(F.col("asked"), F.col("name")), 4).alias("score"))
+    ranked = scored.filter(F.col("score") >= least).withColumn("rank", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "id")))
+    return ranked.filter(F.col("rank") <= n)
+
+
 def most_common(rows: DataFrame, keys: list[str], label: str, n: int) -> DataFrame:
     """The n commonest labels of each key, with their counts and ranks; of equal counts the first by name."""
     counts = rows.groupBy(*keys, label).agg(F.count("*").alias("n"))

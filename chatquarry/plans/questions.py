@@ -42,6 +42,13 @@ def expanded(question: Column) -> Column:
     return F.concat_ws(" ", more[kind(question)], asked(question))
 
 
+def terms(question: Column) -> Column:
+    """What a text must contain one of: the words of the question's kind, or of a question of no kind its own."""
+    more = F.create_map(*[x for name, _, words_ in KINDS for x in (F.lit(name), F.array(*map(F.lit, words_)))])
+    own = F.filter(F.split(F.regexp_replace(asked(question), r"(?U)[^\p{L}\p{N}_ ]", ""), " "), lambda w: w != "")
+    return F.coalesce(more[kind(question)], own)
+
+
 def policy(question: Column, limit: Column) -> Column:
     """struct(mode, limit, window, top_k): questions of a kind search both ways and widely, short ones less so, others by vectors."""
     known, short = kind(question) != "generic", words(question) <= 3

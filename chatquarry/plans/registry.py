@@ -35,21 +35,24 @@ def limit(default: int) -> Argument:
     return Argument(int, default, 1, 500)
 
 
+TABLE = Argument(DataFrame)
 TOOLS: dict[str, tuple[Callable[..., DataFrame], dict[str, Argument]]] = {
     "last_messages": (tools.newest, {"since": Argument(int), "limit": limit(50)}),
+    "search_history": (tools.asked, {"question": Argument(str, ""), "vector": Argument(list), "limit": limit(20)}),
+    "search_from_person": (tools.asked_of_person, {"chats": TABLE, "members": TABLE, "contacts": TABLE, "name": Argument(str, ""), "question": Argument(str, ""), "vector": Argument(list), "limit": limit(20)}),
     "search_media": (tools.with_media, {"needle": Argument(str, ""), "limit": limit(20)}),
     "search_words": (tools.lexical, {"needle": Argument(str, ""), "limit": limit(20)}),
     "unread": (tools.unread, {"now": Argument(int, 0), "days": Argument(int, 7, 1, 365), "limit": limit(50)}),
 }
 
 
-def call(name: str, messages: DataFrame, **given) -> DataFrame:
+def call(tool: str, messages: DataFrame, /, **given) -> DataFrame:
     """Runs a tool; unknown tools and arguments, and values out of bounds, raise."""
-    if name not in TOOLS:
-        raise ValueError(f"no tool of the name {name}")
-    run, arguments = TOOLS[name]
+    if tool not in TOOLS:
+        raise ValueError(f"no tool of the name {tool}")
+    run, arguments = TOOLS[tool]
     if unknown := set(given) - set(arguments):
-        raise ValueError(f"{name} takes no {', '.join(sorted(unknown))}")
+        raise ValueError(f"{tool} takes no {', '.join(sorted(unknown))}")
     return run(messages, **{k: a.checked(k, given.get(k)) for k, a in arguments.items()})
 
 

@@ -4,12 +4,12 @@ messages: chat, doc_id, ts, content, meta (see functions.messages.metadata) and,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from ..functions import messages as m
+from ..functions import messages as m, text as text_functions
 from ..operators import history, joins, people, sequences
-from . import retrieval
+from . import questions, retrieval
 
 
 def others(messages: DataFrame) -> DataFrame:
@@ -62,6 +62,46 @@ def from_person(messages: DataFrame, chats: DataFrame, members: DataFrame, conta
     return joins.bundle(own, search(own, needle, vector, mode, limit), window, top)
 
 
+def planned(spark: SparkSession, question: str, limit: int) -> tuple[list[str], str, int, int, int]:
+    """What is searched for (any of the terms), how (mode, limit), and how much around the hits (window, top)."""
+    q = F.col("q")
+    row = spark.createDataFrame([(question,)], "q string").select(questions.policy(q, F.lit(limit)).alias("p"), questions.terms(q).alias("terms")).first()
+    return list(row.terms), row.p["mode"], row.p["limit"], row.p["window"], row.p["top_k"]
+
+
+def any_words(messages: DataFrame, terms: list[str], limit: int) -> DataFrame:
+    """The newest messages of others that contain one of the terms, ranked."""
+    held = text_functions.any_of(F.lower("content"), [t.lower() for t in terms])
+    hits = others(messages).filter(held).select("chat", "doc_id", "ts")
+    return ranked(history.page(hits, limit=limit), F.desc("ts"), F.desc("doc_id"))
+
+
+def asked(messages: DataFrame, question: str, vector: list[float] | None = None, limit: int = 20) -> DataFrame:
+    """doc_id, rank of what answers a question, by its kind's or its own words, by vectors, or both, as the question's policy says. Without
+    a vector only words count."""
+    terms, mode, n, _, _ = planned(messages.sparkSession, question, limit)
+    return answered(messages, terms, vector, mode, n)
+
+
+def answered(messages: DataFrame, terms: list[str], vector: list[float] | None, mode: str, limit: int) -> DataFrame:
+    lists = []
+    if mode == "hybrid" or vector is None:
+        lists.append(any_words(messages, terms, limit).select("doc_id", "rank"))
+    if vector is not None:
+        lists.append(by_vector(messages, vector, limit).select("doc_id", "rank"))
+    return lists[0] if len(lists) == 1 else ranked(retrieval.fused(lists, "doc_id", limit), F.desc("score"), "first_seen").select("doc_id", "rank")
+
+
+def asked_of_person(messages: DataFrame, chats: DataFrame, members: DataFrame, contacts: DataFrame, name: str, question: str, vector: list[float] | None = None, limit: int = 20) -> DataFrame:
+    """A question about what was said in a person's chat: the question's kind and policy choose terms, mode, limit and neighbours; the
+    hits and their neighbours come in the order of time, hits marked `primary`. No chat of that name: no rows."""
+    spark = messages.sparkSession
+    terms, mode, n, window, top = planned(spark, question, limit)
+    chat = people.find_chats(chats, members, contacts, spark.createDataFrame([(name,)], "asked string"), 1).select(F.col("chat_id").alias("chat"))
+    own = messages.join(F.broadcast(chat), "chat", "left_semi")  # one row
+    return joins.bundle(own, answered(own, terms, vector, mode, n), window, top)
+
+
 def newest(messages: DataFrame, since: int | None = None, limit: int = 50) -> DataFrame:
     """The newest messages, since a time."""
     return history.page(messages if since is None else messages.filter(F.col("ts") >= since), limit=limit)
