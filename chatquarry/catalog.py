@@ -12,7 +12,7 @@ from .functions import media, messages, text
 from .operators import choices, graph, history, joins, order, sequences
 from .plans import retrieval, substrings, vectors
 from .shipping import ship
-from .sources import deltas
+from .sources import connector, deltas
 from .sources.tables import event_messages, table, turns
 from .staging import scratch
 from .streaming import ingest, segments as stream_cuts
@@ -395,6 +395,17 @@ def stream_window_counts(spark, d):
     return ingest.drained(ingest.window_counts(ingest.stream(spark, f"{d}/[e]vents.parquet"), "1 hour")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+@query("""SELECT event_type AS source_id, event_id::VARCHAR AS doc_id, floor(epoch(ts))::BIGINT AS ts FROM events, (SELECT floor(epoch(min(ts)))::BIGINT AS first FROM events)
+WHERE floor(epoch(ts))::BIGINT >= first + 86400 AND NOT (event_type = 'click' AND floor(epoch(ts))::BIGINT >= first + 200000 AND floor(epoch(ts))::BIGINT < first + 900000)""")
+def connector_stream(spark, d):
+    """Events as five dialogs of a connector, from the second day on; of one dialog some days are held already."""
+    e = table(spark, d, "events")
+    first = e.agg(F.floor(F.min("ts").cast("timestamp").cast("double"))).first()[0]
+    dialogs = [r[0] for r in e.select("event_type").distinct().collect()]  # kinds of events
+    m = connector.stream_messages(spark, "chatquarry.sources.connector.ParquetConnector", [(x, first + 86_400, 1 << 40) for x in dialogs], [("click", first + 200_000, first + 900_000)], path=f"{d}/events.parquet", dialog="event_type", doc_id="event_id", content="props", step="432000")
+    return ingest.drained(m).select("source_id", "doc_id", "ts")
+
+
 #: Conversations as messages of 25 chats: one starts each hour, a turn a minute. The watermark is a day behind.
 STREAMED = "SELECT 'c' || (conv_id % 25) AS chat, conv_id * 1000 + turn AS doc_id, 1000000000 + conv_id * 3600 + turn * 60 AS ts, length(text) AS l FROM conversations"
 

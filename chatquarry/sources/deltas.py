@@ -1,7 +1,7 @@
 """Upserts into a table that grows by deltas: a batch writes what it changes, reading merges, and compaction rewrites only the buckets
 whose deltas have grown.
 
-Under `path`: data/v=N/bucket=B holds version N's rows of a bucket of keys; manifest/N.json lists the pieces (version, bucket, kind, rows)
+Under `path`: data/v__=N/b__=B holds version N's rows of a bucket of keys; manifest/N.json lists the pieces (version, bucket, kind, rows)
 that make up the table after version N. A version's files are written before its manifest, and a manifest appears whole or not at all,
 so a writer that dies leaves the table as it was; a batch that is run again writes the same version again. One writer at a time."""
 
@@ -81,22 +81,22 @@ class DeltaTable:
 
     def _rows(self, pieces: list[tuple[int, int, str, int]]) -> DataFrame | None:
         """The pieces' rows."""
-        paths = [f"{self.path}/data/v={v}/bucket={b}" for v, b, _, _ in pieces]
+        paths = [f"{self.path}/data/v__={v}/b__={b}" for v, b, _, _ in pieces]
         if not paths:
             return None
-        return self.spark.read.schema(f"{self.stored}, bucket int").option("basePath", f"{self.path}/data").parquet(*paths)
+        return self.spark.read.schema(f"{self.stored}, b__ int").option("basePath", f"{self.path}/data").parquet(*paths)
 
     def _merged(self, rows: DataFrame) -> DataFrame:
         """One row of each key: of each column the value with the latest stamp, and that stamp, so that merging can go on later."""
         last = [F.max_by(F.struct(F.col(c).alias("x"), F.col(f"_s_{c}").alias("s")), F.col(f"_s_{c}")).alias(c) for c in self.others]
-        out = rows.groupBy("bucket", *self.keys).agg(*last)
-        return out.select("bucket", *self.keys, *[F.col(c)["x"].alias(c) for c in self.others], *[F.col(c)["s"].alias(f"_s_{c}") for c in self.others])
+        out = rows.groupBy("b__", *self.keys).agg(*last)
+        return out.select("b__", *self.keys, *[F.col(c)["x"].alias(c) for c in self.others], *[F.col(c)["s"].alias(f"_s_{c}") for c in self.others])
 
     def read(self, keys: DataFrame | None = None) -> DataFrame:
         """The table as of the last version; with `keys`, only those rows, from their buckets' files."""
         pieces = self.pieces()
         if keys is not None:
-            wanted = {r.bucket for r in keys.select(self._bucket().alias("bucket")).distinct().collect()}  # numbers of buckets
+            wanted = {r.b__ for r in keys.select(self._bucket().alias("b__")).distinct().collect()}  # numbers of buckets
             pieces = [p for p in pieces if p[1] in wanted]
         rows = self._rows(pieces)
         if rows is None:
@@ -117,15 +117,15 @@ class DeltaTable:
         if version > last + 1:
             raise ValueError(f"version {version} after {last}")
         stamp = F.struct(F.col(self.order).alias("o"), F.lit(version).alias("v"))
-        rows = changes.select(*self.columns).withColumns({"bucket": self._bucket(), **{f"_s_{c}": F.when(F.col(c).isNotNull(), stamp) for c in self.others}})
+        rows = changes.select(*self.columns).withColumns({"b__": self._bucket(), **{f"_s_{c}": F.when(F.col(c).isNotNull(), stamp) for c in self.others}})
         self._write(self._merged(rows), version, DELTA, self.pieces(version - 1))
         return version
 
     def _write(self, rows: DataFrame, version: int, kind: str, kept: list[tuple[int, int, str, int]]) -> None:
-        target = f"{self.path}/data/v={version}"
-        rows.repartition("bucket").sortWithinPartitions("bucket", *self.keys).write.mode("overwrite").partitionBy("bucket").parquet(target)
-        written = self.spark.read.schema(f"{self.stored}, bucket int").parquet(target).groupBy("bucket").count().collect() if exists(self.spark, target) else []  # a row a bucket
-        self._publish(version, sorted([*kept, *((version, r.bucket, kind, r["count"]) for r in written)]))
+        target = f"{self.path}/data/v__={version}"
+        rows.repartition("b__").sortWithinPartitions("b__", *self.keys).write.mode("overwrite").partitionBy("b__").parquet(target)
+        written = self.spark.read.schema(f"{self.stored}, b__ int").parquet(target).groupBy("b__").count().collect() if exists(self.spark, target) else []  # a row a bucket
+        self._publish(version, sorted([*kept, *((version, r.b__, kind, r["count"]) for r in written)]))
 
     def compact(self, share: float = 0.5) -> list[int]:
         """Rewrites the buckets whose deltas hold more than a share of their base's rows, as one more version. Returns their numbers."""

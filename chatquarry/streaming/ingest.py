@@ -28,23 +28,6 @@ def session_counts(messages: DataFrame, gap: str, late: str = "1 hour") -> DataF
     return messages.withWatermark("ts", late).groupBy(w.alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def upsert_batches(messages: DataFrame, path: str, keys: list[str], order: str, state: str) -> None:
-    """Keeps a Parquet table at `path` with the last row of each key: every micro-batch makes a new version beside the old one.
-
-    A version is named by the batch that made it, so a batch that is run again after a failure writes the same version."""
-
-    def write(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        last = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), F.col(order)).alias("_r")).select("_r.*")
-        if n > 0:
-            old = spark.read.schema(batch.schema).parquet(f"{path}/v={n - 1}")
-            both = old.unionByName(last)
-            last = both.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), F.col(order)).alias("_r")).select("_r.*")
-        last.write.mode("overwrite").parquet(f"{path}/v={n}")
-
-    messages.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-
-
 def drained(df: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a streaming table over what there is now, into Parquet in the shared folder, and returns the rows.
 

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from chatquarry.functions import messages as m, names, text
 from chatquarry.operators import enrichment, graph, joins, mentions, order, people
 from chatquarry.plans import registry, tools
-from chatquarry.sources import connector, sinks
-from chatquarry.streaming import ingest
+from chatquarry.sources import connector, deltas, sinks
 
 MASKED = [
     ("write to a.b@c.org now", "write to <EMAIL_MASKED> now"),
@@ -164,17 +163,32 @@ def test_sinks(spark, tmp_path):
 
 
 def test_stream_upsert(spark, tmp_path):
-    path, state = str(tmp_path / "t"), str(tmp_path / "s")
+    state = str(tmp_path / "s")
+    t = deltas.DeltaTable(spark, str(tmp_path / "t"), "k long, at long, v string", ("k",), "at", 4)
     for n in range(2):
         spark.createDataFrame([(k, n, f"v{n}") for k in range(n, n + 3)], "k long, at long, v string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        ingest.upsert_batches(spark.readStream.schema("k long, at long, v string").parquet(str(tmp_path / "in")), path, ["k"], "at", state)
-    got = {r.k: r.v for r in spark.read.parquet(f"{path}/v=1").collect()}
-    assert got == {0: "v0", 1: "v1", 2: "v1", 3: "v1"}
-
-
-def test_connector(spark):
-    rows = connector.read_messages(spark, "chatquarry.sources.connector.CountingConnector", [("a", 0, 180), ("b", 60, 61), ("unknown", 0, 600), ("a", 300, 300)], dialogs="a,b").collect()
-    assert sorted((r.source_id, r.ts) for r in rows) == [("a", 0), ("a", 60), ("a", 120), ("b", 60)]
+        deltas.upsert_stream(spark.readStream.schema("k long, at long, v string").parquet(str(tmp_path / "in")), t, state)
+    assert {r.k: r.v for r in t.read().collect()} == {0: "v0", 1: "v1", 2: "v1", 3: "v1"} and t.version() == 1
+
+
+def test_connector(spark, tmp_path):
+    """Ranges of dialogs read once, and a stream that goes on from where it was, past what is held."""
+    rows = [(d, i, f"m{i}", i * 60) for d in ("a", "b") for i in range(10)]
+    path = str(tmp_path / "files")
+    spark.createDataFrame(rows, "dialog string, doc_id long, content string, ts long").coalesce(1).write.parquet(path)
+    own = "chatquarry.sources.connector.ParquetConnector"
+    got = connector.read_messages(spark, own, [("a", 0, 180), ("b", 60, 61), ("unknown", 0, 600), ("a", 300, 300)], path=path).collect()
+    assert sorted((r.source_id, r.ts) for r in got) == [("a", 0), ("a", 60), ("a", 120), ("b", 60)]
+
+    def run():
+        m = connector.stream_messages(spark, own, [("a", 60, 1200), ("b", 0, 300)], [("a", 120, 240)], path=path, step="100")
+        m.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start().awaitTermination()
+        return sorted((r.source_id, r.ts) for r in spark.read.schema(m.schema).parquet(str(tmp_path / "out")).collect())
+
+    first = [("a", t) for t in (60, *range(240, 600, 60))] + [("b", t) for t in range(0, 300, 60)]
+    assert run() == first
+    spark.createDataFrame([("a", 10 + i, "later", 600 + i * 60) for i in range(15)], "dialog string, doc_id long, content string, ts long").coalesce(1).write.mode("append").parquet(path)
+    assert run() == sorted(first + [("a", t) for t in range(600, 1200, 60)])
 
 
 def test_tools_check_their_arguments(spark):

@@ -105,7 +105,7 @@ def test_a_batch_run_again_changes_nothing(spark, tmp_path):
     t.upsert(frame(spark, [(1, "y", 2, 1)]), 1)
     assert rows_of(t.read()) == first == {1: ("y", 2)} and t.version() == 1
     # files without a manifest, as a writer that died leaves them, count for nothing
-    (tmp_path / "t/data/v=2/bucket=0").mkdir(parents=True)
+    (tmp_path / "t/data/v__=2/b__=0").mkdir(parents=True)
     assert rows_of(t.read()) == first
     with pytest.raises(ValueError):
         t.upsert(frame(spark, []), 7)
