@@ -196,7 +196,7 @@ SCORE = f"""({said(3, "http://", "https://")} + {said(3, "zoom", "meet.google",
 
 @query(f"SELECT doc_id, {SCORE}::INT AS score FROM documents WHERE {SCORE} > 0 ORDER BY score DESC, doc_id LIMIT 60")
 def high_signal(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.high_signal("text").alias("score")).filter("score > 0").orderBy(F.desc("score"), "doc_id").limit(60)
+    return history.high_signal(table(spark, d, "documents"), text.high_signal("text"), "doc_id", "doc_id").select("doc_id", "score")
 
 
 @query(f"WITH m AS (SELECT chat_id, doc_id, {masked('content')} AS c FROM {TURNS}), w AS (SELECT *, string_agg(c, chr(10)) OVER (PARTITION BY chat_id ORDER BY doc_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS before FROM m) SELECT chat_id, doc_id, md5(CASE WHEN length(before) > 0 THEN before || chr(10) || c ELSE c END) AS node FROM w")

@@ -176,8 +176,47 @@ def user_texts(spark, d):
 
 @query("SELECT doc_id, 'x' AS chat FROM documents WHERE lower(source) LIKE '%rc1%' OR lower(coalesce(lang, '')) LIKE '%rc1%' OR lower(text) LIKE '%rc1%'")
 def documents_search(spark, d):
-    any_column = [history.contains_folded(c, "RC1") for c in ("source", "lang", "text")]
-    return table(spark, d, "documents").filter(F.coalesce(any_column[0], F.lit(False)) | F.coalesce(any_column[1], F.lit(False)) | F.coalesce(any_column[2], F.lit(False))).select("doc_id", F.lit("x").alias("chat"))
+    found = history.holding(table(spark, d, "documents"), "RC1", ["source", "lang", "text"])
+    return found.select("doc_id", F.lit("x").alias("chat"))
+
+
+@query(f"""SELECT m.source_id, m.doc_id FROM {META} m LEFT JOIN {CHATS} c ON c.chat_id = m.chat_id % 25
+WHERE contains(lower(coalesce(content, '')), 'n1') OR contains(lower(coalesce(title, '')), 'n1') OR contains(lower(coalesce(split_part(path, '/', -1), '')), 'n1') OR contains(lower(coalesce(sender_name, '')), 'n1')""")
+def message_search(spark, d):
+    """In contents, titles of chats, names of files and of senders."""
+    chats = derived(spark, d, "chats").select(F.col("chat_id").alias("of"), "title")
+    rows = raw(spark, d).join(chats, F.col("of") == F.col("chat_id") % 25, "left").select("source_id", "doc_id", "content", "title", m.media_file(F.col("meta.media")).alias("link"), F.col("meta.sender_name").alias("sender_name"))
+    rows = rows.withColumn("file", F.element_at(F.split("link", "/"), -1))
+    return history.holding(rows, "N1", ["content", "title", "file", "sender_name"]).select("source_id", "doc_id")
+
+
+DIALOG = "(SELECT chat_id, coalesce(title, '') AS name, CASE chat_id % 4 WHEN 0 THEN 'personal' WHEN 1 THEN 'group' WHEN 2 THEN 'channel' ELSE 'bot' END AS type, is_private IS NULL AS archived FROM {0})"
+
+
+@query(f"SELECT chat_id, name, CASE WHEN archived THEN 'archived' ELSE type END AS list FROM {DIALOG.format(CHATS)} WHERE contains(lower(name), 'nation_') AND (archived OR type <> 'bot')")
+def dialog_groups(spark, d):
+    kind = F.expr("CASE chat_id % 4 WHEN 0 THEN 'personal' WHEN 1 THEN 'group' WHEN 2 THEN 'channel' ELSE 'bot' END")
+    rows = derived(spark, d, "chats").select("chat_id", F.coalesce("title", F.lit("")).alias("name"), kind.alias("type"), F.col("is_private").isNull().alias("archived"))
+    return history.dialog_lists(rows, "Nation_").select("chat_id", "name", "list")
+
+
+STAMPED = "CASE turn % 4 WHEN 0 THEN '2024-03-05T10:00:00' WHEN 1 THEN '2024-03-05 10:00:00+02:00' WHEN 2 THEN 'yesterday' END"
+
+
+@query("SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN TIMESTAMP '2024-03-05 10:00:00' WHEN 1 THEN TIMESTAMP '2024-03-05 08:00:00' ELSE TIMESTAMP '2024-03-31 12:00:00' END AS at FROM conversations")
+def message_times(spark, d):
+    """Times that don't parse, and none, become the one given."""
+    now = F.lit("2024-03-31 12:00:00").cast("timestamp")
+    return table(spark, d, "conversations").select("conv_id", "turn", m.message_time(F.expr(STAMPED), now).cast("timestamp_ntz").alias("at"))
+
+
+LINKING = "CASE turn % 3 WHEN 0 THEN text || ' see /media/a_' || CAST(conv_id AS STRING) || '.JPG and (/media/b.webp)' WHEN 1 THEN text || ' /media/c.pdf' ELSE text END"
+
+
+@query(f"SELECT conv_id, turn, len(found)::BIGINT AS links, array_to_string(found, ',') AS files FROM (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN regexp_extract_all({LINKING}, '(?i)(/media/[a-zA-Z0-9_.-]+\.(?:jpg|jpeg|png|gif|webp))', 1) ELSE [] END AS found FROM conversations)")
+def inline_media(spark, d):
+    found = m.inline_media(F.col("role"), F.expr(LINKING))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.size(found).cast("long").alias("links"), F.array_join(found, ",").alias("files"))
 
 
 @query(f"SELECT chat_id, coalesce(title, '') AS title, CASE WHEN is_private IS NULL THEN 'archived' ELSE 'open' END AS part FROM {CHATS} WHERE contains(lower(coalesce(title, '')), 'nation_1')")

@@ -26,6 +26,21 @@ def sender_name(meta: Column) -> Column:
     return F.coalesce(F.nullif(meta["sender_name"], F.lit("")), F.lit("Unknown"))
 
 
+def message_time(text: Column, now: Column) -> Column:
+    """The instant that an ISO text tells, in UTC where it names no zone; `now` where it tells none."""
+    return F.coalesce(F.try_to_timestamp(F.trim(text)), now)
+
+
+#: Fixed value: links to pictures in an answer.
+INLINE_MEDIA = r"(?i)(/media/[a-zA-Z0-9_.-]+\.(?:jpg|jpeg|png|gif|webp))"
+
+
+def inline_media(role: Column, content: Column) -> Column:
+    """The pictures that an assistant's message links to, in its order; other roles have none."""
+    found = F.regexp_extract_all(F.coalesce(content, F.lit("")), F.lit(INLINE_MEDIA), F.lit(1))
+    return F.when(role == "assistant", found).otherwise(F.array().cast("array<string>"))
+
+
 def not_ui(meta: Column) -> Column:
     """Not written in the session window; an absent source counts as another one."""
     return meta["source"].isNull() | (meta["source"] != "session_ui")

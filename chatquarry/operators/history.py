@@ -49,3 +49,24 @@ def not_indexed(messages: DataFrame, indexed: DataFrame, on: list[str]) -> DataF
 
 def duplicate_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def holding(rows: DataFrame, needle: str, columns: list[str]) -> DataFrame:
+    """Rows of which one of the columns contains the needle, whatever the case; nulls count as empty, and an empty needle is everywhere."""
+    held = F.lit(False)
+    for c in columns:
+        held = held | F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))).contains(needle.lower())
+    return rows.filter(held)
+
+
+def dialog_lists(dialogs: DataFrame, needle: str, name: str = "name", kind: str = "type", archived: str = "archived") -> DataFrame:
+    """The dialogs whose name contains the needle, with the list each is shown in: `archived`, else its kind (`personal`, `group`,
+    `channel`); dialogs of other kinds are shown in none."""
+    shown = F.when(F.coalesce(F.col(archived), F.lit(False)), "archived").when(F.col(kind).isin("personal", "group", "channel"), F.col(kind))
+    return holding(dialogs, needle, [name]).withColumn("list", shown).filter("list is not null")
+
+
+def high_signal(messages: DataFrame, score: Column, by: str, tie: str, limit: int = 60) -> DataFrame:
+    """Of the messages with a score above 0 the best, of equal ones the earlier, in the order of time."""
+    best = messages.withColumn("score", score).filter("score > 0").orderBy(F.desc("score"), by, tie).limit(limit)
+    return best.orderBy(by, tie)
