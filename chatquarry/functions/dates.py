@@ -88,7 +88,8 @@ def dates(text: Column, today: Column) -> Column:
 
 # ---------------------------------------------------------------- events told of in a text
 
-SENTENCE = r"[^.!?\n]+[.!?]*"
+#: A point before a digit ends no sentence.
+SENTENCE = r"(?:[^.!?\n]|[.][0-9])+[.!?]*"
 AMOUNT = r"\d+(?:[.,]\d+)?"
 
 
