@@ -213,7 +213,7 @@ def message_times(spark, d):
 LINKING = "CASE turn % 3 WHEN 0 THEN text || ' see /media/a_' || CAST(conv_id AS STRING) || '.JPG and (/media/b.webp)' WHEN 1 THEN text || ' /media/c.pdf' ELSE text END"
 
 
-@query(f"SELECT conv_id, turn, len(found)::BIGINT AS links, array_to_string(found, ',') AS files FROM (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN regexp_extract_all({LINKING}, '(?i)(/media/[a-zA-Z0-9_.-]+\.(?:jpg|jpeg|png|gif|webp))', 1) ELSE [] END AS found FROM conversations)")
+@query(rf"SELECT conv_id, turn, len(found)::BIGINT AS links, array_to_string(found, ',') AS files FROM (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN regexp_extract_all({LINKING}, '(?i)(/media/[a-zA-Z0-9_.-]+\.(?:jpg|jpeg|png|gif|webp))', 1) ELSE [] END AS found FROM conversations)")
 def inline_media(spark, d):
     found = m.inline_media(F.col("role"), F.expr(LINKING))
     return table(spark, d, "conversations").select("conv_id", "turn", F.size(found).cast("long").alias("links"), F.array_join(found, ",").alias("files"))

@@ -51,8 +51,14 @@ def cleaned(column: str) -> Column:
     return F.regexp_replace(stripped(F.regexp_replace(F.coalesce(F.col(column), F.lit("")), r"[^\P{C}\n\t ]", "")), r"[ \t]+", " ")
 
 
+def may_link(clean: Column) -> Column:
+    """Without one of these no text holds a link: a plain search spares most texts the pattern."""
+    low = F.lower(clean)
+    return low.contains("http") | low.contains("www.")
+
+
 def without_links(clean: Column) -> Column:
-    return stripped(F.regexp_replace(clean, f"(?iU){URL}", " "))
+    return F.when(may_link(clean), stripped(F.regexp_replace(clean, f"(?iU){URL}", " "))).otherwise(clean)
 
 
 def normalized(column: str) -> Column:
@@ -70,8 +76,8 @@ def normal_parts(column: str) -> Column:
             lowered.alias("lowered"),
             F.filter(F.split(lowered, rf"{UNICODE}{SPACE}+"), lambda t: t != "").alias("tokens"),
             every(r"@([\p{L}\p{N}_]+)", 1).alias("usernames"),
-            every(f"(?iU){URL}").alias("urls"),
-            every(r"(?<![\p{L}\p{N}_])\p{Nd}+(?![\p{L}\p{N}_])").alias("numbers"),
+            F.when(may_link(clean), every(f"(?iU){URL}")).otherwise(F.array().cast("array<string>")).alias("urls"),
+            every(r"(?=\p{Nd})(?<![\p{L}\p{N}_])\p{Nd}+(?![\p{L}\p{N}_])").alias("numbers"),
             language_of(plain).alias("language"),
         )
 
