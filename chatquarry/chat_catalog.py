@@ -290,7 +290,7 @@ def told(kind: str, words: tuple[str, ...]) -> str:
     w, amount = "|".join(words), r"\d+(?:[.,]\d+)?"
     return f"""SELECT doc_id, '{kind}' AS event_type, trim(s)[:120] AS title, regexp_extract(lower(s), '({w})', 1) AS keyword, CASE WHEN regexp_extract(s, '\\b(\\d{{4}}-\\d{{2}}-\\d{{2}})\\b') <> '' THEN try_cast(regexp_extract(s, '\\b(\\d{{4}}-\\d{{2}}-\\d{{2}})\\b') AS DATE) END AS start_time,
  coalesce(nullif(regexp_extract(lower(s), '(?s)(?:{w}).*?({amount})', 1), ''), nullif(regexp_extract(regexp_extract(lower(s), '(?s)^(.*?)(?:{w})', 1), '(?s)({amount})[^\\d]*$', 1), '')) AS amount
- FROM (SELECT doc_id, list_filter(regexp_extract_all({TELLING}, '(?:[^.!?\\n]|[.][0-9])+[.!?]*'), lambda x: regexp_matches(lower(x), '{w}'))[1] AS s FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)) WHERE s IS NOT NULL"""
+ FROM (SELECT doc_id, list_filter(regexp_extract_all({TELLING}, '[^.!?\\n]+(?:[.][0-9][^.!?\\n]*)*[.!?]*'), lambda x: regexp_matches(lower(x), '{w}'))[1] AS s FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)) WHERE s IS NOT NULL"""
 
 
 @query(f"SELECT doc_id AS evidence_msg_id, event_type, title, coalesce(start_time::VARCHAR, '') AS start_time, keyword, coalesce(amount, '') AS amount FROM ({' UNION ALL '.join(told(k, w) for k, w in EVENTS.items())})")

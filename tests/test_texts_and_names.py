@@ -56,6 +56,12 @@ def test_events_have_title_time_amount_and_evidence(spark):
     assert got[4, "interview"][1] == date(2024, 3, 30)
 
 
+def test_events_of_a_very_long_sentence(spark):
+    long = "word 1.5 " * 200_000 + "owe 3"
+    rows = one(spark, long, dates.events(F.col("t"), m.EVENT_WORDS, F.lit(str(TODAY)).cast("date")))
+    assert [(r.event_type, r.amount, len(r.title)) for r in rows] == [("debt", "3", 120)]
+
+
 PAIRS = [("Anna Smith", "anna smith", 100.0), ("Smith Anna", "Anna Smith", 95.0), ("Anna", "Anna Maria Smith", 95.0), ("annx", "Hello anna there", 67.5), ("abc", "xyz", 0.0), ("", "abc", 0.0)]
 
 
