@@ -142,7 +142,7 @@ def prefixes(k: int, t: int, order):
 
 
 def postings(bits):
-    """A row for each prefix element that has its bit set, with its position."""
+    """A row for each prefix element that has its bit set, with its position and the number of such elements of its set."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,8 +150,10 @@ def postings(bits):
             tokens = batch.column("prefix").flatten().to_numpy()
             pos = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n)
             keep = common.in_bitmap(bits.value, tokens.view(np.uint64))
-            rows = batch.select(["digest", "size", "s1", "s2"]).take(pa.array(np.repeat(np.arange(len(n)), n)[keep]))
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), rows.column("digest"), rows.column("size"), pa.array(pos[keep].astype(np.int32)), rows.column("s1"), rows.column("s2")], names=["token", "digest", "size", "pos", "s1", "s2"])
+            of = np.repeat(np.arange(len(n)), n)[keep]
+            weight = np.bincount(of, minlength=len(n)).astype(np.int32)
+            rows = batch.select(["digest", "size", "s1", "s2"]).take(pa.array(of))
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), rows.column("digest"), rows.column("size"), pa.array(pos[keep].astype(np.int32)), rows.column("s1"), rows.column("s2"), pa.array(weight[of])], names=["token", "digest", "size", "pos", "s1", "s2", "weight"])
 
     return run
 
@@ -319,17 +321,15 @@ def links(docs: DataFrame, k: int = 3, t: int = 90, id_col: str = "doc_id", text
     parts = sets.select(F.explode("prefix").alias("token"), F.xxhash64("digest").alias("part"))
     shared = parts.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("token")
     bits = spark.sparkContext.broadcast(common.bitmap(shared, "token", BITMAP_BITS))
-    found = sets.mapInArrow(postings(bits), "token long, digest binary, size int, pos int, s1 long, s2 long").select("token", F.col("digest").alias("id"), "size", "pos", "s1", "s2").distinct()
+    found = sets.mapInArrow(postings(bits), "token long, digest binary, size int, pos int, s1 long, s2 long, weight int").select("token", F.col("digest").alias("id"), "size", "pos", "s1", "s2", "weight").distinct()
     found = common.staged(found)
 
-    # each list's pivot: the set that many others share elements with
-    weight = found.join(found.groupBy("token").agg(F.count("*").alias("w")).filter("w > 1"), "token").groupBy("id").agg(F.sum("w").alias("weight"))
-    found = common.staged(found.join(weight, "id"))
-    pivots = common.staged(found.groupBy("token").agg(F.max_by(F.struct("id", "size", "pos", "s1", "s2"), F.struct("weight", "id")).alias("p"), F.count("*").alias("w")).filter("w > 1").select("token", "w", "p.*"))
-    x, y = found.alias("x"), pivots.alias("y")
+    # each list's pivot: the set with the most elements that others may share; x: a set of the list, y: its pivot
+    pivots = found.groupBy("token").agg(F.max(F.struct("weight", "id", "size", "pos", "s1", "s2")).alias("y"), F.count("*").alias("w")).filter("w > 1")
+    lists = common.staged(found.join(pivots, "token").filter("id <> y.id").select("token", "w", F.struct("id", "size", "pos", "s1", "s2").alias("x"), F.col("y").dropFields("weight").alias("y")))
     # where the shared element is the first that two linked sets share, those before it are in one of the sets only
     spare = f"(x.size + y.size) * (1 - 2 * {t} / (100.0 + {t})) + 2"
-    stars = x.join(y, F.expr(f"x.token = y.token and x.id <> y.id and x.pos + y.pos <= {spare}")).filter(may_link("x", "y", t))
+    stars = lists.filter(F.expr(f"x.pos + y.pos <= {spare}")).filter(may_link("x", "y", t))
     stars = common.staged(stars.select(*found_pairs("x", "y")).distinct())
 
     first = common.staged(compared(stars, docs, classes, k, t))
@@ -337,9 +337,10 @@ def links(docs: DataFrame, k: int = 3, t: int = 90, id_col: str = "doc_id", text
     # distances to pivots, from both sides of a measured pair
     far = (F.col("na") + F.col("nb") - 2 * F.col("shared")).alias("far")
     either = first.select(F.col("a").alias("id"), F.col("na").alias("size"), F.col("b").alias("pivot"), far).unionByName(first.select(F.col("b").alias("id"), F.col("nb").alias("size"), F.col("a").alias("pivot"), far))
-    open_ = found.join(pivots.select("token", "w", F.col("id").alias("pivot")), "token").filter("id <> pivot").join(either.drop("size"), ["id", "pivot"], "left")
+    # a list of two has no sets but its pivot's pair
+    open_ = lists.filter("w > 2").select("token", "w", "x.*", F.col("y.id").alias("pivot")).join(either.drop("size"), ["id", "pivot"], "left")
     if within:
-        near_pivot = common.staged(derived(either.join(pivots.select(F.col("id").alias("pivot")).distinct(), "pivot"), t))
+        near_pivot = common.staged(derived(either.join(lists.select(F.col("y.id").alias("pivot")).distinct(), "pivot"), t))
         open_ = open_.withColumn("root", F.col("id"))
     else:
         roots = common.components(first.filter("linked"))
