@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .text import bound
+
 # Cyrillic letters and their Latin spelling.
 LATIN = {
     "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "e", "ж": "zh", "з": "z", "и": "i", "й": "j", "і": "i", "ї": "yi", "є": "ye",
@@ -83,21 +85,37 @@ def word_list(c: Column) -> Column:
 
 def partial_likeness(a: Column, b: Column) -> Column:
     """The likeness of the shorter text and that stretch of the other, as long, that is likest to it."""
-    short, long = (F.lower(F.when((F.length(a) <= F.length(b)) == x, a).otherwise(b)) for x in (True, False))
-    starts = F.sequence(F.lit(1), F.length(long) - F.length(short) + 1)
-    best = F.array_min(F.transform(starts, lambda i: F.levenshtein(short, F.substr(long, i, F.length(short)))))
-    return F.when(F.length(short) > 0, (1 - best / F.length(short)) * 100).otherwise(F.lit(0.0))
+
+    def of(short: Column, long: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.length(long) - F.length(short) + 1)
+        best = F.array_min(F.transform(starts, lambda i: F.levenshtein(short, F.substr(long, i, F.length(short)))))
+        return F.when(F.length(short) > 0, (1 - best / F.length(short)) * 100).otherwise(F.lit(0.0))
+
+    return F.when(F.length(a) <= F.length(b), of(F.lower(a), F.lower(b))).otherwise(of(F.lower(b), F.lower(a)))
+
+
+def parts(c: Column) -> Column:
+    """What likeness needs of a name: struct(low: in lower case, words: its words in order, joined: these by blanks)."""
+    words = word_list(c)
+    return F.struct(F.lower(c).alias("low"), words.alias("words"), F.array_join(words, " ").alias("joined"))
+
+
+def likeness_of_parts(a: Column, b: Column) -> Column:
+    """0 to 100, of two names' parts: the greatest of the likeness as written, 0.95 of that of the sorted words, 0.95 of that of the
+    common words with and without the others (if there are any), and 0.9 of that of the best stretch."""
+
+    def of_words(common: Column) -> Column:
+        more = lambda p, q: F.trim(F.concat_ws(" ", common, F.array_join(F.array_sort(F.array_except(p["words"], q["words"])), " ")))
+        with_common = lambda x, y: F.greatest(likeness(common, x), likeness(common, y), likeness(x, y))
+        return F.when(common != "", 0.95 * bound(more(a, b), lambda x: bound(more(b, a), lambda y: with_common(x, y)))).otherwise(F.lit(0.0))
+
+    common = F.array_join(F.array_sort(F.array_intersect(a["words"], b["words"])), " ")
+    return F.greatest(likeness(a["low"], b["low"]), 0.95 * likeness(a["joined"], b["joined"]), bound(common, of_words), 0.9 * partial_likeness(a["low"], b["low"]))
 
 
 def weighted_likeness(a: Column, b: Column) -> Column:
-    """0 to 100: the greatest of the likeness as written, 0.95 of that of the sorted words, 0.95 of that of the common words with and
-    without the others (if there are any), and 0.9 of that of the best stretch."""
-    x, y = word_list(a), word_list(b)
-    joined = lambda w: F.array_join(w, " ")
-    common = F.array_sort(F.array_intersect(x, y))
-    more = lambda p, q: F.trim(F.concat_ws(" ", joined(common), joined(F.array_sort(F.array_except(p, q)))))
-    sets = F.greatest(likeness(joined(common), more(x, y)), likeness(joined(common), more(y, x)), likeness(more(x, y), more(y, x)))
-    return F.greatest(likeness(a, b), 0.95 * likeness(joined(x), joined(y)), F.when(F.size(common) > 0, 0.95 * sets).otherwise(F.lit(0.0)), 0.9 * partial_likeness(a, b))
+    """The likeness of two names by their parts."""
+    return bound(parts(a), lambda x: bound(parts(b), lambda y: likeness_of_parts(x, y)))
 
 
 def trigrams(c: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions import names
+from ..staging import staged
 
 NAMED = ("chat_id", "contact_name", "chat_title", "is_private")
 
@@ -62,21 +63,32 @@ def resolved(mentions: DataFrame, chats: DataFrame, members: DataFrame, contacts
     return found.withColumn("primary_person", F.row_number().over(surest) == 1)
 
 
+#: Names with one trigram that a task compares.
+POSTED = 2048
+
+
 def likest(asked: DataFrame, named: DataFrame, least: float = 75.0, n: int = 1) -> DataFrame:
     """asked, id, score, rank: the n likest names (id, name) of each name asked for (asked) by weighted likeness, from `least` on, among those
     that share at least half of its trigrams.
 
-    Names that do so share one of its rarest: of g trigrams the g - ceil(g / 2) + 1 rarest are looked up, so common ones match nobody."""
-    grams = named.select("id", "name", names.trigrams(F.col("name")).alias("own"))
-    posted = grams.select("id", F.explode("own").alias("gram"))
-    counts = posted.groupBy("gram").agg(F.count("*").alias("n"))
-    wanted = asked.select("asked").distinct().withColumn("theirs", names.trigrams(F.col("asked")))
+    Names that do so share one of its rarest: of g trigrams the g - ceil(g / 2) + 1 rarest are looked up, so common ones match nobody.
+    Two names are compared where they meet by the first of these that they share, and there alone, so pairs aren't shuffled; the names
+    of a common trigram are dealt into blocks."""
+    grams = staged(named.select("id", names.parts(F.col("name")).alias("b"), names.trigrams(F.col("name")).alias("own")))
+    counts = grams.select(F.explode("own").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    wanted = asked.select("asked").distinct().select("asked", names.parts(F.col("asked")).alias("a"), names.trigrams(F.col("asked")).alias("theirs"))
     need = F.ceil(F.size("theirs") / 2)
     each = wanted.select("asked", (F.size("theirs") - need + 1).alias("most"), F.explode("theirs").alias("gram")).join(counts, "gram", "left")
     place = F.row_number().over(Window.partitionBy("asked").orderBy(F.coalesce("n", F.lit(0)), "gram"))
-    rare = each.withColumn("place", place).filter(F.col("place") <= F.col("most")).select("asked", "gram")
-    pairs = rare.join(posted, "gram").select("asked", "id").distinct().join(wanted, "asked").join(grams, "id")
-    scored = pairs.filter(F.size(F.array_intersect("own", "theirs")) >= need).select("asked", "id", F.round(names.weighted_likeness(F.col("asked"), F.col("name")), 4).alias("score"))
+    rare = staged(each.withColumn("place", place).filter(F.col("place") <= F.col("most")).filter("n is not null").withColumn("blocks", F.ceil(F.col("n") / POSTED).cast("int")).select("asked", "gram", "place", "blocks"))
+    firsts = rare.groupBy("asked").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "gram"))), lambda x: x["gram"]).alias("rarest"))
+    lookups = rare.join(wanted.join(firsts, "asked"), "asked").select("asked", "a", "theirs", "rarest", "gram", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    dealt = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")
+    posted = grams.select("*", F.explode("own").alias("gram")).join(rare.select("gram", "blocks").distinct(), "gram").select("id", "b", "own", "gram", dealt)
+    key = ["gram", "block"]
+    pairs = lookups.repartition(*key).join(posted.repartition(*key), key)
+    pairs = pairs.filter((F.array_intersect("rarest", "own")[0] == F.col("gram")) & (F.size(F.array_intersect("own", "theirs")) >= need))
+    scored = pairs.select("asked", "id", F.round(names.likeness_of_parts(F.col("a"), F.col("b")), 4).alias("score"))
     ranked = scored.filter(F.col("score") >= least).withColumn("rank", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "id")))
     return ranked.filter(F.col("rank") <= n)
 

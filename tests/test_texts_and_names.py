@@ -78,6 +78,23 @@ def test_likest_names_share_half_of_their_trigrams(spark):
     assert got == {"customer ana": 0, "Alice Customer": 2}
 
 
+def test_a_name_is_cut_into_words_once_a_pair(spark):
+    df = spark.createDataFrame([("a", "b")], "a string, b string").select(names.weighted_likeness(F.col("a"), F.col("b")))
+    assert df._jdf.queryExecution().analyzed().toString().count("split(") == 2
+
+
+def test_likest_names_of_dealt_trigrams_equal_a_comparison_of_all(spark, monkeypatch):
+    monkeypatch.setattr(people, "POSTED", 3)
+    every = ["Household n%d" % i for i in range(90, 130)] + ["Ann  Lee", "anne lee", "Lee Ann", "Li", "", "n100 household", None]
+    named = spark.createDataFrame(list(enumerate(every)), "id long, name string")
+    asked = spark.createDataFrame([("n101 household",), ("household n99",), ("lee ann",), ("li",), ("household n101",)], "asked string")
+    own, theirs = names.trigrams(F.col("name")), names.trigrams(F.col("asked"))
+    near = asked.crossJoin(named).filter((F.size(F.array_intersect(own, theirs)) >= F.ceil(F.size(theirs) / 2)) & (F.size(theirs) > 0))
+    rows = near.select("asked", "id", F.round(names.weighted_likeness(F.col("asked"), F.col("name")), 4).alias("score")).filter("score >= 75").collect()
+    wanted = {(a, i, s) for a in {r.asked for r in rows} for i, s in [(r.id, r.score) for r in sorted(rows, key=lambda r: (-r.score, r.id)) if r.asked == a][:3]}
+    assert {(r.asked, r.id, r.score) for r in people.likest(asked, named, 75.0, 3).collect()} == wanted and len(wanted) > 10
+
+
 def test_times_pictures_and_lists(spark):
     now = F.lit("2024-03-31 12:00:00").cast("timestamp")
     at = lambda t: one(spark, t, m.message_time(F.col("t"), now))
