@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +65,32 @@ def test_stream_equals_batch_and_survives_a_restart(spark, given, tmp_path):
     for k in range(3, 6):
         (half / f"part={k}").symlink_to(folder / f"part={k}")
     assert run(spark, f"{half}/part=*", str(tmp_path / "b"), str(tmp_path / "sb")) == whole
+
+
+def test_a_batch_of_messages_is_few_values_of_the_state():
+    calls = []
+
+    class State:
+        def appendValue(self, value):  # noqa: N802
+            calls.append([value])
+
+        def appendList(self, values):  # noqa: N802
+            calls.append(list(values))
+
+    class Handle:
+        def getListState(self, *_):  # noqa: N802
+            return State()
+
+        getValueState = getListState  # noqa: N815
+
+        def registerTimer(self, at):  # noqa: N802
+            assert at == 5001
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return 0
+
+    cutter = segments.Segmenter(**RULE)
+    cutter.init(Handle())
+    batches = iter([pd.DataFrame({"ts": range(5, 10_005), "doc_id": range(10_000), "length": 1})] * 3)
+    assert list(cutter.handleInputRows(("c",), batches, Handle())) == []
+    assert sum(map(len, calls)) <= 3
