@@ -95,6 +95,17 @@ def test_likest_names_of_dealt_trigrams_equal_a_comparison_of_all(spark, monkeyp
     assert {(r.asked, r.id, r.score) for r in people.likest(asked, named, 75.0, 3).collect()} == wanted and len(wanted) > 10
 
 
+def test_languages_by_ranges_of_letters(spark):
+    every = {"ru": "абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "uk": "іїєґ"}
+    assert max(len(p) for p in (text.RUSSIAN, text.UKRAINIAN)) < 10
+    for language, letters in every.items():
+        rows = spark.createDataFrame([(c,) for x in letters for c in (x, x.upper())], "t string")
+        assert {r[0] for r in rows.select(text.language_of(F.col("t"))).collect()} == {language}
+        assert {r[0] for r in rows.select(text.language_of(F.concat("t", F.lit("q")))).collect()} == {"mixed" if language == "ru" else "en"}
+    assert [one(spark, t, text.language_of(F.col("t"))) for t in ("ѐ ў 7", "", None, "w")] == ["unknown", "unknown", "unknown", "en"]
+    assert one(spark, "a\t \tb  c d\te", text.cleaned("t")) == "a b c d e"
+
+
 def test_times_pictures_and_lists(spark):
     now = F.lit("2024-03-31 12:00:00").cast("timestamp")
     at = lambda t: one(spark, t, m.message_time(F.col("t"), now))
