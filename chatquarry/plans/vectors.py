@@ -164,7 +164,8 @@ class Index:
         return int(places[min(len(places) - 1, int(np.ceil(recall * len(places))) - 1)]) + 1
 
     def _probed(self, queries: DataFrame, probes: int, beyond: bool = False) -> DataFrame:
-        """q, qv, list: the nearest lists of each query, or of the others those that its `least` similarity doesn't exclude."""
+        """q, qv, lists, parts (arrays): the nearest lists of each query, or of the others those that its `least` similarity doesn't exclude.
+        A query stays one row, so its vector isn't repeated in Python."""
         held = self.spark.sparkContext.broadcast(self.lists())
 
         def run(batches) -> Iterator[pa.RecordBatch]:
@@ -172,20 +173,22 @@ class Index:
             for batch in batches:
                 angle = np.arccos(np.clip(unit(matrix(batch.column("qv"))) @ centroids.T, -1, 1)) if len(names) else np.zeros((batch.num_rows, 0))
                 order = np.argsort(angle, axis=1, kind="stable")
-                rows, cols = np.repeat(np.arange(len(order)), min(probes, order.shape[1])), order[:, :probes].ravel()
+                chosen = np.zeros(angle.shape, bool)
+                np.put_along_axis(chosen, order[:, :probes], True, axis=1)
                 if beyond:
                     known = np.nan_to_num(batch.column("least").to_numpy(zero_copy_only=False).astype(np.float64), nan=-1.0)
-                    open_ = angle - radii <= np.arccos(np.clip(known, -1, 1))[:, None] + 1e-9
-                    open_[rows, cols] = False
-                    rows, cols = np.nonzero(open_)
-                yield pa.RecordBatch.from_arrays([batch.column("q").take(pa.array(rows)), batch.column("qv").take(pa.array(rows)), pa.array(names[cols].astype(np.int32)), pa.array(parts[cols].astype(np.int32))], names=["q", "qv", "list", "parts"])
+                    chosen = ~chosen & (angle - radii <= np.arccos(np.clip(known, -1, 1))[:, None] + 1e-9)
+                ends = np.concatenate([[0], chosen.sum(1).cumsum()]).astype(np.int32)
+                cols = np.nonzero(chosen)[1]
+                each = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x[cols].astype(np.int32))) for x in (names, parts)]
+                yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("qv"), *each], names=["q", "qv", "lists", "parts"])
 
         rows = queries.filter(usable("qv")).select(F.col("q").cast("long").alias("q"), F.col("qv").cast("array<double>").alias("qv"), *(["least"] if beyond else []))
-        return rows.mapInArrow(run, "q long, qv array<double>, list int, parts int")
+        return rows.mapInArrow(run, "q long, qv array<double>, lists array<int>, parts array<int>")
 
     def _answers(self, probed: DataFrame, k: int) -> DataFrame:
         """Queries meet each part of their lists; of a list that very many queries probe, blocks of about QUERY_BLOCK of them do."""
-        probed = staged(probed)
+        probed = staged(probed).select("q", "qv", F.explode(F.arrays_zip("lists", "parts")).alias("x")).select("q", "qv", F.col("x.lists").alias("list"), "x.parts")
         asked_by = probed.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))  # at most LISTS rows
         asked = probed.join(F.broadcast(asked_by), "list").select("list", F.pmod(F.xxhash64("q"), F.col("blocks")).cast("int").alias("b"), F.col("q").alias("id"), F.col("qv").alias("v"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         given = self.vectors.join(F.broadcast(asked_by), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), F.col("vec_id").alias("id"), "v", "part")

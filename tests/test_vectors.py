@@ -126,3 +126,10 @@ def test_similar_nodes_of_a_cluster(spark):
     want = graph.sub_graph(nodes, graph.similarity_edges(nodes, 0.5), 3).collect()
     got = graph.similar_within(nodes, 0.5, 3).collect()
     assert sorted((r.a, r.b) for r in got) == sorted((r.a, r.b) for r in want) and got
+
+
+def test_a_query_stays_one_row_however_many_lists_it_probes(spark, clustered, tmp_path):
+    ids, v, df, _ = clustered
+    index = vectors.Index.build(df, str(tmp_path / "one"), lists=24)
+    probed = index._probed(asked_of(df), 20)
+    assert probed.count() == probed.select("q").distinct().count() > 100 and {len(r.lists) for r in probed.collect()} == {20}
