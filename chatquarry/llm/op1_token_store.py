@@ -39,10 +39,11 @@ def cut_points(ids: np.ndarray, starts: np.ndarray, table: np.ndarray) -> list[l
     """Chunk ends (relative) of each document in the concatenated ids; starts has one more entry than documents.
 
     The hash of a position covers the WINDOW ids up to it; no cut comes before LEAST ids, so no window crosses a document's start."""
-    h = np.zeros(len(ids), np.uint64)
-    g = table[ids & 0xFFFF]
-    for j in range(min(WINDOW, len(ids))):
-        h[j:] += g[: len(g) - j] << np.uint64(j)
+    h, width = table[ids & 0xFFFF], 1
+    while width < WINDOW:  # a power of 2: two windows of half the width make one
+        before = h[:-width] << np.uint64(width)
+        h[width:] += before
+        width *= 2
     marks = np.flatnonzero((h >> np.uint64(WINDOW)) & MASK == 0) + 1
     lo = np.searchsorted(marks, starts[:-1] + LEAST)
     hi = np.searchsorted(marks, starts[1:])
