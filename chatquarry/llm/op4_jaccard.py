@@ -2,8 +2,9 @@
 
 Index: each set's prefix under a global order goes into inverted lists, with the set's size, the shingle's position and a parity
 signature. Shingles of rare words come first in the order, shingles found common in the corpus last, so that few lists hold sets
-that don't resemble each other. Lists are cut into blocks by size and position; two blocks whose sizes, least positions or distances
-exclude a link are skipped whole, and so are postings within them.
+that don't resemble each other. A posting goes at once where its list has no size or position to link it with. Lists are cut into
+blocks by size and position; two blocks whose sizes, least positions or distances exclude a link are skipped whole, and so are
+postings within them.
 Answers: equal sets are one class and share their answers. Every list first compares its sets to one pivot. A set's further answers
 are derived from the pivot's: two sets whose distances to a pivot add up to no more than linked sets may differ in are linked without
 being compared, and two whose distances differ by more aren't. Only pairs that neither bound settles are compared.
@@ -23,13 +24,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 from . import common
 from .words import shingle_lists, word_hashes
 
 #: At most so many common shingles go last in the order, and so many common words count in it; the order decides the cost, never the result.
 COMMON, COMMON_WORDS, BITMAP_BITS, BLOCK, WIDE = 200_000, 1 << 17, 26, 256, 4096
+#: Lists go by so many bits of a shingle. Sets that meet without sharing the whole of it are compared like others.
+TOKEN_BITS = 40
+TOKEN = (1 << TOKEN_BITS) - 1
+#: From so many sets on that several of a task's sets held a shingle, its list is dealt out before its neighbours are compared.
+HOT = 4096
 #: Shingles, and words, gathered in a task before the common ones among them are counted.
 GATHERED = 2_000_000
 #: Digests that a task remembers.
@@ -134,28 +142,40 @@ def prefixes(k: int, t: int, order):
                     seen.clear()
                 seen.add(d)
                 weight = sums[np.minimum(a + first + k, b)] - sums[a + first]
-                rows.append((d, len(s), *signature(s), prefix(s, weight, hashes, rank, t).view(np.int64)))
+                rows.append((d, len(s), *signature(s), prefix(s, weight, hashes, rank, t).view(np.int64) & TOKEN))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["digest", "size", "s1", "s2", "prefix"])
 
     return run
 
 
-def postings(bits):
-    """A row for each prefix element that has its bit set, with its position and the number of such elements of its set."""
+def once_each(sets: DataFrame) -> DataFrame:
+    """One row of those that different tasks made of the same set; only rows that a bitmap of bounded size takes for copies move."""
+    least = F.min("number").over(Window.partitionBy("digest"))
+    copies = common.staged(sets.select("digest", "number").withColumn("least", least).filter("number <> least").select(F.col("number").alias("key")))
+    sure, maybe = common.split_by(sets, F.col("number"), copies)
+    return sure.unionByName(maybe.join(copies.withColumnRenamed("key", "number"), "number", "left_anti").select(*sure.columns))
 
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.column("prefix").value_lengths().to_numpy()
-            tokens = batch.column("prefix").flatten().to_numpy()
-            pos = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n)
-            keep = common.in_bitmap(bits.value, tokens.view(np.uint64))
-            of = np.repeat(np.arange(len(n)), n)[keep]
-            weight = np.bincount(of, minlength=len(n)).astype(np.int32)
-            rows = batch.select(["digest", "size", "s1", "s2"]).take(pa.array(of))
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), rows.column("digest"), rows.column("size"), pa.array(pos[keep].astype(np.int32)), rows.column("s1"), rows.column("s2"), pa.array(weight[of])], names=["token", "digest", "size", "pos", "s1", "s2", "weight"])
 
-    return run
+def postings(sets: DataFrame, hot: DataFrame, t: int) -> DataFrame:
+    """token, number, size, pos, hot: the prefix elements that another set may be linked by, as far as sizes and positions tell.
+
+    A list sorted by size tells by each posting's neighbours whether any set fits, and its least position whether both positions leave
+    a chance. `hot` names the tokens of long lists: these are dealt out by a salt in the key's upper bits, and kept whole."""
+    rows = sets.select("number", "size", F.posexplode("prefix").alias("pos", "token")).join(F.broadcast(hot.withColumn("hot", F.lit(True))), "token", "left")
+    salt = F.when(F.col("hot"), F.pmod("number", F.lit(BLOCK)) + 1).otherwise(0)
+    rows = rows.select("number", "size", "pos", (F.col("token") + F.shiftleft(salt.cast("long"), TOKEN_BITS)).alias("key"))
+    by_size = Window.partitionBy("key").orderBy("size")
+    rows = rows.withColumn("less", F.lag("size").over(by_size)).withColumn("more", F.lead("size").over(by_size))
+    rows = rows.withColumn("first", F.min("pos").over(by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    fits = f"(less * 100 >= size * {t} or size * 100 >= more * {t}) and pos + first <= {most_apart('size', t)}"
+    hot_key = F.col("key") >= 1 << TOKEN_BITS
+    return rows.filter(hot_key | F.expr(fits)).select(F.col("key").bitwiseAND(F.lit(TOKEN)).alias("token"), "number", "size", "pos", hot_key.alias("hot"))
+
+
+def most_apart(size: str, t: int) -> str:
+    """The most elements that may be in one only of a set of this size and any set linked with it, and a few more."""
+    return f"{size} * {(1 + 100 / t) * (1 - 2 * t / (100 + t))} + 2"
 
 
 def fetched(docs: DataFrame, classes: DataFrame, names: DataFrame, k: int, column: str, of_set) -> DataFrame:
@@ -274,7 +294,7 @@ def derived(spokes: DataFrame, t: int) -> DataFrame:
     """a, b for pairs of sets near enough to one pivot to be linked with each other. spokes: pivot, id, size, far.
 
     A pivot's sets are dealt in blocks; each two blocks meet in a cell of their own."""
-    spokes = spokes.filter(F.col("far") <= F.col("size") * ((1 + 100 / t) * (1 - 2 * t / (100 + t))) + 2)
+    spokes = spokes.filter(f"far <= {most_apart('size', t)}")
     salts = F.greatest(F.lit(1), F.ceil(F.col("w") / BLOCK)).cast("int")
     rows = spokes.join(spokes.groupBy("pivot").agg(F.count("*").alias("w")).filter("w > 1"), "pivot").withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), salts - 1))).select("pivot", "id", "size", "far", "salt", F.least("salt", "other").alias("lo"), F.greatest("salt", "other").alias("hi"))
@@ -316,28 +336,32 @@ def links(docs: DataFrame, k: int = 3, t: int = 90, id_col: str = "doc_id", text
     members = profiles.filter("kind = 0").select("id", "n", "digest", "key")
     classes = common.staged(members.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("size")))
 
-    sets = common.staged(docs.mapInArrow(prefixes(k, t, order), "digest binary, size int, s1 long, s2 long, prefix array<long>"))
-    # the same set in another task must not make its elements look shared
-    parts = sets.select(F.explode("prefix").alias("token"), F.xxhash64("digest").alias("part"))
-    shared = parts.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("token")
-    bits = spark.sparkContext.broadcast(common.bitmap(shared, "token", BITMAP_BITS))
-    found = sets.mapInArrow(postings(bits), "token long, digest binary, size int, pos int, s1 long, s2 long, weight int").select("token", F.col("digest").alias("id"), "size", "pos", "s1", "s2", "weight").distinct()
-    found = common.staged(found)
+    made = docs.mapInArrow(prefixes(k, t, order), "digest binary, size int, s1 long, s2 long, prefix array<long>")
+    sets = once_each(common.staged(made.withColumn("number", F.monotonically_increasing_id())))
+    held_often = pa.table({"token": often[0].column("id").filter(pc.greater_equal(often[0].column("n"), HOT))})
+    hot = spark.createDataFrame(held_often, "token long").select(F.col("token").bitwiseAND(F.lit(TOKEN)).alias("token")).distinct()
+    shared = common.staged(postings(sets, hot, t))
+    weights = shared.groupBy("number").agg(F.count("*").cast("int").alias("weight"))
+    named = sets.select("number", F.col("digest").alias("id"), "s1", "s2").join(weights, "number")
+    found = common.staged(shared.join(named, "number").select("token", "hot", F.struct("weight", "id", "size", "pos", "s1", "s2").alias("x")))
 
     # each list's pivot: the set with the most elements that others may share; x: a set of the list, y: its pivot
-    pivots = found.groupBy("token").agg(F.max(F.struct("weight", "id", "size", "pos", "s1", "s2")).alias("y"), F.count("*").alias("w")).filter("w > 1")
-    lists = common.staged(found.join(pivots, "token").filter("id <> y.id").select("token", "w", F.struct("id", "size", "pos", "s1", "s2").alias("x"), F.col("y").dropFields("weight").alias("y")))
+    by_token = Window.partitionBy("token")
+    short = found.filter("not hot").withColumn("y", F.max("x").over(by_token)).withColumn("w", F.count("*").over(by_token))
+    long = found.filter("hot")
+    long = long.join(long.groupBy("token").agg(F.max("x").alias("y"), F.count("*").alias("w")), "token")
     # where the shared element is the first that two linked sets share, those before it are in one of the sets only
     spare = f"(x.size + y.size) * (1 - 2 * {t} / (100.0 + {t})) + 2"
-    stars = lists.filter(F.expr(f"x.pos + y.pos <= {spare}")).filter(may_link("x", "y", t))
-    stars = common.staged(stars.select(*found_pairs("x", "y")).distinct())
+    lists = short.unionByName(long).filter("x.id <> y.id").withColumn("star", F.expr(f"x.pos + y.pos <= {spare}") & may_link("x", "y", t))
+    # a list of two has no sets but its pivot's pair
+    lists = common.staged(lists.filter("star or w > 2").select("token", "w", "star", F.col("x").dropFields("weight").alias("x"), F.struct("y.id", "y.size").alias("y")))
+    stars = common.staged(lists.filter("star").select(*found_pairs("x", "y")).distinct())
 
     first = common.staged(compared(stars, docs, classes, k, t))
 
     # distances to pivots, from both sides of a measured pair
     far = (F.col("na") + F.col("nb") - 2 * F.col("shared")).alias("far")
     either = first.select(F.col("a").alias("id"), F.col("na").alias("size"), F.col("b").alias("pivot"), far).unionByName(first.select(F.col("b").alias("id"), F.col("nb").alias("size"), F.col("a").alias("pivot"), far))
-    # a list of two has no sets but its pivot's pair
     open_ = lists.filter("w > 2").select("token", "w", "x.*", F.col("y.id").alias("pivot")).join(either.drop("size"), ["id", "pivot"], "left")
     if within:
         near_pivot = common.staged(derived(either.join(lists.select(F.col("y.id").alias("pivot")).distinct(), "pivot"), t))
@@ -367,7 +391,7 @@ def links(docs: DataFrame, k: int = 3, t: int = 90, id_col: str = "doc_id", text
     met = met.select(F.col("b.token").alias("token"), F.col("b.size_block").alias("sb"), F.col("b.pos_block").alias("bp"), F.col("b.salt").alias("bs"), F.col("c.size_block").alias("sc"), F.col("c.pos_block").alias("cp"), F.col("c.salt").alias("cs"))
     one = open_.alias("x").join(met.alias("m"), F.expr("x.token = m.token and x.size_block = m.sb and x.pos_block = m.bp and x.salt = m.bs"))
     near = f"(x.far is null or y.far is null or abs(x.far - y.far) <= (x.size + y.size) * (1 - 2 * {t} / (100.0 + {t})) + 2)"
-    two = one.join(open_.alias("y"), F.expr(f"y.token = m.token and y.size_block = m.sc and y.pos_block = m.cp and y.salt = m.cs and (not {same} or x.id < y.id) and {near} and x.pos + y.pos <= {spare}") & may_link("x", "y", t) & ~settled)
+    two = one.join(open_.alias("y"), F.expr(f"y.token = m.token and y.size_block = m.sc and y.pos_block = m.cp and y.salt = m.cs and x.id <> y.id and (not {same} or x.id < y.id) and {near} and x.pos + y.pos <= {spare}") & may_link("x", "y", t) & ~settled)
     rest = two.select(*found_pairs("x", "y")).distinct()
     rest = rest.join(stars.select("a", "b"), ["a", "b"], "left_anti")
     if within:

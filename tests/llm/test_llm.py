@@ -212,6 +212,34 @@ def test_jaccard_returns_all_links(spark, monkeypatch, block):
     assert counts == {i: sum(i != j and bool(s) and 100 * len(s & o) >= t * len(s | o) for j, o in enumerate(sets)) for i, s in enumerate(sets)}
 
 
+def test_postings_no_set_fits_are_left_out(spark, monkeypatch):
+    """Short texts within longer ones share rare shingles with sets too large for a link only."""
+    common.prepared(spark)
+    rows, staged = [], common.staged
+
+    def counted(df):
+        out = staged(df)
+        if "token" in out.columns:
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(common, "staged", counted)
+    short = [" ".join(f"w{i}_{j}" for j in range(20)) for i in range(40)]
+    texts = short + [f"{x} " + " ".join(f"v{i}_{j}" for j in range(100)) for i, x in enumerate(short)]
+    got = by_id(op4_jaccard.grouped(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)))
+    assert [got[i].component_id for i in range(80)] == list(range(80))
+    assert rows and not any(rows)
+
+
+@pytest.mark.parametrize(("hot", "bits"), [(3, op4_jaccard.TOKEN_BITS), (4096, 8)])
+def test_lists_dealt_out_and_lists_of_several_shingles(spark, monkeypatch, hot, bits):
+    for name, value in (("HOT", hot), ("TOKEN_BITS", bits), ("TOKEN", (1 << bits) - 1), ("BLOCK", 3)):
+        monkeypatch.setattr(op4_jaccard, name, value)
+    texts = mutated(50, 90, 30) + mutated(53, 40, 10)
+    got = by_id(op4_jaccard.grouped(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)))
+    assert [(got[i].n_shingles, got[i].component_id) for i in range(40)] == brute_components(texts, 3, 90)
+
+
 def test_language_model(docs, none):
     got = by_id(op5_language_model.score_texts(docs))
     words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), x or "")) for x in TEXTS]
