@@ -10,7 +10,8 @@ are derived from the pivot's: two sets whose distances to a pivot add up to no m
 being compared, and two whose distances differ by more aren't. Only pairs that neither bound settles are compared.
 
 `links` returns all links between classes. `grouped` asks only what links lead to: there a pivot's answers are one component, so
-pairs within it need no comparison, and a group of copies costs in proportion to its size.
+pairs within it need no comparison. What pivots leave apart is joined by neighbours first: each set of a list is compared to the next
+one in two orders, so that a group of near copies is one component, or nearly, before pairs are made of the sets that are still apart.
 
 Defined cases: a null or blank text has an empty set, n_shingles 0, and is linked with nothing; a text of fewer than k words is
 one shingle; equal texts share a component (unless empty); null ids stay rows of their own, are the smallest id of nothing but a
@@ -33,6 +34,8 @@ from .words import shingle_lists, word_hashes
 
 #: At most so many common shingles go last in the order, and so many common words count in it; the order decides the cost, never the result.
 COMMON, COMMON_WORDS, BITMAP_BITS, BLOCK, WIDE = 200_000, 1 << 17, 26, 256, 4096
+#: Signatures of so many longs go with the sets whose pairs are left.
+FOLDED = 8
 #: Lists go by so many bits of a shingle. Sets that meet without sharing the whole of it are compared like others.
 TOKEN_BITS = 40
 TOKEN = (1 << TOKEN_BITS) - 1
@@ -234,22 +237,22 @@ def wide_signature(s: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount((s & np.uint64(WIDE - 1)).astype(np.int64), minlength=WIDE) & 1).astype(np.uint8)).view("<i8")
 
 
-def near_enough(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, t: int) -> DataFrame:
+def near_enough(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, t: int, sigs: DataFrame | None = None) -> DataFrame:
     """Pairs whose wide signatures differ in no more bits than linked sets may differ in elements: no link is lost, and few others
-    are left whose whole sets must move."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sigs = fetched(docs, classes, ends, k, "sig", wide_signature)
+    are left whose whole sets must move. sigs: id, sig, where they are known."""
+    if sigs is None:
+        sigs = fetched(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), k, "sig", wide_signature)
     both = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b")
     differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, c: n + c)
     spare = (F.col("na") + F.col("nb")) - 2 * F.ceil((F.col("na") + F.col("nb")) * t / F.lit(100.0 + t) - 1e-9)
     return both.filter(differ <= spare).select("a", "b", "na", "nb").distinct()
 
 
-def compared(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, t: int) -> DataFrame:
+def compared(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, t: int, sigs: DataFrame | None = None) -> DataFrame:
     """a, b, na, nb, shared, linked for pairs (a, b, na, nb) of classes, from their whole sets.
 
     Pairs meet at the member that has more of them; each of its partners' sets goes there, in parts of BLOCK pairs."""
-    pairs = common.staged(near_enough(pairs, docs, classes, k, t))
+    pairs = common.staged(near_enough(pairs, docs, classes, k, t, sigs))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("w"))
     ends = common.staged(ends)
     sets = fetched(docs, classes, ends.select("id"), k, "set", lambda s: s.view(np.int64))
@@ -319,6 +322,29 @@ def found_pairs(x: str, y: str) -> list[F.Column]:
     return [F.least(f"{x}.id", f"{y}.id").alias("a"), F.greatest(f"{x}.id", f"{y}.id").alias("b"), F.when(less, F.col(f"{x}.size")).otherwise(F.col(f"{y}.size")).alias("na"), F.when(less, F.col(f"{y}.size")).otherwise(F.col(f"{x}.size")).alias("nb")]
 
 
+def folded() -> list[F.Column]:
+    """w0, w1, ...: a wide signature's parity bits added up to FOLDED longs."""
+    return [F.expr(f"aggregate(filter(sig, (x, i) -> i % {FOLDED} = {j}), 0L, (a, x) -> a ^ x)").alias(f"w{j}") for j in range(FOLDED)]
+
+
+def still_apart(lists: DataFrame, linked: DataFrame) -> DataFrame:
+    """The lists (token, id and more) whose sets the links (a, b) haven't joined to one component, with each set's component as root."""
+    roots = common.components(linked).select(F.col("node").alias("id"), "root")
+    rows = common.staged(lists.drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    return rows.join(rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token"), "token", "left_semi")
+
+
+def neighbours(lists: DataFrame, spare: str, t: int) -> DataFrame:
+    """a, b, na, nb: each set of a list and the next one, in an order by chance and in one by likeness, where they may be linked and
+    aren't joined yet: at most two pairs for a set of a list. Long lists are dealt in parts of about HOT sets."""
+    part = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.col("w") / HOT)))
+    rows = lists.select("token", part.alias("part"), F.xxhash64("id", "token").alias("chance"), F.struct("id", "size", "pos", "s1", "s2", "root").alias("x"))
+    for y, order in (("y", "chance"), ("z", "x.s1")):
+        rows = rows.withColumn(y, F.lag("x").over(Window.partitionBy("token", "part").orderBy(order, "x.id")))
+    rows = rows.select("x", F.explode(F.array("y", "z")).alias("y"))
+    return rows.filter(F.expr(f"x.root <> y.root and x.pos + y.pos <= {spare}") & may_link("x", "y", t)).select(*found_pairs("x", "y")).distinct()
+
+
 def links(docs: DataFrame, k: int = 3, t: int = 90, id_col: str = "doc_id", text_col: str = "text", within: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, classes, links). members: id, n, digest, key for each document (digest: its class, null for empty sets; key: xxhash64
     of the text). classes: digest, rep (the smallest id), size. links: a, b, shared for all pairs of classes whose Jaccard similarity
@@ -347,14 +373,15 @@ def links(docs: DataFrame, k: int = 3, t: int = 90, id_col: str = "doc_id", text
 
     # each list's pivot: the set with the most elements that others may share; x: a set of the list, y: its pivot
     by_token = Window.partitionBy("token")
-    short = found.filter("not hot").withColumn("y", F.max("x").over(by_token)).withColumn("w", F.count("*").over(by_token))
+    many = {"y": F.max("x"), "w": F.count("*"), "h": F.bit_xor(F.xxhash64("x.id")), "g": F.bit_xor(F.xxhash64(F.lit(1), "x.id"))}
+    short = found.filter("not hot").withColumns({c: f.over(by_token) for c, f in many.items()})
     long = found.filter("hot")
-    long = long.join(long.groupBy("token").agg(F.max("x").alias("y"), F.count("*").alias("w")), "token")
+    long = long.join(long.groupBy("token").agg(*(f.alias(c) for c, f in many.items())), "token")
     # where the shared element is the first that two linked sets share, those before it are in one of the sets only
     spare = f"(x.size + y.size) * (1 - 2 * {t} / (100.0 + {t})) + 2"
     lists = short.unionByName(long).filter("x.id <> y.id").withColumn("star", F.expr(f"x.pos + y.pos <= {spare}") & may_link("x", "y", t))
     # a list of two has no sets but its pivot's pair
-    lists = common.staged(lists.filter("star or w > 2").select("token", "w", "star", F.col("x").dropFields("weight").alias("x"), F.struct("y.id", "y.size").alias("y")))
+    lists = common.staged(lists.filter("star or w > 2").select(F.xxhash64("y.id", "w", "h", "g").alias("token"), "w", "star", F.col("x").dropFields("weight").alias("x"), F.struct("y.id", "y.size").alias("y")))
     stars = common.staged(lists.filter("star").select(*found_pairs("x", "y")).distinct())
 
     first = common.staged(compared(stars, docs, classes, k, t))
@@ -362,17 +389,25 @@ def links(docs: DataFrame, k: int = 3, t: int = 90, id_col: str = "doc_id", text
     # distances to pivots, from both sides of a measured pair
     far = (F.col("na") + F.col("nb") - 2 * F.col("shared")).alias("far")
     either = first.select(F.col("a").alias("id"), F.col("na").alias("size"), F.col("b").alias("pivot"), far).unionByName(first.select(F.col("b").alias("id"), F.col("nb").alias("size"), F.col("a").alias("pivot"), far))
-    open_ = lists.filter("w > 2").select("token", "w", "x.*", F.col("y.id").alias("pivot")).join(either.drop("size"), ["id", "pivot"], "left")
+    # lists of the same sets are one, in which a set has its least position: what positions allow in any of them is allowed there
+    open_ = lists.filter("w > 2").select("token", "w", "x.*", F.col("y.id").alias("pivot")).groupBy("token", "id", "pivot").agg(*(F.min(c).alias(c) for c in ("w", "size", "pos", "s1", "s2")))
+    open_ = open_.join(either.drop("size"), ["id", "pivot"], "left")
+    tested = stars.select("a", "b")
     if within:
         near_pivot = common.staged(derived(either.join(lists.select(F.col("y.id").alias("pivot")).distinct(), "pivot"), t))
-        open_ = open_.withColumn("root", F.col("id"))
+        open_ = common.staged(open_.withColumn("root", F.col("id")))
     else:
-        roots = common.components(first.filter("linked"))
-        open_ = open_.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        open_ = common.staged(still_apart(open_, first.filter("linked")))
+    sigs = fetched(docs, classes, open_.select("id").distinct(), k, "sig", wide_signature)
+    if not within:
+        pairs = common.staged(neighbours(open_, spare, t).join(tested, ["a", "b"], "left_anti"))
+        first = common.staged(first.unionByName(compared(pairs, docs, classes, k, t, sigs)))
+        tested = tested.unionByName(pairs.select("a", "b"))
+        open_ = still_apart(open_, first.filter("linked"))
 
     # what the pivots left open, in blocks of neighbouring sizes and positions
     salts = F.greatest(F.lit(1), F.ceil(F.col("w") / BLOCK)).cast("int")
-    open_ = common.staged(open_.select("token", "id", "size", "pos", "s1", "s2", "far", "root", F.floor(F.log(F.col("size").cast("double")) / F.lit(float(np.log(100 / t)))).alias("size_block"), F.floor(F.log2((F.col("pos") + 1).cast("double"))).alias("pos_block"), F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt")))
+    open_ = common.staged(open_.join(sigs.select("id", *folded()), "id").select("token", "id", "size", "pos", "s1", "s2", *(f"w{j}" for j in range(FOLDED)), "far", "root", F.floor(F.log(F.col("size").cast("double")) / F.lit(float(np.log(100 / t)))).alias("size_block"), F.floor(F.log2((F.col("pos") + 1).cast("double"))).alias("pos_block"), F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt")))
     blocks = open_.groupBy("token", "size_block", "pos_block", "salt").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.min("pos").alias("pos"), F.max(F.coalesce("far", F.lit(1 << 29))).alias("far"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
     b, c = blocks.alias("b"), blocks.alias("c")
     met = b.join(c, F.expr("b.token = c.token and (b.size_block < c.size_block and c.size_block - b.size_block <= 2 or b.size_block = c.size_block and (b.pos_block < c.pos_block or b.pos_block = c.pos_block and b.salt <= c.salt))"))
@@ -391,12 +426,13 @@ def links(docs: DataFrame, k: int = 3, t: int = 90, id_col: str = "doc_id", text
     met = met.select(F.col("b.token").alias("token"), F.col("b.size_block").alias("sb"), F.col("b.pos_block").alias("bp"), F.col("b.salt").alias("bs"), F.col("c.size_block").alias("sc"), F.col("c.pos_block").alias("cp"), F.col("c.salt").alias("cs"))
     one = open_.alias("x").join(met.alias("m"), F.expr("x.token = m.token and x.size_block = m.sb and x.pos_block = m.bp and x.salt = m.bs"))
     near = f"(x.far is null or y.far is null or abs(x.far - y.far) <= (x.size + y.size) * (1 - 2 * {t} / (100.0 + {t})) + 2)"
-    two = one.join(open_.alias("y"), F.expr(f"y.token = m.token and y.size_block = m.sc and y.pos_block = m.cp and y.salt = m.cs and x.id <> y.id and (not {same} or x.id < y.id) and {near} and x.pos + y.pos <= {spare}") & may_link("x", "y", t) & ~settled)
+    differ = sum((F.bit_count(F.col(f"x.w{j}").bitwiseXOR(F.col(f"y.w{j}"))) for j in range(FOLDED)), F.lit(0))
+    two = one.join(open_.alias("y"), F.expr(f"y.token = m.token and y.size_block = m.sc and y.pos_block = m.cp and y.salt = m.cs and x.id <> y.id and (not {same} or x.id < y.id) and {near} and x.pos + y.pos <= {spare}") & may_link("x", "y", t) & ~settled & (differ <= may_differ("x.size", "y.size", t)))
     rest = two.select(*found_pairs("x", "y")).distinct()
-    rest = rest.join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    rest = rest.join(tested, ["a", "b"], "left_anti")
     if within:
         rest = rest.join(near_pivot, ["a", "b"], "left_anti")
-    second = compared(common.staged(rest), docs, classes, k, t)
+    second = compared(common.staged(rest), docs, classes, k, t, sigs)
     measured = first.unionByName(second).filter("linked").select("a", "b", "shared")
     if within:  # a derived pair may have been measured as some list's pivot pair
         new = near_pivot.join(stars.select("a", "b"), ["a", "b"], "left_anti").withColumn("shared", F.lit(None).cast("int"))

@@ -231,6 +231,29 @@ def test_postings_no_set_fits_are_left_out(spark, monkeypatch):
     assert rows and not any(rows)
 
 
+def test_near_copies_of_many_pivots_are_joined_by_neighbours(spark, monkeypatch):
+    """A group of near copies whose lists have pivots that don't join all of it: the pairs compared grow with the sets, not with their pairs."""
+    common.prepared(spark)
+    rows, staged = [], common.staged
+
+    def counted(df):
+        out = staged(df)
+        if out.columns == ["a", "b", "na", "nb"]:
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(common, "staged", counted)
+    r, texts = np.random.RandomState(54), []
+    for _ in range(300):  # the largest set is the pivot of the lists, and too large for half of the others
+        w = [f"b{i}" for i in range(200)][: r.randint(100, 201)]
+        for j in r.choice(len(w), r.randint(0, 4), replace=False):
+            w[j] = f"w{r.randint(0, 10**6)}"
+        texts.append(" ".join(w))
+    got = by_id(op4_jaccard.grouped(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), 3, 80))
+    assert [(got[i].n_shingles, got[i].component_id) for i in range(300)] == brute_components(texts, 3, 80)
+    assert sum(rows) < 20 * 300
+
+
 @pytest.mark.parametrize(("hot", "bits"), [(3, op4_jaccard.TOKEN_BITS), (4096, 8)])
 def test_lists_dealt_out_and_lists_of_several_shingles(spark, monkeypatch, hot, bits):
     for name, value in (("HOT", hot), ("TOKEN_BITS", bits), ("TOKEN", (1 << bits) - 1), ("BLOCK", 3)):
