@@ -158,7 +158,9 @@ def classify(docs: DataFrame, samples: dict[str, bytes], id_col: str = "doc_id",
 
 
 def accepted(docs: DataFrame, samples: dict[str, bytes], text_col: str = "text", margin: float | list[float] = MARGIN, lang_col: str = "lang") -> DataFrame:
-    """The rows of a table whose text isn't rejected, with all their columns; a language column gets the language found."""
+    """The rows of a table whose text isn't rejected, with all their columns; a language column gets the language found.
+
+    Without samples there is no language to reject a text for: all rows with a letter stay as they are, their language column too."""
     held = docs.sparkSession.sparkContext.broadcast(samples)
     at = docs.columns.index(text_col)
 
@@ -166,6 +168,9 @@ def accepted(docs: DataFrame, samples: dict[str, bytes], text_col: str = "text",
         common.release()
         predict = predictor(held.value, margin=margin)
         for batch in common.slices(batches):
+            if not held.value:
+                yield batch.filter(pa.array([any(map(str.isalpha, t or "")) for t in batch.column(at).to_pylist()], pa.bool_()))
+                continue
             found = [predict(t) for t in batch.column(at).to_pylist()]
             if lang_col in batch.schema.names:
                 own = batch.schema.get_field_index(lang_col)

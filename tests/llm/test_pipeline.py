@@ -20,6 +20,18 @@ def test_stages(spark):
     assert {r.doc_id for r in packed} == {1, 5}
 
 
+def test_documents_without_labels_go_through_the_pipeline(spark):
+    common.prepared(spark)
+    prose = [" ".join(f"{w}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)) for w in ("stone", "река", "村")]
+    given = list(enumerate([*prose, prose[0].upper(), "x", "12 34 !!", "", None]))
+    docs = spark.createDataFrame([(i, t, None, "s", len(t or "")) for i, t in given], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = corpus_pipeline.language_id(spark, docs, "")
+    assert sorted(tuple(r) for r in kept.collect()) == [(i, t, None, "s", len(t)) for i, t in given[:5]] and kept.columns == docs.columns
+    for _, stage in corpus_pipeline.STAGES:
+        docs = common.staged(stage(spark, docs, ""))
+    assert {r.doc_id for r in docs.collect()} == {1, 2, 3, 4}
+
+
 def test_one_row_of_each_group_stays(spark):
     common.prepared(spark)
     words = lambda n, s: " ".join(f"w{s}{i}" for i in range(n))
