@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions import names
 from ..staging import staged
+from . import likeness
 
 NAMED = ("chat_id", "contact_name", "chat_title", "is_private")
 
@@ -63,34 +66,75 @@ def resolved(mentions: DataFrame, chats: DataFrame, members: DataFrame, contacts
     return found.withColumn("primary_person", F.row_number().over(surest) == 1)
 
 
-#: Names with one trigram that a task compares.
-POSTED = 2048
+#: Names with one trigram that a task compares, and pairs of names up to which all that share half of the trigrams are scored.
+POSTED, FEW = 2048, 20_000_000
+#: Names that share the most marks with one asked for, whose likeness sets the bound for all others.
+SEEDS = 32
 
 
 def likest(asked: DataFrame, named: DataFrame, least: float = 75.0, n: int = 1) -> DataFrame:
     """asked, id, score, rank: the n likest names (id, name) of each name asked for (asked) by weighted likeness, from `least` on, among those
     that share at least half of its trigrams.
 
+    Of many names, those that share the most marks are scored first; the nth likest of them is a bound, and of all names only those are
+    scored whose marks allow as much (`likeness.near`). Few names, and names asked for of which half of the trigrams may lie between
+    words, meet by their trigrams."""
+    theirs = names.trigrams(F.col("asked"))
+    wanted = asked.select("asked").distinct().select(F.monotonically_increasing_id().alias("q"), "asked", names.parts(F.col("asked")).alias("a"), theirs.alias("theirs"), F.ceil(F.size(theirs) / 2).alias("need")).filter(F.size("theirs") > 0)
+    # the columns of names are made on all cores, however few files hold them
+    grams = named.repartition(named.sparkSession.sparkContext.defaultParallelism).select(F.monotonically_increasing_id().alias("no"), "id", names.parts(F.col("name")).alias("b"), names.trigrams(F.col("name")).alias("own"))
+    wanted, grams = staged(wanted), staged(grams)
+    if wanted.count() * grams.count() <= FEW:
+        scored = [by_trigrams(wanted, grams).filter(F.col("score") >= least)]
+    else:
+        scored = by_marks(wanted, grams, least, n)
+    together = reduce(DataFrame.unionByName, [x.select("asked", "id", "score") for x in scored])
+    ranked = together.withColumn("rank", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "id")))
+    return ranked.filter(F.col("rank") <= n)
+
+
+def by_marks(wanted: DataFrame, grams: DataFrame, least: float, n: int) -> list[DataFrame]:
+    """Scored pairs from `least` on, among them the n likest of each name asked for."""
+    own = likeness.marks(F.col("a.words"))
+    between = F.size(F.array_except("theirs", own))
+    wanted = staged(wanted.select("*", F.length("a.low").alias("size"), *likeness.marked(own), (F.col("need") - between).cast("int").alias("base")))
+    named = staged(grams.filter(F.size("own") > 0).select("no", F.length("b.low").alias("size"), *likeness.marked(likeness.marks(F.col("b.words")))))
+    odd, left = wanted.filter("base <= 0"), wanted.filter("base > 0")
+    kept = ["q", "size", "n_marks", "marks", "base"]
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        met = pairs.join(left.select("q", "asked", "a", "theirs", "need"), "q").join(grams, "no").filter(F.size(F.array_intersect("own", "theirs")) >= F.col("need"))
+        return met.select("q", "asked", "id", score_of_pair().alias("score")).filter(F.col("score") >= least)
+
+    most = Window.partitionBy("q").orderBy(F.desc("shared"), "no")
+    seeds = likeness.near(left.select(*kept, F.lit(None).cast("double").alias("least")), named).withColumn("place", F.row_number().over(most)).filter(F.col("place") <= max(SEEDS, 2 * n))
+    nth = scored(seeds).groupBy("q").agg(F.get(F.sort_array(F.collect_list("score"), asc=False), n - 1).alias("nth"))
+    bound = staged(left.join(nth, "q", "left").select(*kept, F.greatest(F.lit(float(least)), "nth").alias("least")))
+    return [by_trigrams(odd, grams).filter(F.col("score") >= least), scored(likeness.near(bound, named))]
+
+
+def score_of_pair() -> Column:
+    return F.round(names.likeness_of_parts(F.col("a"), F.col("b")), 4)
+
+
+def by_trigrams(wanted: DataFrame, grams: DataFrame) -> DataFrame:
+    """asked, id, score of all pairs that share at least half of the trigrams of the name asked for.
+
     Names that do so share one of its rarest: of g trigrams the g - ceil(g / 2) + 1 rarest are looked up, so common ones match nobody.
     Two names are compared where they meet by the first of these that they share, and there alone, so pairs aren't shuffled; the names
     of a common trigram are dealt into blocks."""
-    grams = staged(named.select("id", names.parts(F.col("name")).alias("b"), names.trigrams(F.col("name")).alias("own")))
     counts = grams.select(F.explode("own").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    wanted = asked.select("asked").distinct().select("asked", names.parts(F.col("asked")).alias("a"), names.trigrams(F.col("asked")).alias("theirs"))
-    need = F.ceil(F.size("theirs") / 2)
-    each = wanted.select("asked", (F.size("theirs") - need + 1).alias("most"), F.explode("theirs").alias("gram")).join(counts, "gram", "left")
+    each = wanted.select("asked", (F.size("theirs") - F.col("need") + 1).alias("most"), F.explode("theirs").alias("gram")).join(counts, "gram", "left")
     place = F.row_number().over(Window.partitionBy("asked").orderBy(F.coalesce("n", F.lit(0)), "gram"))
     rare = staged(each.withColumn("place", place).filter(F.col("place") <= F.col("most")).filter("n is not null").withColumn("blocks", F.ceil(F.col("n") / POSTED).cast("int")).select("asked", "gram", "place", "blocks"))
     firsts = rare.groupBy("asked").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "gram"))), lambda x: x["gram"]).alias("rarest"))
-    lookups = rare.join(wanted.join(firsts, "asked"), "asked").select("asked", "a", "theirs", "rarest", "gram", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    lookups = rare.join(wanted.join(firsts, "asked"), "asked").select("asked", "a", "theirs", "need", "rarest", "gram", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     dealt = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")
     posted = grams.select("*", F.explode("own").alias("gram")).join(rare.select("gram", "blocks").distinct(), "gram").select("id", "b", "own", "gram", dealt)
     key = ["gram", "block"]
     pairs = lookups.repartition(*key).join(posted.repartition(*key), key)
-    pairs = pairs.filter((F.array_intersect("rarest", "own")[0] == F.col("gram")) & (F.size(F.array_intersect("own", "theirs")) >= need))
-    scored = pairs.select("asked", "id", F.round(names.likeness_of_parts(F.col("a"), F.col("b")), 4).alias("score"))
-    ranked = scored.filter(F.col("score") >= least).withColumn("rank", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "id")))
-    return ranked.filter(F.col("rank") <= n)
+    pairs = pairs.filter((F.array_intersect("rarest", "own")[0] == F.col("gram")) & (F.size(F.array_intersect("own", "theirs")) >= F.col("need")))
+    return pairs.select("asked", "id", score_of_pair().alias("score"))
 
 
 def most_common(rows: DataFrame, keys: list[str], label: str, n: int) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chatquarry.functions import dates, messages as m, names, text
-from chatquarry.operators import enrichment, history, people
+from chatquarry.operators import enrichment, history, likeness, people
 from chatquarry.plans import registry, tools
 
 
@@ -95,6 +95,27 @@ def test_likest_names_of_dealt_trigrams_equal_a_comparison_of_all(spark, monkeyp
     assert {(r.asked, r.id, r.score) for r in people.likest(asked, named, 75.0, 3).collect()} == wanted and len(wanted) > 10
 
 
+def test_likest_names_by_marks_equal_a_comparison_of_all(spark, monkeypatch):
+    """Many names: those with the most marks set a bound, and few of the others are scored."""
+    scored, near = [], likeness.near
+    monkeypatch.setattr(people, "FEW", 0)
+    monkeypatch.setattr(likeness, "ASKED_BLOCK", 5)
+    monkeypatch.setattr(likeness, "NAMED_BLOCK", 150)
+    monkeypatch.setattr(likeness, "near", lambda asked, named: scored.append(near(asked, named)) or scored[-1])
+    every = ["household n%d" % i for i in range(1000, 1400)] + ["n1133 household n1133", "Ann  Lee", "anne\tlee", "Lee Ann", "Li", "", "a b c", "c b a", "x", None, "мария иванова", "иванова марья", "ann", "a" * 300 + " lee"]
+    named = spark.createDataFrame(list(enumerate(every)), "id long, name string").repartition(3)
+    given = ["n1133 household", "household n1299", "n1000 hausehold", "lee ann", "ann lee maria", "li", "a  b\tc", "c a b", "x", "", "марья иванова", "a" * 299 + " lea", None]
+    asked = spark.createDataFrame([(a,) for a in given], "asked string")
+    got = {(r.asked, r.id, r.score, r["rank"]) for r in people.likest(asked, named, 75.0, 3).collect()}
+    assert scored[1].filter("q is not null").count() < 400
+    monkeypatch.setattr(people, "FEW", 1 << 40)
+    assert got == {(r.asked, r.id, r.score, r["rank"]) for r in people.likest(asked, named, 75.0, 3).collect()} and len(got) > 15
+    own, theirs = names.trigrams(F.col("name")), names.trigrams(F.col("asked"))
+    near_ = asked.crossJoin(named).filter((F.size(F.array_intersect(own, theirs)) >= F.ceil(F.size(theirs) / 2)) & (F.size(theirs) > 0))
+    rows = near_.select("asked", "id", F.round(names.weighted_likeness(F.col("asked"), F.col("name")), 4).alias("score")).filter("score >= 75").collect()
+    assert {x[:3] for x in got} == {(a, r.id, r.score) for a in {r.asked for r in rows} for r in sorted((r for r in rows if r.asked == a), key=lambda r: (-r.score, r.id))[:3]}
+
+
 def test_languages_by_ranges_of_letters(spark):
     every = {"ru": "абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "uk": "іїєґ"}
     assert max(len(p) for p in (text.RUSSIAN, text.UKRAINIAN)) < 10
