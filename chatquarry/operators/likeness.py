@@ -19,6 +19,8 @@ from .blocks import by_block
 
 #: Names asked for and names that meet in one cell; what marks are hashed to, and bits that stand for these (fewer than a byte counts).
 ASKED_BLOCK, NAMED_BLOCK, HASHES, BITS = 8192, 32_768, 65_536, 255
+#: Blocks of names at least, if they are long enough.
+SIDE = 16
 #: Pairs that a task gives at once, bounds by length and marks that it keeps, names of the most marks that a cell gives, of so many tried.
 GIVEN, KEPT, FIRST, TRIED = 1 << 17, 512, 4, 64
 
@@ -149,7 +151,8 @@ def near(asked: DataFrame, named: DataFrame) -> DataFrame:
 
     asked: q, size (letters), n_marks, marks (hashes), base (1 or more), least (0 to 100); named: no, size, n_marks, marks."""
     columns = ["no", "size", "n_marks", "marks"]
-    p, q = (max(1, math.ceil(rows.count() / block)) for rows, block in ((asked, ASKED_BLOCK), (named, NAMED_BLOCK)))
+    p, n = max(1, math.ceil(asked.count() / ASKED_BLOCK)), named.count()
+    q = max(1, math.ceil(n / NAMED_BLOCK), min(SIDE, n // 2048))
     block = lambda blocks: F.pmod(F.xxhash64("no", F.lit(5)), F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     # scores are rounded, so one a little below may count
